@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, packing, pieces, token_counts, url_filter
+from lodestrata.llm import chat, exact_topk, one_bit_codes, packing, pieces, token_counts, url_filter
+from lodestrata.storage import materialise
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: The listed canonical URLs and sites of the production query.
@@ -49,11 +50,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialise(one_bit_codes.build_index(_table(spark, sf_dir, "embeddings")), "codes")
+    return one_bit_codes.search(index, index.where("id % 20 = 0"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op4_token_counts, op5_best_fit_packing, op9_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op4_token_counts, op5_best_fit_packing, op7_exact_topk, op8_one_bit_codes, op9_sentencepiece)}
 
 _CONTROLS = ", ".join(f"'{c}'" for c in chat.CONTROLS)
 _ESCAPED = lambda x: f"length({x}) + length({x}) - length(replace({x}, '{chat.ESCAPE}', '')) + 2 * list_sum(list_transform([{_CONTROLS}], lambda c: (length({x}) - length(replace({x}, c, ''))) // length(c)))"
@@ -85,4 +95,13 @@ judged AS (
 SELECT page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict
   WHEN host <> '' AND (site || '/' IN ({_LISTED}) OR site || CASE WHEN tail = '' THEN '/' ELSE tail END IN ({_LISTED})) THEN 'block' ELSE 'allow' END AS verdict
 FROM judged""",
+    "op7_exact_topk": """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20""",
 }
