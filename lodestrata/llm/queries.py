@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, exact_topk, one_bit_codes, packing, pieces, token_counts, url_filter
+from lodestrata.llm import chat, exact_topk, one_bit_codes, packing, pieces, simhash, token_counts, url_filter
 from lodestrata.storage import materialise
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -50,6 +50,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -63,7 +68,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op4_token_counts, op5_best_fit_packing, op7_exact_topk, op8_one_bit_codes, op9_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op4_token_counts, op5_best_fit_packing, op6_simhash, op7_exact_topk, op8_one_bit_codes, op9_sentencepiece)}
 
 _CONTROLS = ", ".join(f"'{c}'" for c in chat.CONTROLS)
 _ESCAPED = lambda x: f"length({x}) + length({x}) - length(replace({x}, '{chat.ESCAPE}', '')) + 2 * list_sum(list_transform([{_CONTROLS}], lambda c: (length({x}) - length(replace({x}, c, ''))) // length(c)))"
