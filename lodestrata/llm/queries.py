@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, exact_topk, one_bit_codes, packing, pieces, simhash, token_counts, url_filter
+from lodestrata.llm import chat, exact_topk, one_bit_codes, packing, pieces, quality, simhash, token_counts, toxicity, url_filter
 from lodestrata.storage import materialise
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -41,6 +41,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -68,7 +72,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op4_token_counts, op5_best_fit_packing, op6_simhash, op7_exact_topk, op8_one_bit_codes, op9_sentencepiece)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_quality, op4_token_counts, op5_best_fit_packing, op6_simhash, op7_exact_topk, op8_one_bit_codes, op9_sentencepiece, op10_toxicity)}
 
 _CONTROLS = ", ".join(f"'{c}'" for c in chat.CONTROLS)
 _ESCAPED = lambda x: f"length({x}) + length({x}) - length(replace({x}, '{chat.ESCAPE}', '')) + 2 * list_sum(list_transform([{_CONTROLS}], lambda c: (length({x}) - length(replace({x}, c, ''))) // length(c)))"
