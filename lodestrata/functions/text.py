@@ -71,5 +71,5 @@ def media_kind(extension: Column) -> Column:
     photo = ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "heic", "heif", "avif")
     raw = ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "rw2")
     video = ("mp4", "mov", "m4v", "avi", "mkv", "webm", "3gp", "mts")
-    own = F.lower(F.ltrim(F.lit("."), extension))
+    own = F.lower(F.ltrim(extension, F.lit(".")))
     return F.when(own.isin(*photo), "photo").when(own.isin(*raw), "raw").when(own.isin(*video), "video").otherwise("other")
