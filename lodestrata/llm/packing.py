@@ -8,7 +8,8 @@ sum, so the sum of f over all lengths, rounded up, is a bound. The families used
 Fekete and Schepers and the threshold functions behind the Martello-Toth bound L2, as exact integers.
 
 A partition whose count meets its bound is certified: it can't be packed better, and its full sequences are
-final. The bound of the whole table is taken from the histogram of all lengths. While the table's count exceeds
+final. One that misses it is packed once more with exact fills first (the rest of a sequence is matched with one
+or two pieces that fill it), and the better packing is kept. The bound of the whole table is taken from the histogram of all lengths. While the table's count exceeds
 it, partitions with a gap (their count above their unrounded bound) exchange what lies in their unfilled
 sequences: it is dealt anew among fewer partitions and packed again, and taken over if that saves a sequence.
 Rounds end when the bound is met, when one partition held all of the exchange, or when a round saves nothing.
@@ -113,6 +114,53 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, np.array(used, np.int64)
 
 
+def exact_fill_first(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best_fit_decreasing``, but sequence by sequence: the rest of each is matched with one or two pieces that fill it
+    exactly where there are such, else with the longest piece that fits."""
+    order = np.argsort(lengths, kind="stable")
+    ends = np.searchsorted(lengths[order], np.arange(capacity + 2), "left")
+    places = [order[ends[n] : ends[n + 1]].tolist() for n in range(capacity + 1)]  # pieces by length
+    present = sum(1 << n for n in range(1, capacity + 1) if places[n])
+    where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    used: list[int] = []
+
+    def put(n: int) -> None:
+        nonlocal present
+        i = places[n].pop()
+        if not places[n]:
+            present &= ~(1 << n)
+        where[i], offset[i] = len(used) - 1, used[-1]
+        used[-1] += n
+
+    while present:
+        used.append(0)
+        put(present.bit_length() - 1)
+        while (rest := capacity - used[-1]) and (fitting := present & ((1 << rest + 1) - 1)):
+            longest = fitting.bit_length() - 1
+            chosen = [longest]
+            left = fitting
+            while longest < rest and left and 2 * (n := left.bit_length() - 1) >= rest:
+                if present >> (rest - n) & 1 and (2 * n != rest or len(places[n]) > 1):
+                    chosen = [n, rest - n]
+                    break
+                left &= ~(1 << n)
+            for n in chosen:
+                put(n)
+    return where, offset, np.array(used, np.int64)
+
+
+def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(sequence and offset of each piece, each sequence's fill, lower bound, the same rounded down).
+
+    Best-fit decreasing; where it misses the bound, exact fills first as well, and the better of the two.
+    """
+    bound, floor = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    packed = best_fit_decreasing(lengths, capacity)
+    if len(packed[2]) > bound:
+        packed = min(packed, exact_fill_first(lengths, capacity), key=lambda p: len(p[2]))
+    return *packed, bound, floor
+
+
 def _pack_round(pieces: DataFrame, n: int, number: int, capacity: int, partition_size: int) -> DataFrame:
     """``pieces`` with the columns of _PLACED; sequences of one round never share a number with another's."""
     import pyarrow as pa
@@ -123,8 +171,7 @@ def _pack_round(pieces: DataFrame, n: int, number: int, capacity: int, partition
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         bucket = table.column("bucket")[0].as_py()
-        where, offset, used = best_fit_decreasing(lengths, capacity)
-        bound, floor = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        where, offset, used, bound, floor = pack_lengths(lengths, capacity)
         more = {"sequence_id": (number << 56) + (bucket << 24) + where, "offset": offset, "fill": used[where], "bucket": np.full(len(where), bucket), "bins": np.full(len(where), len(used)), "bound": np.full(len(where), bound), "slack": np.full(len(where), len(used) > floor)}
         out = table.select(own)
         for k, v in more.items():
