@@ -190,3 +190,34 @@ def test_rebuilds_are_equal(spark, small):
     from lodestrata.plans import catalogue
 
     assert ingest.rebuild_equal(lambda: catalogue.places_grid(spark, small).select("cell", "n", "cover"))
+
+
+def test_sinks(spark, tmp_path):
+    from lodestrata.sources import sinks
+
+    a, b = spark.createDataFrame([(1, "x/y", "t1")], "k int, bucket string, derived_at string"), spark.createDataFrame([(1, "x/y", "t2")], "k int, bucket string, derived_at string")
+    folder = str(tmp_path / "table")
+    assert sinks.publish_if_changed(a, folder) and not sinks.publish_if_changed(b, folder)
+    assert sinks.publish_if_changed(b.withColumn("k", F.lit(2)), folder) and sinks.published(spark, folder).first()["k"] == 2
+    sinks.export_buckets(a, str(tmp_path / "export"))
+    assert (tmp_path / "export/bucket=x y").is_dir()
+    with pytest.raises(Exception):
+        sinks.export_buckets(a, str(tmp_path / "export"))
+    sinks.append_log(a, str(tmp_path / "log"))
+    sinks.append_log(b, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_details(spark):
+    from lodestrata.operators import details
+
+    names = spark.createDataFrame([(1, "Anna"), (2, "Bert"), (3, "bert")], "id int, name string")
+    assert details.resolve(names, "ANNA") == 1 and details.resolve(names, "2") == 2
+    for bad in ("Bert", "nobody"):
+        with pytest.raises(ValueError):
+            details.resolve(names, bad)
+    one = spark.range(1)
+    got = one.select(details.sidecar_names(F.lit("a.jpg(2).json")).alias("n"), details.not_a_capture(F.lit("Screenshot_1.png"), F.lit("x")).alias("s"), details.is_media_container(F.lit(b"\0\0\0\x18ftypmp42")).alias("c"), details.stated_date((F.lit("2024:99:01 00:00:00"), "capture"), (F.lit("2024:01:02 03:04:05"), "modification"))["meaning"].alias("m")).first()
+    assert "a(2).jpg" in got["n"] and got["s"] and got["c"] and got["m"] == "modification"
+    photos = spark.createDataFrame([("a red car", "street", [("car", "red")]), ("", "", [("cat", "grey")]), (None, None, None)], "caption string, category string, objects array<struct<name:string,color:string>>")
+    assert details.described(photos, "gray cat").count() == 1 and details.described(photos, "red street").count() == 0 and details.described(photos, "car street").count() == 1 and details.described(photos, "blue cat").count() == 0
