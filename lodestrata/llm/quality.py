@@ -10,7 +10,7 @@ after all statistics have been scaled by the pooled deviations. Its Cholesky fac
 the model. A text's score is the logistic of the difference of the classes' log-densities: Mahalanobis distances
 through the kept factors and the log-determinants, plus the logarithm of the classes' odds, less a cut. The cut,
 as densities of statistics that are only nearly normal are off by some, is where a sample of ``CUT_ROWS`` of the
-training rows (in order of the ids' hashes) is parted with the fewest mistakes.
+training rows (about as many, by the ids' hashes) is parted with the fewest mistakes.
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score as others do; rows
 without an id are scored and never learned from; a label other than 0 and 1, or null, is ignored, repeated
@@ -132,6 +132,8 @@ def best_cut(difference: np.ndarray, label: np.ndarray) -> float:
     """Where a cut makes the fewest mistakes; the middle of the widest such gap."""
     order = np.argsort(difference)
     d, y = difference[order], label[order]
+    if len(y) < 2:
+        return 0.0
     wrong = np.cumsum(y == 1) + (y == 0).sum() - np.cumsum(y == 0)  # of a cut right after each value
     gaps = np.flatnonzero(wrong[:-1] == wrong[:-1].min(initial=len(y)))
     if not len(gaps) or wrong[:-1].min() >= min((y == 0).sum(), (y == 1).sum()):
@@ -170,11 +172,17 @@ def fit(measured: DataFrame, labels: DataFrame, label: str, learns: Column, pool
         factors.append(np.linalg.inv(lower))
         determinants.append(2 * float(np.log(np.diag(lower)).sum()))
     model = Discriminant(scale, [m / scale for m in means], factors, determinants, float(np.log(sizes[1] / sizes[0])))
-    sample = joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CUT_ROWS).toPandas()
-    model.cut = best_cut(model.difference(np.array(sample["x"].tolist())), sample["label"].to_numpy())
+    sample = joined.where(share_of(F.xxhash64("doc_id"), CUT_ROWS, sum(sizes))).dropDuplicates(["doc_id", "label"]).toPandas()
+    if len(sample):
+        model.cut = best_cut(model.difference(np.array(sample["x"].tolist())), sample["label"].to_numpy())
     return model
 
 
+def share_of(digest: Column, wanted: int, rows: int) -> Column:
+    """A condition on a hash that about ``wanted`` of ``rows`` rows fulfil, all if there are no more; the same ones each time."""
+    return F.pmod(digest, F.lit(1 << 30)) < F.lit(min(1.0, wanted / max(1, rows)) * (1 << 30))
+
+
 def score(model: Discriminant, x: Column) -> Column:
     """The model's score of a column of statistics."""
 

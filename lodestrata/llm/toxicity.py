@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.quality import fold
+from lodestrata.llm.quality import fold, share_of
 from lodestrata.llm.recent import Recent
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
@@ -206,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, sample:
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(learns)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"))
     different = materialise(known.join(texts, "doc_id").groupBy("label", "h").agg(F.min("doc_id").alias("doc_id")), "labelled")
-    chosen = different.where("label = 0").orderBy("h").limit(sample).unionByName(different.where("label = 1").orderBy("h").limit(sample))
-    chosen = materialise(chosen.dropDuplicates(["doc_id"]), "chosen")  # at most 2 * sample rows
+    numbers = {r["label"]: r["count"] for r in different.groupBy("label").count().collect()}
+    # A hash condition leaves about twice as many as are wanted, so that few rows are put in order.
+    first = lambda c: different.where(F.col("label") == c).where(share_of(F.col("h"), 2 * sample, numbers.get(c, 0))).orderBy("h").limit(sample)
+    chosen = materialise(first(0).unionByName(first(1)).dropDuplicates(["doc_id"]), "chosen")  # at most 2 * sample rows
     found = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     found = materialise(found.dropDuplicates(["doc_id"]), "sample")
     present = {r["label"] for r in found.select("label").distinct().collect()}
