@@ -16,8 +16,8 @@ of four numbers: the difference of the two length-normalised log-likelihoods, th
 (one chance likeness is no insult), and the logarithm of its length. Their weights come from sampled documents whose texts gave no counts.
 
 Learning uses, of each class, at most ``SAMPLE`` labelled documents with different texts, in order of their
-texts' hashes: three quarters for counts, one for the weights. A word counts once for each document. Spark does
-the counting; what the driver gets is bounded by the sample.
+texts' hashes: two thirds for counts, one for the weights. A word counts once for each document. Spark does the
+counting; what was seen once stays with the backoff, and what the driver gets is bounded by the sample.
 
 Defined cases: null and empty texts have difference 0; rows without an id are scored and never learned from;
 labels other than 0 and 1, or null, are ignored; repeated rows and copies of a text teach once; if the training
@@ -42,7 +42,7 @@ from lodestrata.llm.recent import Recent
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
 
-SAMPLE, HISTORY, WINDOW, DISCOUNT, CACHED_WORDS = 4000, 5, 16, 0.75, 300_000
+SAMPLE, HISTORY, LEAST, WINDOW, DISCOUNT, CACHED_WORDS = 3000, 7, 2, 16, 0.75, 200_000
 TOXIC_SHARE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 START, STOP = "^", "$"
@@ -177,13 +177,17 @@ def shared_backoff(grams: set[str], discount: float) -> Callable[[str], float]:
     return probability
 
 
-def estimate(counts: DataFrame, discount: float = DISCOUNT) -> Models:
+def estimate(counts: DataFrame, least: int = LEAST, discount: float = DISCOUNT) -> Models:
     """The models' ratios from counts (label, gram, n)."""
-    own: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    rows = counts.toPandas()
-    for c in (0, 1):
-        mine = rows[rows["label"] == c]
-        own[c].update(zip(mine["gram"], mine["n"].tolist(), strict=True))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}")
+    rows = counts.groupBy("gram").agg(of(0), of(1)).where(F.col("n0") + F.col("n1") >= least).toPandas()
+    own = tuple({g: n for g, n in zip(rows["gram"], rows[f"n{c}"].tolist(), strict=True) if n} for c in (0, 1))
+    del rows
+    return ratios(own, discount)
+
+
+def ratios(own: tuple[dict[str, int], dict[str, int]], discount: float = DISCOUNT) -> Models:
+    """The models' ratios from each class's counts of grams."""
     grams = own[0].keys() | own[1].keys()
     backoff = shared_backoff(grams, discount)
     number, kinds = (Counter(), Counter()), (Counter(), Counter())
@@ -215,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, sample:
     present = {r["label"] for r in found.select("label").distinct().collect()}
     if len(present) < 2:
         return Models({}, {}, constant=float(present.pop()) if present else 0.5)
-    weighs = F.pmod(F.col("h"), F.lit(4)) == 0
+    weighs = F.pmod(F.col("h"), F.lit(3)) == 0
     models = estimate(materialise(count_letters(found.where(~weighs).select("label", "text")), "letters"))
     measured = found.where(weighs).select("label", features(models, F.col("text")).alias("x")).toPandas()
     y = measured["label"].to_numpy()
