@@ -60,7 +60,8 @@ def time_in_name(name: Column, latest_year: int) -> tuple[Column, Column]:
     for pattern, kind, confidence in reversed(NAME_PATTERNS):
         group = lambda i: F.regexp_extract(name, pattern, i)  # noqa: B023, E731
         if kind == "epoch":
-            made = F.date_format(F.timestamp_millis(group(1).try_cast("long")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+            seconds = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (group(1).try_cast("long") / 1000).cast("decimal(18,6)"))
+            made = F.date_format(F.lit("1970-01-01T00:00:00").cast("timestamp_ntz") + seconds, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")  # whatever the session's zone
         else:
             clock = F.concat_ws(":", group(4), group(5), group(6)) if kind == "second" else F.lit("12:00:00")
             text = F.concat(F.concat_ws("-", group(1), group(2), group(3)), F.lit("T"), clock)
