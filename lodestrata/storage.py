@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,19 +13,31 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (local runs), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset (local runs), a temporary one that goes with the driver."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+        folder = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; what reads them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -221,3 +221,13 @@ def test_details(spark):
     assert "a(2).jpg" in got["n"] and got["s"] and got["c"] and got["m"] == "modification"
     photos = spark.createDataFrame([("a red car", "street", [("car", "red")]), ("", "", [("cat", "grey")]), (None, None, None)], "caption string, category string, objects array<struct<name:string,color:string>>")
     assert details.described(photos, "gray cat").count() == 1 and details.described(photos, "red street").count() == 0 and details.described(photos, "car street").count() == 1 and details.described(photos, "blue cat").count() == 0
+
+
+def test_intermediate_tables(spark):
+    from lodestrata import storage
+
+    stored = storage.materialise(spark.range(5), "five")
+    assert stored.count() == 5 and stored.dtypes == [("id", "bigint")]
+    storage.discard(spark)
+    with pytest.raises(Exception):
+        stored.sparkSession.read.parquet(storage._tables(spark)).count()
