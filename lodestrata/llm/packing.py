@@ -12,7 +12,7 @@ final. One that misses it is packed once more with exact fills first (the rest o
 or two pieces that fill it), and the better packing is kept. The bound of the whole table is taken from the histogram of all lengths. While the table's count exceeds
 it, partitions with a gap (their count above their unrounded bound) exchange what lies in their unfilled
 sequences: it is dealt anew among fewer partitions and packed again, and taken over if that saves a sequence.
-Rounds end when the bound is met, when one partition held all of the exchange, or when a round saves nothing.
+Rounds end when the bound is met, when one partition held all of the exchange, or when a round saves nothing; the table's count and bound are logged.
 Partitions never hold more than about ``partition_size`` pieces, whatever the table's size or its repeats.
 
 Defined cases: a null text is empty, and an empty text is the closing id alone; repeated rows are packed each;
@@ -21,6 +21,7 @@ an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,9 @@ from lodestrata.llm.bytepair import encoder
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
 
+_log = logging.getLogger(__name__)
+
 PARTITION_SIZE = 40_000
-MAX_ROUNDS = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "sequence_id long, offset long, fill long, bucket long, bins long, bound long, slack boolean"
 
@@ -172,7 +174,7 @@ def _pack_round(pieces: DataFrame, n: int, number: int, capacity: int, partition
         lengths = table.column("length").to_numpy()
         bucket = table.column("bucket")[0].as_py()
         where, offset, used, bound, floor = pack_lengths(lengths, capacity)
-        more = {"sequence_id": (number << 56) + (bucket << 24) + where, "offset": offset, "fill": used[where], "bucket": np.full(len(where), bucket), "bins": np.full(len(where), len(used)), "bound": np.full(len(where), bound), "slack": np.full(len(where), len(used) > floor)}
+        more = {"sequence_id": (number << 46) + (bucket << 24) + where, "offset": offset, "fill": used[where], "bucket": np.full(len(where), bucket), "bins": np.full(len(where), len(used)), "bound": np.full(len(where), bound), "slack": np.full(len(where), len(used) > floor)}
         out = table.select(own)
         for k, v in more.items():
             out = out.append_column(k, pa.array(v))
@@ -198,7 +200,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_size: int = PARTITIO
     placed = materialise(_pack_round(pieces, n, 0, capacity, partition_size), "packed")
     total = placed.agg(F.sum(F.when(F.col("offset") == 0, 1))).first()[0]
     final, round_ = [], 0
-    while total > bound and round_ < MAX_ROUNDS:
+    while total > bound:
         round_ += 1
         exchanged = F.col("slack") & (F.col("fill") < capacity)
         was, moved = placed.where(exchanged).agg(F.coalesce(F.sum(F.when(F.col("offset") == 0, 1)), F.lit(0)), F.count("*")).first()
@@ -212,6 +214,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_size: int = PARTITIO
         placed, total = again, total - was + now
         if moved <= partition_size:
             break
+    _log.info("%d sequences of %d pieces; no packing has fewer than %d", total, n, bound)
     out = placed
     for x in final:
         out = out.unionByName(x)
