@@ -17,9 +17,12 @@ Search over distinct fingerprints, exact for every pair at ``distance`` or fewer
 * A node returns a forest with its components (a link to a root for each fingerprint), never all its pairs: no
   link is lost, and a thousand near copies give a thousand rows. Components over all nodes follow by star rounds.
 
+Nodes and components are of fingerprints, not of ids: an id that occurs with several texts is judged row by row.
+
 Defined cases: null and empty texts and texts of white space have fingerprint zero and are linked like others;
 repeated rows share a component; a null id stands for no component: such rows get the smallest id that others
-of their fingerprint reach, or null; an empty table gives no rows; extra columns are not read.
+of their component have, or null; an empty table gives no rows; extra columns are not read (``deduplicate``
+passes all columns on, whatever their names). A node of hot fingerprints costs the square of its chunks.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from lodestrata.storage import materialise
 
 NODE_LIMIT = 8192
 LEAF, FAN = 16, 8
+PRUNES = 12  # beyond this distance shared bits rule out too little to be worth their levels
 BROADCAST_ROWS = 20_000
 PAIRS_AT_ONCE = 1 << 21
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
@@ -50,8 +54,12 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         return 0
     n = max(1, len(said) - words + 1)
     shingles = zip(*(said[i:] for i in range(words)), strict=False) if len(said) >= words else [said]
-    hashes = np.fromiter(map(_HASH, map(b" ".join, shingles)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
+    return majority(np.fromiter(map(_HASH, map(b" ".join, shingles)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes (one at least)."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         some = hashes[at : at + (1 << 15)]
         counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -123,13 +131,21 @@ def _join(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             roots[:] = up
 
 
+def _all_against_all(fps: np.ndarray, distance: int, roots: np.ndarray) -> None:
+    """Joins the trees of all fingerprints within the distance, some rows at a time."""
+    step = max(16, PAIRS_AT_ONCE // len(fps))
+    for at in range(0, len(fps), step):
+        a, b = np.nonzero(np.bitwise_count(fps[at : at + step, None] ^ fps[None, at:]) <= distance)
+        later = b > a
+        _join(roots, a[later] + at, b[later] + at)
+
+
 def forest(fps: np.ndarray, distance: int) -> np.ndarray:
     """For each fingerprint (unsigned) the place of its component's root, by links within the distance."""
     order = np.argsort(gray_rank(fps), kind="stable")
     fps, roots = fps[order], np.arange(len(fps))
-    if len(fps) <= 4 * LEAF:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance, 1))
-        _join(roots, a, b)
+    if len(fps) <= 4 * LEAF or distance > PRUNES:
+        _all_against_all(fps, distance, roots)
     else:
         index, step = GrayIndex(fps), max(16, PAIRS_AT_ONCE // len(fps))
         for at in range(0, len(fps), step):
@@ -153,8 +169,8 @@ def _signed(x: int) -> int:
 def _nodes(rows: DataFrame, masks: list[Column]) -> DataFrame:
     """Each row once for each mask; ``node`` becomes the hash of its node, the mask and the masked bits, ``used`` gets the mask."""
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), m.alias("mask")) for i, m in enumerate(masks)])).alias("m")
-    spread = rows.select("rep", "fp", "node", "used", which)
-    return spread.select("rep", "fp", F.xxhash64("node", "m.i", F.col("fp").bitwiseAND(F.col("m.mask"))).alias("node"), F.col("used").bitwiseOR(F.col("m.mask")).alias("used"))
+    spread = rows.select("fp", "node", "used", which)
+    return spread.select("fp", F.xxhash64("node", "m.i", F.col("fp").bitwiseAND(F.col("m.mask"))).alias("node"), F.col("used").bitwiseOR(F.col("m.mask")).alias("used"))
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -170,14 +186,14 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
 
 
 def links(classes: DataFrame, distance: int = 4) -> DataFrame:
-    """(u, v) over the reps of ``classes`` (fp, distinct; rep): their components are those of all pairs within the distance."""
+    """(u, v) over the distinct fingerprints ``classes`` (fp): their components are those of all pairs within the distance."""
     import pyarrow as pa
 
     ship(classes.sparkSession)
-    rows = classes.select("rep", "fp", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("used"))
+    rows = classes.select("fp", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("used"))
     first = _masks(list(range(64)), distance + 1)
     small, large, more = _split(_nodes(rows, [F.lit(_signed(m)).cast("long") for m in first]))
-    searched = [small.select("rep", "fp", "node")]
+    searched = [small.select("fp", "node")]
     if more:  # the masks that factor a node are those of the bits that its own mask leaves
         free = {m: _masks([b for b in range(64) if not m >> b & 1], distance + 1) for m in first}
         def of(i: int) -> Column:
@@ -186,54 +202,62 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
                 out = F.when(F.col("used") == _signed(m), F.lit(_signed(parts[i])).cast("long")).otherwise(out)
             return out
         small, large, more = _split(_nodes(large.drop("size"), [of(i) for i in range(distance + 1)]))
-        searched.append(small.select("rep", "fp", "node"))
+        searched.append(small.select("fp", "node"))
     if more:
         chunks = F.ceil(F.col("size") / NODE_LIMIT)
         own = F.pmod(F.xxhash64("fp", F.lit(1)), chunks)
         dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        searched.append(dealt.select("rep", "fp", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
+        searched.append(dealt.select("fp", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node")))
     every = searched[0]
     for x in searched[1:]:
         every = every.unionByName(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []  # rows of the node that the next batch may go on with
-
-        def search(node: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-            us, vs = [], []
+        for node, fp in whole_nodes(batches, ("node", "fp")):
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             cuts = np.flatnonzero(np.diff(node)) + 1
             for a, b in zip(np.append(0, cuts), np.append(cuts, len(node)), strict=True):
                 if b - a > 1:
                     roots = forest(fp[a:b].view(np.uint64), distance)
                     far = np.flatnonzero(roots != np.arange(b - a))
-                    us.append(rep[a:b][far])
-                    vs.append(rep[a:b][roots[far]])
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-            return pa.RecordBatch.from_arrays([flat(us), flat(vs)], ["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "fp", "rep")))
-            if kept[0][0][0] == kept[-1][0][-1]:
-                continue
-            node, fp, rep = (np.concatenate(x) for x in zip(*kept, strict=True))
-            last = np.searchsorted(node, node[-1], "left")  # nodes come sorted
-            kept = [(node[last:], fp[last:], rep[last:])]
-            yield search(node[:last], fp[:last], rep[:last])
-        if kept:
-            yield search(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+                    us.append(fp[a:b][far])
+                    vs.append(fp[a:b][roots[far]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     return every.repartition("node").sortWithinPartitions("node").mapInArrow(run, "u long, v long")
 
 
+def whole_nodes(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows sorted by the first of them, a long, so that rows of one value are never parted."""
+    kept: list[tuple[np.ndarray, ...]] = []  # rows of the value that the next batch may go on with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in columns))
+        if kept[0][0][0] == kept[-1][0][-1]:
+            continue
+        some = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+        last = np.searchsorted(some[0], some[0][-1], "left")
+        kept = [tuple(x[last:] for x in some)]
+        yield tuple(x[:last] for x in some)
+    if kept:
+        yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+
+def _components(marked: DataFrame, distance: int) -> DataFrame:
+    """(class_fp, component): each fingerprint with the fingerprint that names its component."""
+    classes = materialise(marked.select("fp").distinct(), "classes")
+    reached = smallest_reachable(links(classes, distance))
+    return classes.join(reached, F.col("fp") == F.col("u"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("v", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row: the smallest id that links of fingerprints reach, its own included."""
     marked = materialise(fingerprints(docs, words, id_column, text), "fingerprints")
-    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    reached = smallest_reachable(links(classes.where("rep is not null"), distance))
-    known = classes.join(reached, F.col("rep") == F.col("u"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("v", "rep").alias("component_id"))
-    return marked.join(known, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    known = materialise(_components(marked, distance), "components")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(known, F.col("fp") == F.col("class_fp")).groupBy("component").agg(F.min("least").alias("component_id"))
+    named = known.join(least, "component").select("class_fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -241,12 +265,42 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def keep_first(docs: DataFrame, grouped: DataFrame, id_column: str, text: str) -> DataFrame:
+    """One row of each group, whole, that of the smallest id (then text hash); rows that ``grouped`` doesn't know stay.
+
+    ``grouped`` (doc_id, h, component) has the rows' ids and ``text_hash`` of their texts, so rows of one id with
+    different texts are told apart.
+    """
+    rows = grouped.groupBy("doc_id", "h", "component").agg(F.count("*").alias("n"))
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    stays = F.struct("doc_id", "h") == F.col("first")
+    goes = materialise(rows.join(first, "component").select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h"), "n", stays.alias("stays")).where("not stays or n > 1"), "goes")
+    # The row travels as one value, so that no name of its columns can clash with those of the join.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"))
+    same = (F.col("doc_id") == F.col("gone")) & (F.col("h") == F.col("gone_h"))
+    kept = whole.join(goes, same, "left_anti")
+    again = goes.where("stays")  # rows that are there several times: one of them stays
+    if not again.isEmpty():
+        kept = kept.unionByName(whole.join(again, same, "left_semi").dropDuplicates(["doc_id", "h"]))
+    return kept.select("row.*")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def deduplicate(docs: DataFrame, words: int = 4, distance: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest id, whole; rows without an id stay."""
-    found = near_duplicates(docs, words, distance, id_column, text)
-    goes = materialise(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("to"), F.count("*").alias("n")).where("to <> doc_id or n > 1"), "goes")
-    stays = docs.join(goes.select(F.col("doc_id").alias("__gone")), F.col(id_column) == F.col("__gone"), "left_anti")
-    again = goes.where("to = doc_id").select(F.col("doc_id").alias("__again"))  # ids of several rows: one of them stays
-    if again.isEmpty():
-        return stays
-    return stays.unionByName(docs.join(again, F.col(id_column) == F.col("__again"), "left_semi").dropDuplicates([id_column]))
+    """One row of each component of linked fingerprints, whole, that of the smallest id; rows without an id stay."""
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(made, pa.int64())], ["doc_id", "h", "fp"])
+
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).alias("text")).where("doc_id is not null")
+    marked = materialise(own.mapInArrow(run, "doc_id long, h long, fp long"), "fingerprints")
+    known = _components(marked, distance)
+    return keep_first(docs, marked.join(known, F.col("fp") == F.col("class_fp")).select("doc_id", "h", "component"), id_column, text)

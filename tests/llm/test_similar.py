@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodestrata.llm import similar
+from lodestrata.llm import simhash, similar
 
 
 def plain_shingles(text, n=5):
@@ -44,9 +44,10 @@ def corpus(seed):
     return [(i, " ".join(w)) for i, w in enumerate(made)]
 
 
-@pytest.mark.parametrize(("limit", "frequent"), [(1 << 22, 1 << 17), (300, 5)])
-def test_every_similar_pair_is_found(spark, documents, monkeypatch, limit, frequent):
+@pytest.mark.parametrize(("limit", "frequent", "node"), [(1 << 22, 1 << 17, 8192), (300, 5, 4)])
+def test_every_similar_pair_is_found(spark, documents, monkeypatch, limit, frequent, node):
     monkeypatch.setattr(similar, "NODE_SHINGLES", limit)
+    monkeypatch.setattr(similar, "NODE_LIMIT", node)
     monkeypatch.setattr(similar, "FREQUENT", frequent)
     rows = corpus(7)
     want = plain_survivors(rows)
@@ -87,3 +88,49 @@ def test_texts_that_share_an_id_are_judged_apart(spark, documents):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(1, long), (2, long), (2, "something else that nobody copied at all"), (3, "one"), (3, "one"), (3, "two")]
     assert sorted((r["doc_id"], r["text"][:9]) for r in similar.deduplicate(documents(rows)).collect()) == [(1, long[:9]), (2, "something"), (3, "one"), (3, "two")]
+
+
+def test_nodes_link_what_is_near(spark, monkeypatch):
+    """Nodes of all sizes, with equal and hot fingerprints and rows over several batches, give the components of all near pairs."""
+    monkeypatch.setattr(similar, "NODE_LIMIT", 20)
+    rng = random.Random(3)
+    rows, links = [], []
+    for node in range(30):
+        base = rng.getrandbits(64)
+        own = [(base ^ sum(1 << b for b in rng.sample(range(64), rng.choice((0, 3, 14))))) if rng.random() < 0.6 else rng.getrandbits(64) for _ in range(rng.choice((1, 2, 5, 15, 90)))]
+        named = [(node, simhash._signed(f), node * 1000 + i, f) for i, f in enumerate(own)]
+        rows += named
+        links += [(a[2], b[2]) for i, a in enumerate(named) for b in named[:i] if (a[3] ^ b[3]).bit_count() <= similar.DISTANCE]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    found = similar._searched(spark.createDataFrame([r[:3] for r in rows], "node long, fp long, name long"), 20).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    over: dict = {}
+    for r in found:
+        if r["node"] is not None:
+            over.setdefault(r["node"], []).append((r["u"], r["v"]))
+    got = [(r["u"], r["v"]) for r in found if r["node"] is None]
+    for own in over.values():
+        got += [(a[1], b[1]) for i, a in enumerate(own) for b in own[:i] if ((a[0] ^ b[0]) & (2**64 - 1)).bit_count() <= similar.DISTANCE]
+    assert over and parts(got) == parts(links)
+
+
+def parts(links):
+    root: dict = {}
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups: dict = {}
+    for x in list(root):
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    text = "one two  three\tone\ntwo two " + "x" * 50 + " one"
+    hashes = similar.word_hashes(text.encode()).tolist()
+    assert len(hashes) == 8 and len(set(hashes)) == 4 and hashes[0] == hashes[3] == hashes[7] and hashes[1] == hashes[4] == hashes[5]
+    monkeypatch.setattr(similar, "AT_ONCE", 12)
+    assert similar.word_hashes(text.encode()).tolist() == hashes and len(similar.word_hashes(b" \n ")) == 0 == len(similar.word_hashes(b""))
