@@ -43,6 +43,7 @@ NODE_LIMIT = 8192
 LEAF, FAN = 16, 8
 PRUNES = 12  # beyond this distance shared bits rule out too little to be worth their levels
 BROADCAST_ROWS = 20_000
+SALTS = 16
 PAIRS_AT_ONCE = 1 << 21
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -271,10 +272,11 @@ def keep_first(docs: DataFrame, grouped: DataFrame, id_column: str, text: str) -
     ``grouped`` (doc_id, h, component) has the rows' ids and ``text_hash`` of their texts, so rows of one id with
     different texts are told apart.
     """
-    rows = grouped.groupBy("doc_id", "h", "component").agg(F.count("*").alias("n"))
-    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    rows = grouped.groupBy("doc_id", "h", "component").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)))
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("all")).where(F.col("all") > 1)
+    first = first.select("component", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))  # a hot component's rows meet in several tasks
     stays = F.struct("doc_id", "h") == F.col("first")
-    goes = materialise(rows.join(first, "component").select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h"), "n", stays.alias("stays")).where("not stays or n > 1"), "goes")
+    goes = materialise(rows.join(first, ["component", "salt"]).select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h"), "n", stays.alias("stays")).where("not stays or n > 1"), "goes")
     # The row travels as one value, so that no name of its columns can clash with those of the join.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"))
     same = (F.col("doc_id") == F.col("gone")) & (F.col("h") == F.col("gone_h"))
