@@ -14,7 +14,7 @@ training rows (about as many, by the ids' hashes) is parted with the fewest mist
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score as others do; rows
 without an id are scored and never learned from; a label other than 0 and 1, or null, is ignored, repeated
-labels count each; if the training rows hold one class only (or none), every score is that class's (or 0.5).
+labels count each, as do the rows of an id with several texts; if the training rows hold one class only (or none), every score is that class's (or 0.5).
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def fit(measured: DataFrame, labels: DataFrame, label: str, learns: Column, pool
         factors.append(np.linalg.inv(lower))
         determinants.append(2 * float(np.log(np.diag(lower)).sum()))
     model = Discriminant(scale, [m / scale for m in means], factors, determinants, float(np.log(sizes[1] / sizes[0])))
-    sample = joined.where(share_of(F.xxhash64("doc_id"), CUT_ROWS, sum(sizes))).dropDuplicates(["doc_id", "label"]).toPandas()
+    sample = joined.where(share_of(F.xxhash64("doc_id"), CUT_ROWS, sum(sizes))).select("label", "x").distinct().toPandas()
     if len(sample):
         model.cut = best_cut(model.difference(np.array(sample["x"].tolist())), sample["label"].to_numpy())
     return model

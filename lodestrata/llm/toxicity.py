@@ -17,19 +17,22 @@ of four numbers: the difference of the two length-normalised log-likelihoods, th
 
 Learning uses, of each class, at most ``SAMPLE`` labelled documents with different texts, in order of their
 texts' hashes: two thirds for counts, one for the weights. A word counts once for each document. Spark does the
-counting; what was seen once stays with the backoff, and what the driver gets is bounded by the sample.
+counting; nothing is pruned: what was seen once enters its class's counts and the continuation counts as all else.
+The driver gets the counted strings of letters, bounded by the sample, as Arrow columns, and works on them as
+arrays: a string is known by 64 mixed bits of its letters, and the model that is sent to tasks is two sorted arrays
+of these with their ratios.
 
 Defined cases: null and empty texts have difference 0; rows without an id are scored and never learned from;
-labels other than 0 and 1, or null, are ignored; repeated rows and copies of a text teach once; if the training
+labels other than 0 and 1, or null, are ignored; repeated rows and copies of a text teach once; of an id with several
+texts each teaches; if the training
 rows hold one class only (or none), every score is that class's (or 0.5).
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,16 +41,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.quality import fold, share_of
-from lodestrata.llm.recent import Recent
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
 
-SAMPLE, HISTORY, LEAST, WINDOW, DISCOUNT, CACHED_WORDS = 3000, 7, 2, 16, 0.75, 200_000
+SAMPLE, HISTORY, WINDOW, DISCOUNT, CACHED_WORDS, LONG_WORD = 3000, 7, 16, 0.75, 200_000, 64
 TOXIC_SHARE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 START, STOP = "^", "$"
 
 
+_NONE = (np.empty(0, np.uint64), np.empty(0, np.float32))
+
+
 def words_of(text: str | None) -> list[str]:
     """The text's different words, in order of their first place."""
     return list(dict.fromkeys(_WORD.findall((text or "").lower())))
@@ -59,27 +64,74 @@ def grams_of(word: str) -> list[str]:
     return [spelt[max(0, i - HISTORY) : i + 1] for i in range(1, len(spelt))]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _known_as(letters: np.ndarray) -> np.ndarray:
+    """64 mixed bits for each row of code points; zeros before a string don't count."""
+    out = np.zeros(len(letters), np.uint64)
+    for column in letters.T:
+        out = np.where(column != 0, _mixed(out + column.astype(np.uint64)), out)
+    return out
+
+
+def _spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of every gram of each word, right-aligned; which word it is of)."""
+    flat = np.frombuffer("".join([START + w + STOP for w in words]).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(w) + 2 for w in words])
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - np.repeat(begins, sizes)
+    at = np.arange(len(flat))[:, None] - np.arange(HISTORY, -1, -1)
+    grams = np.where(np.arange(HISTORY, -1, -1) <= place[:, None], flat[np.maximum(at, 0)], 0)
+    return grams[place > 0], np.repeat(np.arange(len(words)), sizes - 1)
+
+
+def _at(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted array, whether it is there) of each value."""
+    if not len(known):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return place, known[place] == asked
+
+
 @dataclass
 class Models:
-    """Log-likelihood ratios, toxic to ordinary: of letters after their history, and of histories that leave a letter to the backoff."""
+    """Log-likelihood ratios, toxic to ordinary: of letters after their history, and of histories that leave a letter to the
+    backoff. Each is (sorted names of strings, their ratios)."""
 
-    letters: dict[str, float]
-    histories: dict[str, float]
+    letters: tuple[np.ndarray, np.ndarray]
+    histories: tuple[np.ndarray, np.ndarray]
     weights: np.ndarray = field(default_factory=lambda: np.array([-1.0, 4.0, 4.0, 0.0, 0.0]))
     constant: float | None = None
 
     def __post_init__(self) -> None:
-        self.words = Recent(self.word, CACHED_WORDS)
+        self.words: dict[str, float] = {}
 
     def __reduce__(self):
         return Models, (self.letters, self.histories, self.weights, self.constant)
 
-    def word(self, word: str) -> float:
-        total = 0.0
-        for gram in grams_of(word):
-            ratio = self.letters.get(gram)
-            total += self.histories.get(gram[:-1], 0.0) if ratio is None else ratio
-        return total
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """The log-likelihood ratio of each word."""
+        grams, of = _spelt(words)
+        history = _known_as(grams[:, :-1])
+        place, there = _at(self.letters[0], _mixed(history + grams[:, -1].astype(np.uint64)))
+        back, known = _at(self.histories[0], history)
+        unseen = np.where(known, self.histories[1][back], 0.0) if len(self.histories[0]) else 0.0
+        ratio = np.where(there, self.letters[1][place], unseen) if len(self.letters[0]) else np.zeros(len(of))
+        return np.bincount(of, ratio, len(words))
+
+    def learn_words(self, texts: list[list[str]]) -> list[str]:
+        """Puts the ratios of all words of the texts into ``words``; gives those too long to be kept there."""
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        new = list({w for own in texts for w in own if w not in self.words})
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            self.words.update(zip(some, self.ratios(some).tolist(), strict=True))
+        return [w for w in new if len(w) > LONG_WORD]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Mean difference by word, largest of any window, second largest of a word, and logarithm of the length, for each text."""
@@ -89,11 +141,16 @@ class Models:
             sizes = np.array([len(w) for w in some])
             # Each text is followed by WINDOW places that count nothing.
             gap = [0.0] * WINDOW
+            long = self.learn_words(some)
             ratio = np.array([x for own in some for part in (map(self.words.__getitem__, own), gap) for x in part])
+            for word in long:
+                del self.words[word]
             total = np.concatenate(([0.0], np.cumsum(ratio)))
             starts = np.concatenate(([0], np.cumsum(sizes + WINDOW)[:-1]))
             sums = total[starts + sizes] - total[starts]
             rolling = total[np.minimum(np.arange(len(ratio)) + WINDOW, len(ratio))] - total[:-1]
+            places = np.arange(len(ratio)) - np.repeat(starts, sizes + WINDOW)
+            rolling[places >= np.repeat(sizes, sizes + WINDOW)] = 0.0  # a window that begins behind its text would reach into the next
             mine = slice(at, at + len(some))
             out[mine, 0], out[mine, 1], out[mine, 3] = sums / np.maximum(sizes, 1), np.maximum.reduceat(rolling, starts) / WINDOW, np.log1p(sizes)
             for i, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
@@ -148,60 +205,76 @@ def count_letters(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "label int, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def shared_backoff(grams: set[str], discount: float) -> Callable[[str], float]:
-    """Probability of a gram's last letter after the rest of it, by continuation counts of all grams."""
-    after: Counter = Counter()  # different letters before each shorter gram
-    level = set(grams)
-    while level := {g for g in level if len(g) > 1}:
-        after.update(g[1:] for g in level)
-        level = {g[1:] for g in level}
-    number: Counter = Counter()
-    kinds: Counter = Counter()
-    for g, n in after.items():
-        number[g[:-1]] += n
-        kinds[g[:-1]] += 1
-    known: dict[str, float] = {}
-
-    def probability(gram: str) -> float:
-        p = known.get(gram)
-        if p is None:
-            n = number[gram[:-1]]
-            if len(gram) == 1:
-                p = after[gram] / n
-            else:
-                rest = probability(gram[1:])
-                p = (max(after[gram] - discount, 0) + discount * kinds[gram[:-1]] * rest) / n if n else rest
-            known[gram] = p
-        return p
-
-    return probability
-
-
-def estimate(counts: DataFrame, least: int = LEAST, discount: float = DISCOUNT) -> Models:
+def _counted(names: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different names, sorted; the sum of the weights of each, or how often it is there)."""
+    known, of = np.unique(names, return_inverse=True)
+    return known, np.bincount(of, weights, len(known))
+
+
+def _of(counted: tuple[np.ndarray, np.ndarray], names: np.ndarray) -> np.ndarray:
+    """What was counted of each name, 0 where it wasn't seen."""
+    place, there = _at(counted[0], names)
+    return np.where(there, counted[1][place], 0.0) if len(counted[0]) else np.zeros(len(names))
+
+
+def shared_backoff(letters: np.ndarray, sizes: np.ndarray, discount: float) -> np.ndarray:
+    """For each gram (right-aligned code points) the probability of its last letter after what follows its first letter.
+
+    A shorter string counts as often as there are different letters before it in any gram (continuation counts);
+    what is discounted goes to the next shorter history, down to single letters.
+    """
+    out, width = np.zeros(len(letters)), letters.shape[1]
+    shorter: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0))
+    for m in range(1, width):
+        led = np.flatnonzero(sizes > m)  # strings of m letters with a letter before them
+        longer, own, history = (_known_as(letters[led, width - m - 1 :]), _known_as(letters[led, width - m :]), _known_as(letters[led, width - m : -1]))
+        one = led[:0] if not len(led) else np.unique(longer, return_index=True)[1]
+        after = _counted(own[one])
+        first = np.unique(own, return_index=True)[1] if len(own) else led[:0]
+        times = _of(after, own[first])
+        number, kinds = _counted(history[first], times), _counted(history[first])
+        total = _of(number, history[first])
+        if m == 1:
+            p = times / np.maximum(total, 1)
+        else:
+            rest = _of(shorter, _known_as(letters[led[first], width - m + 1 :]))
+            p = (np.maximum(times - discount, 0) + discount * _of(kinds, history[first]) * rest) / np.maximum(total, 1)
+        shorter = (own[first], p)
+        mine = sizes[led] == m + 1
+        out[led[mine]] = _of(shorter, own[mine])
+    return out
+
+
+def estimate(counts: DataFrame, discount: float = DISCOUNT) -> Models:
     """The models' ratios from counts (label, gram, n)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     of = lambda c: F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}")
-    rows = counts.groupBy("gram").agg(of(0), of(1)).where(F.col("n0") + F.col("n1") >= least).toPandas()
-    own = tuple({g: n for g, n in zip(rows["gram"], rows[f"n{c}"].tolist(), strict=True) if n} for c in (0, 1))
-    del rows
-    return ratios(own, discount)
-
-
-def ratios(own: tuple[dict[str, int], dict[str, int]], discount: float = DISCOUNT) -> Models:
-    """The models' ratios from each class's counts of grams."""
-    grams = own[0].keys() | own[1].keys()
-    backoff = shared_backoff(grams, discount)
-    number, kinds = (Counter(), Counter()), (Counter(), Counter())
-    for c in (0, 1):
-        for g, n in own[c].items():
-            number[c][g[:-1]] += n
-            kinds[c][g[:-1]] += 1
-    left = lambda c, h: discount * kinds[c][h] / number[c][h] if number[c][h] else 1.0
-    letters = {}
-    for g in grams:
-        h, rest = g[:-1], backoff(g[1:])
-        p = [left(c, h) * rest + max(own[c].get(g, 0) - discount, 0) / (number[c][h] or 1) for c in (0, 1)]
-        letters[g] = math.log(p[1] / p[0])
-    return Models(letters, {h: math.log(left(1, h) / left(0, h)) for h in number[0].keys() | number[1].keys()})
+    rows = counts.groupBy("gram").agg(of(0), of(1)).toArrow()
+    grams = rows.column("gram").combine_chunks()
+    sizes = pc.utf8_length(grams).to_numpy(zero_copy_only=False)
+    flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), grams), "").to_pylist()[0] or ""
+    return ratios(np.frombuffer(flat.encode("utf-32-le"), np.uint32), sizes, [rows.column(f"n{c}").to_numpy().astype(float) for c in (0, 1)], discount)
+
+
+def ratios(flat: np.ndarray, sizes: np.ndarray, own: list[np.ndarray], discount: float = DISCOUNT) -> Models:
+    """The models' ratios from all grams' code points, one after another, their lengths, and each class's counts of them."""
+    width = HISTORY + 1
+    letters = np.zeros((len(sizes), width), np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    for i in range(width):  # the i-th letter from the end
+        has = sizes > i
+        letters[has, width - 1 - i] = flat[(starts + sizes - 1 - i)[has]]
+    rest, names, history = shared_backoff(letters, sizes, discount), _known_as(letters), _known_as(letters[:, :-1])
+    known, of = np.unique(history, return_inverse=True)
+    p, left = [], []
+    for n in own:
+        number, kinds = np.bincount(of, n, len(known)), np.bincount(of, n > 0, len(known))
+        left.append(np.where(number > 0, discount * kinds / np.maximum(number, 1), 1.0))
+        p.append(left[-1][of] * rest + np.maximum(n - discount, 0) / np.maximum(number, 1)[of])
+    order = np.argsort(names)
+    return Models((names[order], np.log(p[1] / p[0])[order].astype(np.float32)), (known, np.log(left[1] / left[0]).astype(np.float32)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, sample: int = SAMPLE, id_column: str = "doc_id", text: str = "text") -> Models:
@@ -213,15 +286,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, sample:
     numbers = {r["label"]: r["count"] for r in different.groupBy("label").count().collect()}
     # A hash condition leaves about twice as many as are wanted, so that few rows are put in order.
     first = lambda c: different.where(F.col("label") == c).where(share_of(F.col("h"), 2 * sample, numbers.get(c, 0))).orderBy("h").limit(sample)
-    chosen = materialise(first(0).unionByName(first(1)).dropDuplicates(["doc_id"]), "chosen")  # at most 2 * sample rows
-    found = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = materialise(found.dropDuplicates(["doc_id"]), "sample")
+    chosen = materialise(first(0).unionByName(first(1)), "chosen")  # at most 2 * sample rows
+    found = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).join(F.broadcast(chosen), ["doc_id", "h"])
+    found = materialise(found.dropDuplicates(["doc_id", "h", "label"]), "sample")
     present = {r["label"] for r in found.select("label").distinct().collect()}
     if len(present) < 2:
-        return Models({}, {}, constant=float(present.pop()) if present else 0.5)
+        return Models(_NONE, _NONE, constant=float(present.pop()) if present else 0.5)
     weighs = F.pmod(F.col("h"), F.lit(3)) == 0
     models = estimate(materialise(count_letters(found.where(~weighs).select("label", "text")), "letters"))
-    measured = found.where(weighs).select("label", features(models, F.col("text")).alias("x")).toPandas()
+    measured = found.where(weighs).select("label", "h", features(models, F.col("text")).alias("x")).toPandas().sort_values(["label", "h"])
     y = measured["label"].to_numpy()
     if len(set(y.tolist())) == 2:
         models.weights = fit_weights(np.array(measured["x"].tolist()), y)

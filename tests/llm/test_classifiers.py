@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,16 +84,57 @@ def test_discriminant_is_the_log_density_difference():
     assert np.allclose(model.difference(x), [density(v, m[1], np.eye(d)) - density(v, m[0], cov) + 0.3 for v in x])
 
 
-def test_models_are_distributions(spark):
-    texts = [(0, "banana band ban"), (0, "canal can"), (1, "bad banal bad"), (1, "cab")]
+def plain_kneser_ney(own, discount):
+    """(letter ratios by gram, history ratios) by dictionaries of strings; own: each class's counts of grams."""
+    grams = set(own[0]) | set(own[1])
+    parts = {g[i:] for g in grams for i in range(len(g))}  # all strings seen, led by any letter or none
+    after = Counter(g[1:] for g in parts if len(g) > 1)
+
+    def backoff(g):
+        of_history = {s: n for s, n in after.items() if s and s[:-1] == g[:-1] and len(s) == len(g)}
+        total = sum(of_history.values())
+        if len(g) == 1:
+            return of_history[g] / total
+        return (max(of_history[g] - discount, 0) + discount * len(of_history) * backoff(g[1:])) / total
+
+    def own_of(c, h):
+        return {g: n for g, n in own[c].items() if g[:-1] == h and n}
+
+    def left(c, h):
+        counts = own_of(c, h)
+        return discount * len(counts) / sum(counts.values()) if counts else 1.0
+
+    letters, histories = {}, {}
+    for g in grams:
+        h = g[:-1]
+        p = [left(c, h) * backoff(g[1:]) + max(own[c].get(g, 0) - discount, 0) / (sum(own_of(c, h).values()) or 1) for c in (0, 1)]
+        letters[g], histories[h] = math.log(p[1] / p[0]), math.log(left(1, h) / left(0, h))
+    return letters, histories, backoff
+
+
+def test_models_are_kneser_ney_over_all_counts(spark):
+    """The arrays hold what dictionaries of strings give, with what was seen once, at the settings of the query."""
+    rng = random.Random(2)
+    texts = [(rng.randrange(2), " ".join("".join(rng.choice("aab\u00e9\U00010400") for _ in range(rng.randint(1, 12))) for _ in range(12))) for _ in range(6)]
     counts = toxicity.count_letters(spark.createDataFrame(texts, "label int, text string"))
-    grams = {r["gram"] for r in counts.collect()}
-    p = toxicity.shared_backoff(grams, 0.75)
-    letters = sorted({g[-1] for g in grams})
-    for history in ("", "a", "an", "ban"):
-        assert abs(sum(p(history + c) for c in letters) - 1) < 1e-9
-    models = toxicity.estimate(counts, least=1)
-    assert models.word("bad") > 0 > models.word("canal") and models.word("zzz") == pytest.approx(models.word("zqq"))
+    own = [{r["gram"]: r["n"] for r in counts.collect() if r["label"] == c} for c in (0, 1)]
+    assert sum(n == 1 for n in own[0].values()) > 50
+    letters, histories, backoff = plain_kneser_ney(own, toxicity.DISCOUNT)
+    single = sorted({g[-1] for g in letters})
+    assert abs(sum(backoff(c) for c in single) - 1) < 1e-9
+    models = toxicity.estimate(counts)
+    assert len(models.letters[0]) == len(letters) and len(models.histories[0]) == len(histories)
+    words = ["ab", "aabba", "b\u00e9a\U00010400ab", "zz", "abz", "a" * 90, toxicity.words_of(texts[0][1])[0]]
+    want = [sum(letters.get(g, histories.get(g[:-1], 0.0)) for g in toxicity.grams_of(w)) for w in words]
+    assert models.ratios(words) == pytest.approx(want, abs=1e-4)
+    assert models.features(["ab zz", "a" * 90, None])[:, 0] == pytest.approx([(want[0] + want[3]) / 2, want[5], 0], abs=1e-4) and "a" * 90 not in models.words
+
+
+def test_rows_of_one_id_each_teach(spark, documents):
+    docs, labels = corpus(150)
+    twice = docs + [(i, t + " and other words") for i, t in docs[:20]]
+    scores = [sorted((r["doc_id"], r["score"]) for r in toxicity.toxicity_scores(documents(x), spark.createDataFrame(labels, LABELS)).collect()) for x in (twice, twice[::-1])]
+    assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]] and [s for _, s in scores[0]] == pytest.approx([s for _, s in scores[1]], abs=1e-6)
 
 
 def test_fold_is_crc32(spark):
