@@ -15,8 +15,20 @@ from lodestrata.llm import chat, exact_topk, one_bit_codes, packing, pieces, qua
 from lodestrata.storage import materialise
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: The listed canonical URLs and sites of the production query.
-LISTED = ("ads-track.example.com/", "adult-x.example.com/", "casino-win.example.net/", "cheap-pills.example.com/", "cheap-pills.example.net/", "free-bets.example.net/", "spam-farm.example.org/", "thther.example.org/en/685", "ththin.example.com/en/671")
+#: The production list, made by a rule: each kind of site under each of these domains as a whole, its numbered mirrors, and
+#: numbered pages of one host. No entry is picked from a table.
+KINDS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
+MIRRORS, LISTED_PAGES = 1000, 20_000
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The production list: some 38,000 canonical URLs."""
+    kinds = spark.createDataFrame([(k, d) for k in KINDS for d in DOMAINS], "kind string, domain string")
+    sites = kinds.select(F.concat("kind", F.lit("."), "domain", F.lit("/")).alias("url"))
+    mirrors = kinds.select("*", F.explode(F.sequence(F.lit(1), F.lit(MIRRORS))).alias("n")).select(F.concat("kind", F.lit("-"), F.col("n").cast("string"), F.lit("."), "domain", F.lit("/")).alias("url"))
+    pages = spark.range(1, LISTED_PAGES + 1).select(F.concat(F.lit("mirror.example.org/listed/"), F.col("id").cast("string")).alias("url"))
+    return sites.unionByName(mirrors).unionByName(pages)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +49,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in LISTED], "url string")
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), listed_urls(spark), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +93,7 @@ _CONTROLS = ", ".join(f"'{c}'" for c in chat.CONTROLS)
 _ESCAPED = lambda x: f"length({x}) + length({x}) - length(replace({x}, '{chat.ESCAPE}', '')) + 2 * list_sum(list_transform([{_CONTROLS}], lambda c: (length({x}) - length(replace({x}, c, ''))) // length(c)))"
 _HOST = r"translate(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = ", ".join(f"('{r}', '{v}')" for r, v in RULES)
-_LISTED = ", ".join(f"'{x}'" for x in LISTED)
+_VALUES = lambda values: ", ".join(f"('{x}')" for x in values)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": f"""
@@ -95,7 +106,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST({len(chat.OPEN + chat.CLOSE)} + sum({_ESCAPED("role")} + {_ESCAPED("text")} + {len(chat.TURN + chat.END) + 1}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id""",
     "op2_url_filter": f"""
-WITH split AS (
+WITH kinds AS (SELECT * FROM (VALUES {_VALUES(KINDS)}) AS k(kind), (VALUES {_VALUES(DOMAINS)}) AS d(domain)),
+listed AS (
+  SELECT kind || '.' || domain || '/' AS entry FROM kinds
+  UNION ALL SELECT kind || '-' || n || '.' || domain || '/' FROM kinds, range(1, {MIRRORS + 1}) AS r(n)
+  UNION ALL SELECT 'mirror.example.org/listed/' || n FROM range(1, {LISTED_PAGES + 1}) AS r(n)),
+split AS (
   SELECT page_id, coalesce({_HOST}, '') AS host,
     coalesce(regexp_extract(regexp_replace(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*', ''), '^[^?#]*'), '') AS path
   FROM pages),
@@ -106,7 +122,7 @@ judged AS (
   SELECT *, (SELECT max_by({{'rule': r, 'verdict': v}}, length(r)) FROM (VALUES {_RULES}) AS rules(r, v)
     WHERE (host = split_part(r, '/', 1) OR ends_with(host, '.' || split_part(r, '/', 1))) AND starts_with(path, substr(r, strpos(r, '/')))) AS best FROM canonical)
 SELECT page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict
-  WHEN host <> '' AND (site || '/' IN ({_LISTED}) OR site || CASE WHEN tail = '' THEN '/' ELSE tail END IN ({_LISTED})) THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host <> '' AND (site || '/' IN (FROM listed) OR site || CASE WHEN tail = '' THEN '/' ELSE tail END IN (FROM listed)) THEN 'block' ELSE 'allow' END AS verdict
 FROM judged""",
     "op7_exact_topk": """
 WITH sound AS (

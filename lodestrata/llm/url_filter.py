@@ -41,12 +41,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def canonical_host(host: Column) -> Column:
     """Without a default port and a leading ``www.``, ``m.`` or ``blog.``."""
-    return F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m|blog)\.", "")
+    return F.regexp_replace(F.regexp_replace(host, r":(80|443)\z", ""), r"^(www|m|blog)\.", "")
 
 
 def canonical_url(host: Column, path: Column) -> Column:
     """``host/path`` without scheme, query, fragment, index page and closing slashes; a bare host ends in one."""
-    tail = F.regexp_replace(F.regexp_replace(path, r"/index\.html?$", ""), r"/+$", "")
+    tail = F.regexp_replace(F.regexp_replace(path, r"/index\.html?\z", ""), r"/+\z", "")
     return F.concat(canonical_host(host), F.when(tail == "", F.lit("/")).otherwise(tail))
 
 
@@ -74,11 +74,14 @@ def _bits(key: Column) -> list[Column]:
 
 def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
     """One row with one array of ``4 * blocks`` longs. ``keys``: one string column ``key``."""
-    words = [f"w{i}" for i in range(4)]
-    by_block = keys.select(_block(F.col("key"), blocks).alias("b"), *[x.alias(w) for w, x in zip(words, _bits(F.col("key")))])
-    by_block = by_block.groupBy("b").agg(*[F.bit_or(w).alias(w) for w in words])
-    packed = by_block.agg(F.map_from_entries(F.collect_list(F.struct("b", F.array(*words)))).alias("m"))
-    return packed.select(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.array(*[F.lit(0).cast("long")] * 4)))).alias("words"))
+    names = [f"w{i}" for i in range(4)]
+    by_block = keys.select(_block(F.col("key"), blocks).alias("b"), *[x.alias(w) for w, x in zip(names, _bits(F.col("key")))])
+    by_block = by_block.groupBy("b").agg(*[F.bit_or(w).alias(w) for w in names])
+    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("at"))
+    filled = every.join(by_block, F.col("at") == F.col("b"), "left").select("at", *[F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in names])
+    # Structs sort by their first field, so that each block's words end up at its number.
+    placed = filled.agg(F.sort_array(F.collect_list(F.struct("at", F.array(*names).alias("words")))).alias("placed"))
+    return placed.select(F.flatten(F.col("placed.words")).alias("words"))
 
 
 def may_hold(words: Column, key: Column, blocks: int) -> Column:

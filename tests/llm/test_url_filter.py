@@ -29,6 +29,26 @@ def test_full_filter_still_exact(spark, monkeypatch):
         assert {i: r["verdict"] for i, r in judged(spark, urls, listed).items()} == want
 
 
+def test_filter_of_many_blocks_is_built_in_linear_time(spark):
+    """As many keys as fill tens of thousands of blocks; bits are found again at every block."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    keys, blocks = spark.range(1_000_000).select(F.concat(F.lit("k"), "id").alias("key")), 1_000_000 // url_filter.KEYS_A_BLOCK
+    began = time.perf_counter()
+    words = url_filter.bloom_filter(keys, blocks).first()["words"]
+    assert len(words) == 4 * blocks and time.perf_counter() - began < 60
+    few = spark.range(0, 1_000_000, 9973).select(F.concat(F.lit("k"), "id").alias("key"))
+    assert few.where(~url_filter.may_hold(url_filter.bloom_filter(keys, blocks).scalar(), F.col("key"), blocks)).count() == 0
+
+
+def test_the_end_is_the_end(spark):
+    """A newline after a slash or a port is part of the path or host."""
+    got = judged(spark, ["http://bad.com/p/\n", "http://bad.com/p/", "http://bad.com:80\n/p"], ["bad.com/p"])
+    assert [got[i]["verdict"] for i in range(3)] == ["allow", "block", "allow"]
+
+
 def test_filter_has_no_false_negatives_and_few_positives(spark):
     from pyspark.sql import functions as F
 
