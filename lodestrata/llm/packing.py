@@ -9,11 +9,16 @@ Fekete and Schepers and the threshold functions behind the Martello-Toth bound L
 
 A partition whose count meets its bound is certified: it can't be packed better, and its full sequences are
 final. One that misses it is packed once more with exact fills first (the rest of a sequence is matched with one
-or two pieces that fill it), and the better packing is kept. The bound of the whole table is taken from the histogram of all lengths. While the table's count exceeds
-it, partitions with a gap (their count above their unrounded bound) exchange what lies in their unfilled
-sequences: it is dealt anew among fewer partitions and packed again, and taken over if that saves a sequence.
-Rounds end when the bound is met, when one partition held all of the exchange, or when a round saves nothing; the table's count and bound are logged.
-Partitions never hold more than about ``partition_size`` pieces, whatever the table's size or its repeats.
+or two pieces that fill it), and the better packing is kept; while it still misses the bound, its unfilled sequences
+and some of the full ones, drawn anew each time, are emptied and packed again, and taken over if that saves a
+sequence, until ``FAILED_TRIES`` tries in a row have saved none.
+
+The bound of the whole table is taken from the histogram of all lengths. While the table's count exceeds it,
+partitions with a gap (their count above their unrounded bound) exchange what lies in their unfilled sequences: it
+is dealt anew among fewer partitions and packed again, and taken over if that saves a sequence. Rounds end when the
+bound is met, when one partition held all of the exchange, or when ``FAILED_DEALS`` deals in a row have saved
+nothing; the table's count and bound are logged. Partitions never hold more than about ``partition_size`` pieces,
+whatever the table's size or its repeats.
 
 Defined cases: a null text is empty, and an empty text is the closing id alone; repeated rows are packed each;
 an empty table gives no rows; extra columns are not read.
@@ -36,6 +41,7 @@ from lodestrata.storage import materialise
 _log = logging.getLogger(__name__)
 
 PARTITION_SIZE = 40_000
+FAILED_DEALS, FAILED_TRIES, DRAWN = 3, 12, 0.15
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "sequence_id long, offset long, fill long, bucket long, bins long, bound long, slack boolean"
 
@@ -160,7 +166,24 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     packed = best_fit_decreasing(lengths, capacity)
     if len(packed[2]) > bound:
         packed = min(packed, exact_fill_first(lengths, capacity), key=lambda p: len(p[2]))
-    return *packed, bound, floor
+    return *_repacked(lengths, capacity, *packed, bound), bound, floor
+
+
+def _repacked(lengths: np.ndarray, capacity: int, where: np.ndarray, offset: np.ndarray, used: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A packing with fewer sequences than the given one, or that one, by emptying some sequences and packing them again."""
+    draw, failed = np.random.default_rng(len(lengths)), 0
+    while len(used) > bound and failed < FAILED_TRIES:
+        emptied = (used < capacity) | (draw.random(len(used)) < DRAWN * (1 + failed % 4))
+        mine = np.flatnonzero(emptied[where])
+        again = min((f(lengths[mine], capacity) for f in (best_fit_decreasing, exact_fill_first)), key=lambda p: len(p[2]))
+        if len(again[2]) >= emptied.sum():
+            failed += 1
+            continue
+        failed = 0
+        renamed = np.cumsum(~emptied) - 1  # those that stay come first, then the new ones
+        where, offset, used = renamed[where], offset.copy(), np.concatenate((used[~emptied], again[2]))
+        where[mine], offset[mine] = again[0] + (~emptied).sum(), again[1]
+    return where, offset, used
 
 
 def _pack_round(pieces: DataFrame, n: int, number: int, capacity: int, partition_size: int) -> DataFrame:
@@ -199,8 +222,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_size: int = PARTITIO
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     placed = materialise(_pack_round(pieces, n, 0, capacity, partition_size), "packed")
     total = placed.agg(F.sum(F.when(F.col("offset") == 0, 1))).first()[0]
-    final, round_ = [], 0
-    while total > bound:
+    final, round_, failed = [], 0, 0
+    while total > bound and failed < FAILED_DEALS:
         round_ += 1
         exchanged = F.col("slack") & (F.col("fill") < capacity)
         was, moved = placed.where(exchanged).agg(F.coalesce(F.sum(F.when(F.col("offset") == 0, 1)), F.lit(0)), F.count("*")).first()
@@ -208,10 +231,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_size: int = PARTITIO
             break
         again = materialise(_pack_round(placed.where(exchanged).select(*own), moved, round_, capacity, partition_size), "packed")
         now = again.agg(F.sum(F.when(F.col("offset") == 0, 1))).first()[0]
-        if now >= was:
-            break
-        final.append(placed.where(~exchanged))
-        placed, total = again, total - was + now
+        failed = failed + 1 if now >= was else 0
+        if not failed:
+            final.append(placed.where(~exchanged))
+            placed, total = again, total - was + now
         if moved <= partition_size:
             break
     _log.info("%d sequences of %d pieces; no packing has fewer than %d", total, n, bound)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+LONGEST = 256
+
 
 class Recent(dict):
-    """Values by key, made when first asked for. Keeps the ``size`` newest and those of them and the ``size`` before that are asked for."""
+    """Values by key (strings), made when first asked for. Keeps the ``size`` newest and those of them and the ``size`` before
+    that are asked for; what belongs to a key of over LONGEST characters is made each time, so that bytes are bounded too."""
 
     def __init__(self, make: Callable, size: int) -> None:
         self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)

@@ -64,21 +64,32 @@ def _owner(first: np.ndarray, end: np.ndarray, starts: np.ndarray, rule: str) ->
 
 def attribute(e: ByteEncoder, text: str, starts: np.ndarray, rule: str = "most") -> np.ndarray:
     """Tokens of each section."""
-    counts = np.zeros(len(starts), np.int64)
+    counts, at = np.zeros(len(starts), np.int64), 0
+    for run, added in e.runs(text):
+        if added is None:
+            _count(e, run, at, starts, rule, counts)
+        else:
+            counts[_owner(np.array([at]), np.array([at + len(run)]), starts, rule)[0]] += 1
+        at += len(run)
+    return counts
+
+
+def _count(e: ByteEncoder, text: str, at: int, starts: np.ndarray, rule: str, counts: np.ndarray) -> None:
+    """Adds to ``counts`` the tokens of a run that begins at ``at``."""
     parts = e.split(text)
-    if len(parts) == 1:
-        return np.bincount(_owner(*e.spans(text), starts, rule), minlength=len(starts)) if text else counts
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes) + at
     begins = ends - sizes
     low = np.searchsorted(starts, begins, "right") - 1
     within = low == np.searchsorted(starts, np.maximum(ends - 1, begins), "right") - 1  # no section starts inside the part
-    tokens = np.fromiter(map(len, map(e.words.__getitem__, parts)), np.int64, len(parts)) // 4
-    counts += np.bincount(low[within], tokens[within], len(starts)).astype(np.int64)
+    if len(parts) > 1:
+        tokens = np.fromiter(map(len, map(e.words.__getitem__, parts)), np.int64, len(parts)) // 4
+        counts += np.bincount(low[within], tokens[within], len(starts)).astype(np.int64)
+    elif text:
+        within[:] = False
     for i in np.flatnonzero(~within):
         first, end = e.spans(parts[i])
         counts += np.bincount(_owner(first + begins[i], end + begins[i], starts, rule), minlength=len(starts))
-    return counts
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, rule: str = "most", id_column: str = "doc_id", text: Column | str = "text", starts: Column | str | None = None, sections: Callable[[str], np.ndarray] = line_starts) -> DataFrame:

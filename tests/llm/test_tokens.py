@@ -43,21 +43,49 @@ def test_piece_cache_is_bounded(piece_file, monkeypatch):
 
 def test_bytes_as_the_library(bytes_file):
     model = Tokenizer.from_file(bytes_file)
-    model.encode_special_tokens = True
     own = bytepair.encoder(bytes_file)
-    for t in texts(3, 1500):
+    for t in with_added(texts(3, 1500)):
         encoded = model.encode(t, add_special_tokens=False)
         assert np.frombuffer(own.encode(t), "<u4").tolist() == encoded.ids
-        first, end = own.spans(t)
-        assert list(zip(first.tolist(), end.tolist(), strict=True)) == encoded.offsets
+        spans, at = [], 0
+        for run, added in own.runs(t):
+            first, end = own.spans(run) if added is None else (np.array([0]), np.array([len(run)]))
+            spans += zip((first + at).tolist(), (end + at).tolist(), strict=True)
+            at += len(run)
+        assert spans == encoded.offsets
+    assert np.frombuffer(own.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def with_added(made):
+    """Texts, some with the string of an added token in them, more than once or cut short."""
+    rng = random.Random(9)
+    for t in made:
+        for mark in rng.choice(((), (), ("<|endoftext|>",), ("<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endof"))):
+            at = rng.randint(0, len(t))
+            t = t[:at] + mark + t[at:]
+        yield t
+
+
+def test_long_words_are_not_kept(bytes_file):
+    own = bytepair.ByteEncoder(bytes_file)
+    assert own.encode("a " + "bc" * 400 + " d") == own.ids("a " + "bc" * 400 + " d") and max(map(len, own.words)) < 300
+
+
+def test_repacking_saves_and_stays_whole():
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate((rng.integers(200, 700, 400), rng.integers(1, 300, 100)))
+    plain = min(len(f(lengths, 1024)[2]) for f in (packing.best_fit_decreasing, packing.exact_fill_first))
+    where, offset, used, bound, _ = packing.pack_lengths(lengths, 1024)
+    assert bound <= len(used) <= plain
+    check_packing([{"sequence_id": w, "offset": o, "length": n} for w, o, n in zip(where.tolist(), offset.tolist(), lengths.tolist(), strict=True)])
+    assert np.bincount(where, lengths, len(used)).astype(int).tolist() == used.tolist() and used.max() <= 1024
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(bytes_file, rule):
     model = Tokenizer.from_file(bytes_file)
-    model.encode_special_tokens = True
     own = bytepair.encoder(bytes_file)
-    for t in texts(4, 300):
+    for t in with_added(texts(4, 300)):
         starts = token_counts.line_starts(t)
         assert starts.tolist() == [0] + [i + 1 for i, c in enumerate(t[:-1]) if c == "\n"]
         bounds, want = [*starts.tolist(), 1 << 60], [0] * len(starts)
