@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, text, times, vectors
+from lodestrata.operators import journeys
 from lodestrata.shipping import ship
 
 #: How sure a fact of each kind is.
@@ -26,32 +27,75 @@ def confidence_of(kind: Column) -> Column:
     return reduce(lambda out, item: F.when(kind == item[0], F.lit(item[1])).otherwise(out), CONFIDENCE.items(), F.lit(None).cast("double"))
 
 
+#: Names and folders of what no camera took, extensions cameras don't write, names that are only a hash.
+NOT_CAPTURED = r"(?i)screen ?shot|screen ?cap|screen ?record|screenshot|^snip|clipboard"
+GENERATED_FOLDER = r"(?i)Gemini Apps|AI Studio|My Activity"
+ASSET_EXTENSIONS = (".png", ".bmp", ".gif", ".webp", ".svg", ".ico")
+HASH_NAME = r"(?i)^[a-f0-9]{16,}(-\(\d+\))?$"
+
+
 def not_a_capture(name: Column, folder: Column) -> Column:
-    """Whether a file looks like something other than a camera's picture."""
-    looks = r"(?i)screen ?shot|screenshot|whatsapp|download|wallpaper|scan"
-    digits = F.regexp_like(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(r"^[0-9a-f]{16,}$"))
-    return F.regexp_like(name, F.lit(looks)) | F.regexp_like(F.coalesce(folder, F.lit("")), F.lit(looks)) | digits
+    """Whether a file is named like a picture of a screen, or lies in a folder of generated images."""
+    return F.regexp_like(name, F.lit(NOT_CAPTURED)) | F.regexp_like(F.coalesce(folder, F.lit("")), F.lit(GENERATED_FOLDER))
+
+
+def asset_like(name: Column, extension: Column) -> Column:
+    """Whether a file is of a format that cameras don't write, or its stem is only a hash."""
+    return F.lower(extension).isin(*ASSET_EXTENSIONS) | F.regexp_like(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.lit(HASH_NAME))
+
+
+#: The brands of video in the ISO container.
+VIDEO_BRANDS = ("isom", "iso2", "iso4", "iso5", "iso6", "mp41", "mp42", "M4V ", "qt  ", "3gp4", "3gp5", "3gp6")
 
 
 def is_media_container(content: Column) -> Column:
-    """Whether bytes begin as one of the brands of the ISO container."""
-    return (F.substring(content, 5, 4).cast("string") == "ftyp") & F.substring(content, 9, 4).cast("string").isin("isom", "iso2", "mp41", "mp42", "avc1", "qt  ", "M4V ", "heic", "heix", "mif1", "avif", "3gp4", "3gp5")
+    """Whether bytes begin as a video in the ISO container."""
+    return (F.substring(content, 5, 4).cast("string") == "ftyp") & F.substring(content, 9, 4).cast("string").isin(*VIDEO_BRANDS)
+
 
+#: Fixed value: the suffix of sidecar names, which long names cut short.
+SUPPLEMENT = ".supplemental-metadata"
 
-def sidecar_names(name: Column) -> Column:
-    """Names of media that a sidecar may belong to: without ``.json``, with a closing ``(n)`` moved before the extension, and a cut suffix dropped."""
+
+def sidecar_names(name: Column, title: Column | None = None) -> Column:
+    """Names of media that a sidecar may belong to: its own without ``.json`` and the suffix, however short that was cut, and its
+    title. A closing ``(n)`` moves before the extension of each."""
     bare = F.regexp_replace(name, r"(?i)\.json$", "")
-    moved = F.regexp_replace(bare, r"^(.*)(\.[^.()]+)(\(\d+\))$", "$1$3$2")
-    cut = F.regexp_replace(moved, r"(?i)\.(supplemental-metadata|supplemental-meta|supplemental|suppl|supp)(\(\d+\))?$", "")
-    return F.array_distinct(F.array(bare, moved, cut))
+    tag = F.regexp_extract(bare, r"(\(\d+\))$", 1)
+    base = F.regexp_replace(bare, r"\(\d+\)$", "")
+    tail = F.regexp_extract(base, r"(\.[^.]*)$", 1)
+    base = F.when((tail != "") & F.lit(SUPPLEMENT).startswith(tail), F.substring(base, F.lit(1), F.length(base) - F.length(tail))).otherwise(base)
+    said = F.lit(None).cast("string") if title is None else F.when(~title.contains("/") & ~title.contains("\\") & ~title.isin(".", ".."), title)
+    placed = lambda c: F.when(tag == "", c).when(c.contains("."), F.concat(F.regexp_extract(c, r"^(.*)\.[^.]*$", 1), tag, F.regexp_extract(c, r"(\.[^.]*)$", 1))).otherwise(F.concat(c, tag))
+    return F.array_distinct(F.transform(F.filter(F.array(base, said), lambda c: c.isNotNull() & (c != "")), placed))
 
 
 def sidecar_claims(told: DataFrame) -> DataFrame:
-    """path, attribute, value: up to five claims of each sidecar (path, title, taken, lat, lon, description)."""
-    claim = lambda a, v: F.struct(F.lit(a).alias("attribute"), v.cast("string").alias("value"))
-    place = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~((F.col("lat") == 0) & (F.col("lon") == 0)), F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")))
-    claims = F.array(claim("title", F.col("title")), claim("date", F.col("taken")), claim("location", place), claim("description", F.col("description")))
-    return told.select("path", F.explode(claims).alias("c")).select("path", "c.*").where("value is not null")
+    """path, attribute, value, meaning, field: what each sidecar (path, raw JSON) states, none of it inferred.
+
+    The raw document without its people; dates of taking and of creation, of which a whole number of seconds is written
+    as text; two places with both coordinates as numbers in range and not both zero; a description that isn't empty.
+    """
+    v = F.try_parse_json("raw")
+    of = lambda path, kind: F.try_variant_get(v, path, kind)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    claim = lambda a, value, meaning=None, at=None: F.when(value.isNotNull(), F.struct(F.lit(a).alias("attribute"), value.alias("value"), F.lit(meaning).cast("string").alias("meaning"), F.lit(at).cast("string").alias("field")))
+
+    def date(key: str) -> Column:
+        path = f"$.{key}.timestamp"
+        seconds = F.when((kind(path) == "STRING") & F.regexp_like(of(path, "string"), F.lit(r"^-?\d{1,12}$")), of(path, "string").try_cast("long"))
+        return F.when(seconds.between(-62135596800, 253402300799), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+
+    def place(key: str) -> Column:
+        number = lambda axis: F.when(F.regexp_like(kind(f"$.{key}.{axis}"), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")), of(f"$.{key}.{axis}", "double"))
+        lat, lon = number("latitude"), number("longitude")
+        return F.when(lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0) & ((lat != 0) | (lon != 0)), F.concat_ws(",", lat.cast("string"), lon.cast("string")))
+
+    document = F.to_json(F.to_variant_object(F.map_filter(v.cast("map<string,variant>"), lambda k, x: k != "people")))
+    described = F.when((kind("$.description") == "STRING") & (of("$.description", "string") != ""), of("$.description", "string"))
+    claims = [claim("raw_sidecar", document), claim("date", date("photoTakenTime"), "capture", "photoTakenTime"), claim("date", date("creationTime"), "Google Photos creation", "creationTime")]
+    claims += [claim("location", place(key), None, key) for key in ("geoData", "geoDataExif")] + [claim("description", described)]
+    return told.select("path", F.explode(F.array_compact(F.array(*claims))).alias("c")).select("path", "c.*")
 
 
 def raw_pairs(files: DataFrame) -> DataFrame:
@@ -125,21 +169,66 @@ def boxes_near(features: DataFrame, centres: DataFrame, reach: float, cell: floa
     return dealt.join(at, (F.col("__x") == F.col("__cx")) & (F.col("__y") == F.col("__cy")) & inside, "left_semi").drop("__x", "__y").distinct()
 
 
+#: The colours that a query may name; grey is gray.
+COLOURS = ("red", "blue", "green", "yellow", "orange", "purple", "pink", "brown", "black", "white", "gray", "grey", "silver", "gold")
+
+
 def described(rows: DataFrame, query: str) -> DataFrame:
     """Rows (caption, category, objects array<struct<name,color>>) that a description fits: a colour and a noun of one object, or all terms somewhere."""
-    words = query.lower().replace("grey", "gray").split()
-    colours = ("black", "white", "gray", "red", "orange", "yellow", "green", "blue", "purple", "pink", "brown")
-    if len(words) == 2 and words[0] in colours:
-        fits = F.exists("objects", lambda o: (F.replace(F.lower(o["color"]), F.lit("grey"), F.lit("gray")) == words[0]) & F.array_contains(F.split(F.lower(o["name"]), " "), words[1]))
+    words = text.folded_words(query)
+    if len(words) == 2 and words[0] in COLOURS:
+        gray = lambda c: F.when(c == "grey", "gray").otherwise(c)
+        colour = "gray" if words[0] == "grey" else words[0]
+        fits = F.exists("objects", lambda o: (gray(F.lower(o["color"])) == colour) & F.array_contains(F.split(F.lower(o["name"]), r"\s+"), words[1]))
         return rows.where(F.coalesce(fits, F.lit(False)))
-    told = F.lower(F.concat_ws(" ", "caption", "category", F.transform("objects", lambda o: F.concat_ws(" ", o["color"], o["name"]))))
+    told = text.folded(F.concat_ws(" ", "caption", "category", F.transform("objects", lambda o: F.concat_ws(" ", o["color"], o["name"]))))
     return rows.where(reduce(lambda a, w: a & told.contains(w), words, F.lit(True)))
 
 
-def sound_segments(segments: DataFrame) -> DataFrame:
-    """Transcript segments (start, end, duration, text) that can be: finite, in order, within the recording, not longer than two hours."""
-    finite = reduce(lambda a, c: a & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), ("start", "end", "duration"), F.lit(True))
-    return segments.where(finite & (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("duration") + 1) & (F.col("duration") <= 7200) & (F.length("text") <= 10_000))
+def capture_coverage(claims: DataFrame) -> DataFrame:
+    """(key, n): how many sidecars state what, by claims as ``sidecar_claims`` gives them; the year of taking has a key each."""
+    a = F.col("attribute")
+    taken = (a == "date") & (F.col("meaning") == "capture")
+    keys = F.when(taken, F.array(F.lit("capture_timestamp"), F.concat(F.lit("capture_year_"), F.regexp_extract("value", r"^0*(\d+)", 1))))
+    keys = keys.when(a == "location", F.array(F.concat(F.col("field"), F.lit("_nonzero_location")))).when(a == "description", F.array(F.lit("nonempty_description")))
+    return claims.select("path", F.explode(keys).alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+
+
+#: Where an image's embedded title, caption and date are looked for, in this order.
+TITLES, CAPTIONS, DATES = ("dc:title", "iptc:ObjectName"), ("dc:description", "iptc:Caption"), ("photoshop:DateCreated", "exif:DateTimeOriginal", "xmp:CreateDate")
+
+
+def embedded_summary(xmp: Column, iptc: Column) -> Column:
+    """struct(keywords, title, caption, rating, created) of embedded fields (maps from a field to its values); what isn't there is null."""
+    of = lambda field: F.try_element_at(iptc if field.startswith("iptc") else xmp, F.lit(field))
+    first = lambda fields: F.coalesce(*[F.when(F.size(of(f)) > 0, F.struct(F.substring(F.get(of(f), F.lit(0)), 1, 2000).alias("value"), F.lit(f).alias("source"))) for f in fields])
+    raw = F.get(of("xmp:Rating"), F.lit(0))
+    rating = F.when(F.regexp_like(raw, F.lit(r"^-?\d+(\.0+)?$")) & raw.try_cast("double").between(-1.0, 5.0), raw.try_cast("double").cast("int"))
+    told = lambda f: F.get(F.filter(F.transform(of(f), lambda x: times.tag_time(x)), lambda x: x.isNotNull()), F.lit(0))
+    filed = times.tag_time(F.concat(F.get(of("iptc:DateCreated"), F.lit(0)), F.coalesce(F.get(of("iptc:TimeCreated"), F.lit(0)), F.lit(""))))
+    created = F.coalesce(*[F.when(told(f).isNotNull(), F.struct(told(f).alias("value"), F.lit("xmp:" + f).alias("source"))) for f in DATES], F.when(filed.isNotNull(), F.struct(filed.alias("value"), F.lit("iptc:DateCreated").alias("source"))))
+    return F.struct(keywords(of("dc:subject"), of("lr:hierarchicalSubject"), of("iptc:Keywords")).alias("keywords"), first(TITLES).alias("title"), first(CAPTIONS).alias("caption"), rating.alias("rating"), created.alias("created"))
+
+
+def sound_segments(segments: DataFrame, by: str | None = None) -> DataFrame:
+    """Transcript segments (start, end, duration, text, and avg_logprob and no_speech_prob where there are such) that can be.
+
+    All numbers finite, the start before the end, within the recording and a second, of two hours at most; a text that
+    isn't blank, of at most 10,000 characters. With ``by``, a recording of which any segment can't be is left out whole.
+    """
+    numbers = [c for c in ("start", "end", "duration", "avg_logprob", "no_speech_prob") if c in segments.columns]
+    finite = reduce(lambda a, c: a & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), numbers, F.lit(True))
+    timed = F.col("duration").between(0.0, 7200.0) & (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("duration") + 1)
+    sound = F.coalesce(finite & timed & F.regexp_like("text", F.lit(r"\S")) & (F.length("text") <= 10_000), F.lit(False))
+    if by is None:
+        return segments.where(sound)
+    bad = segments.where(~sound).select(F.col(by).alias("__bad")).distinct()
+    return segments.join(bad, F.col(by).eqNullSafe(F.col("__bad")), "left_anti")
+
+
+def shown_words(words: Column, least: float = 0.5) -> Column:
+    """Of recognised words (array<struct<word,score>>) those to show: sure enough, with two letters or digits in a row."""
+    return F.filter(words, lambda w: (w["score"] >= least) & F.regexp_like(w["word"], F.lit(r"[\p{L}\p{N}]{2}")))
 
 
 def recognised(words: DataFrame, least: float = 0.45) -> DataFrame:
@@ -150,9 +239,10 @@ def recognised(words: DataFrame, least: float = 0.45) -> DataFrame:
 
 
 def thumb_size(width: Column, height: Column, box: int = 512) -> tuple[Column, Column]:
-    """Fitted into a square, never enlarged, rounded half to even, one pixel at least."""
+    """Fitted into a square, never enlarged, rounded half to even, one pixel at least; null for sizes that can't be."""
+    sound = (width > 0) & (height > 0)
     scale = F.least(F.lit(1.0), F.lit(float(box)) / F.greatest(width, height))
-    fit = lambda x: F.greatest(F.lit(1), F.bround(x * scale, 0).cast("int"))
+    fit = lambda x: F.when(sound, F.greatest(F.lit(1), F.bround(x * scale, 0).cast("int")))
     return fit(width), fit(height)
 
 
@@ -172,12 +262,18 @@ def keywords(subjects: Column, hierarchical: Column, iptc: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(joined, lambda x: F.trim(x)), lambda x: x != "")), 1, 200)
 
 
-def suggestions(pending: DataFrame, exemplars: DataFrame, single: float = 0.70, best: float = 0.65, second: float = 0.55, margin: float = 0.08) -> DataFrame:
-    """face_id, person, score: for pending faces the person whose exemplars (person, vector; a bounded, hand-made set) they are like.
+def suggestions(pending: DataFrame, exemplars: DataFrame, single: float = 0.70, best: float = 0.65, second: float = 0.55, margin: float = 0.08, most: int = 32, limit: int = 20_000) -> DataFrame:
+    """face_id, person, score: for pending faces the person whose exemplars (person, face_id, vector; named by hand) they are like.
 
-    Scores are taken against one array of all exemplars, so no pairs are joined.
+    Of each person at most ``most`` exemplars count, evenly spaced in order of ids. Scores are taken against one array of
+    them, whose number is checked before it is sent to every task; with more, an error says so. No pairs are joined.
     """
-    packed = exemplars.agg(F.collect_list(F.struct("person", "vector")).alias("all"))
+    places = exemplars.withColumns({"__i": F.row_number().over(Window.partitionBy("person").orderBy("face_id")) - 1, "__n": F.count("*").over(Window.partitionBy("person"))})
+    spaced = places.where(F.array_contains(times.even_places(F.col("__n"), most), F.col("__i").cast("long"))).select("person", "vector")
+    n = spaced.count()
+    if n > limit:
+        raise ValueError(f"{n} exemplars; at most {limit} are sent to every task")
+    packed = spaced.agg(F.collect_list(F.struct("person", "vector")).alias("all"))
     scored = pending.withColumn("__all", packed.scalar()).select("face_id", F.explode(F.transform("__all", lambda e: F.struct(e["person"].alias("person"), vectors.dot(F.col("vector"), e["vector"]).alias("s")))).alias("x"))
     per = scored.groupBy("face_id", F.col("x.person").alias("person")).agg(F.slice(F.sort_array(F.collect_list("x.s"), asc=False), 1, 2).alias("top"))
     fits = F.when(F.size("top") == 1, F.get("top", F.lit(0)) >= single).otherwise((F.get("top", F.lit(0)) >= best) & (F.get("top", F.lit(1)) >= second))
@@ -229,22 +325,49 @@ def screen_clusters(cells: DataFrame, zoom: int, radius: float = 44.0) -> DataFr
 
 
 def trip_legs(points: DataFrame, trips: DataFrame, far: float = 0.2, days: int = 30) -> DataFrame:
-    """trip, before_id, after_id: the last located item before a trip and the first after it, within some days and farther away than ``far`` degrees.
+    """trip, before_id, after_id: the last located item before a trip and the first after it, where it is within some days
+    and farther away than ``far`` degrees from the trip's first (or last) point.
 
-    points: (id, n, lat, lon) with n a day's number; trips: (trip, first, last, lat, lon). Both are dealt to buckets of ``days`` days.
+    points: (id, n, at, name, lat, lon), n a day's number, at the time as text; trips: (trip, first, last, and the latitude and
+    longitude of both ends). Points are first cut down to two for each day, and days are looked up by nearest_known.
+    """
+    from lodestrata.operators.gaps import nearest_known
+
+    point = F.struct("id", "lat", "lon")
+    order = F.struct("at", "name", "id")
+    by_day = points.groupBy("n").agg(F.struct(F.min_by(point, order).alias("opens"), F.max_by(point, order).alias("closes")).alias("day"))
+    asked = trips.select((F.col("first") - 1).alias("n")).unionByName(trips.select((F.col("last") + 1).alias("n"))).distinct()
+    every = by_day.unionByName(asked.withColumn("day", F.lit(None).cast(by_day.schema["day"].dataType))).groupBy("n").agg(F.first("day", ignorenulls=True).alias("day"))
+    near = nearest_known(every, [], "n", "day", 1024)
+    before = near.select(F.col("n").alias("b_n"), F.col("below.at").alias("b_at"), F.col("below.value.closes").alias("b"))
+    after = near.select(F.col("n").alias("a_n"), F.col("above.at").alias("a_at"), F.col("above.value.opens").alias("a"))
+    met = trips.join(before, F.col("first") - 1 == F.col("b_n"), "left").join(after, F.col("last") + 1 == F.col("a_n"), "left")
+    away = lambda p, end: (F.abs(F.col(f"{p}.lat") - F.col(f"{end}_lat")) > far) | (F.abs(F.col(f"{p}.lon") - F.col(f"{end}_lon")) > far)
+    return met.select("trip", F.when((F.col("first") - F.col("b_at") <= days) & away("b", "first"), F.col("b.id")).alias("before_id"), F.when((F.col("a_at") - F.col("last") <= days) & away("a", "last"), F.col("a.id")).alias("after_id"))
+
+
+def trip_paths(items: DataFrame, trips: DataFrame, excluded: DataFrame, most: int = 40) -> DataFrame:
+    """(trip, number, lat, lon, points, located, days): each trip's path, in time, without repeats in a row and thinned evenly to ``most`` points.
+
+    items: (id, content_hash, day, at, name, lat, lon, cell), located and dated; trips: (trip, after, before, place: cells
+    joined by commas, '' for any); excluded: (trip, content_hash). Steps run within days and then between days.
     """
-    bucket = lambda c: F.floor(F.col(c) / days)
-    t = trips.select("trip", "first", "last", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-
-    def leg(day: str, near: list[int], when: Column, key: Column, name: str) -> DataFrame:
-        spread = t.withColumn("__b", F.explode(F.array(*[bucket(day) + i for i in near])))
-        met = spread.join(points.withColumn("__p", bucket("n")), (F.col("__b") == F.col("__p")) & when)
-        away = (F.abs(F.col("lat") - F.col("t_lat")) > far) | (F.abs(F.col("lon") - F.col("t_lon")) > far)
-        return met.where(away).groupBy("trip").agg(F.min_by("id", F.struct(key, "id")).alias(name))
-
-    before = leg("first", [-1, 0], (F.col("n") < F.col("first")) & (F.col("first") - F.col("n") <= days), F.col("first") - F.col("n"), "before_id")
-    after = leg("last", [0, 1], (F.col("n") > F.col("last")) & (F.col("n") - F.col("last") <= days), F.col("n") - F.col("last"), "after_id")
-    return t.select("trip").join(before, "trip", "left").join(after, "trip", "left")
+    met = journeys.in_ranges(items, trips, "day", "after", "before").where((F.col("place") == "") | F.array_contains(F.split("place", ","), F.col("cell")))
+    out = excluded.select(F.col("trip").alias("x_trip"), F.col("content_hash").alias("x_hash"))
+    met = met.join(out, (F.col("trip") == F.col("x_trip")) & (F.col("content_hash") == F.col("x_hash")), "left_anti")
+    rows = met.select("trip", "day", "at", "name", "id", F.struct(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon")).alias("p"))
+    within = Window.partitionBy("trip", "day").orderBy("at", "name", "id")
+    by_day = rows.groupBy("trip", "day").agg(F.count("*").alias("n"), F.max_by("p", F.struct("at", "name", "id")).alias("last"))
+    over = Window.partitionBy("trip").orderBy("day")
+    by_day = by_day.select(F.col("trip").alias("d_trip"), F.col("day").alias("d_day"), F.lag("last").over(over).alias("was"))
+    totals = rows.groupBy(F.col("trip").alias("t_trip")).agg(F.count("*").alias("located"), F.count_distinct("day").alias("days"))
+    ways = rows.withColumn("before", F.lag("p").over(within)).join(by_day, (F.col("trip") == F.col("d_trip")) & (F.col("day") == F.col("d_day")))
+    turns = ways.where(~F.col("p").eqNullSafe(F.coalesce("before", "was"))).select("trip", "day", "at", "name", "id", "p")
+    counts = turns.groupBy("trip", "day").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("trip").alias("c_trip"), F.col("day").alias("c_day"), (F.sum("n").over(over) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy("trip")).alias("points"))
+    placed = turns.withColumn("i", F.row_number().over(within)).join(counts, (F.col("trip") == F.col("c_trip")) & (F.col("day") == F.col("c_day"))).withColumn("i", F.col("i") + F.col("offset") - 1)
+    kept = placed.where(F.array_contains(times.even_places(F.col("points"), most), F.col("i"))).join(totals, F.col("trip") == F.col("t_trip"))
+    return kept.select("trip", F.col("i").alias("number"), "p.lat", "p.lon", "points", "located", "days")
 
 
 def evidence_bundle(items: DataFrame, facts: DataFrame, key: str) -> DataFrame:

@@ -30,21 +30,30 @@ def visible(facts: DataFrame, escalated: bool = False) -> DataFrame:
     return facts if escalated else facts.where(F.col("tier") != "sealed")
 
 
-def date_status(claims: DataFrame, by: str = "content_hash", value: str = "value") -> DataFrame:
-    """How the dates that a content's claims state agree: invalid, conflict, timezone_unknown, equivalent, single or missing."""
-    stated = times.stated_time(F.col(value))
+def date_status(claims: DataFrame, by: str = "content_hash", value: str = "value", identity: tuple[str, ...] = (), subjects: DataFrame | None = None) -> DataFrame:
+    """How the dates that a content's claims state agree: invalid, conflict, timezone_unknown, equivalent, single or missing.
+
+    Claims of one value that also share the columns of ``identity`` (their source) are one. Any that isn't a whole ISO
+    time makes the content invalid. Instants are compared in UTC; two times without offset, or one beside an instant,
+    can't be compared. Contents of ``subjects`` without a claim are missing.
+    """
+    stated = times.iso_time(F.col(value))
     aware = times.is_aware(stated)
-    per = claims.withColumns({"__s": stated, "__i": F.when(aware, times.instant(stated)), "__n": F.when(~aware, stated)})
-    counts = per.groupBy(by).agg(F.count_if(F.col(value).isNotNull() & F.col("__s").isNull()).alias("bad"), F.count_distinct("__i").alias("aware"), F.count_distinct("__n").alias("naive"), F.count("__s").alias("sound"))
+    per = claims.select(by, value, *identity).distinct().withColumns({"__s": stated, "__i": F.when(aware, times.instant(stated)), "__n": F.when(~aware, stated.try_cast("timestamp_ntz"))})
+    counts = per.groupBy(by).agg(F.count("*").alias("choices"), F.count("__s").alias("sound"), F.count_distinct("__i").alias("aware"), F.count_distinct("__n").alias("naive"))
     status = (
-        F.when(F.col("bad") > 0, "invalid")
-        .when((F.col("aware") > 1) | (F.col("naive") > 1), "conflict")
-        .when((F.col("aware") > 0) & (F.col("naive") > 0), "timezone_unknown")
-        .when(F.col("sound") > 1, "equivalent")
-        .when(F.col("sound") == 1, "single")
+        F.when(F.col("sound") < F.col("choices"), "invalid")
+        .when(F.col("aware") > 1, "conflict")
+        .when((F.col("naive") > 0) & (F.col("aware") + F.col("naive") > 1), "timezone_unknown")
+        .when(F.col("choices") > 1, "equivalent")
+        .when(F.col("choices") == 1, "single")
         .otherwise("missing")
     )
-    return counts.select(by, status.alias("status"))
+    found = counts.select(by, status.alias("status"))
+    if subjects is None:
+        return found
+    every = subjects.select(F.col(by).alias("__by")).distinct()
+    return every.join(found, F.col("__by").eqNullSafe(F.col(by)), "left").select(F.col("__by").alias(by), F.coalesce("status", F.lit("missing")).alias("status"))
 
 
 def by_precedence(facts: DataFrame, by: str, attribute: str, value: str, priority: Column, order: str) -> DataFrame:

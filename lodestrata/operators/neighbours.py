@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,32 +31,74 @@ def top_k_by_group(scored: DataFrame, group: str, key: str, k: int) -> DataFrame
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
-def banded_pairs(rows: DataFrame, distance: int, key: str, hi: str = "hi", lo: str = "lo", bands: int = 8) -> DataFrame:
-    """(a, b, distance) of rows whose 64-bit hashes differ in at most ``distance`` bits; every such pair shares one of the bands whole.
+def best_reference(rows: DataFrame, references: DataFrame, key: str, vector: str = "vector", limit: int = 10_000) -> DataFrame:
+    """(key, best, margin): each row's most like reference (ref, y), ties to the smaller, and its lead over the second.
 
-    Pairs are formed between different hashes only, and copies of a hash are joined to the smallest key among them
-    at distance 0, so a large group of copies gives a row a copy and not all its pairs.
+    References are sent to every task as one array, so their number is checked first; no pairs are joined.
     """
-    if distance >= bands or 64 % bands:
-        raise ValueError("more bands than differing bits, and bands of equal width")
-    width = 64 // bands
-    kinds = materialise(rows.groupBy(hi, lo).agg(F.min(key).alias("rep")), "hashes")
-    mask, a_half = (1 << width) - 1, bands // 2
-    of = lambda i: F.shiftrightunsigned(F.col(lo if i < a_half else hi), width * (i % a_half)).bitwiseAND(F.lit(mask).cast("long"))
-    spread = kinds.select("rep", hi, lo, F.posexplode(F.array(*[of(i) for i in range(bands)])).alias("band", "bits"))
-    other = spread.select(*[F.col(c).alias(f"o_{c}") for c in spread.columns])
-    met = spread.join(other, (F.col("band") == F.col("o_band")) & (F.col("bits") == F.col("o_bits")) & (F.col("rep") < F.col("o_rep")))
-    gap = vectors.hamming(F.col(hi), F.col(lo), F.col(f"o_{hi}"), F.col(f"o_{lo}"))
-    near = met.select(F.col("rep").alias("a"), F.col("o_rep").alias("b"), gap.alias("distance")).where(F.col("distance") <= distance).distinct()
-    same = rows.join(kinds.select(F.col(hi).alias("k_hi"), F.col(lo).alias("k_lo"), "rep"), (F.col(hi) == F.col("k_hi")) & (F.col(lo) == F.col("k_lo"))).where(F.col(key) != F.col("rep"))
-    return near.unionByName(same.select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance")))
+    n = references.count()
+    if n > limit:
+        raise ValueError(f"{n} references; at most {limit} are sent to every task")
+    packed = references.agg(F.collect_list(F.struct("ref", "y")).alias("all"))
+    scored = F.transform("__all", lambda r: F.struct((-vectors.dot(F.col(vector), r["y"])).alias("away"), r["ref"].alias("ref")))
+    top = rows.withColumn("__all", packed.scalar()).select(key, F.slice(F.sort_array(scored), 1, 2).alias("top"))
+    at = lambda i, f: F.get("top", F.lit(i))[f]
+    return top.select(key, at(0, "ref").alias("best"), (at(1, "away") - at(0, "away")).alias("margin"))
+
+
+def _choices(distance: int, rows: int, crowd: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(hi and lo mask of each band, the sets of bands that are keys) for hashes at most ``distance`` bits apart.
+
+    Of distance + m bands such hashes agree on m at least. m is the least, up to 3, whose keys part the rows into nodes of
+    about ``crowd``; two bands of a hash make a key of some 16 bits at six bits' distance, three one of 21.
+    """
+    for m in (1, 2, 3):
+        if m == 3 or rows <= crowd << (64 * m // (distance + m)):
+            cuts = np.linspace(0, 64, distance + m + 1).astype(int).tolist()
+            masks = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            return [(x >> 32, x & 0xFFFFFFFF) for x in masks], list(combinations(range(distance + m), m))
+    raise AssertionError
+
+
+def banded_pairs(rows: DataFrame, distance: int, key: str, hi: str = "hi", lo: str = "lo", by: str | None = None, crowd: int = 64) -> DataFrame:
+    """(a, b, distance) of rows whose 64-bit hashes (halves of 32 bits) differ in at most ``distance`` bits, none left out.
+
+    ``by``: a column that must be equal too, null like null. Pairs are formed between different hashes only, and copies of
+    a hash are joined to the smallest key among them at distance 0, so a large group of copies gives a row a copy and not
+    all its pairs. A pair comes from one node only, that of the first bands on which it agrees.
+    """
+    if not 0 <= distance <= 16:
+        raise ValueError("a distance from 0 to 16")
+    own = F.lit(0) if by is None else F.col(by)
+    kinds = materialise(rows.groupBy(own.alias("k_by"), F.col(hi).alias("k_hi"), F.col(lo).alias("k_lo")).agg(F.min(key).alias("rep")), "hashes")
+    masks, chosen = _choices(distance, kinds.count(), crowd)
+    agrees = lambda h, low, i: (F.col(h).bitwiseAND(F.lit(masks[i][0]).cast("long")), F.col(low).bitwiseAND(F.lit(masks[i][1]).cast("long")))
+    node = lambda s: F.struct(F.xxhash64("k_by", F.lit(sum(1 << i for i in s)), *[x for i in s for x in agrees("k_hi", "k_lo", i)]).alias("node"), F.lit(sum(1 << i for i in s)).alias("set"), F.lit((2 << max(s)) - 1).alias("upto"))
+    spread = kinds.select("*", F.explode(F.array(*[node(s) for s in chosen])).alias("n")).select("k_by", "k_hi", "k_lo", "rep", "n.*")
+    other = spread.select(*[F.col(c).alias(f"o_{c}") for c in ("k_by", "k_hi", "k_lo", "rep", "node", "set")])
+    met = spread.join(other, (F.col("node") == F.col("o_node")) & (F.col("set") == F.col("o_set")) & F.col("k_by").eqNullSafe(F.col("o_k_by")) & (F.col("rep") < F.col("o_rep")))
+    xor_hi, xor_lo = F.col("k_hi").bitwiseXOR(F.col("o_k_hi")), F.col("k_lo").bitwiseXOR(F.col("o_k_lo"))
+    same = lambda i: (xor_hi.bitwiseAND(F.lit(masks[i][0]).cast("long")) == 0) & (xor_lo.bitwiseAND(F.lit(masks[i][1]).cast("long")) == 0)
+    bits = reduce(lambda a, b: a + b, [F.when(same(i), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(masks))])
+    first = bits.bitwiseAND(F.col("upto")) == F.col("set")
+    near = met.where(F.bit_count(xor_hi) + F.bit_count(xor_lo) <= distance).where(first)
+    near = near.select(F.col("rep").alias("a"), F.col("o_rep").alias("b"), (F.bit_count(xor_hi) + F.bit_count(xor_lo)).alias("distance"))
+    copies = rows.join(kinds, (F.col(hi) == F.col("k_hi")) & (F.col(lo) == F.col("k_lo")) & own.eqNullSafe(F.col("k_by"))).where(F.col(key) != F.col("rep"))
+    return near.unionByName(copies.select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance")))
 
 
 def burst_pairs(rows: DataFrame, seconds: int, key: str, at: str = "at", day: str = "day") -> DataFrame:
-    """(a, b, gap) of rows of one day that follow each other within some seconds."""
-    w = Window.partitionBy(day).orderBy(at, key)
-    follow = rows.where(F.col(day).isNotNull()).select(key, day, at, F.lead(key).over(w).alias("b"), F.lead(at).over(w).alias("__next"))
-    return follow.select(F.col(key).alias("a"), "b", (F.col("__next") - F.col(at)).alias("gap")).where(F.col("gap") <= seconds)
+    """(a, b, gap) of all rows of one day within some seconds of each other, a being the earlier (of equals the smaller key).
+
+    Both sides are dealt to time buckets as wide as the window, the later one to its own and the one before, so the join
+    is on equal keys and no day is one task.
+    """
+    bucket = F.floor(F.col(at) / seconds)
+    dated = rows.where(F.col(day).isNotNull() & F.col(at).isNotNull())
+    left = dated.select(key, day, at, bucket.alias("b"))
+    right = dated.select(F.col(key).alias("o_key"), F.col(day).alias("o_day"), F.col(at).alias("o_at"), F.explode(F.array(bucket - 1, bucket)).alias("o_b"))
+    met = left.join(right, (F.col(day) == F.col("o_day")) & (F.col("b") == F.col("o_b")) & (F.struct(at, key) < F.struct("o_at", "o_key")))
+    return met.select(F.col(key).alias("a"), F.col("o_key").alias("b"), (F.col("o_at") - F.col(at)).alias("gap")).where(F.col("gap") <= seconds)
 
 
 def groups_of(pairs: DataFrame, rounds: int = 100) -> DataFrame:
@@ -73,26 +117,36 @@ def groups_of(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("groups have not settled")
 
 
-def nearest_place(places: DataFrame, settlements: DataFrame, limit: int = 500_000) -> DataFrame:
-    """Each place (cell, lat, lon) with its nearest settlement (s_id, s_lat, s_lon) by the unit sphere.
+#: Sides of the cubes that settlements are dealt to; the last holds the whole sphere.
+CUBES = (0.01, 0.04, 0.16, 0.64, 2.56)
+
 
-    Settlements are a reference table of known size; their number is checked before they are broadcast.
+def nearest_place(places: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Each place (cell, lat, lon) with its nearest settlement (s_id, s_lat, s_lon) on the unit sphere, ties to the smaller id.
+
+    Points of the sphere are dealt to cubes, so poles and the date line are nothing special. What lies within a cube's side
+    of a place is in its own or one of the 26 cubes around; places that find nothing so near go on to larger cubes.
     """
-    n = settlements.count()
-    if n > limit:
-        raise ValueError(f"{n} settlements; at most {limit} are broadcast")
     x, y, z = geo.unit_sphere(F.col("s_lat"), F.col("s_lon"))
-    packed = settlements.agg(F.collect_list(F.struct(F.col("s_id").alias("id"), x.alias("x"), y.alias("y"), z.alias("z"))).alias("all"))
+    towns = materialise(settlements.select("s_id", x.alias("sx"), y.alias("sy"), z.alias("sz")), "settlements")
     px, py, pz = geo.unit_sphere(F.col("lat"), F.col("lon"))
-    scored = places.withColumns({"__x": px, "__y": py, "__z": pz}).withColumn("__all", packed.scalar())
-    best = F.aggregate("__all", F.struct(F.lit(-2.0).alias("dot"), F.lit(None).cast(settlements.schema["s_id"].dataType).alias("id")), lambda b, s: _better(b, s))
-    return scored.withColumn("__best", best).select("cell", F.col("__best.id").alias("s_id"), (F.lit(geo.EARTH_KM) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("__best.dot"))))).alias("km"))
-
-
-def _better(best: Column, s: Column) -> Column:
-    dot = F.col("__x") * s["x"] + F.col("__y") * s["y"] + F.col("__z") * s["z"]
-    wins = (dot > best["dot"]) | ((dot == best["dot"]) & (s["id"] < best["id"]))
-    return F.when(wins, F.struct(dot.alias("dot"), s["id"].alias("id"))).otherwise(best)
+    left = materialise(places.select("cell", px.alias("x"), py.alias("y"), pz.alias("z")).distinct(), "places")
+    found = []
+    for side in CUBES:
+        at = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
+        around = left
+        for c in "xyz":
+            around = around.withColumn(f"c{c}", F.explode(F.array(at(c) - 1, at(c), at(c) + 1)))
+        dealt = towns.select("*", at("sx").alias("tx"), at("sy").alias("ty"), at("sz").alias("tz"))
+        met = around.join(dealt, (F.col("cx") == F.col("tx")) & (F.col("cy") == F.col("ty")) & (F.col("cz") == F.col("tz")))
+        dot = F.col("x") * F.col("sx") + F.col("y") * F.col("sy") + F.col("z") * F.col("sz")
+        best = met.groupBy("cell").agg(F.min(F.struct((-dot).alias("away"), F.col("s_id").alias("s_id"))).alias("best"))
+        near = materialise(best.where((2 + 2 * F.col("best.away") <= side * side) | F.lit(side == CUBES[-1])), "near")
+        found.append(near)
+        left = left.join(near.select(F.col("cell").alias("__got")), F.col("cell") == F.col("__got"), "left_anti")
+    every = reduce(DataFrame.unionByName, found)
+    km = F.lit(geo.EARTH_KM) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("best.away"))))
+    return every.select("cell", F.col("best.s_id").alias("s_id"), km.alias("km"))
 
 
 def nearest_in_day(rows: DataFrame, peers: DataFrame, seconds: int) -> DataFrame:
@@ -111,6 +165,12 @@ def nearest_in_day(rows: DataFrame, peers: DataFrame, seconds: int) -> DataFrame
     return near.withColumn("best", best).where(F.col("best.gap") <= seconds).select("id", F.col("best.p_id").alias("p_id"), F.col("best.gap").alias("gap"))
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of length 1."""
+    x = np.array(vectors.tolist(), np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _block_groups(rows: DataFrame, block: str, assign, schema: str) -> DataFrame:
     ship(rows.sparkSession)
     return rows.groupBy(block).applyInPandas(assign, schema)
@@ -122,7 +182,7 @@ def anchored_groups(faces: DataFrame, block: str, anchor: float = 0.65, every: f
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("face_id")
-        x, content, ids = np.array(frame["vector"].tolist()), frame["content"].to_numpy(), frame["face_id"].to_numpy()
+        x, content, ids = _unit(frame["vector"]), frame["content"].to_numpy(), frame["face_id"].to_numpy()
         groups: list[list[int]] = []
         for i in range(len(ids)):
             fits = []
@@ -147,8 +207,12 @@ def centroid_groups(faces: DataFrame, block: str, threshold: float = 0.52) -> Da
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("face_id")
-        x, content, ids = np.array(frame["vector"].tolist()), frame["content"].to_numpy(), frame["face_id"].to_numpy()
-        best = np.array([max((float(v) for j, v in enumerate(x @ x[i]) if j != i), default=-1.0) for i in range(len(ids))])
+        x, content, ids = _unit(frame["vector"]), frame["content"].to_numpy(), frame["face_id"].to_numpy()
+        best = np.full(len(ids), -1.0)
+        for at in range(0, len(ids), 256):  # some rows of the similarities at a time
+            like = x[at : at + 256] @ x.T
+            like[np.arange(len(like)), np.arange(at, at + len(like))] = -1.0
+            best[at : at + 256] = like.max(axis=1)
         sums: list[np.ndarray] = []
         members: list[list[int]] = []
         for i in np.lexsort((ids, -best)):

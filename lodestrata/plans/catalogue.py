@@ -150,9 +150,11 @@ def people_summary(spark: SparkSession, d: str) -> DataFrame:
     return met.select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n"), "last")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def untagged(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "customer").join(t.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Rows that carry none of the tags asked for: customers without an urgent order."""
+    urgent = t.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return t.table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name", "c_acctbal")
 
 
 @query("""SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned, arg_min(l_partkey, row(l_linenumber, l_partkey)) AS first_part, arg_max(l_partkey, row(l_linenumber, l_partkey)) AS last_part

@@ -45,37 +45,42 @@ def pages_meta_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CLAIMS = """claims AS (
-  SELECT o_orderkey % 2000 AS c, CASE o_orderkey % 7 WHEN 0 THEN '2024:13:40 10:00:00' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT10:00:00+02:00') WHEN 2 THEN NULL ELSE strftime(o_orderdate, '%Y:%m:%d 10:00:00') END AS value FROM orders),
-stated AS (
-  SELECT c, value, CASE WHEN try_strptime(regexp_replace(value, '^(\\d{4}):(\\d{2}):(\\d{2}) ', '\\1-\\2-\\3T')[:19], '%Y-%m-%dT%H:%M:%S') IS NOT NULL THEN regexp_replace(value, '^(\\d{4}):(\\d{2}):(\\d{2}) ', '\\1-\\2-\\3T') END AS s FROM claims),
-per AS (SELECT c, value, s, CASE WHEN s LIKE '%+02:00' THEN s END AS i, CASE WHEN s NOT LIKE '%+02:00' THEN s END AS n FROM stated),
-counts AS (SELECT c, count(*) FILTER (value IS NOT NULL AND s IS NULL) AS bad, count(DISTINCT i) AS aware, count(DISTINCT n) AS naive, count(s) AS sound FROM per GROUP BY c)"""
+  SELECT o_orderkey % 3000 AS c, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT10:00:00+02:00') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT08:00:00Z') WHEN 2 THEN '2024-13-40T10:00:00'
+    ELSE strftime(o_orderdate, '%Y-%m-%dT10:00:00') END AS value, o_custkey % 2 AS src FROM orders WHERE o_orderkey % 7 <> 2 OR o_orderkey % 5 = 0),
+stated AS (SELECT DISTINCT c, value, src, CASE WHEN try_strptime(value[:19], '%Y-%m-%dT%H:%M:%S') IS NOT NULL THEN value END AS s FROM claims),
+per AS (SELECT c, value, s, CASE WHEN length(s) > 19 THEN CAST(s AS TIMESTAMPTZ) END AS i, CASE WHEN length(s) = 19 THEN s END AS n FROM stated),
+counts AS (SELECT c, count(*) AS choices, count(s) AS sound, count(DISTINCT i) AS aware, count(DISTINCT n) AS naive FROM per GROUP BY c)"""
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 7
-    day = lambda p: F.date_format("o_orderdate", p)
-    value = F.when(k == 0, "2024:13:40 10:00:00").when(k == 1, F.concat(day("yyyy-MM-dd"), F.lit("T10:00:00+02:00"))).when(k != 2, F.concat(day("yyyy:MM:dd"), F.lit(" 10:00:00")))
-    return t.table(spark, d, "orders").select((F.col("o_orderkey") % 2000).alias("c"), value.alias("value"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    value = F.when(k == 0, F.concat(day, F.lit("T10:00:00+02:00"))).when(k == 1, F.concat(day, F.lit("T08:00:00Z"))).when(k == 2, "2024-13-40T10:00:00").otherwise(F.concat(day, F.lit("T10:00:00")))
+    o = t.table(spark, d, "orders").where("o_orderkey % 7 <> 2 or o_orderkey % 5 = 0")
+    return o.select((F.col("o_orderkey") % 3000).alias("c"), value.alias("value"), (F.col("o_custkey") % 2).alias("src"))
 
 
-@query(f"""WITH {_CLAIMS} SELECT c, CASE WHEN bad > 0 THEN 'invalid' WHEN aware > 1 OR naive > 1 THEN 'conflict' WHEN aware > 0 AND naive > 0 THEN 'timezone_unknown'
-  WHEN sound > 1 THEN 'equivalent' WHEN sound = 1 THEN 'single' ELSE 'missing' END AS status FROM counts""".replace("\\\\", "\\"))
+@query(f"""WITH {_CLAIMS} SELECT s.c AS c, CASE WHEN choices IS NULL THEN 'missing' WHEN sound < choices THEN 'invalid' WHEN aware > 1 THEN 'conflict' WHEN naive > 0 AND (aware > 0 OR naive > 1) THEN 'timezone_unknown'
+  WHEN choices > 1 THEN 'equivalent' ELSE 'single' END AS status FROM range(3000) s(c) LEFT JOIN counts ON s.c = counts.c""")
 def date_status(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.date_status(_claims(spark, d), "c")
+    return evidence.date_status(_claims(spark, d), "c", identity=("src",), subjects=spark.range(3000).withColumnRenamed("id", "c"))
 
 
-_NAMES = """names AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'IMG_' || strftime(o_orderdate, '%Y%m%d') || '_101530.jpg' WHEN 1 THEN 'scan-' || strftime(o_orderdate, '%Y-%m-%d') || '.png'
-  WHEN 2 THEN 'x' || strftime(o_orderdate, '%Y%m%d') || '.heic' ELSE 'IMG_20231341_000000.jpg' END AS name, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)"""
+_NAMES = """names AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'IMG_' || strftime(o_orderdate, '%Y%m%d') || '_101530.jpg' WHEN 1 THEN 'scan-' || strftime(o_orderdate, '%Y-%m-%d') || '.png'
+  WHEN 2 THEN 'x' || strftime(o_orderdate, '%Y%m%d') || '.heic' WHEN 3 THEN 'p' || (1400000000 + o_orderkey) || '.jpg' WHEN 4 THEN (1400000000 + o_orderkey) || '123_n.jpg'
+  ELSE '20231341_000000-' || strftime(o_orderdate, '%Y-%m-%d') || '.jpg' END AS name, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)"""
 
 
-@query(f"""WITH {_NAMES} SELECT o_orderkey, name, CASE o_orderkey % 4 WHEN 0 THEN day || 'T10:15:30' WHEN 3 THEN NULL ELSE day || 'T12:00:00' END AS value,
-  CAST(CASE o_orderkey % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 WHEN 2 THEN 0.6 END AS DOUBLE) AS confidence FROM names""")
+@query(f"""WITH {_NAMES} SELECT o_orderkey, name, CASE o_orderkey % 6 WHEN 0 THEN day || 'T10:15:30' WHEN 3 THEN strftime(make_timestamp((1400000000 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')
+  WHEN 4 THEN strftime(make_timestamp((1400000000 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') ELSE day || 'T12:00:00' END AS value,
+  CAST(CASE o_orderkey % 6 WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 WHEN 5 THEN 0.7 ELSE 0.6 END AS DOUBLE) AS confidence FROM names""")
 def filename_date_infer(spark: SparkSession, d: str) -> DataFrame:
-    k, day = F.col("o_orderkey") % 4, lambda p: F.date_format("o_orderdate", p)
-    name = F.when(k == 0, F.concat(F.lit("IMG_"), day("yyyyMMdd"), F.lit("_101530.jpg"))).when(k == 1, F.concat(F.lit("scan-"), day("yyyy-MM-dd"), F.lit(".png"))).when(k == 2, F.concat(F.lit("x"), day("yyyyMMdd"), F.lit(".heic"))).otherwise("IMG_20231341_000000.jpg")
-    value, sure = times.time_in_name(F.col("name"), 2030)
-    return t.table(spark, d, "orders").select("o_orderkey", name.alias("name")).withColumns({"value": value, "confidence": sure})
+    k, day = F.col("o_orderkey") % 6, lambda p: F.date_format("o_orderdate", p)
+    epoch = (F.col("o_orderkey") + 1400000000).cast("string")
+    name = F.when(k == 0, F.concat(F.lit("IMG_"), day("yyyyMMdd"), F.lit("_101530.jpg"))).when(k == 1, F.concat(F.lit("scan-"), day("yyyy-MM-dd"), F.lit(".png"))).when(k == 2, F.concat(F.lit("x"), day("yyyyMMdd"), F.lit(".heic")))
+    name = name.when(k == 3, F.concat(F.lit("p"), epoch, F.lit(".jpg"))).when(k == 4, F.concat(epoch, F.lit("123_n.jpg"))).otherwise(F.concat(F.lit("20231341_000000-"), day("yyyy-MM-dd"), F.lit(".jpg")))
+    told = t.table(spark, d, "orders").select("o_orderkey", name.alias("name")).withColumn("t", times.name_time(F.col("name"), 2030))
+    return told.select("o_orderkey", "name", "t.value", "t.confidence")
 
 
 @query("""WITH f AS (SELECT doc_id AS s, 'quality' AS attribute, CAST(quality AS VARCHAR) AS value, 2 AS p, doc_id AS o FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR), 2, doc_id FROM labels
@@ -150,11 +155,11 @@ def trips_gap_only(spark: SparkSession, d: str) -> DataFrame:
     return runs.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last")})
 
 
-@query("""SELECT o_orderkey, event_id FROM orders JOIN (SELECT event_id, DATE '1992-01-01' + CAST(event_id % 2400 AS INTEGER) AS a, DATE '1992-01-01' + CAST(event_id % 2400 + 3 AS INTEGER) AS b FROM events WHERE event_id % 40 = 0)
+@query("""SELECT o_orderkey, event_id FROM orders JOIN (SELECT event_id, DATE '1992-01-01' + CAST(event_id % 2400 AS INTEGER) AS a, DATE '1992-01-01' + CAST(event_id % 2400 + 3 AS INTEGER) AS b FROM events)
   ON CAST(o_orderdate AS DATE) BETWEEN a AND b""")
 def trip_range_join(spark: SparkSession, d: str) -> DataFrame:
     start = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("event_id") % 2400).cast("int"))
-    ranges = t.table(spark, d, "events").where("event_id % 40 = 0").select("event_id", start.alias("after"), F.date_add(start, 3).alias("before"))
+    ranges = t.table(spark, d, "events").select("event_id", start.alias("after"), F.date_add(start, 3).alias("before"))
     orders = t.table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     return journeys.in_ranges(orders, ranges, "day", "after", "before").select("o_orderkey", "event_id")
 
@@ -167,14 +172,6 @@ def asof_legs(spark: SparkSession, d: str) -> DataFrame:
     return journeys.as_of(e.where("event_type = 'view'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "last_purchase", "p_ts").select("event_id", "last_purchase")
 
 
-@query("""WITH r AS (SELECT o_custkey AS f, o_orderkey AS n, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders),
-w AS (SELECT *, last_value(day IGNORE NULLS) OVER (PARTITION BY f ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, first_value(day IGNORE NULLS) OVER (PARTITION BY f ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS above FROM r)
-SELECT n, CASE WHEN abs(above - below) <= 31 THEN least(below, above) END AS proposed, CASE WHEN abs(above - below) <= 31 THEN 'strong' WHEN below IS NOT NULL OR above IS NOT NULL THEN 'loose' ELSE 'none' END AS strength FROM w WHERE day IS NULL""")
-def gap_sequence_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.table(spark, d, "orders").select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("n"), F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate")).alias("day"))
-    return journeys.sequence_gaps(rows, "f", "n", "day").select("n", "proposed", "strength")
-
-
 @query("SELECT count(*) AS total, count(*) FILTER (abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) = 0) AS same_day, count(*) FILTER (abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) <= 7) AS within_week FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def date_calibration(spark: SparkSession, d: str) -> DataFrame:
     met = t.table(spark, d, "lineitem").join(t.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))

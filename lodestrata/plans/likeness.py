@@ -42,19 +42,14 @@ def vector_topk_by_group(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.top_k_by_group(scored, "label", "vec_id", 5).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS o, list_dot_product(a.x, b.x) AS s FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), s AS (SELECT a.vec_id, b.label AS o, max(list_dot_product(a.x, b.x)) AS s FROM v a, (SELECT label, list(x ORDER BY vec_id)[1] AS x FROM v GROUP BY label) b GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) AS r FROM s)
 SELECT vec_id, max(o) FILTER (r = 1) AS best, round(max(s) FILTER (r = 1) - max(s) FILTER (r = 2), 6) AS margin FROM r WHERE r <= 2 GROUP BY vec_id""")
 def knn_margin(spark: SparkSession, d: str) -> DataFrame:
-    """Best match of each reference vector and its lead over the second; the references are a stated set, met as one array of known size."""
-    v = t.vectors(spark, d).select("vec_id", "vector")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vector").alias("q"))
-    dealt = v.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-    met = dealt.join(asked.withColumn("slice", (F.xxhash64("q_id") % 8 + 8) % 8), "slice").where("vec_id <> q_id")
-    scored = met.select("q_id", F.col("vec_id").alias("o"), vectors.dot(F.col("q"), F.col("vector")).alias("score"))
-    top = neighbours.top_k_by_group(scored, "q_id", "o", 2).groupBy(F.col("q_id").alias("vec_id"))
-    pick = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
-    return top.agg(pick("o", 1).alias("best"), F.round(pick("score", 1) - pick("score", 2), 6).alias("margin"))
+    """Each vector's best reference, of one for each label, and its lead over the second: references are few and sent as one array."""
+    v = t.vectors(spark, d)
+    one = v.groupBy("label").agg(F.min_by("vector", "vec_id").alias("y"))
+    return neighbours.best_reference(v, one.select(F.col("label").alias("ref"), "y"), "vec_id").withColumn("margin", F.round("margin", 6))
 
 
 SKETCH = """w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents),
@@ -86,8 +81,8 @@ def components_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
-n AS (SELECT event_id AS a, lead(event_id) OVER w AS b, lead(t) OVER w - t AS gap FROM e WINDOW w AS (PARTITION BY day ORDER BY t, event_id))
-SELECT a, b, gap FROM n WHERE gap <= 90""")
+n AS (SELECT day, floor(t / 90) AS k, t, event_id FROM e)
+SELECT a.event_id AS a, b.event_id AS b, b.t - a.t AS gap FROM n a JOIN (SELECT *, unnest([k - 1, k]) AS j FROM n) b ON a.day = b.day AND a.k = b.j AND row(a.t, a.event_id) < row(b.t, b.event_id) WHERE b.t - a.t <= 90""")
 def burst_pairs(spark: SparkSession, d: str) -> DataFrame:
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long")
     e = t.table(spark, d, "events").select("event_id", F.to_date("ts").alias("day"), at.alias("at"))
@@ -125,8 +120,7 @@ def live_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def line_simplify(spark: SparkSession, d: str) -> DataFrame:
     lines = t.vectors(spark, d).select(F.col("vec_id").alias("id"), F.transform("vector", lambda y, i: F.array(i.cast("double"), y)).alias("points"))
-    out = neighbours.simplified(lines, 0.1)
-    return out.select("id", F.size("points").alias("points"))
+    return neighbours.simplified(lines, 0.1)
 
 
 @query("""SELECT l.doc_id, quality, toxic, CAST(row_number() OVER (ORDER BY CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 0 ELSE 1 END, n_chars DESC, l.doc_id) AS BIGINT) AS place FROM labels l JOIN documents d ON l.doc_id = d.doc_id ORDER BY place LIMIT 200""")

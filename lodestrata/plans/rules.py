@@ -103,10 +103,10 @@ def description_terms(spark: SparkSession, d: str) -> DataFrame:
     return details.described(rows, "BRAND#1 Large").select("p_partkey")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE length(text) <= 10000 AND turn % 7 <> 3 AND turn * 10 + 9 <= 50 + 1")
+@query(r"SELECT conv_id, turn FROM conversations WHERE length(text) <= 10000 AND regexp_matches(text, '\S') AND turn % 7 <> 3 AND turn * 10 + 9 * (turn % 5 <> 4)::INTEGER <= 50 + 1 AND turn % 5 <> 4")
 def transcript_validation(spark: SparkSession, d: str) -> DataFrame:
     start = F.when(F.col("turn") % 7 == 3, float("nan")).otherwise(F.col("turn").cast("double") * 10)
-    rows = t.table(spark, d, "conversations").select("conv_id", "turn", start.alias("start"), (F.col("turn").cast("double") * 10 + 9).alias("end"), F.lit(50.0).alias("duration"), "text")
+    rows = t.table(spark, d, "conversations").select("conv_id", "turn", start.alias("start"), (F.col("turn").cast("double") * 10 + F.when(F.col("turn") % 5 != 4, 9.0).otherwise(0.0)).alias("end"), F.lit(50.0).alias("duration"), "text")
     return details.sound_segments(rows).select("conv_id", "turn")
 
 
@@ -162,21 +162,28 @@ def screen_clusters(spark: SparkSession, d: str) -> DataFrame:
     return details.screen_clusters(rollups.places(t.items(spark, d)).select("cell", "lat", "lon", "n"), 3)
 
 
-@query("""WITH p AS (SELECT event_id AS id, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) AS n, CAST((user_id * 37) % 180 AS DOUBLE) - 90 AS lat FROM events),
-t AS (SELECT event_id AS trip, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) AS first, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) + 2 AS last, CAST((event_id * 11) % 180 AS DOUBLE) - 90 AS lat FROM events WHERE event_id % 200 = 0)
-SELECT trip, (SELECT arg_min(id, row(first - n, id)) FROM p WHERE n < first AND first - n <= 30 AND abs(p.lat - t.lat) > 0.2) AS before_id, (SELECT arg_min(id, row(n - last, id)) FROM p WHERE n > last AND n - last <= 30 AND abs(p.lat - t.lat) > 0.2) AS after_id FROM t""")
+@query("""WITH p AS (SELECT event_id AS id, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) AS n, ts, CAST((user_id * 37) % 180 AS DOUBLE) - CAST(90 AS DOUBLE) AS lat FROM events WHERE event_type = 'purchase'),
+o AS (SELECT n, arg_min({'id': id, 'lat': lat}, row(ts, id)) AS opens, arg_max({'id': id, 'lat': lat}, row(ts, id)) AS closes FROM p GROUP BY n),
+t AS (SELECT event_id AS trip, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) AS first, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) + 2 AS last, CAST((event_id * 11) % 180 AS DOUBLE) - CAST(90 AS DOUBLE) AS lat FROM events),
+days AS (SELECT DISTINCT first, last FROM t),
+m AS (SELECT first, last, (SELECT max(n) FROM o WHERE o.n < first) AS b, (SELECT min(n) FROM o WHERE o.n > last) AS a FROM days)
+SELECT trip, CASE WHEN t.first - b.n <= 30 AND abs(b.closes.lat - t.lat) > CAST(0.2 AS DOUBLE) THEN b.closes.id END AS before_id, CASE WHEN a.n - t.last <= 30 AND abs(a.opens.lat - t.lat) > CAST(0.2 AS DOUBLE) THEN a.opens.id END AS after_id
+FROM t JOIN m USING (first, last) LEFT JOIN o b ON b.n = m.b LEFT JOIN o a ON a.n = m.a""")
 def trip_legs(spark: SparkSession, d: str) -> DataFrame:
     e = t.table(spark, d, "events").withColumn("n", F.datediff(F.to_date("ts"), F.lit("1970-01-01")))
-    points = e.select(F.col("event_id").alias("id"), "n", ((F.col("user_id") * 37) % 180).cast("double").alias("lat0")).select("id", "n", (F.col("lat0") - 90.0).alias("lat"), F.lit(0.0).alias("lon"))
-    trips = e.where("event_id % 200 = 0").select(F.col("event_id").alias("trip"), F.col("n").alias("first"), (F.col("n") + 2).alias("last"), (((F.col("event_id") * 11) % 180).cast("double") - 90.0).alias("lat"), F.lit(0.0).alias("lon"))
+    degrees = lambda c: ((c % 180).cast("double") - 90.0)
+    points = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "n", F.col("ts").alias("at"), F.lit("").alias("name"), degrees(F.col("user_id") * 37).alias("lat"), F.lit(0.0).alias("lon"))
+    lat = degrees(F.col("event_id") * 11)
+    trips = e.select(F.col("event_id").alias("trip"), F.col("n").alias("first"), (F.col("n") + 2).alias("last"), lat.alias("first_lat"), lat.alias("last_lat"), F.lit(0.0).alias("first_lon"), F.lit(0.0).alias("last_lon"))
     return details.trip_legs(points, trips)
 
 
-@query("SELECT d.doc_id, lang, CAST((CASE WHEN quality IS NULL THEN 0 ELSE 1 END) + (CASE WHEN toxic IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS facts FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("""SELECT d.doc_id, lang, coalesce(concat_ws(';', 'quality=' || quality, 'toxic=' || toxic), '') AS facts FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
     facts = t.table(spark, d, "labels").unpivot("doc_id", ["quality", "toxic"], "attribute", "value").where("value is not null")
     out = details.evidence_bundle(t.table(spark, d, "documents").select("doc_id", "lang"), facts, "doc_id")
-    return out.select("doc_id", "lang", F.greatest(F.size("facts"), F.lit(0)).alias("facts"))
+    told = F.array_join(F.transform("facts", lambda f: F.concat_ws("=", f["attribute"], f["value"].cast("string"))), ";")
+    return out.select("doc_id", "lang", F.coalesce(told, F.lit("")).alias("facts"))
 
 
 @query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name || ' ' || n_name), 'a') AND contains(lower(n_name || ' ' || c_mktsegment), 'i')")
@@ -195,15 +202,30 @@ def enriched_text(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM k a, k b WHERE a.rep < b.rep AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8
 UNION ALL SELECT rep, doc_id, 0 FROM h JOIN k USING (hi, lo) WHERE doc_id <> rep""")
 def near_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within eight bits: sixteen bands, as eight would miss some."""
-    return neighbours.banded_pairs(t.sketches(spark, d), 8, "doc_id", bands=16)
+    """Pairs within eight bits."""
+    return neighbours.banded_pairs(t.sketches(spark, d), 8, "doc_id")
 
 
-@query("""WITH c AS (SELECT page_id, unnest(['title', 'date', 'location']) AS attribute FROM pages) SELECT page_id, attribute FROM c WHERE attribute <> 'location' OR page_id % 3 <> 0""")
+@query("""WITH s AS (SELECT page_id, 'date' AS attribute, strftime(make_timestamp(page_id * 86400000000), '%Y-%m-%dT%H:%M:%S+00:00') AS value, 'capture' AS meaning, 'photoTakenTime' AS field FROM pages WHERE page_id % 4 <> 0
+  UNION ALL SELECT page_id, 'date', strftime(make_timestamp(-page_id * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'), 'Google Photos creation', 'creationTime' FROM pages
+  UNION ALL SELECT page_id, 'location', (page_id % 3) || '.5,' || (page_id % 200) || '.25', NULL, 'geoData' FROM pages WHERE page_id % 200 < 180
+  UNION ALL SELECT page_id, 'location', (page_id % 3) || '.0,0.0', NULL, 'geoDataExif' FROM pages WHERE page_id % 3 <> 0
+  UNION ALL SELECT page_id, 'description', url, NULL, NULL FROM pages WHERE url <> ''
+  UNION ALL SELECT page_id, 'raw_sidecar', CAST(page_id AS VARCHAR), NULL, NULL FROM pages) SELECT * FROM s""")
 def sidecar_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of sidecars made of pages: a taking time that is text or a number, two places, and people, who are left out of the raw document."""
     k = F.col("page_id")
-    told = t.table(spark, d, "pages").select(k.cast("string").alias("path"), F.col("url").alias("title"), F.timestamp_seconds(k).alias("taken"), (k % 3).cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.lit(None).cast("string").alias("description"))
-    return details.sidecar_claims(told).select(F.col("path").cast("long").alias("page_id"), "attribute")
+    time = F.when(k % 4 == 0, (k * 86400).cast("string")).otherwise(F.concat(F.lit('"'), (k * 86400).cast("string"), F.lit('"')))
+    place = lambda lat, lon: F.concat(F.lit('{"latitude": '), lat, F.lit(', "longitude": '), lon, F.lit("}"))
+    text = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    raw = F.concat(
+        F.lit('{"photoTakenTime": {"timestamp": '), time, F.lit('}, "creationTime": {"timestamp": "'), (-k).cast("string"), F.lit('"}, "geoData": '),
+        place(F.concat((k % 3).cast("string"), F.lit(".5")), F.concat((k % 200).cast("string"), F.lit(".25"))), F.lit(', "geoDataExif": '), place((k % 3).cast("string"), F.lit("0")),
+        F.lit(', "people": [{"name": "x"}], "id": '), k.cast("string"), F.lit(', "description": '), text(F.coalesce("url", F.lit(""))), F.lit("}"),
+    )
+    out = details.sidecar_claims(t.table(spark, d, "pages").select(k.cast("string").alias("path"), raw.alias("raw")))
+    document = F.when(~F.col("value").contains("people"), F.get_json_object("value", "$.id"))
+    return out.select(F.col("path").cast("long").alias("page_id"), "attribute", F.when(F.col("attribute") == "raw_sidecar", document).otherwise(F.col("value")).alias("value"), "meaning", "field")
 
 
 @query(f"WITH {ITEMS} SELECT id, kind, {CELL} AS cell FROM items WHERE id = 4242 OR id = 7")

@@ -58,3 +58,32 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     op = F.when(F.col("event_type") == "signup", "reset").when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "purchase", "set").otherwise("add")
     return e.select(F.struct("ts", "event_id").alias("seq"), "event_id", op.alias("op"), F.col("user_id").alias("entity"), (F.col("event_id") % 5).alias("member"), F.floor(F.col("value") * 100.0).cast("long").alias("value"))
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """Media files made of ``orders``, in folders of numbered names: two fifths are undated, a quarter has no place, and a
+    seventeenth was last written on one day."""
+    o, k = table(spark, folder, "orders"), F.col("o_orderkey")
+    name = (
+        F.when(k % 11 == 0, F.concat(F.lit("Screenshot_"), k.cast("string"), F.lit(".png")))
+        .when(k % 11 == 1, F.concat(F.lit("feedfacefeedface"), (k % 10).cast("string"), F.lit(".jpg")))
+        .when(k % 11 == 2, F.concat(F.lit("art"), (k % 90).cast("string"), F.lit(".gif")))
+        .when(k % 11 == 3, "plain.jpg")
+        .otherwise(F.concat(F.lit("IMG_"), F.lpad(k.cast("string"), 9, "0"), F.lit(".jpg")))
+    )
+    at = F.to_timestamp_ntz(F.col("o_orderdate").cast("string")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k * 37 % 86400).cast("decimal(18,6)"))
+    dated, located = k % 5 > 1, k % 4 != 0
+    rows = o.select(
+        k.alias("id"),
+        F.sha2(k.cast("string"), 256).alias("content_hash"),
+        name.alias("name"),
+        F.when(k % 13 == 0, "Takeout/Gemini Apps").otherwise(F.concat(F.lit("Photos/c"), (F.col("o_custkey") % 20).cast("string"))).alias("folder"),
+        F.when(dated, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).alias("value"),
+        F.when(k % 17 == 0, "2001-01-01").otherwise(F.date_format(F.date_add(F.to_date("o_orderdate"), (k % 3).cast("int")), "yyyy-MM-dd")).alias("modified"),
+        (k % 29 == 0).alias("dismissed"),
+        F.when(located, (F.col("o_custkey") % 3).cast("double") * 10.0 + 0.05).alias("lat"),
+        F.when(located, (F.col("o_custkey") % 2).cast("double") * 10.0 + 0.05).alias("lon"),
+    )
+    cell = F.concat_ws(":", F.floor(F.col("lat") * 10.0), F.floor(F.col("lon") * 10.0))
+    clock = [F.substring("value", a, 2).cast("int") for a in (12, 15, 18)]
+    return rows.select("*", F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("extension"), F.substring("value", 1, 10).alias("day"), F.when(F.col("id") % 7 != 0, clock[0] * 3600 + clock[1] * 60 + clock[2]).alias("second"), F.when(F.col("lat").isNotNull(), cell).alias("cell"))

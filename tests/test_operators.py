@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, text, times, vectors
-from lodestrata.operators import evidence, journeys, neighbours, overlay, rollups, search
+from lodestrata.operators import evidence, gaps, journeys, neighbours, overlay, rollups, search, stacks
 from lodestrata.sources import files
 from lodestrata.streaming import ingest
 
@@ -66,10 +66,33 @@ def test_scalar_functions(spark):
 
 
 def test_names_tell_times(spark):
-    names = ["IMG_20240228_101530.jpg", "2024-02-28 x", "x20240228", "1709115330123.jpg", "IMG_20241341_000000", "none"]
-    value, sure = times.time_in_name(F.col("n"), 2030)
-    got = [tuple(r) for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", value, sure).orderBy("i").drop("i").collect()]
-    assert got == [("2024-02-28T10:15:30", 0.8), ("2024-02-28T12:00:00", 0.7), ("2024-02-28T12:00:00", 0.6), ("2024-02-28T10:15:30+00:00", 0.6), (None, None), (None, None)]
+    names = ["IMG_20240228_101530.jpg", "2024-02-28 x", "x20240228", "1709115330123.jpg", "p1709115330_a.jpg", "IMG_20241341_000000", "IMG_20241341_000000 2024-02-28", "20250231-1400000000", "19890228", "20240228101530", "none", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [tuple(r) for r in df.select("i", times.name_time(F.col("n"), 2030).alias("t")).orderBy("i").select("t.value", "t.confidence").collect()]
+    epoch = ("2024-02-28T10:15:30+00:00", 0.6)
+    assert got == [("2024-02-28T10:15:30", 0.8), ("2024-02-28T12:00:00", 0.7), ("2024-02-28T12:00:00", 0.6), epoch, epoch, (None, None), ("2024-02-28T12:00:00", 0.7), ("2014-05-13T16:53:20+00:00", 0.6), (None, None), (None, None), (None, None), (None, None)]
+    many = spark.range(1).select(times.name_times(F.array(*[F.lit(x) for x in ("b20240228", "a-2024-02-28", "20240229_000000", "none", "c20240227")]), 2030).alias("t")).first()["t"]
+    assert [(x["value"], x["confidence"], x["field"], x["name"]) for x in many] == [("2024-02-29T00:00:00", 0.8, "file name (timestamp)", "20240229_000000"), ("2024-02-28T12:00:00", 0.7, "file name (date)", "a-2024-02-28"), ("2024-02-27T12:00:00", 0.6, "file name (compact)", "c20240227")]
+
+
+def test_times_of_tags(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(times.tag_time(F.lit(x))) for x in ("20240228T101530+0200", "20240228", "2024-02-28T10:15:30Z", "202402", "20241341")] == ["2024-02-28T10:15:30+02:00", "2024-02-28T00:00:00", "2024-02-28T10:15:30Z", None, None]
+    assert [one(times.rfc_1123_time(F.lit(x))) for x in ("Sat, 04 Jul 2026 10:20:30 GMT", "4 Jul 2026 10:20:30 -0500", "Sat, 04 Foo 2026 10:20:30 GMT", "Sat, 31 Jun 2026 10:20:30 GMT")] == ["2026-07-04T10:20:30+00:00", "2026-07-04T10:20:30-05:00", None, None]
+
+
+def test_claims_of_dates(spark):
+    """Statuses in their order; a claim that two extractors repeat counts twice, one that is there twice once."""
+    cases = {
+        "invalid": [("2024-01-01T10:00:00", "a"), ("2024-13-01T10:00:00", "a")], "empty": [(None, "a")], "short": [("2024-01-01", "a")],
+        "conflict": [("2024-01-01T10:00:00Z", "a"), ("2024-01-01T10:00:00+01:00", "a"), ("2024-01-01T10:00:00", "a")],
+        "naive": [("2024-01-01T10:00:00", "a"), ("2024-01-01T11:00:00", "a")], "mixed": [("2024-01-01T10:00:00Z", "a"), ("2024-01-01T10:00:00", "a")],
+        "same": [("2024-01-01T10:00:00Z", "a"), ("2024-01-01T11:00:00+01:00", "a")], "twice": [("2024-01-01T10:00:00", "a"), ("2024-01-01T10:00:00", "b")], "single": [("2024-01-01T10:00:00", "a")] * 2, "spaced": [("2024-01-01 10:00:00", "a"), ("2024-01-01T10:00:00.000", "a")],
+    }
+    claims = spark.createDataFrame([(k, *x) for k, v in cases.items() for x in v], "content_hash string, value string, source string")
+    subjects = spark.createDataFrame([(k,) for k in [*cases, "none"]], "content_hash string")
+    got = dict(rows(evidence.date_status(claims, identity=("source",), subjects=subjects)))
+    assert got == {"invalid": "invalid", "empty": "invalid", "short": "invalid", "conflict": "conflict", "naive": "timezone_unknown", "mixed": "timezone_unknown", "same": "equivalent", "twice": "equivalent", "single": "single", "spaced": "equivalent", "none": "missing"}
 
 
 def test_trip_gap_and_span(spark):
@@ -82,10 +105,76 @@ def test_trip_gap_and_span(spark):
     assert rows(journeys.trips(df(d(1, 2)))) == []
 
 
-def test_sequence_neighbours(spark):
-    data = [("f", 1, "2024-01-01"), ("f", 2, None), ("f", 3, "2024-02-01"), ("g", 1, "2024-01-01"), ("g", 2, None), ("g", 3, "2024-02-02"), ("h", 1, None)]
-    df = spark.createDataFrame(data, "f string, n int, day string")
-    assert rows(journeys.sequence_gaps(df, "f", "n", "day").select("f", "proposed", "strength").fillna("-")) == [("f", "2024-01-01", "strong"), ("g", "-", "loose"), ("h", "-", "none")]
+def gap_files(spark, data):
+    """Files (name, day, modified) of one folder, ids in order."""
+    made = [(i, f"h{i:02d}", n, "." + n.rpartition(".")[2], "f", day, modified, False) for i, (n, day, modified) in enumerate(data)]
+    return spark.createDataFrame(made, "id long, content_hash string, name string, extension string, folder string, day string, modified string, dismissed boolean")
+
+
+def test_date_gap_rules(spark):
+    names = [("IMG_0001.jpg", "2024-01-10", None), ("IMG_0002.jpg", None, "2024-05-01"), ("IMG_0004.jpg", "2024-01-05", None), ("IMG_0010.jpg", None, None), ("IMG_0016.jpg", "2024-06-01", None), ("IMG_0020.jpg", None, None),
+             ("Screenshot_0003.jpg", None, "2024-05-01"), ("hr-tree-02.png", None, "2024-05-01"), ("deadbeefdeadbeef-(1).jpg", None, None), ("plain.jpg", None, "2024-05-01"), ("bare.jpg", None, None)]
+    got = {r["id"]: (r["rule"], r["strength"], r["proposed"]) for r in gaps.date_proposals(gap_files(spark, names)).collect()}
+    assert got[1] == ("sequence", "strong", "2024-01-10")  # the earlier number's day, though it is the later day
+    assert got[3] == ("sequence-loose", "weak", "2024-01-05") and got[5] == ("sequence-loose", "weak", "2024-06-01")  # as near to both: the lower; one side only
+    assert got[6] == ("not-a-capture", "none", None) and got[7] == ("asset", "none", None) == got[8] and got[9] == ("modified", "weak", "2024-05-01") and got[10] == (None, "none", None)
+    listed = [tuple(r) for r in gaps.groups(gaps.date_proposals(gap_files(spark, names))).orderBy("place").select("group", "action", "count").collect()]
+    assert listed == [("sequence", "accept", 1), ("sequence-loose", "accept", 2), ("modified", "accept", 1), ("asset", "dismiss", 2), ("not-a-capture", "dismiss", 1)]
+    one = gaps.page(gaps.date_proposals(gap_files(spark, names)), "asset", 0, 1).collect()
+    assert [(r["id"], r["total"], r["next_offset"]) for r in one] == [(7, 2, 1)] and gaps.page(gaps.date_proposals(gap_files(spark, names)), "no such").first()["rule"] == "sequence"
+    crowd = gaps.date_proposals(gap_files(spark, [(f"x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}.jpg", None, "2024-05-01") for i in range(100)]))
+    assert {r["rule"] for r in crowd.collect()} == {None}
+
+
+def test_neighbours_across_ranges(spark):
+    """Known values far away, in other ranges, before, after and on both sides."""
+    rng = random.Random(5)
+    data = [(k, n, rng.choice((None, None, None, f"v{k}{n}"))) for k in "ab" for n in sorted(rng.sample(range(400), 60))]
+    got = gaps.nearest_known(spark.createDataFrame(data, "k string, n int, v string"), ["k"], "n", "v", 16).collect()
+    assert len(got) == len(data)
+    for r in got:
+        own = [(n, v) for k, n, v in data if k == r["k"] and v is not None]
+        assert (r["below"] and tuple(r["below"])) == max((x for x in own if x[0] <= r["n"]), default=None) and (r["above"] and tuple(r["above"])) == min((x for x in own if x[0] >= r["n"]), default=None)
+
+
+def test_accepted_values_in_batches(spark):
+    df = spark.createDataFrame([(f"{i % 7:02x}{i:04d}", "2024-01-01" if i % 10 else "2024-01-02") for i in range(500)] * 2, "content_hash string, proposed string")
+    got = {(r["proposed"], r["batch"]): r["contents"] for r in gaps.acceptance_events(df, ["proposed"]).collect()}
+    want = sorted({f"{i % 7:02x}{i:04d}" for i in range(500) if i % 10})
+    assert [got["2024-01-01", b] for b in range(3)] == [want[:200], want[200:400], want[400:]] and len(got) == 4
+    with pytest.raises(Exception, match="without a proposal"):
+        gaps.acceptance_events(spark.createDataFrame([("aa", None)], "content_hash string, proposed string"), ["proposed"]).collect()
+
+
+def test_stacks(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(64), n))
+    items = []
+    for i, h in enumerate(base):
+        usual = rng.choice(("2024-01-01", "2024-01-02", None))
+        for j in range(rng.choice((1, 2, 3, 4))):
+            day = usual if rng.random() < 0.8 else "2024-01-02"
+            items.append((f"h{i}-{j}", day, None if day is None or rng.random() < 0.2 else i * 40 + j * rng.choice((5, 200)), flip(h, rng.choice((0, 1, 3, 4, 7, 8))), rng.choice((100, 200))))
+    parent = {x[0]: x[0] for x in items}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(items):
+        for y in items[:i]:
+            off = (x[3] ^ y[3]).bit_count()
+            if x[1] == y[1] and (off <= 6 or off <= 14 and None not in (x[1], x[2], y[2]) and abs(x[2] - y[2]) <= 90):
+                parent[find(x[0])] = find(y[0])
+    want = {}
+    for x in items:
+        want.setdefault(find(x[0]), []).append(x)
+    want = sorted((sorted(x[0] for x in m), min(m, key=lambda r: (-r[4], r[2] is None, r[2] or 0, r[0]))[0]) for m in want.values() if len(m) > 1)
+    df = spark.createDataFrame([(h, d, at, b >> 32, b & 0xFFFFFFFF, p) for h, d, at, b, p in items], "content_hash string, day string, at long, hi long, lo long, pixels long")
+    got = sorted((r["contents"], r["top"]) for r in stacks.propose(df).collect())
+    assert got == want and len(want) > 5
 
 
 def test_banded_pairs_find_all(spark):
@@ -98,9 +187,13 @@ def test_banded_pairs_find_all(spark):
         first.setdefault(h, i)
     want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= 6} | {(first[h], i) for i, h in enumerate(hashes) if first[h] != i}
     pairs = neighbours.banded_pairs(df, 6, "doc_id")
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+    for crowd in (64, 1, 0):  # one, two or three bands to a key
+        got = neighbours.banded_pairs(df, 6, "doc_id", crowd=crowd).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    halves = df.withColumn("day", F.col("doc_id") % 2)
+    assert {(r["a"], r["b"]) for r in neighbours.banded_pairs(halves, 6, "doc_id", by="day").where("distance > 0").collect()} <= {p for p in want if p[0] % 2 == p[1] % 2}
     with pytest.raises(ValueError):
-        neighbours.banded_pairs(df, 8, "doc_id")
+        neighbours.banded_pairs(df, 17, "doc_id")
     groups = dict(rows(neighbours.groups_of(pairs)))
     assert all(groups[a] == groups[b] for a, b in want) and all(g <= m for m, g in groups.items())
 
@@ -218,6 +311,11 @@ def test_details(spark):
             details.resolve(names, bad)
     one = spark.range(1)
     got = one.select(details.sidecar_names(F.lit("a.jpg(2).json")).alias("n"), details.not_a_capture(F.lit("Screenshot_1.png"), F.lit("x")).alias("s"), details.is_media_container(F.lit(b"\0\0\0\x18ftypmp42")).alias("c"), details.stated_date((F.lit("2024:99:01 00:00:00"), "capture"), (F.lit("2024:01:02 03:04:05"), "modification"))["meaning"].alias("m")).first()
+    names = lambda name, title=None: set(one.select(details.sidecar_names(F.lit(name), F.lit(title).cast("string"))).first()[0])
+    assert names("IMG.jpg.supplemental-metad.json") == {"IMG.jpg"} == names("IMG.jpg.json") == names("IMG.jpg.s.json") and names("IMG.jpg(1).json", "IMG.jpg") == {"IMG(1).jpg"} == names("IMG.jpg.supplemental-metadata(1).json")
+    assert names("long.json", "long name.jpeg") == {"long", "long name.jpeg"} and names("x.json", "a/b.jpg") == {"x"} == names("x.JSON", "..") and names("IMG.json(2).json") == {"IMG(2).json"}
+    assert not one.select(details.is_media_container(F.lit(b"\0\0\0\x18ftypheic"))).first()[0] and one.select(details.is_media_container(F.lit(b"\0\0\0\x18ftypiso6"))).first()[0]
+    assert one.select(details.not_a_capture(F.lit("Scandinavia.jpg"), F.lit("WhatsApp"))).first()[0] is False and one.select(details.not_a_capture(F.lit("a.jpg"), F.lit("x/ai studio"))).first()[0]
     assert "a(2).jpg" in got["n"] and got["s"] and got["c"] and got["m"] == "modification"
     photos = spark.createDataFrame([("a red car", "street", [("car", "red")]), ("", "", [("cat", "grey")]), (None, None, None)], "caption string, category string, objects array<struct<name:string,color:string>>")
     assert details.described(photos, "gray cat").count() == 1 and details.described(photos, "red street").count() == 0 and details.described(photos, "car street").count() == 1 and details.described(photos, "blue cat").count() == 0
