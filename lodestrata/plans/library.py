@@ -104,20 +104,20 @@ def _trips(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "nation").select(n.alias("trip"), n.alias("seq"), day(n * 90).alias("after"), day(n * 90 + 80).alias("before"), place.alias("place"))
 
 
-@query(f"""WITH {FILES}, {_TRIPS}, some AS (SELECT * FROM files WHERE id % 3 = 0 OR lat IS NULL),
-peers AS (SELECT * FROM some WHERE cell IS NOT NULL AND day IS NOT NULL),
-days AS (SELECT day, count(DISTINCT cell) AS cells, arg_max({{'lat': lat, 'lon': lon, 'cell': cell}}, row(name, id)) AS any FROM peers GROUP BY day),
-missing AS (SELECT * FROM some WHERE cell IS NULL AND NOT dismissed),
+@query(f"""WITH {FILES}, {_TRIPS}, shown AS (SELECT * FROM files WHERE id % 3 = 0 OR lat IS NULL),
+peers AS (SELECT * FROM shown WHERE cell IS NOT NULL AND day IS NOT NULL),
+days AS (SELECT day, count(DISTINCT cell) AS cells, arg_max({{'lat': lat, 'lon': lon, 'cell': cell}}, row(name, id)) AS a_peer FROM peers GROUP BY day),
+missing AS (SELECT * FROM shown WHERE cell IS NULL AND NOT dismissed),
 met AS (SELECT m.id, abs(m.second - p.second) AS gap, {{'lat': p.lat, 'lon': p.lon, 'cell': p.cell}} AS p FROM missing m JOIN peers p ON m.day = p.day AND m.second IS NOT NULL AND p.second IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY abs(m.second - p.second), p.name DESC, p.second, p.id DESC) = 1),
 areas AS (SELECT cell, avg(lat) AS lat, avg(lon) AS lon FROM files WHERE cell IS NOT NULL GROUP BY cell),
 centres AS (SELECT trip, avg(lat) AS lat, avg(lon) AS lon FROM (SELECT trip, unnest(string_split(place, ',')) AS cell FROM trips) JOIN areas USING (cell) GROUP BY trip),
-chosen AS (SELECT m.*, d.cells, d.any, met.gap, met.p, c.lat AS t_lat, c.lon AS t_lon, tr.place FROM missing m LEFT JOIN days d ON d.day = m.day LEFT JOIN met ON met.id = m.id
+chosen AS (SELECT m.*, d.cells, d.a_peer, met.gap, met.p, c.lat AS t_lat, c.lon AS t_lon, tr.place FROM missing m LEFT JOIN days d ON d.day = m.day LEFT JOIN met ON met.id = m.id
   LEFT JOIN (SELECT m.id, arg_min({{'trip': trip, 'place': place}}, seq) AS tr FROM missing m JOIN trips ON m.day BETWEEN after AND before GROUP BY m.id) x ON x.id = m.id LEFT JOIN centres c ON c.trip = x.tr.trip LEFT JOIN trips tr ON tr.trip = x.tr.trip),
 ruled AS (SELECT *, CASE WHEN {_NOT} THEN 'not-a-capture' WHEN day IS NULL THEN 'undated' WHEN cells = 1 THEN 'same-day' WHEN cells > 1 AND gap <= 10800 THEN 'nearby-time' WHEN cells IS NULL AND t_lat IS NOT NULL THEN 'trip' ELSE 'ambiguous' END AS rule FROM chosen)
 SELECT id, content_hash, rule, CASE rule WHEN 'same-day' THEN 'strong' WHEN 'nearby-time' THEN 'medium' WHEN 'trip' THEN 'weak' ELSE 'none' END AS strength,
-  round(CASE rule WHEN 'same-day' THEN coalesce(p.lat, any.lat) WHEN 'nearby-time' THEN p.lat WHEN 'trip' THEN t_lat END, 6) AS lat, round(CASE rule WHEN 'same-day' THEN coalesce(p.lon, any.lon) WHEN 'nearby-time' THEN p.lon WHEN 'trip' THEN t_lon END, 6) AS lon,
-  CASE rule WHEN 'same-day' THEN coalesce(p.cell, any.cell) WHEN 'nearby-time' THEN p.cell WHEN 'trip' THEN split_part(place, ',', 1) END AS cell FROM ruled""")
+  round(CASE rule WHEN 'same-day' THEN coalesce(p.lat, a_peer.lat) WHEN 'nearby-time' THEN p.lat WHEN 'trip' THEN t_lat END, 6) AS lat, round(CASE rule WHEN 'same-day' THEN coalesce(p.lon, a_peer.lon) WHEN 'nearby-time' THEN p.lon WHEN 'trip' THEN t_lon END, 6) AS lon,
+  CASE rule WHEN 'same-day' THEN coalesce(p.cell, a_peer.cell) WHEN 'nearby-time' THEN p.cell WHEN 'trip' THEN split_part(place, ',', 1) END AS cell FROM ruled""")
 def location_gap_rules(spark: SparkSession, d: str) -> DataFrame:
     """Over files without a place and a third of the others (the sides of the rule), so that days without located files occur."""
     files = t.files(spark, d)
@@ -139,12 +139,12 @@ def trip_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 PICTURES = SKETCH + """,
-pictures AS (SELECT CAST(h.doc_id AS VARCHAR) AS content_hash, CASE WHEN h.doc_id % 10 <> 0 THEN '2024-01-0' || (1 + h.doc_id % 3) END AS day, CASE WHEN h.doc_id % 10 <> 0 THEN (h.doc_id // 3) * 20 END AS at, hi, lo, n_chars AS pixels FROM h JOIN documents d ON d.doc_id = h.doc_id)"""
+pictures AS (SELECT CAST(h.doc_id AS VARCHAR) AS content_hash, CASE WHEN h.doc_id % 10 <> 0 THEN '2024-01-0' || (1 + h.doc_id % 3) END AS day, CASE WHEN h.doc_id % 10 <> 0 THEN (h.doc_id // 3) * 20 END AS "at", hi, lo, n_chars AS pixels FROM h JOIN documents d ON d.doc_id = h.doc_id)"""
 _STACKS = """links AS (SELECT a.content_hash AS a, b.content_hash AS b FROM pictures a JOIN pictures b ON a.content_hash <> b.content_hash AND a.day IS NOT DISTINCT FROM b.day
-  WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= CASE WHEN a.day IS NOT NULL AND abs(a.at - b.at) <= 90 THEN 14 ELSE 6 END),
+  WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= CASE WHEN a.day IS NOT NULL AND abs(a."at" - b."at") <= 90 THEN 14 ELSE 6 END),
 r AS (SELECT DISTINCT a AS member, a AS g FROM links UNION SELECT links.b, r.g FROM r JOIN links ON links.a = r.member),
-g AS (SELECT member, min(g) AS g FROM r GROUP BY member),
-proposed AS (SELECT sha256(string_agg(content_hash, chr(10) ORDER BY content_hash))[:32] AS stack, string_agg(content_hash, ',' ORDER BY content_hash) AS contents, arg_min(content_hash, row(-pixels, at IS NULL, at, content_hash)) AS top, min(day) AS day FROM g JOIN pictures ON member = content_hash GROUP BY g)"""
+labels AS (SELECT member, min(g) AS label FROM r GROUP BY member),
+proposed AS (SELECT sha256(string_agg(content_hash, chr(10) ORDER BY content_hash))[:32] AS stack, string_agg(content_hash, ',' ORDER BY content_hash) AS contents, arg_min(content_hash, row(-pixels, "at" IS NULL, "at", content_hash)) AS top, min(day) AS day FROM labels JOIN pictures ON member = content_hash GROUP BY label)"""
 
 
 def pictures(spark: SparkSession, d: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import media_kind
+from lodestrata.operators.details import sidecar_names
 from lodestrata.shipping import ship
 
 
@@ -28,20 +28,57 @@ def _quoted(text: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() and c != "/" else c for c in text)
 
 
-def archive_members(spark: SparkSession, glob: str) -> DataFrame:
-    """archive, member, offset, size, crc, source_size of all files inside ZIP archives, one archive a task's row."""
+MAX_JSON = 2 << 20
+
+
+def _in_archives(spark: SparkSession, glob: str, each: Callable, schema: str) -> DataFrame:
+    """Rows that ``each(path, archive, info, size)`` yields for the members of ZIP archives.
+
+    Archives are listed without their contents and opened by seeking, so only their directories are read, and members that
+    ``each`` asks for. Their number, not their size, is what tasks share; an archive that changes meanwhile is an error.
+    """
     ship(spark)
-    archives = spark.read.format("binaryFile").load(glob).select("path", "content")
+    archives = spark.read.format("binaryFile").load(glob).select("path", "length", F.unix_micros("modificationTime").alias("mtime"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows += [(path, m.filename, m.header_offset, m.file_size, m.CRC, len(content)) for m in archive.infolist() if not m.is_dir() and ".." not in m.filename.split("/")]
-            yield pd.DataFrame(rows, columns=["archive", "member", "offset", "size", "crc", "source_size"])
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                with system.open_input_file(inner) as file, zipfile.ZipFile(file) as archive:
+                    rows = [r for m in archive.infolist() if not m.is_dir() for r in each(path, archive, m, length)]
+                if system.get_file_info(inner).size != length:
+                    raise RuntimeError(f"{path} changed while it was read")
+                if rows:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return archives.repartition("path").mapInPandas(run, schema)
+
+
+def archive_members(spark: SparkSession, glob: str) -> DataFrame:
+    """archive, member, offset, size, crc, source_size of all files inside ZIP archives; names that leave the archive are left out."""
+
+    def row(path, archive, m, length):
+        return [] if ".." in m.filename.split("/") else [(path, m.filename, m.header_offset, m.file_size, m.CRC, length)]
+
+    return _in_archives(spark, glob, row, "archive string, member string, offset long, size long, crc long, source_size long")
+
+
+def archive_sidecars(spark: SparkSession, glob: str, under: str = "Google Photos") -> DataFrame:
+    """path, folder, name, raw of the JSON files inside ZIP archives that lie under a folder of that name; ``path`` is archive and member."""
+
+    def row(path, archive, m, length):
+        parts = m.filename.split("/")
+        if not m.filename.lower().endswith(".json") or under not in parts[:-1] or ".." in parts or m.file_size > MAX_JSON:
+            return []
+        return [(f"{path}!{m.filename}", f"{path}!{'/'.join(parts[:-1])}", parts[-1], archive.read(m).decode("utf-8", "replace"))]
+
+    return _in_archives(spark, glob, row, "path string, folder string, name string, raw string").where(_tells_time())
+
 
-    return archives.mapInPandas(run, "archive string, member string, offset long, size long, crc long, source_size long")
+def _tells_time() -> Column:
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), "$.photoTakenTime", "variant")).isNotNull()
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -50,13 +87,24 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    """path, folder, title, taken, lat, lon of JSON files that tell when a photo was taken."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder).select("*", F.col("_metadata.file_path").alias("path"))
-    schema = "struct<title:string,photoTakenTime:struct<timestamp:string>,geoData:struct<latitude:double,longitude:double>,description:string>"
-    told = raw.where(F.length("value") <= 2 << 20).select("path", F.from_json("value", schema).alias("j")).where("j.photoTakenTime is not null")
-    zero = (F.col("j.geoData.latitude") == 0) & (F.col("j.geoData.longitude") == 0)
-    seconds = F.when(F.regexp_like("j.photoTakenTime.timestamp", F.lit(r"^\d+$")), F.col("j.photoTakenTime.timestamp").try_cast("long"))
-    return told.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "j.title", F.timestamp_seconds(seconds).alias("taken"), F.when(~zero, F.col("j.geoData.latitude")).alias("lat"), F.when(~zero, F.col("j.geoData.longitude")).alias("lon"), "j.description")
+    """path, folder, name, raw of the JSON files under a folder that tell when a photo was taken, of up to 2 MB."""
+    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(folder)
+    raw = text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_size").alias("bytes")).where(F.col("bytes") <= MAX_JSON)
+    cut = lambda i: F.regexp_extract("path", r"^(.*)/([^/]*)$", i)
+    return raw.select("path", cut(1).alias("folder"), cut(2).alias("name"), "raw").where(_tells_time())
+
+
+def attached(sidecars_: DataFrame, media: DataFrame) -> DataFrame:
+    """(path, id, status): each sidecar (path, folder, name, raw) with the one file of its folder (folder, name, id) that it can
+    belong to: attached, or ambiguous, or unmatched."""
+    title = F.try_variant_get(F.try_parse_json("raw"), "$.title", "string")
+    wanted = sidecars_.select("path", "folder", F.explode(sidecar_names(F.col("name"), title)).alias("wanted"))
+    m = media.select(F.col("folder").alias("m_folder"), F.col("name").alias("m_name"), "id")
+    met = wanted.join(m, (F.col("folder") == F.col("m_folder")) & (F.col("wanted") == F.col("m_name")))
+    found = met.groupBy(F.col("path").alias("f_path")).agg(F.count_distinct("m_name").alias("n"), F.min("id").alias("id"))
+    n = F.coalesce("n", F.lit(0))
+    out = sidecars_.select("path").join(found, F.col("path") == F.col("f_path"), "left")
+    return out.select("path", F.when(n == 1, F.col("id")).alias("id"), F.when(n == 1, "attached").when(n > 1, "ambiguous").otherwise("unmatched").alias("status"))
 
 
 def settlements(spark: SparkSession, path: str) -> DataFrame:

@@ -1,29 +1,48 @@
-"""Incremental jobs: files arrive, what is new is merged into a versioned table, readers follow a pointer.
+"""Incremental jobs: files arrive, what is new is merged into a versioned table, readers see the newest whole version.
 
 A stream of files is taken in micro-batches that stop when nothing is left (``availableNow``); the checkpoint
-remembers what was read. Each batch is merged with the last version by key, written as a new version, and only
-then named by the pointer, so readers see whole versions and a batch that is run again writes the same one.
+remembers what was read. A version is a folder whose name holds the batch's number. It counts once its marker file is
+there, which the writer's commit leaves as its last step, so there is no pointer that could be lost: a crash at any
+point leaves the version before it, and a batch that is run again writes its own version anew.
+
+Rows live in buckets of their keys. A batch rewrites the buckets that it touches and no others: a version holds these
+and, in a manifest, where the other buckets were last written.
 """
 
 from __future__ import annotations
 
+import re
+import threading
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 64
+
 
 def _version(folder: str, batch: int) -> str:
     return f"{folder}/version={batch:08d}"
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The version that the pointer names; None before the first."""
-    try:
-        name = spark.read.text(f"{folder}/pointer").first()
-    except Exception as error:  # the one way Spark tells of a path that isn't there
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return spark.read.parquet(name[0]) if name else None
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the whole versions, ascending: those whose manifest was committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/manifest/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(re.search(r"version=(\d+)", s.getPath().toString())[1]) for s in found)
+
+
+def _manifest(spark: SparkSession, folder: str, before: int | None) -> dict[int, str]:
+    """Where each bucket is, by the newest whole version under a number."""
+    whole = [v for v in versions(spark, folder) if before is None or v < before]
+    return {r["bucket"]: r["path"] for r in spark.read.parquet(f"{_version(folder, whole[-1])}/manifest").collect()} if whole else {}
+
+
+def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The newest whole version (of those under ``before``); None before the first."""
+    paths = sorted(set(_manifest(spark, folder, before).values()))
+    return spark.read.parquet(*paths) if paths else None
 
 
 def merge_batch(old: DataFrame | None, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,19 +51,91 @@ def merge_batch(old: DataFrame | None, new: DataFrame, key: str, order: str) ->
     return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
 
 
-def ingest(spark: SparkSession, source: str, schema: str, folder: str, key: str, order: str, files_a_batch: int = 1000) -> DataFrame:
-    """All of ``source`` (Parquet files), merged into ``folder`` by key; returns the version then current."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+def store_batch(batch: DataFrame, number: int, folder: str, key: str, order: str, buckets: int = BUCKETS) -> None:
+    """Merges a batch into the newest version before it and writes it as version ``number``; the same again if it is run again."""
+    spark, version = batch.sparkSession, _version(folder, number)
+    placed = batch.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in placed.select("__bucket").distinct().collect())  # at most ``buckets`` numbers
+    where = _manifest(spark, folder, number)
+    paths = [where[b] for b in touched if b in where]
+    old = spark.read.parquet(*paths) if paths else None
+    merged = merge_batch(old, batch, key, order).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    merged.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{version}/rows")
+    where |= {b: f"{version}/rows/__bucket={b}" for b in touched}
+    spark.createDataFrame(sorted(where.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{version}/manifest")
 
-    def store(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        merge_batch(current(session, folder), batch, key, order).write.mode("overwrite").parquet(_version(folder, number))
-        session.createDataFrame([(_version(folder, number),)], "path string").coalesce(1).write.mode("overwrite").text(f"{folder}/pointer")
 
+def ingest(spark: SparkSession, source: str, schema: str, folder: str, key: str, order: str, files_a_batch: int = 1000, buckets: int = BUCKETS) -> DataFrame:
+    """All of ``source`` (Parquet files), merged into ``folder`` by key; returns the version then current."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    store = lambda batch, number: store_batch(batch, number, folder, key, order, buckets)
     stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return current(spark, folder)
 
 
+def backlog(candidates: DataFrame, facts: DataFrame, errors: DataFrame, attempts: DataFrame, model: str, compatible: tuple[str, ...] = (), policy: str = "", key: str = "content_hash") -> DataFrame:
+    """Candidates that a stage still has to do, with ``retry``: those of which neither the model nor a compatible one has a fact,
+    and whose error, if there is one, was not yet retried under the policy.
+
+    facts, errors: (key, model); attempts: (key, model, policy). A retry counts once: an interrupted one isn't tried again.
+    """
+    done = facts.where(F.col("model").isin(model, *compatible)).select(F.col(key).alias("d"))
+    tried = attempts.where((F.col("model") == model) & (F.col("policy") == policy)).select(F.col(key).alias("t"))
+    failed = errors.where(F.col("model") == model).select(F.col(key).alias("f")).distinct()
+    open_ = candidates.join(done, F.col(key) == F.col("d"), "left_anti").join(failed, F.col(key) == F.col("f"), "left")
+    spent = tried.distinct() if policy else failed.select(F.col("f").alias("t"))
+    return open_.withColumn("retry", F.col("f").isNotNull()).drop("f").join(spent, F.col(key) == F.col("t"), "left_anti")
+
+
+def work_order(work: DataFrame, size: str = "size", archived: str = "archived", limit: int | None = None) -> DataFrame:
+    """The next pieces of work: retries first, then plain files before members of archives, then the smallest; at most ``limit``."""
+    ordered = work.orderBy(F.desc("retry"), archived, size)
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def run_stage(work: DataFrame, derive: Callable, schema: str, model: str, facts: str, errors: str, attempts: str, policy: str = "", key: str = "content_hash") -> None:
+    """Does the work and appends to the ledgers (Parquet folders): attempts first, then facts and parked errors.
+
+    ``derive`` is given batches as ``mapInPandas`` gives them and returns the schema's columns with ``key`` and ``error``: a row whose
+    error is null is a fact, any other is parked with its error, and the stage goes on.
+    """
+    if policy:
+        work.where("retry").select(key, F.lit(model).alias("model"), F.lit(policy).alias("policy")).write.mode("append").parquet(attempts)
+    from lodestrata.storage import materialise
+
+    made = materialise(work.mapInPandas(derive, schema).withColumn("model", F.lit(model)), "derived")
+    made.where("error is null").drop("error").write.mode("append").parquet(facts)
+    made.where("error is not null").select(key, "model", "error").write.mode("append").parquet(errors)
+
+
+def until_complete(roles: dict[str, list[Callable[[], int]]], most: int = 100) -> dict[str, list[int]]:
+    """Runs each role's stages in order, round after round, roles beside each other, until no stage's backlog shrinks.
+
+    A stage is a function that works once and returns how much is left; it is dropped when that is zero or no less than
+    before. Returns what was left of each stage. Spark shares the cluster among the roles' jobs.
+    """
+    left: dict[str, list[int]] = {}
+    lock = threading.Lock()
+
+    def run(role: str) -> None:
+        was: list[int | None] = [None] * len(roles[role])
+        open_ = set(range(len(was)))
+        for _ in range(most):
+            for i in sorted(open_):
+                n = roles[role][i]()
+                if n == 0 or (was[i] is not None and n >= was[i]):
+                    open_.discard(i)
+                was[i] = n
+            if not open_:
+                break
+        with lock:
+            left[role] = [n or 0 for n in was]
+
+    with ThreadPoolExecutor(len(roles) or 1) as pool:
+        list(pool.map(run, roles))
+    return left
+
+
 def windowed_counts(spark: SparkSession, source: str, schema: str, folder: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Rows by window of event time and kind, in a stream with a watermark; returns what is stored when the stream stops."""
     stream = spark.readStream.schema(schema).parquet(source).withColumn("at", F.col("ts").cast("timestamp"))

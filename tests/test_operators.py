@@ -234,13 +234,94 @@ def test_overlay_sets_and_order(spark):
     assert overlay.ordered_members(log, "entity", "member", "members").first()["members"] == [8, 7]
 
 
-def test_constraints():
-    merge = {"id": "1", "op": "merge", "members": ["a", "b"]}
-    split = {"id": "2", "op": "split", "members": ["a", "b"]}
-    assert overlay.entities(["a", "b", "c"], [merge]) == {"a": "a", "b": "a", "c": "c"}
-    with pytest.raises(overlay.Contradiction):
-        overlay.entities(["a", "b"], [merge, split])
-    assert overlay.entities(["a", "b"], [merge, split, {"id": "3", "op": "retract", "target": "1"}]) == {"a": "a", "b": "b"}
+def constraint(i, op, **fields):
+    return {"id": str(i), "op": op, "at": "2024-01-01T00:00:00Z", "reason": "seen", **fields}
+
+
+def test_constraints(spark):
+    """Merges, splits, refusals and retracts over many assignments of which few are named; contradictions are errors."""
+    data = [("o1", "a"), ("o2", "b"), ("o3", "b"), ("o4", "b"), ("o5", "c"), ("o6", None)] + [(f"x{i}", "b") for i in range(50)]
+    df = spark.createDataFrame(data, "observation string, entity string")
+    run = lambda *events: dict(rows(overlay.constrained(df, list(events))))
+    merge, split = constraint(1, "merge", left="b", right="a"), constraint(2, "split", entity="b", new_entity="n", observations=["o2", "o3"])
+    got = run(merge)
+    assert got["o1"] == got["o2"] == got["x7"] == "a" and got["o5"] == "c" and got["o6"] is None
+    assert run(split)["o2"] == "n" and run(split)["o4"] == "b" == run(split)["x1"]
+    assert run(constraint(3, "not-her", entity="b", observation="o4"))["o4"] is None
+    assert run(merge, constraint(4, "retract", target="1")) == dict(data)
+    for bad in ([split, constraint(5, "merge", left="n", right="b")], [constraint(6, "not-her", entity="a", observation="o4"), merge], [constraint(7, "merge", left="a", right="zz")],
+                [constraint(8, "split", entity="a", new_entity="n", observations=["o2"])], [constraint(9, "split", entity="b", new_entity="c", observations=["o2"])], [merge, merge],
+                [constraint(10, "retract", target="nothing")], [constraint(11, "merge", left="a", right="a")], [{**merge, "at": "2024-01-01T00:00:00"}], [{**merge, "more": "x"}]):
+        with pytest.raises(overlay.Contradiction):
+            run(*bad)
+    facts = df.withColumns({c: F.lit("x") for c in ("source_path", "source_span", "extractor", "extractor_version", "derived_at")})
+    out = overlay.published_assignments(facts, [merge], "log").where("observation = 'o2'").first()
+    assert out["entity"] == "a" and out["source_span"].startswith("sha256:") and out["derived_at"] == merge["at"] and out["correction_ids"] == '["1"]'
+
+
+def test_events_that_a_log_must_not_take(spark):
+    import json
+
+    name, other, digest = "a" * 32, "b" * 32, "c" * 64
+    good = [("person", {"person": "", "name": "Ann"}), ("merge_person", {"person": name, "into": other}), ("favorite", {"contents": [digest]}), ("set_date", {"contents": [digest], "date": "2024-02-29"}), ("trip", {"trip": "", "name": "x", "after": "2024-01-01", "before": "2024-01-02", "place": "1:2,-3:4"}),
+            ("set_location", {"contents": [digest], "lat": 1, "lon": -179.5}), ("stack", {"stack": "", "contents": [digest, "d" * 64], "top": digest}), ("search_review", {"mode": "visual", "query": "x", "item": digest, "verdict": "reset"})]
+    bad = [("fly", {}), ("person", {"person": name}), ("person", {"person": name, "name": " "}), ("person", {"person": "zz", "name": "x"}), ("merge_person", {"person": name, "into": name}), ("favorite", {"contents": []}), ("favorite", {"contents": [digest] * 201}), ("favorite", {"contents": ["x"]}),
+           ("set_date", {"contents": [digest], "date": "2023-02-29"}), ("trip", {"trip": "", "name": "x", "after": "2024-01-03", "before": "2024-01-02", "place": ""}), ("set_location", {"contents": [digest], "lat": 91, "lon": 0}), ("set_location", {"contents": [digest], "lat": True, "lon": 0}),
+           ("stack", {"stack": "", "contents": [digest], "top": digest}), ("stack", {"stack": "", "contents": [digest, "d" * 64], "top": "e" * 64}), ("dismiss_gap", {"gap": "x", "contents": [digest]}), ("add", {"person": "e" * 32, "contents": [digest]}), ("archive_trip", {"trip": name})]
+    df = spark.createDataFrame([(i, op, json.dumps(d)) for i, (op, d) in enumerate(good + bad)], "event int, op string, data string")
+    known = spark.createDataFrame([("person", name), ("person", other)], "kind string, id string")
+    got = dict(rows(overlay.append_errors(df, known)))
+    assert set(got) == set(range(len(good), len(good) + len(bad))) and got[len(good) + len(bad) - 1] == "unknown trip"
+
+
+def test_side_effects_and_faces(spark):
+    log = spark.createDataFrame([(1, "dismiss_gap", "date", "h1"), (2, "dismiss_gap", "date", "h2"), (3, "set_date", None, "h1"), (4, "ignore_faces", None, "f1"), (5, "faces", None, "f1"), (6, "faces", None, "f2"), (7, "ignore_faces", None, "f2"), (8, "unstack", None, "s1"), (9, "stack", None, "s1")], "seq int, op string, entity string, member string")
+    sets = overlay.members(overlay.with_side_effects(log), "entity", "member")
+    assert rows(sets) == [("dismissed:date", "h2"), ("ignored", "f2"), ("named", "f1"), ("stacks", "s1")]
+    told = spark.createDataFrame([(1, "add", "p", "h1", None), (2, "face", "p", "h2", "f1"), (3, "face", "q", "h2", "f2"), (4, "remove", "q", "h2", None), (5, "face", "p", "h3", "f3"), (6, "ignore", None, None, "f3"), (7, "remove", "p", "h4", None), (8, "face", "p", "h4", "f4")], "seq int, op string, person string, content_hash string, face_id string")
+    assert rows(overlay.tags(told)) == [("p", "h1"), ("p", "h2"), ("p", "h4")]
+
+
+def test_views(spark):
+    from lodestrata.operators import views
+
+    df = spark.createDataFrame
+    review = views.date_review(df([("h", "2024-01-01T10:00:00", "exif"), ("h", "2024-01-01T10:00:00", "exif")], "content_hash string, value string, source string"), df([("h", "IMG_20240102_101010.jpg"), ("g", "2024-01-05.jpg")], "content_hash string, name string"), df([("g", "inferred:file name (date):2024-01-05T12:00:00")], "content_hash string, choice string"), 2030)
+    assert sorted((r["content_hash"], r["status"], r["value"], r["source"], r["selected"]) for r in review.collect()) == [("g", "missing", "2024-01-05T12:00:00", "inferred", True), ("h", "single", "2024-01-01T10:00:00", "exif", False), ("h", "single", "2024-01-02T10:10:10", "inferred", False)]
+    faces = df([(1, 10), (2, 10), (3, 11)], "face_id int, content int")
+    named, ignored = df([(1, "p"), (2, "gone")], "face_id int, person string"), df([(3,)], "face_id int")
+    assert rows(views.faces_of(faces, named, ignored, df([("p",)], "person string"), df([("p", 1)], "person string, face_id int")).fillna("-")) == [(10, 1, "p", False, True), (10, 2, "-", False, False), (11, 3, "-", True, False)]
+    means = views.person_means(df([("p", [1.0, 0.0]), ("p", [0.0, 1.0]), ("q", [0.0, -1.0])], "person string, vector array<double>"))
+    hints = views.group_hints(df([(1, [0.6, 0.8]), (2, [-1.0, 0.0])], "group_id int, centroid array<double>"), means, 0.5)
+    assert [(r["group_id"], r["person"], round(r["similarity"], 6)) for r in hints.collect()] == [(1, "p", round(1.4 / 2**0.5, 6))]
+    groups = views.face_review(df([(1, 1), (2, 1), (4, 2), (5, 2), (3, 3)], "face_id int, group_id int"), df([(i,) for i in range(1, 6)], "face_id int"), named.where("face_id = 1"), ignored, hints)
+    assert [(r["group_id"], r["size"], r["person"]) for r in groups.collect()] == [(2, 2, None), (1, 1, "p")]
+    album = views.album_items(df([("a", ["h2", "h9", "h1"])], "album string, contents array<string>"), df([("h1", 1), ("h2", 2)], "content_hash string, id int")).orderBy("position").collect()
+    assert [(r["content_hash"], r["id"], r["total"], r["missing"]) for r in album] == [("h2", 2, 3, 1), ("h9", None, 3, 1), ("h1", 1, 3, 1)]
+    parsed = df([(1, '```json\n{"caption": "A dog.", "category": "photograph", "objects": [{"name": " Dog", "color": "Brown"}, {"name": "dog", "color": "brown"}]}\n```'), (2, '{"caption": "", "category": "photograph", "objects": []}'), (3, "no"), (4, '{"caption": "x", "category": "other", "objects": [], "more": 1}')], "i int, raw string")
+    got = {r["i"]: r["d"] for r in parsed.select("i", views.parsed_description(F.col("raw")).alias("d")).collect()}
+    assert got[1].asDict(True) == {"caption": "A dog.", "category": "photograph", "objects": [{"name": "dog", "color": "brown"}]} and got[2] is got[3] is got[4] is None
+
+
+def test_searches_by_trip_bucket_and_stack(spark):
+    df = spark.createDataFrame
+    items = df([(i, "photo", f"2024-01-{i:02d}", f"n{i}", f"h{i}", 0.05 * (i % 2), 0.0) for i in range(1, 10)], "id int, kind string, day string, name string, content_hash string, lat double, lon double")
+    trips, out = df([("t", "2024-01-02", "2024-01-08", "0:0")], "trip string, after string, before string, place string"), df([("t", "h4")], "trip string, content_hash string")
+    assert [r["id"] for r in search.in_trip(items, trips, out, "t").orderBy("id").collect()] == [2, 3, 5, 6, 7, 8]
+    with pytest.raises(ValueError):
+        search.in_trip(items, trips, out, "u")
+    buckets = df([("b",), ("empty",)], "bucket string")
+    members = df([("b", "h3")], "bucket string, content_hash string")
+    assert search.in_bucket(items, buckets, members, "b").count() == 1 and search.in_bucket(items, buckets, members, "empty").count() == 0
+    with pytest.raises(ValueError):
+        search.in_bucket(items, buckets, members, "c")
+    stacked = search.with_stacks(items, df([("h1", "s", True), ("h2", "s", False)], "content_hash string, stack string, is_top boolean"))
+    assert [search.search(stacked, search.Search(**k)).count() for k in ({}, {"stack": "all"}, {"stack": "s"}, {"kind": "stacks"})] == [8, 9, 2, 1]
+    page = search.page(items, search.Search(limit=4, offset=4), totals=True).collect()
+    assert [(r["id"], r["total"], r["next_offset"]) for r in page] == [(5, 9, 8), (4, 9, 8), (3, 9, 8), (2, 9, 8)] and search.page(items, search.Search(limit=9), totals=True).first()["next_offset"] is None
+    assert [search.date_phrase(q) for q in ("2024", "2024-03", "2024-03-05", "March 2024", "2024 mar.", "ma 2024", "2024 x", "")] == [("year", "2024"), ("month", "2024-03"), ("day", "2024-03-05"), ("month", "2024-03"), ("month", "2024-03"), None, None, None]
+    days = rollups.ordered_offsets(items.groupBy("day").agg(F.count("*").alias("n")))
+    assert [tuple(r) for r in search.date_hits(days, "jan 2024").collect()] == [("month", "2024-01", 9, 0)] and search.date_hits(days, "nothing").count() == 0
 
 
 def test_empty_tables(spark):
@@ -259,12 +340,21 @@ def test_files(spark, tmp_path):
     (tmp_path / "in/a.json").write_text('{"title": "a.JPG", "photoTakenTime": {"timestamp": "1709115330"}, "geoData": {"latitude": 0, "longitude": 0}}')
     walked = {r["relpath"]: (r["kind"], r["size"]) for r in files.walk(spark, str(tmp_path / "in")).collect()}
     assert walked["a.JPG"] == ("photo", 1) and walked["sub/b.mp4"] == ("video", 2) and ".hidden" not in walked
-    side = files.sidecars(spark, str(tmp_path / "in")).first()
-    assert side["title"] == "a.JPG" and side["lat"] is None and side["taken"] is not None
+    side = files.sidecars(spark, str(tmp_path / "in"))
+    assert side.count() == 1 and side.first()["name"] == "a.json"
+    media = files.walk(spark, str(tmp_path / "in")).select(side.select("folder").scalar().alias("folder"), F.col("relpath").alias("name"), F.col("size").alias("id"))
+    assert files.attached(side, media).first()["status"] == "attached" and files.attached(side, media.limit(0)).first()["status"] == "unmatched"
     with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
         z.writestr("m/1.jpg", b"abc")
         z.writestr("../evil.jpg", b"abc")
-    assert [(r["member"], r["size"]) for r in files.archive_members(spark, str(tmp_path / "*.zip")).collect()] == [("m/1.jpg", 3)]
+        z.writestr("Takeout/Google Photos/x/1.jpg.json", '{"title": "1.jpg", "photoTakenTime": {"timestamp": "-5"}}')
+        z.writestr("Takeout/Else/1.jpg.json", '{"photoTakenTime": {"timestamp": "5"}}')
+    assert [(r["member"], r["size"]) for r in files.archive_members(spark, str(tmp_path / "*.zip")).where("member like '%jpg'").collect()] == [("m/1.jpg", 3)]
+    inside = files.archive_sidecars(spark, str(tmp_path / "*.zip"))
+    from lodestrata.operators import details
+
+    claims = details.sidecar_claims(inside).where("attribute = 'date'").collect()
+    assert inside.first()["name"] == "1.jpg.json" and [(r["value"], r["meaning"]) for r in claims] == [("1969-12-31T23:59:55+00:00", "capture")]
     (tmp_path / "log.jsonl").write_text('{"a": 1}\nnot json\n{"a": 2}\n')
     assert files.json_lines(spark, str(tmp_path / "log.jsonl"), "a int").count() == 2
     with pytest.raises(Exception):
@@ -274,9 +364,60 @@ def test_files(spark, tmp_path):
 def test_stream_takes_up_where_it_stopped(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int").coalesce(1).write.parquet(source)
-    assert rows(ingest.ingest(spark, source, "k int, v string, t int", folder, "k", "t")) == [(1, "a", 1), (2, "b", 1)]
+    assert rows(ingest.ingest(spark, source, "k int, v string, t int", folder, "k", "t", buckets=4)) == [(1, "a", 1), (2, "b", 1)]
     spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, t int").coalesce(1).write.mode("append").parquet(source)
-    assert rows(ingest.ingest(spark, source, "k int, v string, t int", folder, "k", "t")) == [(1, "a", 1), (2, "c", 2), (3, "d", 2)]
+    assert rows(ingest.ingest(spark, source, "k int, v string, t int", folder, "k", "t", buckets=4)) == [(1, "a", 1), (2, "c", 2), (3, "d", 2)]
+
+
+def test_a_crash_between_any_two_steps_loses_no_row(spark, tmp_path, monkeypatch):
+    """A batch that dies before its manifest is whole leaves the version before it; run again, it writes the same."""
+    import shutil
+
+    folder = str(tmp_path / "t")
+    batch = lambda *r: spark.createDataFrame(list(r), "k int, v string, t int")
+    ingest.store_batch(batch((1, "a", 1), (2, "b", 1)), 0, folder, "k", "t", 4)
+    was = rows(ingest.current(spark, folder))
+    real, seen = ingest._version, []
+    for steps in (1, 2):  # before the rows, before the manifest
+        seen.clear()
+        monkeypatch.setattr(ingest, "merge_batch" if steps == 1 else "sorted", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")), raising=False)
+        with pytest.raises(RuntimeError):
+            ingest.store_batch(batch((2, "c", 2)), 1, folder, "k", "t", 4)
+        monkeypatch.undo()
+        assert rows(ingest.current(spark, folder)) == was
+    ingest.store_batch(batch((2, "c", 2)), 1, folder, "k", "t", 4)
+    (tmp_path / "t/version=00000001/manifest/_SUCCESS").unlink()  # the commit of the manifest did not come through
+    assert rows(ingest.current(spark, folder)) == was and real(folder, 1).endswith("00000001")
+    ingest.store_batch(batch((2, "c", 2)), 1, folder, "k", "t", 4)
+    ingest.store_batch(batch((2, "c", 2)), 1, folder, "k", "t", 4)
+    assert rows(ingest.current(spark, folder)) == [(1, "a", 1), (2, "c", 2)] and ingest.versions(spark, folder) == [0, 1]
+    shutil.rmtree(tmp_path / "t/version=00000001/manifest")
+    assert rows(ingest.current(spark, folder)) == was
+
+
+def test_stages_retry_once_and_park_errors(spark, tmp_path):
+    df = spark.createDataFrame
+    facts, errors, attempts = (str(tmp_path / x) for x in ("facts", "errors", "attempts"))
+    empty = {facts: "content_hash string, length long, model string", errors: "content_hash string, model string, error string", attempts: "content_hash string, model string, policy string"}
+    for path, schema in empty.items():
+        df([], schema).write.parquet(path)
+    candidates = df([("a", 1, False), ("bb", 2, True), ("ccc", 3, False)], "content_hash string, size long, archived boolean")
+    read = lambda path: spark.read.schema(empty[path]).parquet(path)
+    left = lambda policy="", same=(): ingest.backlog(candidates, read(facts), read(errors), read(attempts), "m", same, policy)
+
+    def derive(batches):
+        for b in batches:
+            yield b.assign(length=b["content_hash"].str.len(), error=[None if x != "bb" else "unreadable" for x in b["content_hash"]])[["content_hash", "length", "error"]]
+
+    go = lambda policy="": ingest.run_stage(ingest.work_order(left(policy)), derive, "content_hash string, length long, error string", "m", facts, errors, attempts, policy)
+    assert [r["content_hash"] for r in ingest.work_order(left()).collect()] == ["a", "ccc", "bb"]
+    go()
+    assert rows(read(facts)) == [("a", 1, "m"), ("ccc", 3, "m")] and rows(read(errors)) == [("bb", "m", "unreadable")] and left().count() == 0
+    assert [(r["content_hash"], r["retry"]) for r in left("second").collect()] == [("bb", True)]
+    go("second")
+    assert left("second").count() == 0 and left("third").count() == 1 and ingest.backlog(candidates, read(facts), read(errors), read(attempts), "new", ("m",)).count() == 1
+    counts = {"x": [3, 2, 2, 9], "y": [0]}
+    assert ingest.until_complete({k: [lambda v=iter(v): next(v)] for k, v in counts.items()}) == {"x": [2], "y": [0]}
 
 
 def test_rebuilds_are_equal(spark, small):
@@ -294,6 +435,10 @@ def test_sinks(spark, tmp_path):
     assert sinks.publish_if_changed(b.withColumn("k", F.lit(2)), folder) and sinks.published(spark, folder).first()["k"] == 2
     sinks.export_buckets(a, str(tmp_path / "export"))
     assert (tmp_path / "export/bucket=x y").is_dir()
+    clash = spark.createDataFrame([(1, "a:b"), (2, "a b"), (3, "..")], "k int, bucket string")
+    sinks.export_buckets(clash, str(tmp_path / "clash"))
+    assert sorted(x.name for x in (tmp_path / "clash").iterdir() if x.is_dir()) == ["bucket=a b", "bucket=a b (2)", "bucket=untitled"]
+    assert sinks.published(spark, str(tmp_path / "nothing")) is None
     with pytest.raises(Exception):
         sinks.export_buckets(a, str(tmp_path / "export"))
     sinks.append_log(a, str(tmp_path / "log"))
