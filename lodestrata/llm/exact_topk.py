@@ -10,7 +10,10 @@ is the sum of its local scores, one for each slice, as in a search over several
 3. What such a candidate lacks in the other slices is resolved exactly, and the k best of the block go to the
    final merge. Ties go to smaller ids, so the result is unique.
 
-Scores are exact: products are summed in a float type only while every possible sum is an integer it holds.
+Scores are exact: products are summed in a float type only while every possible sum is an integer it holds. Vectors so
+long that a score might not fit a long are an error that says so.
+
+A block computes its local scores in both phases; what the cutoff saves is what is resolved, sorted and sent.
 See grid.py for what takes part, for repeated rows and for how the work is dealt.
 """
 
@@ -34,7 +37,7 @@ def _numbers(table, scale: int) -> np.ndarray:
 
 def _type(a: np.ndarray, b: np.ndarray) -> type:
     """A type in which all sums of products of the two matrices' rows are exact."""
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    bound = np.linalg.norm(a, axis=1).max(initial=0) * np.linalg.norm(b, axis=1).max(initial=0)  # no score, nor any part of one, is larger
     if bound >= 2.0**62:
         raise OverflowError("scores do not fit a long")
     return np.float32 if bound < 2.0**24 else np.float64 if bound < 2.0**53 else np.int64

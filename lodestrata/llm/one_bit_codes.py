@@ -6,10 +6,15 @@ A vector, divided by its length, is turned by a random rotation; the index keeps
 divided by the second scalar, estimates the inner product without bias, and its error stays under
 ``width * |q| * sqrt((1 - s*s) / (s*s)) / sqrt(d - 1)`` but for a small share of cases.
 
-A query scans the codes of a block. The k best estimates are scored exactly, which gives a cutoff; every vector
-whose estimate plus error bound reaches the cutoff is scored exactly as well, in double precision on the
-original vectors. The blocks' k best are merged. The rotation depends on dimension and seed alone: nothing is
-learned from the data, and every vector is indexed.
+The query side: its turned components are rounded to ``LEVELS`` evenly spaced levels, whose binary digits are packed
+into as many words as a code has. The product of a code with them is a sum of popcounts of ANDed words, one for each
+digit, so codes are never unpacked.
+
+A query scans the codes of a block. Its ``FIRST`` * k best estimates are scored exactly, and the k-th best of these is a
+cutoff; every vector whose estimate plus error bound reaches it is scored exactly as well, in double precision on
+the original vectors. The blocks' k best are merged. The rotation depends on dimension and seed alone: nothing is
+learned from the data, and every vector is indexed. Original vectors travel with their codes, in the type they have: at
+64 dimensions a query's rescored vectors are some 4% of a block, and to fetch so many for each query would send more.
 
 Zero vectors take no part; see grid.py for the rest and for how the work is dealt.
 """
@@ -23,11 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.grid import Grid, lists, matrix, own_places, ranked, sound
+from lodestrata.llm.grid import Grid, best, lists, matrix, own_places, ranked, sound
 from lodestrata.shipping import ship
 
-WIDTH = 1.9
-CHUNK = 256
+WIDTH, FIRST, DIGITS = 1.5, 4, 4
+LEVELS, BATCH = 1 << DIGITS, 1 << 15
+CHUNK = 16  # queries whose estimates of a block are held at a time, so that they stay in cache
 
 
 @lru_cache(maxsize=4)
@@ -51,7 +57,7 @@ def build_index(vectors: DataFrame, seed: int = 7, id_column: str = "vec_id", ve
     import pyarrow as pa
 
     ship(vectors.sparkSession)
-    taking = vectors.where(sound(vector) & F.exists(vector, lambda x: x != 0)).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id is not null")
+    taking = vectors.where(sound(vector) & F.exists(vector, lambda x: x != 0)).select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,52 +65,78 @@ def build_index(vectors: DataFrame, seed: int = 7, id_column: str = "vec_id", ve
             code, length, product = [None] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for dim in np.unique(sizes):
                 own = np.flatnonzero(sizes == dim)
-                x = batch.column("vector").take(pa.array(own)).flatten().to_numpy().reshape(len(own), -1)
+                x = batch.column("vector").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
                 bits, length[own], product[own] = encode(x, seed)
                 for i, b in zip(own, bits, strict=True):
                     code[i] = b.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(code, pa.binary()), pa.array(length), pa.array(product)], ["id", "vector", "code", "length", "product"])
 
-    return taking.mapInArrow(run, "id long, vector array<double>, code binary, length double, product double")
+    kind = taking.schema["vector"].dataType.simpleString()
+    return taking.mapInArrow(run, f"id long, vector {kind}, code binary, length double, product double")
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of packed bits as rows of 64-bit words."""
+    padded = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+    padded[:, : bits.shape[1]] = bits
+    return padded.view(np.uint64)
+
+
+class Estimator:
+    """Estimates and error bounds of inner products with the vectors of a block."""
+
+    def __init__(self, codes: np.ndarray, length: np.ndarray, product: np.ndarray, dim: int, width: float) -> None:
+        self.words, self.dim = np.ascontiguousarray(_words(codes).T), dim
+        self.ones = np.bitwise_count(self.words).sum(axis=0, dtype=np.float32)
+        product = np.minimum(product, 1)
+        self.scale = (length / (product * np.sqrt(dim))).astype(np.float32)
+        self.spread = (length * np.sqrt(1 - product**2) / product * width / np.sqrt(max(1, dim - 1))).astype(np.float32)
+
+    def estimate(self, turned: np.ndarray) -> np.ndarray:
+        """Of each query's turned components with each vector."""
+        top = np.abs(turned).max(axis=1, keepdims=True)
+        top[top == 0] = 1.0
+        level = np.clip(np.floor((turned / top + 1) / 2 * LEVELS), 0, LEVELS - 1).astype(np.int64)
+        step = 2 * top / LEVELS  # a level stands for step * (level + 1/2) - top
+        sums = np.zeros((len(turned), self.words.shape[1]), np.uint32)
+        for digit in range(DIGITS):
+            planes = _words(np.packbits(level >> digit & 1, axis=1).astype(np.uint8))
+            for w, codes in enumerate(self.words):
+                sums += np.bitwise_count(codes & planes[:, w, None]).astype(np.uint32) << np.uint32(digit)
+        low, whole = (step / 2 - top).astype(np.float32), (step * (level + 0.5) - top).sum(axis=1, keepdims=True).astype(np.float32)
+        return (2 * (step.astype(np.float32) * sums + low * self.ones) - whole) * self.scale
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, width: float = WIDTH, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (id, vector) in an index made with ``seed``."""
     ship(index.sparkSession)
-    asked = queries.select("id", F.col("vector").cast("array<double>").alias("vector")).distinct().withColumn("query", F.xxhash64("id", "vector"))
+    asked = queries.select("id", F.col("vector").cast(index.schema["vector"].dataType).alias("vector")).distinct().withColumn("query", F.xxhash64("id", "vector"))
     grid = Grid(index, asked)
 
     def meet(left, right):
         q, x = matrix(left), matrix(right)
         dim = x.shape[1]
         ids, names = right.column("id").to_numpy(), left.column("id").to_numpy()
-        raw = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        signs = np.unpackbits(raw, axis=1, count=dim).astype(np.float32) * 2 - 1
-        length, product = right.column("length").to_numpy(), np.minimum(right.column("product").to_numpy(), 1)
-        scale = (length / (product * np.sqrt(dim))).astype(np.float32)
-        spread = (length * np.sqrt(1 - product**2) / product * width / np.sqrt(max(1, dim - 1))).astype(np.float32)
-        turned, reach = (q @ rotation(dim, seed)).astype(np.float32), np.linalg.norm(q, axis=1).astype(np.float32)
-        rows, places = own_places(names, ids)
-        n, out_rows, out_ids, out_scores = min(k, len(ids)), [], [], []
+        codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        block = Estimator(codes, right.column("length").to_numpy(), right.column("product").to_numpy(), dim, width)
+        turned, reach = q @ rotation(dim, seed), np.linalg.norm(q, axis=1).astype(np.float32)
+        mine, places = own_places(names, ids)
+        n, found = min(FIRST * k, len(ids)), []
         for at in range(0, len(q), CHUNK):
-            estimate = turned[at : at + CHUNK] @ signs.T * scale
-            mine = (rows >= at) & (rows < at + CHUNK)
-            estimate[rows[mine] - at, places[mine]] = -np.inf
+            estimate = block.estimate(turned[at : at + CHUNK])
+            own = (mine >= at) & (mine < at + CHUNK)
+            estimate[mine[own] - at, places[own]] = -np.inf
             first = np.argpartition(estimate, len(ids) - n, axis=1)[:, len(ids) - n :]
-            for i, near in enumerate(first):
-                row = at + i
-                sure = np.sort(x[near[np.isfinite(estimate[i, near])]] @ q[row])
-                if not len(sure):
-                    continue
-                upper = estimate[i] + spread * reach[row]
-                chosen = np.flatnonzero(upper >= (sure[0] if len(sure) == k else -np.finfo(np.float32).max))
-                chosen = np.union1d(chosen, near[np.isfinite(estimate[i, near])])
-                exact = (x[chosen] * q[row]).sum(axis=1)
-                order = np.lexsort((ids[chosen], -exact))[:k]
-                out_rows.append(np.full(len(order), row))
-                out_ids.append(ids[chosen[order]])
-                out_scores.append(exact[order])
-        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        return [left.column("query").combine_chunks(), left.column("id").combine_chunks(), *lists(flat(out_rows, np.int64), left.num_rows, flat(out_ids, np.int64), flat(out_scores, np.float64))]
+            sure = np.einsum("qnd,qd->qn", x[first], q[at : at + CHUNK])
+            sure[np.isneginf(np.take_along_axis(estimate, first, axis=1))] = -np.inf
+            cutoff = np.sort(sure, axis=1)[:, -min(k, n)] if n >= k else np.full(len(sure), -np.inf)
+            reaches = (estimate + block.spread * reach[at : at + CHUNK, None] >= cutoff[:, None]) & np.isfinite(estimate)
+            np.put_along_axis(reaches, first, np.isfinite(sure), axis=1)
+            row, place = np.nonzero(reaches)
+            exact = np.concatenate([(x[place[a : a + BATCH]] * q[at + row[a : a + BATCH]]).sum(axis=1) for a in range(0, len(row), BATCH)] or [np.empty(0)])
+            row, i, exact = best(row, ids[place], exact, k)
+            found.append((row + at, i, exact))
+        rows, i, s = (np.concatenate(parts) for parts in zip(*found, strict=True))
+        return [left.column("query").combine_chunks(), left.column("id").combine_chunks(), *lists(rows, left.num_rows, i.astype(np.int64), s.astype(np.float64))]
 
     return ranked(grid.run(meet, "query long, query_id long, ids array<long>, scores array<double>"), k, "double")

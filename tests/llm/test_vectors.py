@@ -78,9 +78,47 @@ def test_estimates_and_bounds():
     x, q = rng.standard_normal((4000, 64)), rng.standard_normal(64)
     bits, length, product = one_bit_codes.encode(x, 7)
     signs = np.unpackbits(bits, axis=1).astype(float) * 2 - 1
-    estimate = signs @ (q @ one_bit_codes.rotation(64, 7)) * length / (product * 8)
+    turned = q @ one_bit_codes.rotation(64, 7)
+    estimate = signs @ turned * length / (product * 8)
     bound = length * np.sqrt(1 - product**2) / product * 1.9 / np.sqrt(63) * np.linalg.norm(q)
     assert (np.abs(estimate - x @ q) <= bound).mean() > 0.93 and abs((estimate - x @ q).mean()) < 0.1
+    # By popcounts: the same, but for the rounding of the query to levels, and exactly that of the rounded query.
+    packed = one_bit_codes.Estimator(bits, length, product, 64, 1.9)
+    top = np.abs(turned).max()
+    rounded = (np.clip(np.floor((turned / top + 1) / 2 * 16), 0, 15) + 0.5) / 16 * 2 * top - top
+    got = packed.estimate(turned[None, :])[0]
+    assert np.allclose(got, signs @ rounded * length / (product * 8), atol=1e-3) and np.abs(got - estimate).std() < 0.3 * np.abs(estimate - x @ q).std()
+    assert np.allclose(packed.spread * np.linalg.norm(q), bound, rtol=1e-5)
+
+
+def test_codes_of_odd_widths():
+    rng = np.random.default_rng(3)
+    for dim in (1, 7, 65, 130):
+        x, q = rng.standard_normal((50, dim)), rng.standard_normal((2, dim))
+        bits, length, product = one_bit_codes.encode(x, 7)
+        signs = np.unpackbits(bits, axis=1, count=dim).astype(float) * 2 - 1
+        turned = q @ one_bit_codes.rotation(dim, 7)
+        top = np.abs(turned).max(axis=1, keepdims=True)
+        rounded = (np.clip(np.floor((turned / top + 1) / 2 * 16), 0, 15) + 0.5) / 16 * 2 * top - top
+        assert np.allclose(one_bit_codes.Estimator(bits, length, product, dim, 1.0).estimate(turned), (rounded @ signs.T) * length / (product * np.sqrt(dim)), atol=1e-3)
+
+
+def test_recall_on_a_whole_table(spark):
+    """The query over sf0.1 against brute force."""
+    from lodestrata.llm.queries import op8_one_bit_codes
+
+    folder = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], np.array(r["embedding"], np.float64)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got: dict = {}
+    for r in op8_one_bit_codes(spark, folder).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -score))[:20]].tolist()) & set(got[int(ids[i])])) / 20)
+    assert len(hits) == len(got) and np.mean(hits) >= 0.95
 
 
 def test_empty_tables(spark):
