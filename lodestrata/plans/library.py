@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import details, gaps, stacks
+from lodestrata.operators import details, gaps, overlay, rollups, search, stacks, views
 from lodestrata.plans.likeness import SKETCH
 from lodestrata.sources import tables as t
+from lodestrata.streaming import ingest
 
 QUERIES, SQL = {}, {}
 
@@ -175,3 +176,125 @@ def effective_stacks(spark: SparkSession, d: str) -> DataFrame:
     proposals = stacks.propose(pictures(spark, d))
     separated = proposals.where(F.col("stack").startswith("0")).select("stack")
     return stacks.effective(owner, proposals, separated, docs.where(k % 11 != 0)).withColumn("contents", F.array_join("contents", ","))
+
+
+@query(f"""WITH {FILES}, {_TRIPS}, t AS (SELECT * FROM trips WHERE trip = 4) SELECT id, day, name FROM files, t WHERE day BETWEEN after AND before AND list_contains(string_split(place, ','), cell) AND NOT id % 10 = 7""")
+def search_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A saved trip's items, without those that were taken out of it."""
+    files = t.files(spark, d)
+    excluded = files.where("id % 10 = 7").select(F.lit(4).alias("trip"), "content_hash")
+    return search.in_trip(files, _trips(spark, d), excluded, 4).select("id", "day", "name")
+
+
+_TOPS = "tops AS (SELECT o_custkey % 500 AS stack, min(o_orderkey) AS top FROM orders WHERE o_orderkey % 6 = 1 GROUP BY 1 HAVING count(*) > 1)"
+_SHOWN = f"WITH {FILES}, {_TOPS}, shown AS (SELECT f.*, s.stack FROM files f LEFT JOIN (SELECT o_orderkey, stack, top FROM orders JOIN tops ON o_custkey % 500 = stack WHERE o_orderkey % 6 = 1) s ON f.id = s.o_orderkey WHERE s.stack IS NULL OR s.top = f.id)"
+
+
+def _stacked(spark: SparkSession, d: str) -> DataFrame:
+    o = t.table(spark, d, "orders").where("o_orderkey % 6 = 1").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"), (F.col("o_custkey") % 500).alias("stack"), F.col("o_orderkey").alias("k"))
+    tops = o.groupBy(F.col("stack").alias("s")).agg(F.min("k").alias("top"), F.count("*").alias("n")).where("n > 1")
+    members = o.join(tops, F.col("stack") == F.col("s")).select("content_hash", F.col("stack").cast("string").alias("stack"), (F.col("k") == F.col("top")).alias("is_top"))
+    return search.with_stacks(t.files(spark, d), members)
+
+
+@query(_SHOWN + """ SELECT id, day, name, CAST(stack AS VARCHAR) AS stack, total, CASE WHEN total > 140 THEN CAST(140 AS BIGINT) END AS next_offset FROM shown, (SELECT count(*) AS total FROM shown WHERE day >= '1994-01-01')
+WHERE day >= '1994-01-01' ORDER BY day DESC NULLS LAST, name DESC, id LIMIT 80 OFFSET 60""")
+def search_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """A page in which stacks show their tops only, with the total and where the next page begins."""
+    spec = search.Search(after="1994-01-01", offset=60, limit=80)
+    return search.page(_stacked(spark, d), spec, totals=True).select("id", "day", "name", "stack", "total", "next_offset")
+
+
+@query(f"""WITH {FILES}, d AS (SELECT day, count(*) AS n FROM files GROUP BY day), o AS (SELECT day, n, coalesce(sum(n) OVER (ORDER BY day DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM d)
+SELECT 'month' AS kind, '1995-03' AS value, CAST(sum(n) AS BIGINT) AS count, CAST(min("offset") AS BIGINT) AS "offset" FROM o WHERE starts_with(day, '1995-03') UNION ALL
+SELECT 'year', '1996', CAST(sum(n) AS BIGINT), CAST(min("offset") AS BIGINT) FROM o WHERE starts_with(day, '1996')""")
+def date_jumps(spark: SparkSession, d: str) -> DataFrame:
+    """What 'Mar 1995' and '1996' lead to in the timeline."""
+    days = rollups.ordered_offsets(t.files(spark, d).groupBy("day").agg(F.count("*").alias("n")))
+    return search.date_hits(days, "Mar 1995").unionByName(search.date_hits(days, "1996")).withColumns({c: F.col(c).cast("long") for c in ("count", "offset")})
+
+
+@query(f"""WITH {FILES}, claims AS (SELECT content_hash, value, 'exif' AS source FROM files WHERE value IS NOT NULL), told AS (SELECT content_hash, strftime(make_timestamp((1400000000 + id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS value FROM files WHERE id % 3 <> 0)
+SELECT content_hash, 'single' AS status, value, source, CAST(NULL AS DOUBLE) AS confidence, FALSE AS selected FROM claims
+UNION ALL SELECT t.content_hash, CASE WHEN c.value IS NULL THEN 'missing' ELSE 'single' END, t.value, 'inferred', CAST(0.6 AS DOUBLE), f.id % 7 = 0 FROM told t JOIN files f USING (content_hash) LEFT JOIN claims c USING (content_hash)""")
+def date_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Claimed dates, those that names tell, and which of them the owner chose."""
+    files = t.files(spark, d)
+    named = files.where("id % 3 <> 0").select("content_hash", "id", F.concat(F.lit("p"), (F.col("id") + 1400000000).cast("string"), F.lit("_.jpg")).alias("name"))
+    iso = F.date_format(F.timestamp_seconds(F.col("id") + 1400000000), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    chosen = named.where("id % 7 = 0").select("content_hash", F.concat(F.lit("inferred:file name (epoch):"), iso).alias("choice"))
+    claims = files.where("value is not null").select("content_hash", "value", F.lit("exif").alias("source"))
+    return views.date_review(claims, named.select("content_hash", "name"), chosen, 2060).drop("choice")
+
+
+_FACES = "f AS (SELECT vec_id AS face_id, vec_id % 97 AS content, label FROM embeddings), named AS (SELECT face_id, label AS person FROM f WHERE face_id % 5 = 0), ignored AS (SELECT face_id FROM f WHERE face_id % 7 = 3)"
+
+
+def _faces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f = t.vectors(spark, d).select(F.col("vec_id").alias("face_id"), (F.col("vec_id") % 97).alias("content"), "label", "vector")
+    return f, f.where("face_id % 5 = 0").select("face_id", F.col("label").alias("person")), f.where("face_id % 7 = 3").select("face_id")
+
+
+@query(f"WITH {_FACES} SELECT content, f.face_id, CASE WHEN person <> 2 THEN person END AS person, i.face_id IS NOT NULL AS ignored, coalesce(person <> 2 AND person * 5 + 5 = f.face_id, FALSE) AS cover FROM f LEFT JOIN named n ON n.face_id = f.face_id LEFT JOIN ignored i ON i.face_id = f.face_id")
+def photo_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Every face with whom it is named for; one person is no longer there."""
+    f, named, ignored = _faces(spark, d)
+    people = f.select(F.col("label").alias("person")).distinct().where("person <> 2")
+    covers = people.select("person", (F.col("person") * 5 + 5).cast("long").alias("face_id"))
+    return views.faces_of(f, named, ignored, people, covers)
+
+
+@query(f"""WITH {_FACES}, v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), e AS (SELECT person, i, avg(x[i]) AS a FROM named JOIN v ON vec_id = face_id, range(1, 65) r(i) GROUP BY person, i), u AS (SELECT person, list(a ORDER BY i) AS y, sqrt(sum(a * a)) AS n FROM e GROUP BY person),
+g AS (SELECT label * 100 + vec_id % 10 AS group_id, arg_min(x, vec_id) AS c, list(vec_id ORDER BY vec_id) FILTER (vec_id % 5 <> 0 AND vec_id % 7 <> 3) AS faces FROM v GROUP BY 1),
+h AS (SELECT group_id, person, list_dot_product(c, y) / n AS s FROM g, u QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY list_dot_product(c, y) / n DESC, person) = 1)
+SELECT g.group_id, CAST(len(faces) AS BIGINT) AS size, faces[1] AS first_face, CASE WHEN s >= CAST(0.3 AS DOUBLE) THEN person END AS person, CASE WHEN s >= CAST(0.3 AS DOUBLE) THEN round(s, 6) END AS similarity FROM g LEFT JOIN h USING (group_id) WHERE len(faces) > 0""")
+def face_review(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of faces that are still to be named, with the person whose mean their first face is like."""
+    f, named, ignored = _faces(spark, d)
+    members = f.select("face_id", (F.col("label") * 100 + F.col("face_id") % 10).alias("group_id"), "vector")
+    means = views.person_means(named.join(f.select(F.col("face_id").alias("i"), "vector"), F.col("face_id") == F.col("i")).select("person", "vector"))
+    hints = views.group_hints(members.groupBy("group_id").agg(F.min_by("vector", "face_id").alias("centroid")), means, 0.3)
+    out = views.face_review(members.select("face_id", "group_id"), f, named, ignored, hints)
+    return out.select("group_id", "size", F.col("faces")[0].alias("first_face"), "person", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT l_orderkey AS album, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS position, l_partkey AS content_hash, p_partkey AS id, count(*) OVER (PARTITION BY l_orderkey) AS total, count(*) FILTER (p_partkey IS NULL) OVER (PARTITION BY l_orderkey) AS missing
+FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) ON l_partkey = p_partkey""")
+def album_items(spark: SparkSession, d: str) -> DataFrame:
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
+    albums = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("album")).agg(listed.alias("contents"))
+    parts = t.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("content_hash"), F.col("p_partkey").alias("id"))
+    return views.album_items(albums, parts)
+
+
+@query("""WITH c AS (SELECT doc_id, n_chars, source FROM documents), facts AS (SELECT doc_id FROM c WHERE doc_id % 3 = 0), errors AS (SELECT doc_id FROM c WHERE doc_id % 5 = 1), tried AS (SELECT doc_id FROM c WHERE doc_id % 10 = 1)
+SELECT doc_id, doc_id IN (SELECT doc_id FROM errors) AS retry FROM c WHERE doc_id NOT IN (SELECT doc_id FROM facts) AND doc_id NOT IN (SELECT doc_id FROM tried)""")
+def retry_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """What a stage still has to do under a retry policy, with facts of two models that are as good."""
+    c = t.table(spark, d, "documents").select("doc_id")
+    facts = c.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "new").otherwise("old").alias("model"))
+    errors, tried = c.where("doc_id % 5 = 1").withColumn("model", F.lit("new")), c.where("doc_id % 10 = 1").select("doc_id", F.lit("new").alias("model"), F.lit("again").alias("policy"))
+    return ingest.backlog(c, facts, errors, tried, "new", ("old",), "again", "doc_id")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, user_id, ts FROM events), l AS (SELECT 'dismissed:date' AS entity, user_id AS member, ts, event_id, CASE event_type WHEN 'error' THEN 'add' ELSE 'remove' END AS op FROM e WHERE event_type IN ('error', 'view')
+  UNION ALL SELECT 'favorites', user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'add' ELSE 'remove' END FROM e WHERE event_type IN ('purchase', 'signup'))
+SELECT entity, member FROM l QUALIFY row_number() OVER (PARTITION BY entity, member ORDER BY ts DESC, event_id DESC) = 1 AND op = 'add'""")
+def overlay_side_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Dismissals, which setting a date clears, and favourites."""
+    kinds = {"error": "dismiss_gap", "view": "set_date", "purchase": "favorite", "signup": "unfavorite"}
+    op = F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v)])[F.col("event_type")]
+    log = t.table(spark, d, "events").select(F.struct("ts", "event_id").alias("seq"), op.alias("op"), F.lit("date").alias("entity"), F.col("user_id").alias("member")).where("op is not null")
+    return overlay.members(overlay.with_side_effects(log), "entity", "member")
+
+
+@query("""WITH e AS (SELECT user_id AS person, event_id % 20 AS h, row(ts, event_id) AS s, event_id % 40 AS face, event_type AS k FROM events),
+tag AS (SELECT person, h, arg_max(k, s) AS last, max(s) FILTER (k = 'error') AS removed FROM e WHERE k IN ('view', 'error') GROUP BY ALL),
+faces AS (SELECT person, h, s FROM e WHERE k IN ('purchase', 'signup') QUALIFY row_number() OVER (PARTITION BY face, person % 50 ORDER BY s DESC) = 1 AND k = 'purchase')
+SELECT person, h AS content_hash FROM tag WHERE last = 'view' UNION SELECT f.person, f.h FROM faces f LEFT JOIN tag USING (person, h) WHERE removed IS NULL OR removed < f.s""")
+def overlay_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags by hand and those that named faces imply."""
+    op = F.create_map(*[F.lit(x) for x in ("view", "add", "error", "remove", "purchase", "face", "signup", "ignore")])[F.col("event_type")]
+    face = F.struct((F.col("event_id") % 40).alias("f"), (F.col("user_id") % 50).alias("u"))
+    log = t.table(spark, d, "events").select(F.struct("ts", "event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("person"), (F.col("event_id") % 20).alias("content_hash"), face.alias("face_id")).where("op is not null")
+    return overlay.tags(log)
