@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm import url_filter
 from lodestrata.llm.components import smallest_reachable
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
@@ -280,13 +281,26 @@ def keep_first(docs: DataFrame, grouped: DataFrame, id_column: str, text: str) -
     # The row travels as one value, so that no name of its columns can clash with those of the join.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"))
     same = (F.col("doc_id") == F.col("gone")) & (F.col("h") == F.col("gone_h"))
-    kept = whole.join(goes, same, "left_anti")
+    # Most rows stay, and a filter of those that go tells so where they lie: only the others meet the exact join.
+    may_go = among(F.col("doc_id"), F.col("h"), goes.select(F.col("gone").alias("doc_id"), F.col("gone_h").alias("h")))
+    kept = whole.where(~may_go).unionByName(whole.where(may_go).join(goes, same, "left_anti"))
     again = goes.where("stays")  # rows that are there several times: one of them stays
     if not again.isEmpty():
-        kept = kept.unionByName(whole.join(again, same, "left_semi").dropDuplicates(["doc_id", "h"]))
+        kept = kept.unionByName(whole.where(may_go).join(again, same, "left_semi").dropDuplicates(["doc_id", "h"]))
     return kept.select("row.*")
 
 
+def among(doc_id: Column, h: Column, keys: DataFrame) -> Column:
+    """Whether a row's id and text hash may be among ``keys`` (doc_id, h): never false for one that is, and false for a null id.
+
+    A blocked Bloom filter of at most ``url_filter.MAX_FILTER_BYTES``; beyond the keys that fill it, more others pass.
+    """
+    key = lambda i, t: F.concat_ws(":", i.cast("string"), t.cast("string"))
+    blocks = max(1, min(-(-keys.count() // url_filter.KEYS_A_BLOCK), url_filter.MAX_FILTER_BYTES // 32))
+    words = url_filter.bloom_filter(keys.select(key(F.col("doc_id"), F.col("h")).alias("key")), blocks).scalar()
+    return doc_id.isNotNull() & F.coalesce(url_filter.may_hold(words, key(doc_id, h), blocks), F.lit(False))
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
