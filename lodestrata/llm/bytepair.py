@@ -16,7 +16,7 @@ import numpy as np
 
 from lodestrata.llm.recent import Recent
 
-CACHED_WORDS = 250_000
+CACHED_WORDS = 80_000
 #: Fixed value: the pattern that byte-level tokenizers of this family cut by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _AFTER_SPACE = re.compile(r"\s |\0")

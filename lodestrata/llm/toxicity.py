@@ -44,7 +44,7 @@ from lodestrata.llm.quality import fold, share_of
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
 
-SAMPLE, HISTORY, WINDOW, DISCOUNT, CACHED_WORDS, LONG_WORD = 3000, 7, 16, 0.75, 200_000, 64
+SAMPLE, HISTORY, WINDOW, DISCOUNT, CACHED_WORDS, LONG_WORD = 3000, 7, 16, 0.75, 60_000, 64
 TOXIC_SHARE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 START, STOP = "^", "$"
