@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import times
@@ -109,7 +109,7 @@ def unchanged(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ("derived_at
 
 
 def first_occurrence(rows: DataFrame, digest: str, order: list[Column]) -> DataFrame:
-    """One row for each content, the first in order; rows without a digest are all kept."""
-    w = Window.partitionBy(digest).orderBy(*order)
-    named = rows.where(F.col(digest).isNotNull()).withColumn("__at", F.row_number().over(w)).where("__at = 1").drop("__at")
+    """One row for each content, the first in (ascending) order; rows without a digest are all kept. Copies are combined before the shuffle."""
+    first = rows.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("__d")).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*order)).alias("r"))
+    named = first.select("r.*")
     return named.unionByName(rows.where(F.col(digest).isNull()))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, vectors
+from lodestrata.operators import gaps
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
 
@@ -150,19 +151,20 @@ def nearest_place(places: DataFrame, settlements: DataFrame) -> DataFrame:
 
 
 def nearest_in_day(rows: DataFrame, peers: DataFrame, seconds: int) -> DataFrame:
-    """Each row (id, day, at) with the peer (p_id, p_day, p_at) of its day nearest in time, at most some seconds off.
+    """(id, p_id, gap): each row (id, day, at) with the peer (p_id, p_day, p_at) of its day nearest in time, ties to the smaller, at most some seconds off.
 
-    A day's peers are cut to the two that lie next to each row by a window over both, so no pairs are formed.
+    Of a moment's peers one is kept, and neighbours in time are found within ranges and then between them, so no pairs are
+    formed and no day is one task.
     """
-    own = rows.select("id", "day", "at", F.lit(None).cast(peers.schema["p_id"].dataType).alias("p_id"))
-    both = own.unionByName(peers.select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.col("p_day").alias("day"), F.col("p_at").alias("at"), "p_id"))
-    peer = F.when(F.col("p_id").isNotNull(), F.struct("at", "p_id"))
-    before = F.last(peer, ignorenulls=True).over(Window.partitionBy("day").orderBy(F.col("at"), F.col("p_id").desc_nulls_last()))
-    after = F.last(peer, ignorenulls=True).over(Window.partitionBy("day").orderBy(F.col("at").desc(), F.col("p_id").desc_nulls_last()))
-    near = both.withColumns({"b": before, "a": after}).where("id is not null")
-    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("gap"), F.col(f"{c}.p_id").alias("p_id")))
-    best = F.least(option("b"), option("a"))
-    return near.withColumn("best", best).where(F.col("best.gap") <= seconds).select("id", F.col("best.p_id").alias("p_id"), F.col("best.gap").alias("gap"))
+    known = peers.groupBy(F.col("p_day").alias("day"), F.col("p_at").alias("at")).agg(F.min("p_id").alias("p_id"))
+    asked = rows.select("day", "at").distinct().withColumn("p_id", F.lit(None).cast(peers.schema["p_id"].dataType))
+    points = known.unionByName(asked).where("day is not null and at is not null").groupBy("day", "at").agg(F.min("p_id").alias("p_id"))
+    near = gaps.nearest_known(points, ["day"], "at", "p_id", 600)
+    side = lambda c, gap: F.when(F.col(c).isNotNull(), F.struct(gap.alias("gap"), F.col(f"{c}.value").alias("p_id")))
+    best = F.least(side("below", F.col("at") - F.col("below.at")), side("above", F.col("above.at") - F.col("at")))
+    found = near.select(F.col("day").alias("n_day"), F.col("at").alias("n_at"), best.alias("best"))
+    met = rows.select("id", "day", "at").join(found, (F.col("day") == F.col("n_day")) & (F.col("at") == F.col("n_at")))
+    return met.where(F.col("best.gap") <= seconds).select("id", "best.p_id", "best.gap")
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, times
+from lodestrata.storage import materialise
 
 
 def ordered_offsets(days: DataFrame) -> DataFrame:
@@ -95,5 +96,15 @@ def highlights(items: DataFrame, k: int) -> DataFrame:
 
 
 def chunked(rows: DataFrame, by: str, order: str, size: int = 200) -> DataFrame:
-    """Rows of one value in numbered chunks of at most ``size``."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("long"))
+    """Rows of one value in numbered chunks of at most ``size``.
+
+    Rows are stored in ranges of value and order; each is ranked within its range, and counts of the ranges before give the
+    rest, so a value that most rows have is ranked by many tasks.
+    """
+    ranged = materialise(rows.repartitionByRange(by, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__r")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__by").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__by", "__r", before.alias("__before"))
+    at = F.row_number().over(Window.partitionBy(by, "__range").orderBy(order)) - 1
+    met = ranged.withColumn("__at", at).join(offsets, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r")))
+    return met.withColumn("chunk", F.floor((F.col("__at") + F.col("__before")) / size).cast("long")).drop("__range", "__at", "__by", "__r", "__before")

@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,15 +35,35 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lodestrata/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing."""
+def materialise(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing.
+
+    Inside ``scratch`` the table goes with it, unless it ``stays``.
+    """
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _tables(spark) if stays else _scratch.get() or _tables(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were materialised inside it; what reads them must have been written by then."""
+    path = f"{_tables(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        _delete(spark, path)
+
+
 def discard(spark: SparkSession) -> None:
-    """Deletes this application's intermediate tables; what reads them must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all of this application's intermediate tables; what reads them must have been written before."""
+    _delete(spark, _tables(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)

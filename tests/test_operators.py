@@ -466,6 +466,26 @@ def test_details(spark):
     assert details.described(photos, "gray cat").count() == 1 and details.described(photos, "red street").count() == 0 and details.described(photos, "car street").count() == 1 and details.described(photos, "blue cat").count() == 0
 
 
+def test_chunks_of_a_hot_value(spark):
+    rng = random.Random(2)
+    data = [(rng.choice((1, 1, 1, 2, None)), i) for i in rng.sample(range(5000), 700)]
+    got = [tuple(r) for r in rollups.chunked(spark.createDataFrame(data, "v int, k int"), "v", "k", 50).collect()]
+    for v in {v for v, _ in data}:
+        own = sorted(k for x, k in data if x == v)
+        assert sorted((r[1], r[2]) for r in got if r[0] == v) == [(k, i // 50) for i, k in enumerate(own)]
+
+
+def test_scratch_tables_go(spark):
+    from lodestrata import storage
+
+    with storage.scratch(spark):
+        inside = storage.materialise(spark.range(3), "inside")
+        kept = storage.materialise(inside, "kept", stays=True)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        inside.count()
+
+
 def test_intermediate_tables(spark):
     from lodestrata import storage
 
