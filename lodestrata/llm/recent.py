@@ -18,8 +18,10 @@ class Recent(dict):
         if len(key) > LONGEST:
             return self.make(key)
         value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+        return self.keep(key, self.make(key) if value is None else value)
+
+    def keep(self, key, value):
+        """Takes in a value that was made elsewhere."""
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
