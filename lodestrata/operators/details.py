@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, text, times, vectors
-from lodestrata.operators import journeys
+from lodestrata.operators import journeys, rollups
 from lodestrata.shipping import ship
 
 #: How sure a fact of each kind is.
@@ -370,6 +370,17 @@ def trip_paths(items: DataFrame, trips: DataFrame, excluded: DataFrame, most: in
     return kept.select("trip", F.col("i").alias("number"), "p.lat", "p.lon", "points", "located", "days")
 
 
+def missing_artifacts(items: DataFrame, have: DataFrame, key: str = "id") -> DataFrame:
+    """Every item without an artifact, with its place in the order of work: plain ones newest first, then members of archives by archive and offset.
+
+    items: (id, day, place_in: struct of archive and offset, null for plain files); have: the items that have one. Places are
+    found within stored ranges and then between them, so no task sees all rows.
+    """
+    missing = items.join(have.select(F.col(key).alias("__have")), F.col(key) == F.col("__have"), "left_anti")
+    later = F.when(F.col("place_in").isNull(), F.coalesce("day", F.lit("")))
+    return rollups.placed(missing, F.col("place_in").isNotNull(), later.desc(), F.col("place_in"), F.col(key))
+
+
 def evidence_bundle(items: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """Items with all their facts (attribute, value) as one sorted list."""
     listed = facts.groupBy(F.col(key).alias("__k")).agg(F.sort_array(F.collect_list(F.struct("attribute", "value"))).alias("facts"))

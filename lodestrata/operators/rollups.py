@@ -95,6 +95,19 @@ def highlights(items: DataFrame, k: int) -> DataFrame:
     return ranked.join(F.broadcast(wanted.select("place")), F.col("at") == F.col("place"), "left_semi").drop("__day", "offset")
 
 
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows with ``place`` (from 1) in an order that leaves no ties.
+
+    Rows are stored in ranges of the order, sorted, and numbered where they are; counts of the ranges before give the rest.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialise(ranged.withColumn("__n", F.monotonically_increasing_id()).withColumn("__range", F.spark_partition_id()), "placed")
+    counts = stored.groupBy(F.col("__range").alias("__r")).agg(F.min("__n").alias("__first"), F.count("*").alias("n"))  # one row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = stored.join(F.broadcast(counts.withColumn("__before", before)), F.col("__range") == F.col("__r"))
+    return met.withColumn("place", F.col("__n") - F.col("__first") + F.col("__before") + 1).drop("__n", "__range", "__r", "__first", "n", "__before")
+
+
 def chunked(rows: DataFrame, by: str, order: str, size: int = 200) -> DataFrame:
     """Rows of one value in numbered chunks of at most ``size``.
 

@@ -163,10 +163,12 @@ def reviewed(ranked: DataFrame, reviews: DataFrame, query: str, mode: str, key:
 def visual_hits(scored: DataFrame, described: DataFrame, most: int = 200) -> DataFrame:
     """(content_hash, score, tagged, rank): what a colour and a noun describe comes first, by hash, then the best scores; at most ``most``.
 
-    scored: (content_hash, score); described: (content_hash) that the query's words fit.
+    scored: (content_hash, score); described: (content_hash) that the query's words fit, whether they have a score or not.
     """
-    tags = described.select(F.col("content_hash").alias("__t")).distinct()
-    met = scored.join(tags, F.col("content_hash") == F.col("__t"), "left").select("content_hash", "score", F.col("__t").isNotNull().alias("tagged"))
+    best = scored.groupBy("content_hash").agg(F.max("score").alias("score"))
+    tags = described.select(F.col("content_hash").alias("__t")).where("__t is not null").distinct()
+    met = best.join(tags, F.col("content_hash") == F.col("__t"), "full_outer")
+    met = met.select(F.coalesce("content_hash", "__t").alias("content_hash"), "score", F.col("__t").isNotNull().alias("tagged"))
     order = [F.desc("tagged"), F.when(~F.col("tagged"), -F.col("score")), "content_hash"]
     top = met.orderBy(*order).limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over the cut rows

@@ -9,7 +9,7 @@ from lodestrata.functions import geo, times, vectors
 from lodestrata.operators import evidence, journeys, overlay
 from lodestrata.plans.catalogue import CELL, ITEMS
 from lodestrata.sources import tables as t
-from lodestrata.storage import shared_folder
+from lodestrata.storage import materialise, workspace
 
 QUERIES, SQL = {}, {}
 
@@ -220,27 +220,23 @@ def overlay_merges(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, event_type, value FROM events")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events taken in by a stream, merged by key into a versioned table."""
-    import uuid
-
     from lodestrata.streaming import ingest
 
     e = t.table(spark, d, "events").select("event_id", "event_type", "value", "ts")
-    folder = f"{shared_folder(spark)}/lodestrata/stream-{uuid.uuid4().hex}"
-    e.write.parquet(f"{folder}/in")
-    return ingest.ingest(spark, f"{folder}/in", e.schema.simpleString()[7:-1].replace(":", " "), folder, "event_id", "ts").select("event_id", "event_type", "value")
+    with workspace(spark, "stream") as folder:
+        e.write.parquet(f"{folder}/in")
+        return materialise(ingest.ingest(spark, f"{folder}/in", e.schema.simpleString()[7:-1].replace(":", " "), folder, "event_id", "ts").select("event_id", "event_type", "value"), "ingested")
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts by event time in a stream with a watermark."""
-    import uuid
-
     from lodestrata.streaming import ingest
 
     e = t.table(spark, d, "events").select("event_type", "value", "ts")
-    folder = f"{shared_folder(spark)}/lodestrata/stream-{uuid.uuid4().hex}"
-    e.write.parquet(f"{folder}/in")
-    out = ingest.windowed_counts(spark, f"{folder}/in", "event_type string, value double, ts timestamp_ntz", folder)
+    with workspace(spark, "stream") as folder:
+        e.write.parquet(f"{folder}/in")
+        out = materialise(ingest.windowed_counts(spark, f"{folder}/in", "event_type string, value double, ts timestamp_ntz", folder), "windows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 

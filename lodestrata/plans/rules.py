@@ -234,7 +234,13 @@ def item_lookup(spark: SparkSession, d: str) -> DataFrame:
     return i.select("id", "kind", geo.cell_key(F.col("lat"), F.col("lon")).alias("cell"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages) ORDER BY n_chars DESC, doc_id LIMIT 100")
+@query("""WITH m AS (SELECT o_orderkey AS id, o_custkey % 4 = 0 AS zipped, o_custkey % 50 AS archive, o_orderkey * 7919 % 1000003 AS off, CASE WHEN o_orderkey % 9 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders
+  WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3))
+SELECT id, CAST(row_number() OVER (ORDER BY zipped, CASE WHEN NOT zipped THEN coalesce(day, '') END DESC, CASE WHEN zipped THEN archive END, CASE WHEN zipped THEN off END, id) AS BIGINT) AS place FROM m""")
 def missing_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    docs = t.table(spark, d, "documents").select("doc_id", "n_chars")
-    return docs.join(t.table(spark, d, "pages"), F.col("doc_id") == F.col("page_id"), "left_anti").orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id")
+    """Every order without a third line: plain ones newest first, then members of archives as they lie there."""
+    k, customer = F.col("o_orderkey"), F.col("o_custkey")
+    at = F.struct((customer % 50).alias("archive"), (k * 7919 % 1000003).alias("offset"))
+    items = t.table(spark, d, "orders").select(k.alias("id"), F.when(k % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.when(customer % 4 == 0, at).alias("place_in"))
+    have = t.table(spark, d, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("id"))
+    return details.missing_artifacts(items, have).select("id", "place")

@@ -59,6 +59,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _delete(spark, path)
 
 
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own in the shared one, for a stream's input, state and checkpoint; deleted at the end."""
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _delete(spark, path)
+
+
 def discard(spark: SparkSession) -> None:
     """Deletes all of this application's intermediate tables; what reads them must have been written before."""
     _delete(spark, _tables(spark))

@@ -6,7 +6,8 @@ there, which the writer's commit leaves as its last step, so there is no pointer
 point leaves the version before it, and a batch that is run again writes its own version anew.
 
 Rows live in buckets of their keys. A batch rewrites the buckets that it touches and no others: a version holds these
-and, in a manifest, where the other buckets were last written.
+and, in a manifest, where the other buckets were last written, and how many buckets there are. A batch that asks for
+another number deals the whole table anew.
 """
 
 from __future__ import annotations
@@ -33,15 +34,16 @@ def versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(re.search(r"version=(\d+)", s.getPath().toString())[1]) for s in found)
 
 
-def _manifest(spark: SparkSession, folder: str, before: int | None) -> dict[int, str]:
-    """Where each bucket is, by the newest whole version under a number."""
+def _manifest(spark: SparkSession, folder: str, before: int | None) -> tuple[dict[int, str], int]:
+    """Where each bucket is, and among how many, by the newest whole version under a number; 0 before the first."""
     whole = [v for v in versions(spark, folder) if before is None or v < before]
-    return {r["bucket"]: r["path"] for r in spark.read.parquet(f"{_version(folder, whole[-1])}/manifest").collect()} if whole else {}
+    rows = spark.read.parquet(f"{_version(folder, whole[-1])}/manifest").collect() if whole else []  # at most as many as buckets
+    return {r["bucket"]: r["path"] for r in rows}, rows[0]["buckets"] if rows else 0
 
 
 def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """The newest whole version (of those under ``before``); None before the first."""
-    paths = sorted(set(_manifest(spark, folder, before).values()))
+    paths = sorted(set(_manifest(spark, folder, before)[0].values()))
     return spark.read.parquet(*paths) if paths else None
 
 
@@ -51,21 +53,28 @@ def merge_batch(old: DataFrame | None, new: DataFrame, key: str, order: str) ->
     return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
 
 
-def store_batch(batch: DataFrame, number: int, folder: str, key: str, order: str, buckets: int = BUCKETS) -> None:
-    """Merges a batch into the newest version before it and writes it as version ``number``; the same again if it is run again."""
+def store_batch(batch: DataFrame, number: int, folder: str, key: str, order: str, buckets: int | None = None) -> None:
+    """Merges a batch into the newest version before it and writes it as version ``number``; the same again if it is run again.
+
+    ``buckets``: as before, or BUCKETS in the first version, if None. An empty batch leaves the version before it.
+    """
     spark, version = batch.sparkSession, _version(folder, number)
-    placed = batch.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    touched = sorted(r[0] for r in placed.select("__bucket").distinct().collect())  # at most ``buckets`` numbers
-    where = _manifest(spark, folder, number)
+    where, had = _manifest(spark, folder, number)
+    buckets = buckets or had or BUCKETS
+    if had not in (0, buckets):
+        batch, where = merge_batch(spark.read.parquet(*sorted(set(where.values()))), batch, key, order), {}
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())  # at most ``buckets`` numbers
+    if not touched:
+        return
     paths = [where[b] for b in touched if b in where]
-    old = spark.read.parquet(*paths) if paths else None
-    merged = merge_batch(old, batch, key, order).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    merged = merge_batch(spark.read.parquet(*paths) if paths else None, batch, key, order).withColumn("__bucket", bucket)
     merged.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{version}/rows")
     where |= {b: f"{version}/rows/__bucket={b}" for b in touched}
-    spark.createDataFrame(sorted(where.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{version}/manifest")
+    spark.createDataFrame([(b, path, buckets) for b, path in sorted(where.items())], "bucket int, path string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{version}/manifest")
 
 
-def ingest(spark: SparkSession, source: str, schema: str, folder: str, key: str, order: str, files_a_batch: int = 1000, buckets: int = BUCKETS) -> DataFrame:
+def ingest(spark: SparkSession, source: str, schema: str, folder: str, key: str, order: str, files_a_batch: int = 1000, buckets: int | None = None) -> DataFrame:
     """All of ``source`` (Parquet files), merged into ``folder`` by key; returns the version then current."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     store = lambda batch, number: store_batch(batch, number, folder, key, order, buckets)

@@ -1,9 +1,9 @@
 import pytest
 from parity import assert_same
 
-from lodestrata.plans import catalogue, evidence, library, likeness, rules
+from lodestrata.plans import catalogue, evidence, library, likeness, rules, upkeep
 
-PLANS = {name: (f, plan.SQL.get(name)) for plan in (catalogue, evidence, likeness, rules, library) for name, f in plan.QUERIES.items()}
+PLANS = {name: (f, plan.SQL.get(name)) for plan in (catalogue, evidence, likeness, rules, library, upkeep) for name, f in plan.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in PLANS.items() if sql])
