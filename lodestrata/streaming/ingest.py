@@ -19,6 +19,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 BUCKETS = 64
 
@@ -56,21 +57,28 @@ def merge_batch(old: DataFrame | None, new: DataFrame, key: str, order: str) ->
 def store_batch(batch: DataFrame, number: int, folder: str, key: str, order: str, buckets: int | None = None) -> None:
     """Merges a batch into the newest version before it and writes it as version ``number``; the same again if it is run again.
 
-    ``buckets``: as before, or BUCKETS in the first version, if None. An empty batch leaves the version before it.
+    ``buckets``: as before, or BUCKETS in the first version, if None. An empty batch leaves the version before it, unless it asks for another number.
     """
     spark, version = batch.sparkSession, _version(folder, number)
     where, had = _manifest(spark, folder, number)
     buckets = buckets or had or BUCKETS
-    if had not in (0, buckets):
-        batch, where = merge_batch(spark.read.parquet(*sorted(set(where.values()))), batch, key, order), {}
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())  # at most ``buckets`` numbers
-    if not touched:
+    stored = StructType([*batch.schema.fields, StructField("__bucket", IntegerType())])
+    # whatever made the batch runs once
+    merge_batch(None, batch, key, order).withColumn("__bucket", bucket).write.mode("overwrite").partitionBy("__bucket").parquet(f"{version}/incoming")
+    incoming = spark.read.schema(stored).parquet(f"{version}/incoming")
+    touched = sorted(r[0] for r in incoming.select("__bucket").distinct().collect())  # at most ``buckets`` numbers
+    if not touched and had in (0, buckets):
         return
-    paths = [where[b] for b in touched if b in where]
-    merged = merge_batch(spark.read.parquet(*paths) if paths else None, batch, key, order).withColumn("__bucket", bucket)
+    new, was = incoming.drop("__bucket"), None
+    if had not in (0, buckets):
+        was, where, touched = spark.read.parquet(*sorted(set(where.values()))), {}, list(range(buckets))
+    elif paths := [where[b] for b in touched if b in where]:
+        was = spark.read.parquet(*paths)
+    merged = merge_batch(was, new, key, order).withColumn("__bucket", bucket)
     merged.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{version}/rows")
-    where |= {b: f"{version}/rows/__bucket={b}" for b in touched}
+    made = spark.read.schema(stored).parquet(f"{version}/rows").select("__bucket").distinct().collect() if not where else [(b,) for b in touched]
+    where |= {b: f"{version}/rows/__bucket={b}" for b in sorted(r[0] for r in made)}
     spark.createDataFrame([(b, path, buckets) for b, path in sorted(where.items())], "bucket int, path string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{version}/manifest")
 
 
