@@ -36,7 +36,7 @@ from lodestrata.llm.bytepair import byte_letters
 from lodestrata.llm.recent import LONGEST, Recent
 from lodestrata.shipping import ship
 
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 300_000
 #: Characters of the texts that are encoded together.
 SLICE = 4_000_000
 #: Letters of the words that are merged together, round by round; longer words are merged one by one.
@@ -276,6 +276,8 @@ class SpeculativeEncoder:
 
     def cut(self, chunk: str) -> list[str | int]:
         """A chunk's words in byte letters, and the ids of added tokens."""
+        if chunk.isalpha() and chunk.isascii():
+            return [chunk.lower()]
         out: list[str | int] = []
         for run in self.mark.split(chunk) if "<|" in chunk else (chunk,):
             if run in self.added:
@@ -320,23 +322,20 @@ class TextDigests:
 
     def found(self, cuts: list[list[str]]) -> dict[str, tuple[bytes, str, int]]:
         """What each chunk of a slice comes to."""
-        every, new, here = set().union(*cuts), [], {"": (b"", "", 0)}
+        every, kept = set().union(*cuts), self.kept
         every.discard("")
-        kept = self.kept
-        for c in every:
-            if c in kept:
-                here[c] = kept[c]
-            elif c in kept.older:
-                here[c] = kept.older[c]
-            else:
-                new.append(c)
-        again = [c for c in here if c and c not in kept]
-        decode = self.model.decode
+        here = {c: kept[c] for c in every & kept.keys()}
+        every -= here.keys()
+        older = {c: kept.older[c] for c in every & kept.older.keys()}
+        new = list(every - older.keys())
+        decode, made = self.model.decode, older
         for c, ids in zip(new, self.model.encode_chunks(new), strict=True):
-            here[c] = array("I", ids).tobytes(), decode(ids) + " " if ids else "", len(ids)
-        for c in (*again, *new):
+            made[c] = array("I", ids).tobytes(), decode(ids) + " " if ids else "", len(ids)
+        for c, known in made.items():
             if len(c) <= LONGEST:
-                kept.keep(c, here[c])
+                kept.keep(c, known)
+        here |= made
+        here[""] = b"", "", 0
         return here
 
     def of(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
