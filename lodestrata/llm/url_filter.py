@@ -3,7 +3,8 @@
 Every URL is split into host and path. A short list of rules decides first: a rule ``host/path`` fits its host,
 all subdomains of it and every path that starts with its own; the longest fitting rule wins (of equally long
 ones the first in code point order). What no rule decides is looked up in a list of canonical URLs: a blocked
-Bloom filter passes the possible hits, and an exact hash join with the list removes the false positives.
+Bloom filter passes the possible hits, and only these meet the list in an exact hash join that removes the false
+positives; all other pages are decided where they lie.
 
 The filter: a key's XXH64 picks one block of four 64-bit words, and four more hash bytes pick one bit in each
 word, so a probe touches one cache line. The list's size bounds the filter: at ``KEYS_A_BLOCK`` keys for 32
@@ -13,7 +14,7 @@ the list only where its measured bytes stay under ``MAX_BROADCAST_BYTES``; else
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed. An
 empty list allows all that the rules leave. Null and repeated list entries count once. Repeated pages are judged
-each by itself; other columns of the pages pass through under their names unless the result has the same name.
+each by itself; the pages' own columns pass through under their names, whatever these are, but for names of the result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.storage import materialise
+
 KEYS_A_BLOCK = 16
 MAX_FILTER_BYTES = 16 << 20
 MAX_BROADCAST_BYTES = 16 << 20
@@ -93,29 +96,40 @@ def may_hold(words: Column, key: Column, blocks: int) -> Column:
     return probe
 
 
+RESULT = ("host", "path", "url_key", "site_key", "rule", "listed", "verdict")
+
+
+def parted(pages: DataFrame, keys: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Pages that rules or the filter have decided, and possible hits that the list itself must decide.
+
+    Both: ``page`` (the row as it came), host, path, url_key, site_key, rule, and the rule's own verdict. The filter is built
+    once and stored.
+    """
+    blocks = max(1, min(-(-keys.count() // KEYS_A_BLOCK), MAX_FILTER_BYTES // 32))
+    words = materialise(bloom_filter(keys, blocks), "filter").scalar()
+    host, path = host_and_path(F.col("page")[url])
+    split = pages.select(F.struct("*").alias("page")).select("page", host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    judged = split.select("*", canonical_url(F.col("host"), F.col("path")).alias("url_key"), F.concat(canonical_host(F.col("host")), F.lit("/")).alias("site_key"), rule.alias("rule"), verdict.alias("rule_verdict"))
+    hit = may_hold(words, F.col("url_key"), blocks) | may_hold(words, F.col("site_key"), blocks)
+    possible = F.col("rule").isNull() & (F.col("host") != "") & hit
+    return judged.where(~possible), judged.where(possible)
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", entry: str = "url") -> DataFrame:
     """``pages`` with host, path, url_key, site_key, rule, listed and verdict.
 
     A list entry is a canonical URL as ``canonical_url`` makes it; one that ends in ``/`` right after its host
-    lists the whole site. ``listed`` is true where the page's URL or its site is on the list.
+    lists the whole site. ``listed`` is true where the page's URL or its site is on the list; it is false, unasked, where a rule decides.
     """
-    keys = listed.select(F.col(entry).alias("key")).where("key is not null").distinct()
-    n, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).first()
-    blocks = max(1, min(-(-n // KEYS_A_BLOCK), MAX_FILTER_BYTES // 32))
-    words = bloom_filter(keys, blocks).scalar()
-    made = {"host", "path", "url_key", "site_key", "rule", "listed", "verdict", "__rule_verdict", "__url_probe", "__site_probe"}
-    own = [f"`{c}`" for c in pages.columns if c not in made and c != url]
-    host, path = host_and_path(F.col(url))
-    split = pages.select(*own, F.col(url).alias(url), host.alias("host"), path.alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = split.select("*", canonical_url(F.col("host"), F.col("path")).alias("url_key"), F.concat(canonical_host(F.col("host")), F.lit("/")).alias("site_key"), rule.alias("rule"), verdict.alias("__rule_verdict"))
-    ask = F.col("rule").isNull() & (F.col("host") != "")
-    # A key that the filter rules out becomes one of many keys that are on no list: they hash apart, as null keys would not.
-    out = lambda key: F.when(ask & may_hold(words, F.col(key), blocks), F.col(key)).otherwise(F.concat(F.lit("\0"), F.xxhash64("url_key", F.col(url)).cast("string")))
-    probed = judged.withColumns({"__url_probe": out("url_key"), "__site_probe": out("site_key")})
-    for probe, hit in (("__url_probe", "__url_hit"), ("__site_probe", "__site_hit")):
-        side = keys.select(F.col("key").alias(f"{hit}_key"), F.lit(True).alias(hit))
-        side = F.broadcast(side) if size <= MAX_BROADCAST_BYTES else side
-        probed = probed.join(side, F.col(probe) == F.col(f"{hit}_key"), "left").drop(f"{hit}_key")
-    listed_ = F.coalesce("__url_hit", F.lit(False)) | F.coalesce("__site_hit", F.lit(False))
-    return probed.withColumn("listed", listed_).withColumn("verdict", F.coalesce("__rule_verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop(*(c for c in (*made, "__url_hit", "__site_hit") if c.startswith("__")))
+    keys = materialise(listed.select(F.col(entry).alias("key")).where("key is not null").distinct(), "listed")
+    size = keys.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).first()[0]
+    decided, asked = parted(pages, keys, rules, url)
+    for key in ("url", "site"):
+        side = keys.select(F.col("key").alias(f"{key}_entry"))
+        asked = asked.join(F.broadcast(side) if size <= MAX_BROADCAST_BYTES else side, F.col(f"{key}_key") == F.col(f"{key}_entry"), "left")
+    asked = asked.withColumn("listed", F.col("url_entry").isNotNull() | F.col("site_entry").isNotNull()).drop("url_entry", "site_entry")
+    every = decided.withColumn("listed", F.lit(False)).unionByName(asked)
+    verdict = F.coalesce("rule_verdict", F.when(F.col("listed"), "block").otherwise("allow"))
+    own = [F.col("page")[c].alias(c) for c in pages.columns if c not in RESULT]
+    return every.select(*own, *RESULT[:-1], verdict.alias("verdict"))

@@ -58,3 +58,19 @@ def test_filter_has_no_false_negatives_and_few_positives(spark):
     probe = spark.range(20000).select("id", F.concat(F.lit("k"), "id").alias("key"))
     hits = {r["id"] for r in probe.where(url_filter.may_hold(words, F.col("key"), blocks)).collect()}
     assert set(range(5000)) <= hits and len(hits) < 5000 + 15000 * 0.12
+
+
+def test_only_possible_hits_meet_the_list_and_the_filter_is_built_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(20000).select(F.concat(F.lit("http://host"), "id", F.lit(".com/x")).alias("url"), F.lit(1).alias("url_entry"), F.lit(2).alias("page"), F.lit(3).alias("rule_verdict"))
+    listed = spark.range(2000).select(F.concat(F.lit("host"), "id", F.lit(".com/")).alias("url"))
+    decided, asked = url_filter.parted(pages, listed.select(F.col("url").alias("key")), RULES)
+    assert 2000 <= asked.count() < 2000 + 18000 * 0.25 and decided.count() + asked.count() == 20000
+    builds, real = [], url_filter.bloom_filter
+    monkeypatch.setattr(url_filter, "bloom_filter", lambda *a: builds.append(1) or real(*a))
+    out = url_filter.filter_urls(pages, listed, RULES)
+    assert out.where("verdict = 'allow'").count() == 18000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert builds == [1] and "bit_or" not in plan  # it is read from the stored table
+    assert out.where("verdict = 'block'").count() == 2000 and out.select("url_entry", "page", "rule_verdict").distinct().collect() == [(1, 2, 3)]
