@@ -210,9 +210,13 @@ def stage_status(spark: SparkSession, d: str) -> DataFrame:
     return overlay.stage_status(e, "stage")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS block, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS seq, event_type AS op, event_id % 7 AS person, event_id % 11 AS member, event_id % 5 AS source FROM events),
+w AS (SELECT block, seq AS id, member, person, seq AS t FROM e WHERE op NOT IN ('signup', 'error')
+  UNION ALL SELECT block, id, member, n.person, n.seq FROM (SELECT w.block, w.id, w.member, arg_min({'op': e.op, 'person': e.person, 'seq': e.seq}, e.seq) AS n FROM w JOIN e ON e.block = w.block AND e.seq > w.t
+    AND ((e.op = 'signup' AND e.source = w.person AND e.source <> e.person) OR (e.op = 'error' AND e.person = w.person AND e.member = w.member)) GROUP BY w.block, w.id, w.member) WHERE n.op = 'signup')
+SELECT DISTINCT block, person, member FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.block = w.block AND e.seq > w.t AND ((e.op = 'signup' AND e.source = w.person AND e.source <> e.person) OR (e.op = 'error' AND e.person = w.person AND e.member = w.member)))""")
 def overlay_merges(spark: SparkSession, d: str) -> DataFrame:
-    """Order-dependent merges of people, replayed by library."""
+    """Order-dependent merges of people, by library."""
     e = t.table(spark, d, "events").select((F.col("user_id") % 50).alias("block"), F.row_number().over(Window.partitionBy(F.col("user_id") % 50).orderBy("ts", "event_id")).alias("seq"), F.when(F.col("event_type") == "signup", "merge_person").when(F.col("event_type") == "error", "remove").otherwise("add").alias("op"), (F.col("event_id") % 7).alias("person"), (F.col("event_id") % 11).alias("member"), (F.col("event_id") % 5).alias("source"))
     return overlay.merged_people(e, "block")
 

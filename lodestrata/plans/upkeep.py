@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.sources import archives
 from lodestrata.sources import tables as t
 from lodestrata.storage import materialise, workspace
-from lodestrata.streaming import groups
+from lodestrata.streaming import cycle, groups
 
 QUERIES, SQL = {}, {}
 
@@ -52,3 +53,36 @@ def maintained_groups(spark: SparkSession, d: str) -> DataFrame:
         no = lambda c: F.coalesce(c, F.lit(False))
         out = met.select(F.coalesce("digest", "d").alias("digest"), F.coalesce("path", "p").alias("path"), F.col("path").isNotNull().alias("present"), no(F.col("canonical")).alias("canonical"), no(F.col("again")).alias("again"))
         return materialise(out, "maintained")
+
+
+@query("""SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.json' ELSE '.html' END AS member, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS content_hash FROM pages WHERE page_id % 3 = 0 AND html IS NOT NULL
+UNION ALL SELECT 'p' || page_id || '.html', CAST(strlen(html) AS BIGINT), NULL FROM pages WHERE page_id % 3 <> 0 AND html IS NOT NULL""")
+def archived_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written into archives and read back by the data source: sidecars with their contents, the others as the directory lists them."""
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".json").otherwise(".html"))
+    archives.register(spark)
+    with workspace(spark, "archives") as folder:
+        archives.write_archives(t.table(spark, d, "pages").where("html is not null").select(name.alias("name"), F.col("html").alias("content")), folder, 8)
+        read = lambda contents: spark.read.format("zip_members").option("path", folder).option("contents", contents).option("members", 200).load()
+        told = read("true").where(F.col("member").endswith(".json")).select("member", "size", F.sha2("content", 256).alias("content_hash"))
+        listed = read("false").where(F.col("member").endswith(".html")).select("member", "size", F.lit(None).cast("string").alias("content_hash"))
+        return materialise(told.unionByName(listed), "members")
+
+
+@query("""SELECT 'orders' AS source, o_orderkey AS id, CAST(o_totalprice * 2 AS DOUBLE) AS value FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'orders', o_orderkey, CAST(o_totalprice AS DOUBLE) FROM orders WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT 'events', event_id, CAST(value AS DOUBLE) FROM events""")
+def import_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The last complete generation: two cycles take in two sources, and rows of a third, which is left partial, don't show."""
+    schema = "id long, value double, at long"
+    row = lambda rows, key, value, at: rows.select(F.col(key).alias("id"), value.cast("double").alias("value"), F.lit(at).cast("long").alias("at"))
+    orders, events = t.table(spark, d, "orders"), t.table(spark, d, "events")
+    with workspace(spark, "cycles") as folder:
+        sources = [cycle.Source(n, f"{folder}/in/{n}", schema, "id", "at") for n in ("orders", "events")]
+        row(orders, "o_orderkey", F.col("o_totalprice"), 1).write.parquet(sources[0].path)
+        row(events, "event_id", F.col("value"), 1).write.parquet(sources[1].path)
+        cycle.run_cycle(spark, folder, sources)
+        row(orders.where("o_orderkey % 5 = 0"), "o_orderkey", F.col("o_totalprice") * 2, 2).write.mode("append").parquet(sources[0].path)
+        cycle.run_cycle(spark, folder, sources)
+        row(orders, "o_orderkey", F.col("o_totalprice") * 3, 3).write.mode("append").parquet(sources[0].path)
+        cycle.run_cycle(spark, folder, sources, pending=lambda rows: rows.where("at = 3"))
+        return materialise(cycle.generation(spark, folder, sources).select("source", "id", "value"), "generation")

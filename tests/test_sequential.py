@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestrata.operators import details, neighbours, overlay
@@ -123,11 +125,12 @@ def test_clusters_on_a_map(spark):
     assert got == want and 1 < len(centres) < 40
 
 
-def test_merges_of_people(spark):
-    rng = random.Random(8)
-    ops = [(b, s, rng.choice(("add", "add", "remove", "merge_person")), rng.randrange(4), rng.randrange(6), rng.randrange(4)) for b in range(3) for s in range(60)]
+@pytest.mark.parametrize(("blocks", "people", "seed"), [(3, 4, 8), (2, 12, 1), (1, 2, 5), (2, 40, 3)])
+def test_merges_of_people(spark, blocks, people, seed):
+    rng = random.Random(seed)
+    ops = [(b, s, rng.choice(("add", "add", "remove", "merge_person")), rng.randrange(people), rng.randrange(6), rng.randrange(people)) for b in range(blocks) for s in range(120)]
     want = set()
-    for b in range(3):
+    for b in range(blocks):
         tags: dict = {}
         for _, _, op, person, member, source in sorted(o for o in ops if o[0] == b):
             if op == "add":
