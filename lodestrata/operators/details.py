@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import geo, text, times, vectors
 from lodestrata.operators import journeys, rollups
 from lodestrata.shipping import ship
+from lodestrata.storage import materialise
 
 #: How sure a fact of each kind is.
 CONFIDENCE = {"capture_date": 0.95, "other_date": 0.7, "location": 0.9, "camera": 0.95, "hash": 1.0, "phash": 0.2}
@@ -298,30 +299,61 @@ def representatives(faces: DataFrame, by: str, most_alike: float = 0.5) -> DataF
     return faces.select(by, "face_id", "score", "vector").groupBy(by).applyInPandas(keep, f"{by} {faces.schema[by].dataType.simpleString()}, face_id long")
 
 
-def screen_clusters(cells: DataFrame, zoom: int, radius: float = 44.0) -> DataFrame:
-    """cell, cluster for map cells (cell, lat, lon, n) at a zoom level: greedy, the largest first, within a radius on screen.
+#: Undecided cells of which one task decides the rest.
+FEW_CELLS = 20_000
 
-    The map is cut into tiles twenty radii wide, each clustered by itself.
+
+def screen_clusters(cells: DataFrame, zoom: int, radius: float = 44.0, few: int = FEW_CELLS) -> DataFrame:
+    """cell, cluster for map cells (cell, lat, lon, n) at a zoom level: the largest first (of equal ones the first by name), each cell
+    goes to the first centre within a radius on screen, or becomes one. Cells beyond the map's latitudes are left out.
+
+    The order is not followed one by one. In a grid of tiles whose diagonal is the radius, a tile's first undecided cell becomes a
+    centre where it comes before those of all tiles in reach, since nothing that is undecided can come before it there. What lies
+    within reach of a new centre is decided too. Rounds go on while more than ``few`` cells are undecided, which one task then
+    takes in order. When all centres are known, each cell meets those in reach, of which a tile holds one at most. No pairs of
+    cells are made, and tiles have no edges that show.
     """
     ship(cells.sparkSession)
-    size = 256.0 * 2**zoom
+    size, side = 256.0 * 2**zoom, radius / 2**0.5
     y = F.lit(0.5) - F.log((1 + F.sin(F.radians("lat"))) / (1 - F.sin(F.radians("lat")))) / (4 * np.pi)
-    placed = cells.where(F.abs("lat") < 85.06).withColumns({"x": (F.col("lon") / 360.0 + 0.5) * size, "y": y * size})
-    tiled = placed.withColumn("tile", F.concat_ws(":", F.floor(F.col("x") / (20 * radius)), F.floor(F.col("y") / (20 * radius))))
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "cell"], ascending=[False, True])
-        centres: list[tuple[float, float, str]] = []
+    placed = cells.where(F.abs("lat") < 85.06).select("cell", F.struct((-F.col("n")).alias("n"), "cell").alias("order"), ((F.col("lon") / 360.0 + 0.5) * size).alias("x"), (y * size).alias("y"))
+    tile = lambda c: F.floor(F.col(c) / side)
+    placed = materialise(placed.withColumns({"i": tile("x"), "j": tile("y")}), "cells")
+    near = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]  # tiles that hold points within the radius
+    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near]))
+
+    def around(rows: DataFrame, *columns: str) -> DataFrame:
+        """The rows at every tile in reach."""
+        spread = rows.select(*columns, "i", "j", offsets.alias("o"))
+        return spread.select(*[F.col(c).alias(f"z_{c}") for c in columns], (F.col("i") + F.col("o.i")).alias("z_i"), (F.col("j") + F.col("o.j")).alias("z_j"))
+
+    def met(rows: DataFrame, centres: DataFrame) -> DataFrame:
+        z = around(centres, "cell", "order", "x", "y")
+        both = rows.join(z, (F.col("i") == F.col("z_i")) & (F.col("j") == F.col("z_j")))
+        return both.where((F.col("x") - F.col("z_x")) ** 2 + (F.col("y") - F.col("z_y")) ** 2 <= radius**2)
+
+    centres, open_ = [], placed
+    while open_.count() > few:
+        firsts = open_.groupBy("i", "j").agg(F.min_by(F.struct("cell", "order", "x", "y"), "order").alias("f")).select("i", "j", "f.*")
+        least = around(firsts, "order").groupBy("z_i", "z_j").agg(F.min("z_order").alias("least"))
+        new = materialise(firsts.join(least, (F.col("i") == F.col("z_i")) & (F.col("j") == F.col("z_j"))).where("order = least").select(*placed.columns), "centres")
+        gone = met(open_, new).select(F.col("cell").alias("gone")).distinct()
+        open_ = materialise(open_.join(gone, F.col("cell") == F.col("gone"), "left_anti"), "open")
+        centres.append(new)
+
+    def rest(frame: pd.DataFrame) -> pd.DataFrame:
+        held: dict[tuple[int, int], tuple[float, float]] = {}
         out = []
-        for r in frame.itertuples():
-            home = next((c for x, z, c in centres if (x - r.x) ** 2 + (z - r.y) ** 2 <= radius**2), None)
-            if home is None:
-                centres.append((r.x, r.y, r.cell))
-                home = r.cell
-            out.append((r.cell, home))
-        return pd.DataFrame(out, columns=["cell", "cluster"])
-
-    return tiled.groupBy("tile").applyInPandas(cluster, "cell string, cluster string")
+        for r in frame.sort_values(["n", "cell"]).itertuples():
+            found = (held.get((r.i + i, r.j + j)) for i, j in near)
+            if not any(z and (z[0] - r.x) ** 2 + (z[1] - r.y) ** 2 <= radius**2 for z in found):
+                held[r.i, r.j] = (r.x, r.y)
+                out.append(r.cell)
+        return pd.DataFrame({"chosen": out})
+
+    last = open_.select(F.lit(0).alias("all"), "cell", "order.n", "x", "y", "i", "j").groupBy("all").applyInPandas(rest, "chosen string")
+    every = reduce(DataFrame.unionByName, centres, placed.join(last, F.col("cell") == F.col("chosen"), "left_semi"))
+    return met(placed, every).groupBy("cell").agg(F.min_by("z_cell", "z_order").alias("cluster"))
 
 
 def trip_legs(points: DataFrame, trips: DataFrame, far: float = 0.2, days: int = 30) -> DataFrame:

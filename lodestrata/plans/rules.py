@@ -157,7 +157,12 @@ def representative_faces(spark: SparkSession, d: str) -> DataFrame:
     return details.representatives(v, "content", 0.1)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ITEMS}, p AS (SELECT {CELL} AS cell, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon FROM items WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1),
+c AS (SELECT cell, row_number() OVER (ORDER BY n DESC, cell) AS r, (lon / 360 + CAST(0.5 AS DOUBLE)) * 2048 AS x, (CAST(0.5 AS DOUBLE) - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 2048 AS y FROM p WHERE abs(lat) < CAST(85.06 AS DOUBLE)),
+g AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, cell VARCHAR)[]) AS centres, CAST(NULL AS VARCHAR) AS cell, CAST(NULL AS VARCHAR) AS cluster
+  UNION ALL SELECT r, CASE WHEN home IS NULL THEN list_append(centres, {{'x': x, 'y': y, 'cell': cell}}) ELSE centres END, cell, coalesce(home, cell)
+  FROM (SELECT c.*, centres, list_filter(centres, lambda z: (z.x - c.x) * (z.x - c.x) + (z.y - c.y) * (z.y - c.y) <= 1936)[1].cell AS home FROM g JOIN c ON c.r = g.r + 1))
+SELECT cell, cluster FROM g WHERE cell IS NOT NULL""")
 def screen_clusters(spark: SparkSession, d: str) -> DataFrame:
     return details.screen_clusters(rollups.places(t.items(spark, d)).select("cell", "lat", "lon", "n"), 3)
 

@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from lodestrata.operators import details, neighbours, overlay
@@ -104,9 +103,9 @@ def test_lines(spark):
 
 
 def test_clusters_on_a_map(spark):
-    """Cells within one tile: the largest first, others within 44 pixels of it."""
+    """The largest first, others within 44 pixels of it; equal ones by name, over many tiles."""
     rng = random.Random(7)
-    cells = [(f"c{i}", 10 - rng.random() * 45, rng.random() * 90, rng.randrange(50)) for i in range(40)]
+    cells = [(f"c{i}", 60 - rng.random() * 120, rng.random() * 360 - 180, rng.randrange(9)) for i in range(700)]
     size = 256.0 * 2**3
 
     def at(lat, lon):
@@ -120,9 +119,10 @@ def test_clusters_on_a_map(spark):
         if home is None:
             centres.append((x, y, name))
         want[name] = home or name
-    assert len({(int(at(la, lo)[0] // 880), int(at(la, lo)[1] // 880)) for _, la, lo, _ in cells}) == 1
-    got = dict(map(tuple, details.screen_clusters(spark.createDataFrame(cells, "cell string, lat double, lon double, n long"), 3).collect()))
-    assert got == want and 1 < len(centres) < 40
+    made = spark.createDataFrame(cells, "cell string, lat double, lon double, n long")
+    for few in (0, 200, 10_000):  # rounds to the end, some of them, none
+        assert dict(map(tuple, details.screen_clusters(made, 3, few=few).collect())) == want
+    assert 40 < len(centres) < 700
 
 
 @pytest.mark.parametrize(("blocks", "people", "seed"), [(3, 4, 8), (2, 12, 1), (1, 2, 5), (2, 40, 3)])
