@@ -32,6 +32,39 @@ def top_k_by_group(scored: DataFrame, group: str, key: str, k: int) -> DataFrame
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
+#: Rows and asked rows of a block: their products are 16 million numbers at most.
+BLOCK_ROWS, BLOCK_ASKED = 16_384, 1024
+
+
+def best_matches(asked: DataFrame, rows: DataFrame, k: int = 2, key: str = "vec_id", vector: str = "vector") -> DataFrame:
+    """(key, o, score, rank): the k most like of all rows for each asked row, itself left out, ties to the smaller key.
+
+    Both sides are dealt into blocks of bounded size; a task multiplies one block of each and gives k rows for each asked one.
+    """
+    ship(rows.sparkSession)
+    parts, lots = -(-max(1, rows.count()) // BLOCK_ROWS), -(-max(1, asked.count()) // BLOCK_ASKED)
+    deal = lambda n: F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = rows.select(key, vector).withColumn("part", deal(parts)).withColumn("lot", every(lots))
+    wanted = asked.select(key, vector).withColumn("lot", deal(lots)).withColumn("part", every(parts))
+    wanted = wanted.select(*[F.col(c).alias(c) for c in wanted.columns])  # the sides may stem from one table
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"asked": [], "o": [], "score": []})
+        ids = right[key].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, scores = ids[order], np.stack(left[vector]) @ np.stack(right[vector])[order].T
+        scores[left[key].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = pd.DataFrame({"asked": np.repeat(left[key].to_numpy(), best.shape[1]), "o": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+        return found[found["score"] > -np.inf]
+
+    kind = rows.schema[key].dataType.simpleString()
+    met = wanted.groupBy("part", "lot").cogroup(held.groupBy("part", "lot")).applyInPandas(meet, f"asked {kind}, o {kind}, score double")
+    return top_k_by_group(met, "asked", "o", k).withColumnRenamed("asked", key)
+
+
 def best_reference(rows: DataFrame, references: DataFrame, key: str, vector: str = "vector", limit: int = 10_000) -> DataFrame:
     """(key, best, margin): each row's most like reference (ref, y), ties to the smaller, and its lead over the second.
 
@@ -71,7 +104,8 @@ def banded_pairs(rows: DataFrame, distance: int, key: str, hi: str = "hi", lo: s
     if not 0 <= distance <= 16:
         raise ValueError("a distance from 0 to 16")
     own = F.lit(0) if by is None else F.col(by)
-    kinds = materialise(rows.groupBy(own.alias("k_by"), F.col(hi).alias("k_hi"), F.col(lo).alias("k_lo")).agg(F.min(key).alias("rep")), "hashes")
+    hashed = materialise(rows.select(F.col(key).alias("h_key"), own.alias("h_by"), F.col(hi).alias("h_hi"), F.col(lo).alias("h_lo")), "hashed")  # whatever made the hashes runs once
+    kinds = materialise(hashed.groupBy(F.col("h_by").alias("k_by"), F.col("h_hi").alias("k_hi"), F.col("h_lo").alias("k_lo")).agg(F.min("h_key").alias("rep")), "hashes")
     masks, chosen = _choices(distance, kinds.count(), crowd)
     agrees = lambda h, low, i: (F.col(h).bitwiseAND(F.lit(masks[i][0]).cast("long")), F.col(low).bitwiseAND(F.lit(masks[i][1]).cast("long")))
     node = lambda s: F.struct(F.xxhash64("k_by", F.lit(sum(1 << i for i in s)), *[x for i in s for x in agrees("k_hi", "k_lo", i)]).alias("node"), F.lit(sum(1 << i for i in s)).alias("set"), F.lit((2 << max(s)) - 1).alias("upto"))
@@ -84,8 +118,8 @@ def banded_pairs(rows: DataFrame, distance: int, key: str, hi: str = "hi", lo: s
     first = bits.bitwiseAND(F.col("upto")) == F.col("set")
     near = met.where(F.bit_count(xor_hi) + F.bit_count(xor_lo) <= distance).where(first)
     near = near.select(F.col("rep").alias("a"), F.col("o_rep").alias("b"), (F.bit_count(xor_hi) + F.bit_count(xor_lo)).alias("distance"))
-    copies = rows.join(kinds, (F.col(hi) == F.col("k_hi")) & (F.col(lo) == F.col("k_lo")) & own.eqNullSafe(F.col("k_by"))).where(F.col(key) != F.col("rep"))
-    return near.unionByName(copies.select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance")))
+    copies = hashed.join(kinds, (F.col("h_hi") == F.col("k_hi")) & (F.col("h_lo") == F.col("k_lo")) & F.col("h_by").eqNullSafe(F.col("k_by"))).where(F.col("h_key") != F.col("rep"))
+    return near.unionByName(copies.select(F.col("rep").alias("a"), F.col("h_key").alias("b"), F.lit(0).alias("distance")))
 
 
 def burst_pairs(rows: DataFrame, seconds: int, key: str, at: str = "at", day: str = "day") -> DataFrame:
@@ -122,6 +156,19 @@ def groups_of(pairs: DataFrame, rounds: int = 100) -> DataFrame:
 CUBES = (0.01, 0.04, 0.16, 0.64, 2.56)
 
 
+#: Settlements that are sent to every task as one array; more of them are found by cubes.
+FEW_TOWNS = 500
+
+
+def _nearest_of_few(places: DataFrame, towns: DataFrame) -> DataFrame:
+    px, py, pz = geo.unit_sphere(F.col("lat"), F.col("lon"))
+    packed = towns.agg(F.collect_list(F.struct("s_id", "sx", "sy", "sz")).alias("all"))
+    asked = places.select("cell", px.alias("x"), py.alias("y"), pz.alias("z")).distinct().withColumn("towns", packed.scalar())
+    away = F.transform("towns", lambda t: F.struct((-(F.col("x") * t["sx"] + F.col("y") * t["sy"] + F.col("z") * t["sz"])).alias("away"), t["s_id"].alias("s_id")))
+    best = asked.select("cell", F.array_min(away).alias("best")).where("best is not null").groupBy("cell").agg(F.min("best").alias("best"))
+    return best.select("cell", F.col("best.s_id").alias("s_id"), (F.lit(geo.EARTH_KM) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("best.away"))))).alias("km"))
+
+
 def nearest_place(places: DataFrame, settlements: DataFrame) -> DataFrame:
     """Each place (cell, lat, lon) with its nearest settlement (s_id, s_lat, s_lon) on the unit sphere, ties to the smaller id.
 
@@ -129,6 +176,8 @@ def nearest_place(places: DataFrame, settlements: DataFrame) -> DataFrame:
     of a place is in its own or one of the 26 cubes around; places that find nothing so near go on to larger cubes.
     """
     x, y, z = geo.unit_sphere(F.col("s_lat"), F.col("s_lon"))
+    if settlements.count() <= FEW_TOWNS:
+        return _nearest_of_few(places, settlements.select("s_id", x.alias("sx"), y.alias("sy"), z.alias("sz")))
     towns = materialise(settlements.select("s_id", x.alias("sx"), y.alias("sy"), z.alias("sz")), "settlements")
     px, py, pz = geo.unit_sphere(F.col("lat"), F.col("lon"))
     left = materialise(places.select("cell", px.alias("x"), py.alias("y"), pz.alias("z")).distinct(), "places")

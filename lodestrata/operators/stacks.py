@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import vectors
 from lodestrata.operators import details, neighbours
+from lodestrata.storage import materialise
 
 #: Bits between pictures of a day, bits and seconds between those of a burst.
 NEAR, BURST, BURST_SECONDS = 6, 14, 90
@@ -20,6 +21,7 @@ def propose(items: DataFrame, near: int = NEAR, burst: int = BURST, seconds: int
     name is a digest of its members.
     """
     rows = items.where("hi is not null and lo is not null").select("content_hash", "day", F.when(F.col("day").isNotNull(), F.col("at")).alias("at"), "hi", "lo", "pixels")
+    rows = materialise(rows, "pictures")
     alike = neighbours.banded_pairs(rows, near, "content_hash", by="day").select("a", "b")
     bursts = details.burst_alike(rows.where("at is not null"), seconds, burst, "content_hash")
     groups = neighbours.groups_of(alike.unionByName(bursts))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import details, gaps, overlay, rollups, search, stacks, views
 from lodestrata.plans.likeness import SKETCH
 from lodestrata.sources import tables as t
+from lodestrata.storage import materialise
 from lodestrata.streaming import ingest
 
 QUERIES, SQL = {}, {}
@@ -174,7 +175,7 @@ def effective_stacks(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     owned = docs.where((k % 40).isin(3, 4, 11)).groupBy(F.concat(F.lit("owner"), F.lpad(F.floor(k / 40).cast("string"), 4, "0")).alias("stack"))
     owner = owned.agg(F.sort_array(F.collect_list("content_hash")).alias("contents"), F.min("content_hash").alias("top")).withColumn("day", F.lit(None).cast("string"))
-    proposals = stacks.propose(pictures(spark, d))
+    proposals = materialise(stacks.propose(pictures(spark, d)), "proposals")
     separated = proposals.where(F.col("stack").startswith("0")).select("stack")
     return stacks.effective(owner, proposals, separated, docs.where(k % 11 != 0)).withColumn("contents", F.array_join("contents", ","))
 

@@ -42,8 +42,8 @@ def sketches(spark: SparkSession, folder: str) -> DataFrame:
     word = F.explode(F.split(F.lower("text"), " ")).alias("word")
     # regexp-free: code points of the first and last character, 0 for the empty word
     bucket = ((F.ascii("word") * 31 + F.length("word") * 7 + F.ascii(F.substring("word", -1, 1))) % 65).cast("int")
-    words = table(spark, folder, "documents").select("doc_id", word).select("doc_id", bucket.alias("b"))
-    counts = words.groupBy("doc_id").agg(*[F.count_if(F.col("b") == i).alias(f"c{i}") for i in range(65)])
+    words = table(spark, folder, "documents").select("doc_id", word).select("doc_id", bucket.alias("b")).groupBy("doc_id", "b").agg(F.count("*").alias("n"))
+    counts = words.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("b") == i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(65)])
     half = lambda low: sum((F.when(F.col(f"c{i}") < F.col(f"c{i + 1}"), F.lit(1 << (i - low))).otherwise(F.lit(0)).cast("long") for i in range(low, low + 32)), F.lit(0).cast("long"))
     return counts.select("doc_id", half(32).alias("hi"), half(0).alias("lo"))
 
