@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.operators import progress
 from lodestrata.sources import archives
 from lodestrata.sources import tables as t
 from lodestrata.storage import materialise, workspace
@@ -86,3 +87,51 @@ def import_cycles(spark: SparkSession, d: str) -> DataFrame:
         row(orders, "o_orderkey", F.col("o_totalprice") * 3, 3).write.mode("append").parquet(sources[0].path)
         cycle.run_cycle(spark, folder, sources, pending=lambda rows: rows.where("at = 3"))
         return materialise(cycle.generation(spark, folder, sources).select("source", "id", "value"), "generation")
+
+
+_WORK = "work AS (SELECT event_id % 5000 AS content_hash, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END AS model, CASE event_type WHEN 'error' THEN 'error' ELSE 'complete' END AS status, CASE WHEN event_type <> 'error' THEN user_id % 4 END AS face_count FROM events)"
+
+
+def _work(spark: SparkSession, d: str) -> DataFrame:
+    model, status = F.when(F.col("event_id") % 3 == 0, "old").otherwise("new"), F.when(F.col("event_type") == "error", "error").otherwise("complete")
+    return t.table(spark, d, "events").select((F.col("event_id") % 5000).alias("content_hash"), model.alias("model"), status.alias("status"), F.when(F.col("event_type") != "error", F.col("user_id") % 4).alias("face_count"), "event_type", "event_id")
+
+
+@query(f"""WITH {_WORK} SELECT count(*) AS processed_photos, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'complete' AND face_count = 0) AS photos_without_detected_faces, CAST(coalesce(sum(face_count), 0) AS BIGINT) AS observations FROM work WHERE model = 'new'""")
+def ledger_summary(spark: SparkSession, d: str) -> DataFrame:
+    return progress.face_summary(_work(spark, d), "new")
+
+
+@query(f"""WITH {_WORK}, f AS (SELECT content_hash, model, face_count FROM work WHERE status = 'complete'), e AS (SELECT content_hash, model FROM work WHERE status = 'error'),
+w AS (SELECT content_hash, arg_min({{'error': status = 'error'}}, CASE model WHEN 'new' THEN 0 ELSE 1 END) AS w FROM (SELECT content_hash, model, max(status) AS status FROM work GROUP BY ALL) GROUP BY content_hash)
+SELECT 'words' AS store, 'contents' AS measure, count(DISTINCT content_hash) AS n FROM f UNION ALL SELECT 'words', 'with_text', count(DISTINCT content_hash) FILTER (face_count > 0) FROM f UNION ALL SELECT 'words', 'facts', count(*) FROM f
+UNION ALL SELECT 'words', 'errors', count(DISTINCT content_hash) FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.content_hash = e.content_hash AND f.model = e.model) UNION ALL SELECT 'words', 'retained_error_records', count(*) FROM e
+UNION ALL SELECT 'scenes', 'unavailable', NULL
+UNION ALL SELECT 'frames', 'contents', count(*) FROM w UNION ALL SELECT 'frames', 'errors', count(*) FILTER (w.w.error) FROM w UNION ALL SELECT 'frames', 'frames', count(*) FROM f
+UNION ALL SELECT 'frames', 'retained_attempts', count(*) FROM (SELECT DISTINCT content_hash, model FROM work) UNION ALL SELECT 'frames', 'retained_error_records', count(DISTINCT (content_hash, model)) FROM work WHERE status = 'error'""")
+def stores_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Progress of three stores: recognised words, scenes that were never made, frames of two samplers that are as good."""
+    work = _work(spark, d)
+    facts, errors = work.where("status = 'complete'"), work.where("status = 'error'")
+    words = progress.store_progress(facts, errors, ("content_hash", "model"), {"with_text": F.col("face_count") > 0})
+    attempts = work.groupBy("content_hash", F.col("model").alias("sampler")).agg(F.max(F.when(F.col("status") == "error", "error")).alias("error"))
+    frames = progress.frame_coverage(attempts, facts.select(F.col("model").alias("sampler")), ["new", "old"])
+    return progress.progress(spark, {"words": words, "scenes": None, "frames": frames.unpivot([], frames.columns, "measure", "n")})
+
+
+@query("""WITH i AS (SELECT DISTINCT p_partkey % 900 AS h, CASE WHEN p_size % 3 = 0 THEN 'video' WHEN p_size % 3 = 1 THEN 'photo' ELSE 'other' END AS kind FROM part WHERE p_partkey % 7 <> 0)
+SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM i WHERE h = c_custkey % 1000 AND i.kind <> 'other' AND i.kind = CASE c_custkey % 3 WHEN 0 THEN 'video' ELSE 'photo' END)""")
+def current_work(spark: SparkSession, d: str) -> DataFrame:
+    """Work on contents that are there now and are what they were taken for."""
+    size = F.col("p_size") % 3
+    items = t.table(spark, d, "part").where("p_partkey % 7 <> 0").select((F.col("p_partkey") % 900).alias("content_hash"), F.when(size == 0, "video").when(size == 1, "photo").otherwise("other").alias("kind"))
+    k = F.col("c_custkey")
+    work = t.table(spark, d, "customer").select("c_custkey", (k % 1000).alias("content_hash"), F.when(k % 3 == 0, "video").when(k % 3 == 1, "photo").alias("kind"))
+    return progress.on_current(work, items).select("c_custkey")
+
+
+@query("""SELECT 'f' || event_id AS path, CASE WHEN event_id % 5 <> 0 THEN props END AS raw, '/data/f' || event_id AS source FROM events WHERE event_id % 1000 = 7 OR event_id = 10""")
+def raw_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What was embedded in the files of some paths."""
+    files = t.table(spark, d, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.lit("/data").alias("root"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("metadata"))
+    return progress.raw_metadata(files, F.col("path").like("f%007") | F.col("path").isin("f7", "f10")).select("path", "raw", "source")
