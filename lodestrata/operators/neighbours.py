@@ -227,9 +227,50 @@ def _block_groups(rows: DataFrame, block: str, assign, schema: str) -> DataFrame
     return rows.groupBy(block).applyInPandas(assign, schema)
 
 
+#: Faces of a chunk; two chunks are compared in a task.
+CHUNK_FACES = 4096
+
+
+def alike_components(faces: DataFrame, block: str, least: float) -> DataFrame:
+    """(face_id, component): what chains of faces of one block, each like the next by ``least`` or more, connect; the smallest id names it.
+
+    Every two chunks of a block are one task, which multiplies stripes of them and gives a forest of what is alike in them, so
+    no pairs of faces leave it, however many are alike.
+    """
+    ship(faces.sparkSession)
+    rows = materialise(faces.select("face_id", F.col(block).alias("block"), "vector"), "faces")
+    chunks = rows.groupBy(F.col("block").alias("c_block")).agg(F.ceil(F.count("*") / CHUNK_FACES).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, F.col("block").eqNullSafe(F.col("c_block"))).withColumn("own", F.pmod(F.xxhash64("face_id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own <> other")  # a chunk's own pairs are in every task with it
+    dealt = dealt.select("face_id", "vector", "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def connect(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("face_id")
+        ids, x = frame["face_id"].to_numpy(), _unit(frame["vector"])
+        root = np.arange(len(ids))
+        for at in range(0, len(ids), 256):
+            near = x[at : at + 256] @ x.T >= least
+            for i, hits in enumerate(near, at):
+                met = np.unique(root[hits])
+                if len(met) > 1 or root[i] not in met:
+                    met = np.union1d(met, root[i : i + 1])
+                    root[np.isin(root, met)] = met[0]
+        far = root != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[root[far]], "b": ids[far]})
+
+    kind = rows.schema["face_id"].dataType.simpleString()
+    links = dealt.groupBy("block", "low", "high").applyInPandas(connect, f"a {kind}, b {kind}")
+    found = groups_of(links)
+    return rows.select("face_id").join(found, F.col("face_id") == F.col("member"), "left").select("face_id", F.coalesce("group", "face_id").alias("component"))
+
+
 def anchored_groups(faces: DataFrame, block: str, anchor: float = 0.65, every: float = 0.55, margin: float = 0.08) -> DataFrame:
     """(face_id, group_id, model block) by complete links, in order of ids: a face joins a group if it is like its first
-    member and like every member, none of it from the same content, and no other such group is nearly as like."""
+    member and like every member, none of it from the same content, and no other such group is nearly as like.
+
+    A face meets groups only whose first member it is like, so what ``alike_components`` finds at the anchor's threshold is
+    decided apart from all else, in the order of ids within it. The largest task is the largest such component.
+    """
 
     def assign(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("face_id")
@@ -246,10 +287,12 @@ def anchored_groups(faces: DataFrame, block: str, anchor: float = 0.65, every: f
                 groups[fits[0][1]].append(i)
             else:
                 groups.append([i])
-        out = [(ids[i], ids[members[0]], frame[block].iloc[0]) for members in groups for i in members]
+        out = [(ids[i], ids[members[0]], frame["block"].iloc[0]) for members in groups for i in members]
         return pd.DataFrame(out, columns=["face_id", "group_id", "block"])
 
-    return _block_groups(faces, block, assign, "face_id long, group_id long, block int")
+    parts = alike_components(faces, block, anchor - 1e-4)  # a hair lower, as sums may differ in their last digits
+    met = faces.select("face_id", "vector", "content", F.col(block).alias("block")).join(parts.withColumnRenamed("face_id", "c_id"), F.col("face_id") == F.col("c_id")).drop("c_id")
+    return met.groupBy("component").applyInPandas(assign, "face_id long, group_id long, block int")
 
 
 def centroid_groups(faces: DataFrame, block: str, threshold: float = 0.52) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import progress
-from lodestrata.sources import archives
+from lodestrata.operators import details, progress
+from lodestrata.sources import archives, packets
 from lodestrata.sources import tables as t
 from lodestrata.storage import materialise, workspace
 from lodestrata.streaming import cycle, groups
@@ -135,3 +135,22 @@ def raw_metadata(spark: SparkSession, d: str) -> DataFrame:
     """What was embedded in the files of some paths."""
     files = t.table(spark, d, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.lit("/data").alias("root"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("metadata"))
     return progress.raw_metadata(files, F.col("path").like("f%007") | F.col("path").isin("f7", "f10")).select("path", "raw", "source")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 6 THEN NULL ELSE 'page ' || page_id END AS title, CASE WHEN page_id % 7 = 6 THEN 0 ELSE 2 END AS keywords, CASE WHEN page_id % 7 <> 6 AND page_id % 10 <= 5 THEN CAST(page_id % 10 AS INTEGER) END AS rating,
+  page_id % 7 = 6 AS broken, CASE WHEN page_id % 7 <> 6 THEN '2001-02-0' || (1 + page_id % 9) || 'T03:04:05' END AS created FROM pages""")
+def embedded_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Packets made of pages, their fields written as attributes, elements or lists by turns, and some that are broken; read and summed up."""
+    k = F.col("page_id")
+    title, rating, created = F.concat(F.lit("page "), k.cast("string")), (k % 10).cast("string"), F.concat(F.lit("2001-02-0"), (k % 9 + 1).cast("string"), F.lit("T03:04:05"))
+    lit = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    spaces = " ".join(f'xmlns:{p}="{u}"' for p, u in packets.NAMESPACES.items())
+    words = "<dc:subject><rdf:Bag><rdf:li>red</rdf:li><rdf:li> blue </rdf:li><rdf:li>red</rdf:li></rdf:Bag></dc:subject>"
+    attributes = lit('<rdf:Description dc:title="', title, '" xmp:Rating="', rating, '" exif:DateTimeOriginal="', created, '">', words, "</rdf:Description>")
+    elements = lit("<rdf:Description><dc:title> ", title, " </dc:title><xmp:Rating>", rating, "</xmp:Rating><photoshop:DateCreated>", created, "</photoshop:DateCreated>", words, "</rdf:Description>")
+    lists = lit('<rdf:Description><dc:title><rdf:Alt><rdf:li xml:lang="x-default">', title, "</rdf:li></rdf:Alt></dc:title>", words, '</rdf:Description><rdf:Description xmp:Rating="', rating, '" xmp:CreateDate="', created, '"/>')
+    body = F.when(k % 3 == 0, attributes).when(k % 3 == 1, elements).otherwise(lists)
+    packet = F.when(k % 7 == 6, lit("<x><broken>", title)).otherwise(lit('<?xpacket begin=""?><x xmlns="adobe:ns:meta/"><rdf:RDF ', spaces, ">", body, "</rdf:RDF></x>"))
+    read = packets.with_fields(t.table(spark, d, "pages").select("page_id", packet.alias("packet")), "packet", "page_id")
+    told = details.embedded_summary(F.col("xmp"), F.create_map().cast("map<string,array<string>>")).alias("s")
+    return read.select("page_id", "xmp_error", told).select("page_id", F.col("s.title.value").alias("title"), F.coalesce(F.size("s.keywords"), F.lit(0)).alias("keywords"), F.col("s.rating").alias("rating"), F.col("xmp_error").isNotNull().alias("broken"), F.col("s.created.value").alias("created"))

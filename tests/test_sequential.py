@@ -32,7 +32,9 @@ def faces(seed, n=70):
 SCHEMA = "face_id long, content int, vector array<double>, block int"
 
 
-def test_complete_links(spark):
+@pytest.mark.parametrize("chunk", [4096, 12])
+def test_complete_links(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neighbours, "CHUNK_FACES", chunk)
     rows = faces(3)
     groups = []
     for i, content, v, _ in sorted(rows):
