@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions import identity
 from lodestrata.operators import details, progress
 from lodestrata.sources import archives, packets
 from lodestrata.sources import tables as t
@@ -154,3 +155,19 @@ def embedded_packets(spark: SparkSession, d: str) -> DataFrame:
     read = packets.with_fields(t.table(spark, d, "pages").select("page_id", packet.alias("packet")), "packet", "page_id")
     told = details.embedded_summary(F.col("xmp"), F.create_map().cast("map<string,array<string>>")).alias("s")
     return read.select("page_id", "xmp_error", told).select("page_id", F.col("s.title.value").alias("title"), F.coalesce(F.size("s.keywords"), F.lit(0)).alias("keywords"), F.col("s.rating").alias("rating"), F.col("xmp_error").isNotNull().alias("broken"), F.col("s.created.value").alias("created"))
+
+
+@query("""WITH m AS (SELECT 'own:' || sha256('{"max_side": 1600, "nms": 0.3, "parts": ["a", "b"], "version": "1"}') AS model),
+v AS (SELECT vec_id, sha256(CAST(vec_id % 97 AS VARCHAR)) AS content, CASE WHEN vec_id % 3 = 0 THEN sha256(sha256(CAST(vec_id % 97 AS VARCHAR)) || ':own:' || vec_id || ':1/90000') END AS frame FROM embeddings)
+SELECT vec_id, frame, model, sha256(content || coalesce(frame, '') || model || '[' || (CAST(vec_id % 7 AS DOUBLE) / 8) || ',0.25,1.0,' || (CAST(vec_id % 3 AS DOUBLE) / 4) || ']') AS face,
+  sha256('0:' || (vec_id % 5) || '2020-01-0' || (1 + vec_id % 9) || '2020-02-01') AS trip FROM v, m""")
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    """Names of frames, a model, faces and trips."""
+    k = F.col("vec_id")
+    content = F.sha2((k % 97).cast("string"), 256)
+    frame = F.when(k % 3 == 0, identity.frame_id(content, F.lit("own"), k, F.lit("1/90000")))
+    settings = F.struct(F.lit("1").alias("version"), F.lit(0.3).alias("nms"), F.array(F.lit("a"), F.lit("b")).alias("parts"), F.lit(1600).alias("max_side"))
+    rows = t.table(spark, d, "embeddings").select("vec_id", content.alias("content"), frame.alias("frame"), identity.model_identity("own", settings).alias("model"))
+    box = F.array((k % 7).cast("double") / 8, F.lit(0.25), F.lit(1.0), (k % 3).cast("double") / 4)
+    trip = identity.trip_id(F.concat(F.lit("0:"), (k % 5).cast("string")), F.concat(F.lit("2020-01-0"), (k % 9 + 1).cast("string")), F.lit("2020-02-01"))
+    return rows.select("vec_id", "frame", "model", identity.face_id(F.col("content"), F.col("model"), box, F.col("frame")).alias("face"), trip.alias("trip"))
