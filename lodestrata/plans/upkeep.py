@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import identity
-from lodestrata.operators import details, progress
+from lodestrata.operators import audit, details, progress, rollups
 from lodestrata.sources import archives, packets
 from lodestrata.sources import tables as t
 from lodestrata.storage import materialise, workspace
@@ -171,3 +171,47 @@ def identities(spark: SparkSession, d: str) -> DataFrame:
     box = F.array((k % 7).cast("double") / 8, F.lit(0.25), F.lit(1.0), (k % 3).cast("double") / 4)
     trip = identity.trip_id(F.concat(F.lit("0:"), (k % 5).cast("string")), F.concat(F.lit("2020-01-0"), (k % 9 + 1).cast("string")), F.lit("2020-02-01"))
     return rows.select("vec_id", "frame", "model", identity.face_id(F.col("content"), F.col("model"), box, F.col("frame")).alias("face"), trip.alias("trip"))
+
+
+_EXPORT = """p AS (SELECT page_id AS id, 'f' || (page_id % 3) AS family, 'Google Photos/Photos from 20' || lpad(CAST(page_id % 25 AS VARCHAR), 2, '0') || '/p' || (page_id % 50) || '.JPG' AS path, CAST(strlen(html) AS BIGINT) AS size, page_id % 9 AS crc FROM pages),
+j AS (SELECT id, family, path || '.json' AS path, CASE id % 11 WHEN 0 THEN '{broken' WHEN 1 THEN '[1]' WHEN 2 THEN '{"b": 1, "a": 2}' ELSE '{"photoTakenTime": {"timestamp": "' || (id * 8640000) || '"}, "title": "p' || (id % 50) || '.JPG", "description": "' || CASE WHEN id % 2 = 0 THEN 'd' ELSE '' END || '"}' END AS raw, id % 11 AS kind FROM p),
+c AS (SELECT DISTINCT 'p' || (id % 50) || '.JPG' AS name, size FROM p WHERE id % 4 = 0),
+ph AS (SELECT * FROM j WHERE kind > 2),
+fit AS (SELECT ph.id, count(p.id) AS fits, min(p.id) AS m FROM ph LEFT JOIN p ON p.family = ph.family AND p.path || '.json' = ph.path GROUP BY ph.id),
+own AS (SELECT m, count(*) AS n FROM fit WHERE fits = 1 GROUP BY m),
+cov AS (SELECT id, id IN (SELECT id FROM fit WHERE fits = 1) AS one, unnest(['capture_timestamp', 'capture_year_' || year(make_timestamp(id * 8640000 * 1000000)), CASE WHEN id % 2 = 0 THEN 'nonempty_description' END]) AS key FROM ph),
+o AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.size = p.size AND ends_with(p.path, '/' || c.name)) THEN 'name_size_candidate' WHEN p.size IN (SELECT size FROM c) THEN 'size_only_candidate' ELSE 'no_equal_size_in_catalog' END AS state FROM p)"""
+
+
+@query(f"""WITH {_EXPORT}, u AS (SELECT 'json' AS measure, CASE kind WHEN 0 THEN 'unreadable' WHEN 1 THEN 'not_object' WHEN 2 THEN 'without_photo_taken_time' ELSE 'photo' END AS item, count(*) AS n FROM j GROUP BY ALL
+UNION ALL SELECT 'key_shape', CASE WHEN kind = 2 THEN 'a,b' ELSE 'description,photoTakenTime,title' END, count(*) FROM j WHERE kind > 1 GROUP BY ALL
+UNION ALL SELECT 'sidecar', CASE WHEN fits = 1 THEN 'unique' WHEN fits > 1 THEN 'ambiguous' ELSE 'unmatched' END, count(*) FROM fit GROUP BY ALL
+UNION ALL SELECT 'media_with_unique_sidecar', '', count(*) FROM own UNION ALL SELECT 'media_with_multiple_sidecars', '', count(*) FROM own WHERE n > 1
+UNION ALL SELECT 'coverage', key, count(*) FROM cov WHERE key IS NOT NULL GROUP BY key UNION ALL SELECT 'coverage_unique', key, count(*) FROM cov WHERE key IS NOT NULL AND one GROUP BY key
+UNION ALL SELECT 'overlap', state, count(*) FROM o GROUP BY state UNION ALL SELECT 'overlap_bytes', state, CAST(sum(size) AS BIGINT) FROM o GROUP BY state
+UNION ALL SELECT 'year_folder', '20' || lpad(CAST(id % 25 AS VARCHAR), 2, '0'), count(*) FROM p GROUP BY ALL
+UNION ALL SELECT 'extension', '.jpg', count(*) FROM p UNION ALL SELECT 'repeated_size_crc_extra', '', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT size, crc FROM p)) AS BIGINT) FROM p)
+SELECT * FROM u WHERE n > 0 OR measure = 'repeated_size_crc_extra'""")
+def archive_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of an export made of pages: sidecars of four kinds, entries of equal names, a catalogue of a quarter of them."""
+    k = F.col("page_id")
+    path = F.concat(F.lit("Google Photos/Photos from 20"), F.lpad((k % 25).cast("string"), 2, "0"), F.lit("/p"), (k % 50).cast("string"), F.lit(".JPG"))
+    pages = t.table(spark, d, "pages").select(k.alias("id"), F.concat(F.lit("f"), (k % 3).cast("string")).alias("family"), path.alias("path"), F.octet_length("html").cast("long").alias("size"), (k % 9).alias("crc"))
+    media = materialise(pages, "media")
+    i = F.col("id")
+    photo = F.concat(F.lit('{"photoTakenTime": {"timestamp": "'), (i * 8640000).cast("string"), F.lit('"}, "title": "p'), (i % 50).cast("string"), F.lit('.JPG", "description": "'), F.when(i % 2 == 0, "d").otherwise(""), F.lit('"}'))
+    raw = F.when(i % 11 == 0, "{broken").when(i % 11 == 1, "[1]").when(i % 11 == 2, '{"b": 1, "a": 2}').otherwise(photo)
+    sidecars = media.select("id", "family", F.concat("path", F.lit(".json")).alias("path"), raw.alias("raw"))
+    catalogue = media.where(i % 4 == 0).select(F.concat(F.lit("p"), (i % 50).cast("string"), F.lit(".JPG")).alias("name"), "size")
+    return audit.export_audit(media, sidecars, catalogue)
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY lang, n_chars % 4 ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) <= 5 AS chosen FROM documents),
+u AS (SELECT lang, n_chars % 4 AS shape, count(*) AS population, count(*) FILTER (chosen) AS selected, count(*) FILTER (chosen AND doc_id % 3 <> 0) AS probed, count(*) FILTER (chosen AND doc_id % 3 <> 0 AND doc_id % 2 = 0) AS title FROM s GROUP BY ALL)
+SELECT lang, shape, 'population' AS measure, population AS n FROM u UNION ALL SELECT lang, shape, 'selected', selected FROM u UNION ALL SELECT lang, shape, 'probed', probed FROM u UNION ALL SELECT lang, shape, 'title', title FROM u""")
+def survey_strata(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of a stratified sample of five documents by language and shape, of which some could be probed."""
+    k = F.col("doc_id")
+    docs = t.table(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") % 4).alias("shape"))
+    sample = rollups.stratified_sample(docs, ["lang", "shape"], k, 5).withColumn("probed", k % 3 != 0).withColumn("title", F.when((k % 3 != 0) & (k % 2 == 0), "t"))
+    return audit.survey_coverage(docs, sample, ["title"], ("lang", "shape"))
