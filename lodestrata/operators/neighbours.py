@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, vectors
 from lodestrata.operators import gaps
+from lodestrata.operators.shapes import kept_points
 from lodestrata.shipping import ship
 from lodestrata.storage import materialise
 
@@ -328,24 +329,9 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
     """(id, points): lines (id, points as arrays of x, y) without the points that lie within a tolerance of the rest (Douglas-Peucker)."""
     ship(lines.sparkSession)
 
-    def keep(points: np.ndarray) -> np.ndarray:
-        wanted, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            run, base = points[a + 1 : b], points[b] - points[a]
-            length = float(np.hypot(*base))
-            off = np.abs(base[0] * (points[a, 1] - run[:, 1]) - base[1] * (points[a, 0] - run[:, 0])) / length if length else np.hypot(*(run - points[a]).T)
-            i = int(off.argmax())
-            if off[i] > tolerance:
-                wanted.add(a + 1 + i)
-                todo += [(a, a + 1 + i), (a + 1 + i, b)]
-        return points[sorted(wanted)]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [keep(np.array([list(p) for p in points], float)) if len(points) > 2 else points for points in batch["points"]]
+            kept = [kept_points(np.array([list(p) for p in points], float), tolerance) if len(points) > 2 else points for points in batch["points"]]
             yield pd.DataFrame({"id": batch["id"], "points": [[[round(float(v), 3) for v in p] for p in line] for line in kept]})
 
     return lines.mapInPandas(run, "id long, points array<array<double>>")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import identity
-from lodestrata.operators import audit, details, progress, rollups
+from lodestrata.operators import audit, details, progress, rollups, shapes
 from lodestrata.sources import archives, packets
 from lodestrata.sources import tables as t
 from lodestrata.storage import materialise, workspace
@@ -215,3 +215,21 @@ def survey_strata(spark: SparkSession, d: str) -> DataFrame:
     docs = t.table(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") % 4).alias("shape"))
     sample = rollups.stratified_sample(docs, ["lang", "shape"], k, 5).withColumn("probed", k % 3 != 0).withColumn("title", F.when((k % 3 != 0) & (k % 2 == 0), "t"))
     return audit.survey_coverage(docs, sample, ["title"], ("lang", "shape"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, CAST((c_custkey * 37) % 340 AS DOUBLE) - 170 AS x, CAST((c_custkey * 53) % 160 AS DOUBLE) - 80 AS y FROM customer)
+SELECT id, CASE WHEN id % 4 = 3 THEN 2 ELSE 1 END AS parts, CASE id % 4 WHEN 1 THEN 2 WHEN 3 THEN 10 ELSE 5 END AS points, x AS west, CASE WHEN id % 4 = 1 THEN y ELSE y - 1 END AS south, x + CASE WHEN id % 4 = 1 THEN 2 WHEN id % 4 = 3 THEN 5 ELSE 2 END AS east, CASE WHEN id % 4 = 1 THEN y ELSE y + 1 END AS north
+FROM c WHERE id % 4 <> 0""")
+def map_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of simplified rings and lines: triangles too small to stay, lines, squares with points to spare, two squares."""
+    k = F.col("c_custkey")
+    x, y = (k * 37 % 340).cast("double") - 170.0, (k * 53 % 160).cast("double") - 80.0
+    points = lambda *at: F.to_json(F.array(*[F.array(x + float(a), y + float(b)) for a, b in at]))
+    square = lambda dx: points((dx, -1), (dx + 1, -1), (dx + 2, -1), (dx + 2, 0), (dx + 2, 1), (dx + 1, 1.0001), (dx, 1), (dx, -1))
+    tiny = points((0, 0), (0.0001, 0), (0.0001, 0.0001), (0, 0))
+    wrap = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    shape = F.when(k % 4 == 0, "Polygon").when(k % 4 == 1, "LineString").when(k % 4 == 2, "Polygon").otherwise("MultiPolygon")
+    coordinates = F.when(k % 4 == 0, wrap(tiny)).when(k % 4 == 1, points((0, 0), (1, 0.0001), (2, 0))).when(k % 4 == 2, wrap(square(0), tiny)).otherwise(wrap(wrap(square(0)), wrap(square(3))))
+    features = t.table(spark, d, "customer").select(k.alias("id"), shape.alias("shape"), coordinates.alias("coordinates"))
+    out = shapes.boxes(shapes.simplified_shapes(features, 0.01))
+    return out.withColumns({"parts": F.col("parts").cast("int"), "points": F.col("points").cast("int")})
