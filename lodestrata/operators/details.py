@@ -263,24 +263,19 @@ def keywords(subjects: Column, hierarchical: Column, iptc: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(joined, lambda x: F.trim(x)), lambda x: x != "")), 1, 200)
 
 
-def suggestions(pending: DataFrame, exemplars: DataFrame, single: float = 0.70, best: float = 0.65, second: float = 0.55, margin: float = 0.08, most: int = 32, limit: int = 20_000) -> DataFrame:
+def suggestions(pending: DataFrame, exemplars: DataFrame, single: float = 0.70, best: float = 0.65, second: float = 0.55, margin: float = 0.08, most: int = 32) -> DataFrame:
     """face_id, person, score: for pending faces the person whose exemplars (person, face_id, vector; named by hand) they are like.
 
-    Of each person at most ``most`` exemplars count, evenly spaced in order of ids. Scores are taken against one array of
-    them, whose number is checked before it is sent to every task; with more, an error says so. No pairs are joined.
+    Of each person at most ``most`` exemplars count, evenly spaced in order of ids. Faces meet them in blocks of bounded size.
     """
+    from lodestrata.operators.neighbours import best_groups
+
     places = exemplars.withColumns({"__i": F.row_number().over(Window.partitionBy("person").orderBy("face_id")) - 1, "__n": F.count("*").over(Window.partitionBy("person"))})
     spaced = places.where(F.array_contains(times.even_places(F.col("__n"), most), F.col("__i").cast("long"))).select("person", "vector")
-    n = spaced.count()
-    if n > limit:
-        raise ValueError(f"{n} exemplars; at most {limit} are sent to every task")
-    packed = spaced.agg(F.collect_list(F.struct("person", "vector")).alias("all"))
-    scored = pending.withColumn("__all", packed.scalar()).select("face_id", F.explode(F.transform("__all", lambda e: F.struct(e["person"].alias("person"), vectors.dot(F.col("vector"), e["vector"]).alias("s")))).alias("x"))
-    per = scored.groupBy("face_id", F.col("x.person").alias("person")).agg(F.slice(F.sort_array(F.collect_list("x.s"), asc=False), 1, 2).alias("top"))
-    fits = F.when(F.size("top") == 1, F.get("top", F.lit(0)) >= single).otherwise((F.get("top", F.lit(0)) >= best) & (F.get("top", F.lit(1)) >= second))
-    w = Window.partitionBy("face_id").orderBy(F.desc("s"), "person")
-    ranked = per.withColumn("s", F.get("top", F.lit(0))).withColumns({"fits": fits, "rank": F.row_number().over(w), "next": F.lead("s").over(w)})
-    return ranked.where((F.col("rank") == 1) & F.col("fits") & (F.col("next").isNull() | (F.col("s") - F.col("next") >= margin))).select("face_id", "person", F.col("s").alias("score"))
+    two = best_groups(pending, materialise(spaced, "exemplars"), "person")
+    nearest = two.withColumn("next", F.lead("first").over(Window.partitionBy("face_id").orderBy("rank"))).where("rank = 1")
+    fits = F.when(F.col("second").isNull(), F.col("first") >= single).otherwise((F.col("first") >= best) & (F.col("second") >= second))
+    return nearest.where(fits & (F.col("next").isNull() | (F.col("first") - F.col("next") >= margin))).select("face_id", "person", F.col("first").alias("score"))
 
 
 def representatives(faces: DataFrame, by: str, most_alike: float = 0.5) -> DataFrame:

@@ -66,19 +66,39 @@ def best_matches(asked: DataFrame, rows: DataFrame, k: int = 2, key: str = "vec_
     return top_k_by_group(met, "asked", "o", k).withColumnRenamed("asked", key)
 
 
-def best_reference(rows: DataFrame, references: DataFrame, key: str, vector: str = "vector", limit: int = 10_000) -> DataFrame:
-    """(key, best, margin): each row's most like reference (ref, y), ties to the smaller, and its lead over the second.
+def best_groups(asked: DataFrame, members: DataFrame, group: str, key: str = "face_id", vector: str = "vector") -> DataFrame:
+    """(key, group, first, second, rank): for each asked row the two groups with the most like member, with the scores of their two
+    most like ones (second is null for groups of one); ties to the smaller group.
 
-    References are sent to every task as one array, so their number is checked first; no pairs are joined.
+    Groups are dealt into blocks whole (they are small), asked rows too; a task gives two groups for each asked row.
     """
-    n = references.count()
-    if n > limit:
-        raise ValueError(f"{n} references; at most {limit} are sent to every task")
-    packed = references.agg(F.collect_list(F.struct("ref", "y")).alias("all"))
-    scored = F.transform("__all", lambda r: F.struct((-vectors.dot(F.col(vector), r["y"])).alias("away"), r["ref"].alias("ref")))
-    top = rows.withColumn("__all", packed.scalar()).select(key, F.slice(F.sort_array(scored), 1, 2).alias("top"))
-    at = lambda i, f: F.get("top", F.lit(i))[f]
-    return top.select(key, at(0, "ref").alias("best"), (at(1, "away") - at(0, "away")).alias("margin"))
+    ship(members.sparkSession)
+    parts, lots = -(-max(1, members.count()) // BLOCK_ROWS), -(-max(1, asked.count()) // BLOCK_ASKED)
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = members.select(F.col(group).alias("g"), F.col(vector).alias("v")).withColumn("part", deal(parts, "g")).withColumn("lot", every(lots))
+    wanted = asked.select(F.col(key).alias("a"), F.col(vector).alias("u")).withColumn("lot", deal(lots, "a", F.monotonically_increasing_id())).withColumn("part", every(parts))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "g": [], "first": [], "second": []})
+        right = right.sort_values("g", kind="stable")
+        names, starts = np.unique(right["g"].to_numpy(), return_index=True)
+        scores = np.stack(left["u"]) @ np.stack(right["v"]).T
+        first = np.maximum.reduceat(scores, starts, axis=1)
+        of = np.repeat(np.arange(len(names)), np.diff(np.append(starts, len(right))))
+        top = scores == first[:, of]  # of several equal ones one is the first, another the second
+        several = np.add.reduceat(top, starts, axis=1) > 1
+        second = np.where(several, first, np.maximum.reduceat(np.where(top, -np.inf, scores), starts, axis=1))
+        best = np.argsort(-first, axis=1, kind="stable")[:, :2]
+        at = lambda x: np.take_along_axis(x, best, 1).ravel()
+        seconds = [None if x == -np.inf else x for x in at(second).tolist()]
+        return pd.DataFrame({"a": np.repeat(left["a"].to_numpy(), best.shape[1]), "g": names[best].ravel(), "first": at(first), "second": pd.Series(seconds, dtype=object)})
+
+    kind, name = asked.schema[key].dataType.simpleString(), members.schema[group].dataType.simpleString()
+    met = wanted.groupBy("part", "lot").cogroup(held.groupBy("part", "lot")).applyInPandas(meet, f"a {kind}, g {name}, first double, second double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("first"), "g"))
+    return met.withColumn("rank", rank).where("rank <= 2").select(F.col("a").alias(key), F.col("g").alias(group), "first", "second", "rank")
 
 
 def _choices(distance: int, rows: int, crowd: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:

@@ -72,18 +72,12 @@ def person_means(exemplars: DataFrame) -> DataFrame:
     return listed.select("person", vectors.unit(F.col("mean")).alias("mean")).where("mean is not null")
 
 
-def group_hints(groups: DataFrame, means: DataFrame, threshold: float, limit: int = 20_000) -> DataFrame:
-    """(group_id, person, similarity) of groups (group_id, centroid) that are like a person's mean at the threshold or above: the most alike, ties to the smaller.
+def group_hints(groups: DataFrame, means: DataFrame, threshold: float) -> DataFrame:
+    """(group_id, person, similarity) of groups (group_id, centroid) that are like a person's mean at the threshold or above: the most alike, ties to the smaller."""
+    from lodestrata.operators.neighbours import best_groups
 
-    People are named by hand; their number is checked before they are sent to every task as one array.
-    """
-    n = means.count()
-    if n > limit:
-        raise ValueError(f"{n} people; at most {limit} are sent to every task")
-    packed = means.agg(F.collect_list(F.struct("person", "mean")).alias("all"))
-    best = F.array_min(F.transform("__all", lambda p: F.struct((-vectors.dot(F.col("centroid"), p["mean"])).alias("away"), p["person"].alias("person"))))
-    met = groups.withColumn("__all", packed.scalar()).select("group_id", best.alias("b"))
-    return met.where(-F.col("b.away") >= threshold).select("group_id", "b.person", (-F.col("b.away")).alias("similarity"))
+    met = best_groups(groups.withColumnRenamed("centroid", "vector"), means.withColumnRenamed("mean", "vector"), "person", key="group_id").where("rank = 1")
+    return met.where(F.col("first") >= threshold).select("group_id", "person", F.col("first").alias("similarity"))
 
 
 def face_review(members: DataFrame, faces: DataFrame, named: DataFrame, ignored: DataFrame, hints: DataFrame, show_ignored: bool = False) -> DataFrame:

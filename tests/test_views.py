@@ -108,3 +108,27 @@ def test_summaries_of_empty_ledgers_are_zero(spark):
 def test_raw_metadata_that_is_no_json_is_null(spark):
     files = spark.createDataFrame([("a", "/r", '{"x": 1}'), ("b", "/r", "{"), ("c", "/r", None)], "path string, root string, metadata string")
     assert rows(progress.raw_metadata(files, F.lit(True)).select("path", "raw", "source")) == [("a", '{"x": 1}', "/r/a"), ("b", None, "/r/b"), ("c", None, "/r/c")]
+
+
+def test_best_groups_over_many_blocks(spark, monkeypatch):
+    import random
+
+    from lodestrata.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(neighbours, "BLOCK_ASKED", 4)
+    rng = random.Random(2)
+    vector = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]  # few values: many ties
+    asked, members = [(i, vector()) for i in range(9)], [(rng.randrange(7), vector()) for _ in range(30)] + [(50, [1.0, 1.0, 1.0])]
+    got = rows(neighbours.best_groups(spark.createDataFrame(asked, "face_id long, vector array<double>"), spark.createDataFrame(members, "person int, vector array<double>"), "person"))
+    want = []
+    for i, u in asked:
+        by = {}
+        for p, v in members:
+            by.setdefault(p, []).append(sum(a * b for a, b in zip(u, v, strict=True)))
+        best = sorted((-max(s), p, sorted(s, reverse=True)) for p, s in by.items())[:2]
+        want += [(i, p, s[0], s[1] if len(s) > 1 else None, r) for r, (_, p, s) in enumerate(best, 1)]
+    assert got == sorted(want, key=str)
+    few = neighbours.best_matches(spark.createDataFrame(asked, "vec_id long, vector array<double>"), spark.createDataFrame(asked, "vec_id long, vector array<double>"), 3)
+    plain = [(i, *x) for i, u in asked for x in [(o, -s, r) for r, (s, o) in enumerate(sorted((-sum(a * b for a, b in zip(u, v, strict=True)), o) for o, v in asked if o != i)[:3], 1)]]
+    assert rows(few.select("vec_id", "o", "score", "rank")) == sorted(plain, key=str)
