@@ -106,7 +106,7 @@ def _trips(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "nation").select(n.alias("trip"), n.alias("seq"), day(n * 90).alias("after"), day(n * 90 + 80).alias("before"), place.alias("place"))
 
 
-@query(f"""WITH {FILES}, {_TRIPS}, shown AS (SELECT * FROM files WHERE id % 3 = 0 OR lat IS NULL),
+@query(f"""WITH {FILES}, {_TRIPS}, shown AS (SELECT * REPLACE (CASE WHEN day LIKE '%5' THEN NULL ELSE lat END AS lat, CASE WHEN day LIKE '%5' THEN NULL ELSE lon END AS lon, CASE WHEN day LIKE '%5' THEN NULL ELSE cell END AS cell) FROM files),
 peers AS (SELECT * FROM shown WHERE cell IS NOT NULL AND day IS NOT NULL),
 days AS (SELECT day, count(DISTINCT cell) AS cells, arg_max({{'lat': lat, 'lon': lon, 'cell': cell}}, row(name, id)) AS a_peer FROM peers GROUP BY day),
 missing AS (SELECT * FROM shown WHERE cell IS NULL AND NOT dismissed),
@@ -121,10 +121,11 @@ SELECT id, content_hash, rule, CASE rule WHEN 'same-day' THEN 'strong' WHEN 'nea
   round(CASE rule WHEN 'same-day' THEN coalesce(p.lat, a_peer.lat) WHEN 'nearby-time' THEN p.lat WHEN 'trip' THEN t_lat END, 6) AS lat, round(CASE rule WHEN 'same-day' THEN coalesce(p.lon, a_peer.lon) WHEN 'nearby-time' THEN p.lon WHEN 'trip' THEN t_lon END, 6) AS lon,
   CASE rule WHEN 'same-day' THEN coalesce(p.cell, a_peer.cell) WHEN 'nearby-time' THEN p.cell WHEN 'trip' THEN split_part(place, ',', 1) END AS cell FROM ruled""")
 def location_gap_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Over files without a place and a third of the others (the sides of the rule), so that days without located files occur."""
+    """Over all files, of which none has a place on days that end in 5."""
     files = t.files(spark, d)
     places = files.where("cell is not null").groupBy("cell").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    return gaps.location_proposals(files.where("id % 3 = 0 or lat is null"), _trips(spark, d), places)
+    shown = files.withColumns({c: F.when(F.col("day").endswith("5"), None).otherwise(F.col(c)) for c in ("lat", "lon", "cell")})
+    return gaps.location_proposals(shown, _trips(spark, d), places)
 
 
 @query(f"""WITH {FILES}, {_TRIPS}, hits AS (SELECT trip, day, value, name, id, {{'lat': round(lat, 4), 'lon': round(lon, 4)}} AS p FROM files JOIN trips ON day BETWEEN after AND before AND cell IS NOT NULL AND (place = '' OR list_contains(string_split(place, ','), cell)) WHERE NOT (id % 10 = 7 AND trip % 2 = 1)),

@@ -125,7 +125,7 @@ def run_stage(work: DataFrame, derive: Callable, schema: str, model: str, facts:
     made.where("error is not null").select(key, "model", "error").write.mode("append").parquet(errors)
 
 
-def until_complete(roles: dict[str, list[Callable[[], int]]], most: int = 100) -> dict[str, list[int]]:
+def until_complete(roles: dict[str, list[Callable[[], int]]]) -> dict[str, list[int]]:
     """Runs each role's stages in order, round after round, roles beside each other, until no stage's backlog shrinks.
 
     A stage is a function that works once and returns how much is left; it is dropped when that is zero or no less than
@@ -137,14 +137,12 @@ def until_complete(roles: dict[str, list[Callable[[], int]]], most: int = 100) -
     def run(role: str) -> None:
         was: list[int | None] = [None] * len(roles[role])
         open_ = set(range(len(was)))
-        for _ in range(most):
+        while open_:  # each round a backlog shrinks or its stage goes
             for i in sorted(open_):
                 n = roles[role][i]()
                 if n == 0 or (was[i] is not None and n >= was[i]):
                     open_.discard(i)
                 was[i] = n
-            if not open_:
-                break
         with lock:
             left[role] = [n or 0 for n in was]
 
