@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions import identity
-from lodestrata.operators import audit, details, progress, rollups, shapes
+from lodestrata.functions import geo, identity
+from lodestrata.operators import audit, details, journeys, progress, rollups, shapes
+from lodestrata.plans.catalogue import CELL, ITEMS
 from lodestrata.sources import archives, packets
 from lodestrata.sources import tables as t
 from lodestrata.storage import materialise, workspace
@@ -233,3 +234,17 @@ def map_boxes(spark: SparkSession, d: str) -> DataFrame:
     features = t.table(spark, d, "customer").select(k.alias("id"), shape.alias("shape"), coordinates.alias("coordinates"))
     out = shapes.boxes(shapes.simplified_shapes(features, 0.01))
     return out.withColumns({"parts": F.col("parts").cast("int"), "points": F.col("points").cast("int")})
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, own AS (SELECT id, {CELL} AS cell, day FROM items WHERE lat IS NOT NULL AND day IS NOT NULL AND (user_id % 6 = 0 OR (user_id % 5 <> 1 AND kind <> 'signup'))),
+days AS (SELECT cell, CAST(day AS DATE) AS day, count(*) AS n, min(id) AS cover FROM own GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY day) AS r FROM days),
+f AS (SELECT cell, day, n, r, cover, day AS a FROM o WHERE r = 1 UNION ALL SELECT o.cell, o.day, o.n, o.r, o.cover, CASE WHEN o.day - f.day > 2 OR o.day - f.a > 14 THEN o.day ELSE f.a END FROM f JOIN o ON o.cell = f.cell AND o.r = f.r + 1),
+g AS (SELECT cell AS place, strftime(a, '%Y-%m-%d') AS after, strftime(max(day), '%Y-%m-%d') AS before, CAST(sum(n) AS BIGINT) AS count, arg_min(cover, day) AS cover FROM f GROUP BY cell, a HAVING sum(n) >= 3)
+SELECT sha256(place || after || before) AS id, CASE WHEN place LIKE '%:-%' THEN 'area ' || place ELSE 'Recorded place' END || ' · ' || after AS name, after, before, place, count, cover FROM g""")
+def trip_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Trips of items whose dates can be trusted, named and numbered."""
+    items = t.items(spark, d).withColumn("cell", geo.cell_key(F.col("lat"), F.col("lon")))
+    status, meaning = F.when(F.col("user_id") % 5 == 1, "conflict").otherwise("single"), F.when(F.col("kind") == "signup", "created").otherwise("capture")
+    items = items.withColumns({"confirmed": F.col("user_id") % 6 == 0, "date_status": status, "date_meaning": meaning})
+    places = items.where(F.col("cell").contains(":-")).select(F.col("cell").alias("place")).distinct()
+    return journeys.trip_proposals(items, places.withColumn("label", F.concat(F.lit("area "), "place")))

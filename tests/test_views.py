@@ -132,3 +132,18 @@ def test_best_groups_over_many_blocks(spark, monkeypatch):
     few = neighbours.best_matches(spark.createDataFrame(asked, "vec_id long, vector array<double>"), spark.createDataFrame(asked, "vec_id long, vector array<double>"), 3)
     plain = [(i, *x) for i, u in asked for x in [(o, -s, r) for r, (s, o) in enumerate(sorted((-sum(a * b for a, b in zip(u, v, strict=True)), o) for o, v in asked if o != i)[:3], 1)]]
     assert rows(few.select("vec_id", "o", "score", "rank")) == sorted(plain, key=str)
+
+
+def test_trips_of_dates_that_can_be_trusted(spark):
+    import hashlib
+
+    from lodestrata.operators import journeys
+
+    schema = "id int, content_hash string, day string, cell string, confirmed boolean, date_status string, date_meaning string"
+    good = [(i, f"h{i}", f"2020-01-0{d}", "1:2", False, "single", "capture") for i, d in ((5, 3), (4, 1), (9, 1))]
+    bad = [(0, "x", "2020-01-01", "1:2", False, "conflict", "capture"), (1, "x", "2020-01-01", "1:2", None, "single", "created"), (2, None, "2020-01-01", "1:2", True, "single", "capture"), (3, "x", None, "1:2", True, "single", "capture"), (6, "x", "2020-01-01", "1:2", None, None, None)]
+    sure = [(7, "h7", "2020-02-01", "1:2", True, "conflict", None), (8, "h8", "2020-02-01", "1:2", True, "invalid", "x")]  # two only: no trip
+    labels = spark.createDataFrame([("9:9", "elsewhere")], "place string, label string")
+    got = rows(journeys.trip_proposals(spark.createDataFrame(good + bad + sure, schema), labels))
+    name = hashlib.sha256(b"1:22020-01-012020-01-03").hexdigest()
+    assert got == [(name, "Recorded place · 2020-01-01", "2020-01-01", "2020-01-03", "1:2", 3, 4)]
