@@ -74,8 +74,11 @@ def unique_matches(left: DataFrame, right: DataFrame, key: str, left_id: str, ri
     return met.select(left_id, F.when(n == 1, F.col(right_id)).alias(right_id), F.when(n == 1, "attached").when(n > 1, "ambiguous").otherwise("unmatched").alias("status"))
 
 
-def merged_inventory(old: DataFrame, new: DataFrame, key: str, unchanged: list[str], carried: list[str]) -> DataFrame:
-    """Inventory after a scan: rows of both, with what was derived kept only where nothing changed; unseen rows stay, marked absent."""
+def merged_inventory(old: DataFrame, new: DataFrame, key: str, unchanged: list[str], carried: list[str], dated: dict[str, str] | None = None) -> DataFrame:
+    """Inventory after a scan: rows of both, with what was derived kept only where nothing changed; unseen rows stay, marked absent.
+
+    ``dated``: of each derived column the one that tells when; a value without its time is not carried.
+    """
     a, b = old.select(*[F.col(c).alias(f"__{c}") for c in old.columns]), new
     met = b.join(a, F.col(key) == F.col(f"__{key}"), "full_outer")
     same = F.lit(True)
@@ -83,7 +86,8 @@ def merged_inventory(old: DataFrame, new: DataFrame, key: str, unchanged: list[s
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     seen = F.col(key).isNotNull()
     own = [F.when(seen, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in (key, *unchanged)]
-    return met.select(*own, *[F.when(same | ~seen, F.col(f"__{c}")).alias(c) for c in carried], seen.cast("int").alias("present"))
+    told = lambda c: F.col(f"__{(dated or {}).get(c, c)}").isNotNull()
+    return met.select(*own, *[F.when((same | ~seen) & told(c), F.col(f"__{c}")).alias(c) for c in carried], seen.cast("int").alias("present"))
 
 
 def changed_members(stored: DataFrame, current: DataFrame, by: str, members: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import threading
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from lodestrata.storage import materialise
+
 BUCKETS = 64
 
 
@@ -118,13 +121,29 @@ def run_stage(work: DataFrame, derive: Callable, schema: str, model: str, facts:
     """
     if policy:
         work.where("retry").select(key, F.lit(model).alias("model"), F.lit(policy).alias("policy")).write.mode("append").parquet(attempts)
-    from lodestrata.storage import materialise
-
     made = materialise(work.mapInPandas(derive, schema).withColumn("model", F.lit(model)), "derived")
     made.where("error is null").drop("error").write.mode("append").parquet(facts)
     made.where("error is not null").select(key, "model", "error").write.mode("append").parquet(errors)
 
 
+def run_for(seconds: float, work: Callable[[], DataFrame], do: Callable[[DataFrame], None], limit: int = 1000, most: int | None = None) -> int:
+    """Does pieces of work, ``limit`` at a time, until none is left, the time is up or ``most`` are done; returns how many.
+
+    ``work`` gives what is left, in its order (``work_order``); ``do`` does a batch whole and stores it, so what is begun in time
+    is ended, and nothing is stored in part. A batch that leaves the same work behind ends the run.
+    """
+    ends, done, was = time.monotonic() + seconds, 0, None
+    while time.monotonic() < ends and (most is None or done < most):
+        batch = materialise(work().limit(limit if most is None else min(limit, most - done)), "work")
+        n = batch.count()
+        mark = (n, *batch.agg(F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)"))).first())
+        if n == 0 or mark == was:
+            break
+        do(batch)
+        done, was = done + n, mark
+    return done
+
+
 def until_complete(roles: dict[str, list[Callable[[], int]]]) -> dict[str, list[int]]:
     """Runs each role's stages in order, round after round, roles beside each other, until no stage's backlog shrinks.
 

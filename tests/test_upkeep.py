@@ -111,3 +111,30 @@ def test_no_row_is_lost_when_the_number_of_buckets_changes(spark, tmp_path):
     ingest.store_batch(made(0, 0), 3, folder, "k", "t", 2)
     assert sorted(r["k"] for r in ingest.current(spark, folder).collect()) == list(range(1002))
     assert ingest._manifest(spark, folder, None)[1] == 2
+
+
+def test_work_is_done_in_batches_until_none_is_left_or_time_is_up(spark):
+    done, seen = set(), []
+
+    def work():
+        return spark.createDataFrame([(i,) for i in range(7) if i not in done], "i int").orderBy("i")
+
+    def do(batch):
+        now = [r["i"] for r in batch.collect()]
+        seen.append(sorted(now))
+        done.update(now)
+
+    assert ingest.run_for(60, work, do, 3, 4) == 4 and seen == [[0, 1, 2], [3]]
+    assert ingest.run_for(0, work, do) == 0
+    assert ingest.run_for(60, work, do, 2) == 3 and seen[2:] == [[4, 5], [6]] and ingest.run_for(60, work, do) == 0
+    done.clear()
+    assert ingest.run_for(60, work, lambda batch: None, 3) == 3  # a stage that gets nothing done ends
+
+
+def test_a_digest_without_its_time_is_not_carried(spark):
+    from lodestrata.operators import evidence
+
+    old = spark.createDataFrame([("a", 1, "h", "t"), ("b", 1, "h", None), ("c", 1, "h", "t"), ("d", 1, "h", "t")], "path string, size int, content_hash string, hashed_at string")
+    new = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "path string, size int")
+    got = collected(evidence.merged_inventory(old, new, "path", ["size"], ["content_hash", "hashed_at"], {"content_hash": "hashed_at"}))
+    assert got == [("a", 1, "h", "t", 1), ("b", 1, None, None, 1), ("c", 2, None, None, 1), ("d", 1, "h", "t", 0)]
