@@ -414,6 +414,20 @@ def evidence_bundle(items: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return items.join(listed, F.col(key) == F.col("__k"), "left").drop("__k")
 
 
+def evidence_of(items: DataFrame, key: str, **told: DataFrame) -> DataFrame:
+    """Items with everything that is known of them: for each table (key and what it tells) an array of its rows, sorted; empty without any.
+
+    Copies of a row count once. Tables are grouped before they meet the items, each by itself, so none multiplies another.
+    """
+    out = items
+    for name, rows in told.items():
+        own = [c for c in rows.columns if c != key]
+        listed = rows.groupBy(F.col(key).alias("__k")).agg(F.sort_array(F.collect_set(F.struct(*own))).alias(name))
+        none = F.array().cast(listed.schema[name].dataType)
+        out = out.join(listed, F.col(key) == F.col("__k"), "left").drop("__k").withColumn(name, F.coalesce(name, none))
+    return out
+
+
 def with_search_text(items: DataFrame, key: str, *names: DataFrame) -> DataFrame:
     """Items with ``search_text``: their name and the names (key, name) that people, places, trips and buckets give them."""
     told = reduce(DataFrame.unionByName, [n.select(key, "name") for n in names]).groupBy(F.col(key).alias("__k")).agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("__told"))

@@ -248,3 +248,22 @@ def trip_proposals(spark: SparkSession, d: str) -> DataFrame:
     items = items.withColumns({"confirmed": F.col("user_id") % 6 == 0, "date_status": status, "date_meaning": meaning})
     places = items.where(F.col("cell").contains(":-")).select(F.col("cell").alias("place")).distinct()
     return journeys.trip_proposals(items, places.withColumn("label", F.concat(F.lit("area "), "place")))
+
+
+@query("""WITH s AS (SELECT conv_id AS doc_id, string_agg(turn || ':' || role, ' ' ORDER BY turn, role) AS words FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id),
+f AS (SELECT doc_id, string_agg(a || '=' || v, ' ' ORDER BY a, v) AS facts FROM (SELECT doc_id, 'quality' AS a, quality AS v FROM labels WHERE quality IS NOT NULL UNION SELECT doc_id, 'toxic', toxic FROM labels WHERE toxic IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, lang, coalesce(facts, '') AS facts, coalesce(words, '') AS transcript, 'src/' || source || '/' || doc_id || ' src/' || source || '/copy' AS paths, CASE WHEN p.page_id IS NULL THEN '' ELSE p.url END AS dates
+FROM documents LEFT JOIN f USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN (SELECT page_id, coalesce(url, '') AS url FROM pages) p ON p.page_id = doc_id""")
+def everything_known(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its facts, transcript, paths and dates."""
+    k = F.col("doc_id")
+    docs = t.table(spark, d, "documents").select("doc_id", "lang", "source")
+    facts = t.table(spark, d, "labels").unpivot("doc_id", ["quality", "toxic"], "attribute", "value").where("value is not null")
+    spoken = t.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role")
+    place = F.concat(F.lit("src/"), "source", F.lit("/"))
+    paths = docs.select("doc_id", F.concat(place, k.cast("string")).alias("path")).unionByName(docs.select("doc_id", F.concat(place, F.lit("copy")).alias("path")))
+    dates = t.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.coalesce("url", F.lit("")).alias("value"))
+    out = details.evidence_of(docs, "doc_id", facts=facts, transcript=spoken, paths=paths, dates=dates)
+    said = lambda c, make, by=" ": F.array_join(F.transform(c, make), by).alias(c)
+    pair = lambda sign, a, b: lambda x: F.concat_ws(sign, x[a].cast("string"), x[b].cast("string"))
+    return out.select("doc_id", "lang", said("facts", pair("=", "attribute", "value")), said("transcript", pair(":", "turn", "role")), said("paths", lambda x: x["path"]), said("dates", lambda x: x["value"]))

@@ -147,3 +147,11 @@ def test_trips_of_dates_that_can_be_trusted(spark):
     got = rows(journeys.trip_proposals(spark.createDataFrame(good + bad + sure, schema), labels))
     name = hashlib.sha256(b"1:22020-01-012020-01-03").hexdigest()
     assert got == [(name, "Recorded place · 2020-01-01", "2020-01-01", "2020-01-03", "1:2", 3, 4)]
+
+
+def test_everything_known_of_an_item_multiplies_nothing(spark):
+    items = spark.createDataFrame([(1,), (2,), (None,)], "id int")
+    facts = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "a", 1)], "id int, attribute string, value int")
+    paths = spark.createDataFrame([(1, "p"), (2, "q"), (1, "o"), (None, "x")], "id int, path string")
+    got = {r["id"]: ([tuple(f) for f in r["facts"]], [p["path"] for p in r["paths"]]) for r in details.evidence_of(items, "id", facts=facts, paths=paths).collect()}
+    assert got == {1: ([("a", 1), ("b", 2)], ["o", "p"]), 2: ([], ["q"]), None: ([], [])}
