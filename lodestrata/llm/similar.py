@@ -4,15 +4,18 @@ Sets: A-Z lower-cased text, words between white space, different shingles of ``w
 text with fewer words is one shingle, a text without words the empty set, and equal sets (empty ones too) are
 copies. Texts are linked at a similarity of SIMILAR or more.
 
-* Fingerprints are those of simhash.py, over the set. At similarity 4/5 two of them are some ten bits apart of 64,
-  and spread widely, so masks of distance + 1 parts would be too short to tell texts apart. The upper nodes are
-  shared shingles instead: of two sets of n shingles and similarity 4/5, in any one order of all shingles, the
-  first n - ceil(4n/5) + 1 of each share one. The order is by frequency, then hash; frequencies are those of at most
-  FREQUENT common shingles. They say only how much is compared, never what is found.
-* Below, a node's fingerprints are compared as in simhash.py (sorted by Gray rank, a forest each) at DISTANCE bits.
-  Of pairs at similarity 4/5 exactly, about one in 40,000 is further apart, of more similar ones fewer; sets of under
-  SMALL shingles, whose fingerprints say less, are compared with none. Equal fingerprints of a node count once, and
-  a node of over NODE_LIMIT others is dealt into chunks, of which each pair is searched as a node.
+* Fingerprints are those of simhash.py, over the set, but of WORDS words of 64 bits, each from hashes of its own: at
+  similarity 4/5 two of them differ in some 15 % of their bits, and 64 bits can't tell such texts from others.
+* Upper nodes: MASKS masks of MASK bits each, no bit in two of them. Similar sets agree on a whole mask of 13 bits with
+  probability 0.118, so on none of 93 with 0.000008. Sets of under SMALL shingles differ in up to 19 % of the bits, so
+  their masks have 10 bits. A node's size grows with the table, the number of nodes that a set is in doesn't.
+* Below, a node's fingerprints are sorted by Gray rank, runs of them become leaves, and leaves inner nodes, which keep
+  the bits that all below share; differences are added up word by word and compared with LIMITS after each, over the
+  first three words. Of 100,000 pairs at similarity 4/5 exactly masks and limits together lose one or two of long
+  texts, up to seven of sets of about 13 shingles, of more similar ones fewer; of unlike pairs of a node one in a
+  billion passes (of small sets one in a million), so
+  what is linked doesn't grow with the square of the table. A node of over NODE_LIMIT fingerprints is dealt into
+  chunks, of which each pair is searched as a node.
 * Blocks: components of these links. Within a block texts are compared exactly. A block of over NODE_SHINGLES shingles
   is dealt into chunks, and each pair of chunks is searched as a node, so what a task holds is bounded (but for
   single texts); a block of hot near copies costs the square of its chunks.
@@ -37,12 +40,17 @@ from lodestrata.shipping import ship
 from lodestrata.storage import materialise
 
 SIMILAR = (4, 5)  # numerator and denominator, so that comparisons are exact
-FREQUENT, SEEN, AT_ONCE = 1 << 17, 3, 1 << 20
+FREQUENT = 1 << 17  # not used any more; tests set it
+AT_ONCE = 1 << 20
 NODE_SHINGLES = 1 << 23
-DISTANCE, SMALL, NODE_LIMIT = 22, 32, 8192
-LAGS, LINKS_HELD = 12, 1 << 18
+WORDS, MASKS, MASK, SMALL_MASK, SMALL = 19, 93, 13, 10, 9
+DISTANCE, NODE_LIMIT = 24, 8192
+LIMITS, SMALL_LIMITS = (DISTANCE, 40, 54), (28, 46, 62)  # bits that may differ in the first word, two and three words
+LAGS, LINKS_HELD, PAIRS_AT_ONCE, DEALT_AT_ONCE = 48, 1 << 18, 1 << 19, 500
 FACTOR = 0x9E3779B97F4A7C55  # odd, no meaning otherwise
 _SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
+_STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+_FIELDS = [np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)]  # of two, four and eight bits
 _known = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -97,6 +105,29 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(made.view(np.int64))
 
 
+def fingerprint(made: np.ndarray) -> np.ndarray:
+    """WORDS words; a bit is 1 where it is set in over half of the shingles' hashes, or in half and in the first one's, so that sets of two have as many ones as others."""
+    counts = np.zeros((WORDS, 8, 8), np.int64)
+    for at in range(0, len(made), 255):
+        hashes = _mixed(made[at : at + 255].view(np.uint64)[:, None] + _STEPS)
+        sums = [(0, np.concatenate((hashes, np.zeros((-len(hashes) % 15, WORDS), np.uint64))))]
+        for width, rows, field in zip((1, 2, 4), (3, 5, 17), _FIELDS, strict=True):  # fields as wide again hold the sums of so many rows
+            sums = [(bit + low, ((x >> np.uint64(low)) & field)) for bit, x in sums for low in (0, width)]
+            sums = [(bit, x.reshape(rows, -1, WORDS).sum(axis=0) if rows < 17 else x.sum(axis=0)) for bit, x in sums]
+        for bit, x in sums:
+            counts[:, :, bit] += x.view(np.uint8).reshape(WORDS, 8)
+    first = np.unpackbits(_mixed(made[:1].view(np.uint64)[:, None] + _STEPS).view(np.uint8), bitorder="little") if len(made) else 0
+    return np.packbits(counts.ravel() * 2 + first > len(made), bitorder="little").view(np.uint64)
+
+
+def upper_nodes(fps: np.ndarray, small: bool) -> np.ndarray:
+    """For each row of words its nodes, one a mask; those of small sets are negative."""
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : MASKS * MASK].reshape(len(fps), MASKS, MASK)
+    some = bits[:, :, :SMALL_MASK] if small else bits
+    nodes = np.arange(MASKS) << MASK | some @ (1 << np.arange(some.shape[2]))
+    return -1 - nodes if small else nodes
+
+
 def prefix_length(n: int) -> int:
     """How many shingles of n, in the common order, must meet those of any similar set."""
     top, below = SIMILAR
@@ -130,7 +161,6 @@ class _Sets:
     """Sets as numbers, for exact comparison of one with many."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.fps = np.array([simhash.majority(s.view(np.uint64)) for s in sets], np.uint64)
         self.sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         sets.clear()
@@ -149,8 +179,7 @@ class _Sets:
         """Those of the others that are similar to set i."""
         top, below = SIMILAR
         sizes, n = self.sizes[others], self.sizes[i]
-        near = (np.bitwise_count(self.fps[others] ^ self.fps[i]) <= DISTANCE) | (np.minimum(sizes, n) < SMALL)
-        others = others[near & (sizes * below >= n * top) & (n * below >= sizes * top)]
+        others = others[(sizes * below >= n * top) & (n * below >= sizes * top)]
         if not len(others):
             return others
         self.mine[self.own(i)] = True
@@ -212,86 +241,117 @@ def forest(sets: list[np.ndarray]) -> np.ndarray:
     return roots
 
 
-def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, and how often they were seen."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def counted() -> pa.RecordBatch:
-            named, seen = np.unique(np.concatenate(held), return_counts=True)
-            often = seen >= SEEN
-            return pa.RecordBatch.from_arrays([pa.array(named[often]), pa.array(seen[often].astype(np.int64))], ["shingle", "seen"])
-
-        for batch in batches:
-            for t in batch.column("text"):
-                held.append(shingles(t.as_py(), words))
-                n += len(held[-1])
-                if n >= AT_ONCE:
-                    yield counted()
-                    held, n = [], 0
-        if held:
-            yield counted()
-
-    seen = rows.select("text").mapInArrow(run, "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    top = seen.orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow()
-    named, seen = top.column("shingle").to_numpy(), top.column("seen").to_numpy()
-    order = np.argsort(named)
-    return named[order], seen[order]
-
-
 def _marked(own: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, name, size, fp, firsts) of rows (doc_id, h, text): the name of the set, its shingles, fingerprint and prefix."""
+    """(doc_id, h, name, size, fp, fp1, fp2, bits) of rows (doc_id, h, text): the name of the set, its number of shingles and fingerprint, whole in ``bits``."""
     import pyarrow as pa
 
-    common = own.sparkSession.sparkContext.broadcast(_frequent(own, words))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named, seen = common.value
         for batch in batches:
-            names, sizes, fps, firsts = [], [], [], [np.empty(0, np.int64)]
-            for t in batch.column("text"):
+            names, sizes, fps = [], [], np.zeros((batch.num_rows, WORDS), np.uint64)
+            for i, t in enumerate(batch.column("text")):
                 made = shingles(t.as_py(), words)
-                often = np.zeros(len(made), np.int64)
-                if len(named):
-                    at = np.minimum(np.searchsorted(named, made), len(named) - 1)
-                    often = np.where(named[at] == made, seen[at], 0)
                 names.append(xxhash.xxh64_intdigest(made.tobytes(), seed=42) - (1 << 63))
                 sizes.append(len(made))
-                fps.append(simhash.majority(made.view(np.uint64)) if len(made) else 0)
-                n = prefix_length(len(made))
-                rare = np.flatnonzero(often == 0)[:n]
-                firsts.append(made[rare if len(rare) == n else np.argsort(often, kind="stable")[:n]])  # in the order of hashes already
-            ends = pa.array(np.cumsum([len(x) for x in firsts]), pa.int32())
-            prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts), pa.int64()))
-            columns = [batch.column("doc_id"), batch.column("h"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), prefix]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "name", "size", "fp", "firsts"])
+                fps[i] = fingerprint(made)
+            first = [pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(len(LIMITS))]
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *first, pa.array([x.tobytes() for x in fps], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "name", "size", "fp", "fp1", "fp2", "bits"])
 
-    return own.mapInArrow(run, "doc_id long, h long, name long, size long, fp long, firsts array<long>")
+    return own.mapInArrow(run, "doc_id long, h long, name long, size long, fp long, fp1 long, fp2 long, bits binary")
 
 
-def _near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)) <= DISTANCE
+def _dealt(classes: DataFrame) -> DataFrame:
+    """(node, fp, fp1, fp2, name): each set (name, size, bits) in its upper nodes; sets about as large as SMALL in both kinds."""
+    import pyarrow as pa
 
+    top, below = SIMILAR
 
-def _pairs(node: np.ndarray, fp: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (names) whose components within each node are those of all fingerprints within the distance."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DEALT_AT_ONCE):
+                some = batch.slice(at, DEALT_AT_ONCE)
+                sizes, name = (some.column(c).to_numpy(zero_copy_only=False) for c in ("size", "name"))
+                fps = np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+                for small, there in ((True, sizes * top <= (SMALL - 1) * below), (False, sizes >= SMALL)):
+                    nodes = upper_nodes(fps[there], small).ravel()
+                    first = [np.repeat(fps[there, w].view(np.int64), MASKS) for w in range(len(LIMITS))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, *first, np.repeat(name[there], MASKS))], ["node", "fp", "fp1", "fp2", "name"])
+
+    return classes.select("name", "size", "bits").mapInArrow(run, "node long, fp long, fp1 long, fp2 long, name long")
+
+
+def _kept(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, limits: tuple[int, ...], shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (row of left, row of right) those whose differences, added up word by word, stay within the limits."""
+    seen = np.zeros(len(a), np.uint8)
+    for w, limit in zip(range(left.shape[1]), limits, strict=False):
+        x = left[a, w] ^ right[b, w]
+        seen = seen + np.bitwise_count(x if shared is None else x & shared[b, w])
+        near = seen <= limit
+        a, b, seen = a[near], b[near], seen[near]
+    return a, b
+
+
+class _Tree:
+    """The index of simhash.py over rows of several words, sorted by Gray rank."""
+
+    def __init__(self, fps: np.ndarray) -> None:
+        self.fps, self.levels, size = fps, [], simhash.LEAF
+        while True:
+            starts = np.arange(0, len(fps), size)
+            differing = np.bitwise_or.reduceat(fps ^ np.repeat(fps[starts], np.diff(np.append(starts, len(fps))), axis=0), starts, axis=0)
+            self.levels.append((fps[starts] & ~differing, ~differing))
+            if len(starts) <= simhash.FAN:
+                break
+            size *= simhash.FAN
+
+    def near(self, queries: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) of all rows within the limits of each query."""
+        tops = len(self.levels[-1][0])
+        asked, node = np.repeat(np.arange(len(queries)), tops), np.tile(np.arange(tops), len(queries))
+        for level in reversed(range(len(self.levels))):
+            pattern, shared = self.levels[level]
+            asked, node = _kept(asked, node, queries, pattern, limits, shared)
+            if 2 * len(asked) > len(queries) * len(pattern):  # little is ruled out: first words of all rows at once
+                asked, node = np.nonzero(np.bitwise_count(queries[:, None, 0] ^ self.fps[None, :, 0]) <= limits[0])
+                break
+            fan, end = (simhash.FAN, len(self.levels[level - 1][0])) if level else (simhash.LEAF, len(self.fps))
+            asked, node = np.repeat(asked, fan), (node[:, None] * fan + np.arange(fan)).ravel()
+            asked, node = asked[node < end], node[node < end]
+        return _kept(asked, node, queries, self.fps, limits)
+
+
+def _roots(fps: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
+    """For each row of words the place of its component's root, by links within the limits."""
+    order = np.argsort(simhash.gray_rank(fps[:, 0]), kind="stable")
+    fps, roots = fps[order], np.arange(len(fps))
+    tree, step = _Tree(fps), max(16, PAIRS_AT_ONCE // len(fps))
+    for at in range(0, len(fps), step):
+        a, b = tree.near(fps[at : at + step], limits)
+        later = b > a + at
+        simhash._join(roots, a[later] + at, b[later])
+    out = np.empty(len(fps), np.int64)
+    out[order] = order[roots]
+    return out
+
+
+def _pairs(node: np.ndarray, fps: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (names) whose components within each node are those of all fingerprints (rows of words) within the limits."""
     us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     sizes = np.diff(np.append(starts, len(node)))
-    short = np.repeat(sizes <= LAGS, sizes) & np.repeat(sizes > 1, sizes)
-    rows = np.flatnonzero(short)
-    for lag in range(1, LAGS):
-        rows = rows[rows + lag < len(node)]
-        rows = rows[node[rows] == node[rows + lag]]
-        if not len(rows):
-            break
-        near = rows[_near(fp[rows], fp[rows + lag])]
-        us.append(name[near])
-        vs.append(name[near + lag])
+    ends = np.repeat(starts + sizes, sizes)
+    few = np.repeat((sizes <= LAGS) & (sizes > 1), sizes)
+    for limits, kind in ((LIMITS, node >= 0), (SMALL_LIMITS, node < 0)):
+        rows = np.flatnonzero(few & kind)
+        for lag in range(1, LAGS):
+            rows = rows[rows + lag < ends[rows]]
+            if not len(rows):
+                break
+            a, b = _kept(rows, rows + lag, fps, fps, limits)
+            us.append(name[a])
+            vs.append(name[b])
     for a, n in zip(starts[sizes > LAGS], sizes[sizes > LAGS], strict=True):
-        roots = simhash.forest(fp[a : a + n].view(np.uint64), DISTANCE)
+        roots = _roots(fps[a : a + n], LIMITS if node[a] >= 0 else SMALL_LIMITS)
         far = np.flatnonzero(roots != np.arange(n))
         us.append(name[a:][far])
         vs.append(name[a:][roots[far]])
@@ -299,16 +359,25 @@ def _pairs(node: np.ndarray, fp: np.ndarray, name: np.ndarray) -> tuple[np.ndarr
 
 
 def _searched(rows: DataFrame, limit: int) -> DataFrame:
-    """(u, v, node): links of names where node is null; else fp and name of a row of a node that has over ``limit`` fingerprints."""
+    """(u, v, node, further words): links of names where node is null; else first word and name, and its other words, of a row of a node that has over ``limit`` fingerprints.
+
+    ``rows`` (node, fp, name) may have further words fp1 and fp2.
+    """
     import pyarrow as pa
 
+    words = [c for c in ("fp", "fp1", "fp2") if c in rows.columns]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # links, as rows of (u, v)
-        kept = (np.empty(0, np.int64),) * 3  # rows of the node that the next batch may go on with, one for each fingerprint
+        kept = (np.empty(0, np.int64), np.empty((0, len(words)), np.uint64), np.empty(0, np.int64))  # rows of the node that the next batch may go on with, one for each fingerprint
         large = None
 
-        def out(u: np.ndarray, v: np.ndarray, node: np.ndarray | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()) if node is None else pa.array(node)], ["u", "v", "node"])
+        def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *[pa.nulls(len(u), pa.int64()) for _ in words]], ["u", "v", "node", *words[1:]])
+
+        def whole(node: np.ndarray, fps: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+            first, *more = (pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(len(words)))
+            return pa.RecordBatch.from_arrays([first, pa.array(name), pa.array(node), *more], ["u", "v", "node", *words[1:]])
 
         def hold(u: np.ndarray, v: np.ndarray) -> None:
             if len(u):
@@ -322,49 +391,46 @@ def _searched(rows: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, fp, name = (np.concatenate((k, batch.column(c).to_numpy(zero_copy_only=False))) for k, c in zip(kept, ("node", "fp", "name"), strict=True))
-            new = np.append(True, (node[1:] != node[:-1]) | (fp[1:] != fp[:-1]))
+            node, name = (np.concatenate((k, batch.column(c).to_numpy(zero_copy_only=False))) for k, c in ((kept[0], "node"), (kept[2], "name")))
+            fps = np.concatenate((kept[1], np.column_stack([batch.column(w).to_numpy(zero_copy_only=False) for w in words]).view(np.uint64)))
+            new = np.append(True, (node[1:] != node[:-1]) | (fps[1:] != fps[:-1]).any(axis=1))
             first = np.flatnonzero(new)[np.cumsum(new) - 1]  # rows come sorted by node and fingerprint
             hold(name[~new], name[first[~new]])
-            node, fp, name = node[new], fp[new], name[new]
+            node, fps, name = node[new], fps[new], name[new]
             last = int(np.searchsorted(node, node[-1], "left"))
             if large is not None and node[0] == large:  # its other rows have gone out already
                 end = int(np.searchsorted(node, large, "right"))
                 stop = end - 1 if end == len(node) else end  # the last one waits for its equals
-                yield out(fp[:stop], name[:stop], node[:stop])
-                node, fp, name, last = node[stop:], fp[stop:], name[stop:], max(0, last - stop)
-            hold(*_pairs(node[:last], fp[:last], name[:last]))
-            kept = (node[last:], fp[last:], name[last:])
+                yield whole(node[:stop], fps[:stop], name[:stop])
+                node, fps, name, last = node[stop:], fps[stop:], name[stop:], max(0, last - stop)
+            hold(*_pairs(node[:last], fps[:last], name[:last]))
+            kept = (node[last:], fps[last:], name[last:])
             if len(kept[0]) > limit:
                 large = kept[0][0]
-                yield out(kept[1][:-1], kept[2][:-1], kept[0][:-1])
+                yield whole(*(x[:-1] for x in kept))
                 kept = tuple(x[-1:] for x in kept)
             if sum(map(len, held)) >= LINKS_HELD:
                 yield flush()
         if large is not None and len(kept[0]) and kept[0][0] == large:
-            yield out(kept[1], kept[2], kept[0])
+            yield whole(*kept)
         else:
             hold(*_pairs(*kept))
         yield flush()
 
-    return rows.repartition("node").sortWithinPartitions("node", "fp").mapInArrow(run, "u long, v long, node long")
+    return rows.repartition("node").sortWithinPartitions("node", *words).mapInArrow(run, ", ".join(f"{c} long" for c in ("u", "v", "node", *words[1:])))
 
 
 def _blocks(marked: DataFrame) -> DataFrame:
     """(u, v): sets that may have a similar one, with their block, the smallest name of it (itself not listed)."""
-    classes = marked.groupBy("name").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("firsts").alias("firsts"))
-    top, below = SIMILAR
-    none = F.array().cast("array<struct<node:bigint,fp:bigint>>")
-    by_fingerprint = F.when(F.col("size") >= SMALL, F.transform("firsts", lambda x: F.struct(x.alias("node"), F.col("fp").alias("fp")))).otherwise(none)
-    small = F.when(F.col("size") * top <= (SMALL - 1) * below, F.transform("firsts", lambda x: F.struct(F.xxhash64(x, F.lit(1)).alias("node"), F.lit(0).cast("long").alias("fp")))).otherwise(none)
-    nodes = classes.select("name", F.explode(F.concat(by_fingerprint, small)).alias("at")).select("at.node", "at.fp", "name")
-    found = materialise(_searched(nodes, NODE_LIMIT), "searched")
+    classes = marked.where("size > 0").select("name", "size", "bits").dropDuplicates(["name"])
+    found = materialise(_searched(_dealt(classes), NODE_LIMIT), "searched")
     near = found.where("node is null").select("u", "v")
-    dense = found.where("node is not null").select("node", F.col("u").alias("fp"), F.col("v").alias("name"))
+    dense = found.where("node is not null").select("node", F.col("u").alias("fp"), "fp1", "fp2", F.col("v").alias("name"))
     sizes = materialise(dense.groupBy(F.col("node").alias("large")).agg(F.ceil(F.count("*") / (NODE_LIMIT // 2)).alias("chunks")), "large")
     if not sizes.isEmpty():
-        dealt = dense.join(sizes, F.col("node") == F.col("large")).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        dealt = dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "fp", "name")
+        dealt = dense.join(sizes, F.col("node") == F.col("large")).withColumn("own", F.pmod(F.xxhash64("fp", "fp1", "fp2"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit((1 << 63) - 1))
+        dealt = dealt.select(F.when(F.col("node") < 0, -1 - pair).otherwise(pair).alias("node"), "fp", "fp1", "fp2", "name")
         near = near.unionByName(materialise(_searched(dealt, 1 << 40), "searched").select("u", "v"))
     return smallest_reachable(near)
 

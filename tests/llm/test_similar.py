@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestrata.llm import simhash, similar
@@ -134,3 +136,17 @@ def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
     assert len(hashes) == 8 and len(set(hashes)) == 4 and hashes[0] == hashes[3] == hashes[7] and hashes[1] == hashes[4] == hashes[5]
     monkeypatch.setattr(similar, "AT_ONCE", 12)
     assert similar.word_hashes(text.encode()).tolist() == hashes and len(similar.word_hashes(b" \n ")) == 0 == len(similar.word_hashes(b""))
+
+
+def marked(documents, rows):
+    own = documents(rows).select("doc_id", simhash.text_hash(F.col("text")).alias("h"), "text")
+    return similar._marked(own, 5)
+
+
+def test_texts_of_shared_passages_make_no_blocks(spark, documents):
+    """Unlike texts, each of twelve of sixty passages: every shingle is in many of them, yet nothing is compared exactly."""
+    rng = random.Random(5)
+    passages = [" ".join(f"p{i}w{j}" for j in range(10)) for i in range(60)]
+    rows = [(i, " ".join(rng.sample(passages, 12))) for i in range(400)]
+    assert len(plain_survivors(rows)) == 400
+    assert similar._blocks(marked(documents, rows)).count() == 0
