@@ -150,3 +150,29 @@ def test_texts_of_shared_passages_make_no_blocks(spark, documents):
     rows = [(i, " ".join(rng.sample(passages, 12))) for i in range(400)]
     assert len(plain_survivors(rows)) == 400
     assert similar._blocks(marked(documents, rows)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [8192, 3])
+def test_blocks_are_those_of_fingerprints_that_share_a_mask(spark, documents, monkeypatch, limit):
+    monkeypatch.setattr(similar, "NODE_LIMIT", limit)
+    rows = corpus(8) + [(1000 + i, " ".join(f"s{i // 2}x{j}" for j in range(8 + i % 2))) for i in range(20)]
+    sets = {r["name"]: (r["size"], np.frombuffer(bytes(r["bits"]), np.uint64)) for r in marked(documents, rows).collect()}
+    top, below = similar.SIMILAR
+    links = []
+    for small, limits, inside in ((False, similar.LIMITS, lambda n: n >= similar.SMALL), (True, similar.SMALL_LIMITS, lambda n: n * top <= (similar.SMALL - 1) * below)):
+        own = [(name, fp, set(similar.upper_nodes(fp[None, :], small)[0].tolist())) for name, (n, fp) in sets.items() if inside(n)]
+        for i, (u, f, m) in enumerate(own):
+            links += [(u, v) for v, g, n in own[:i] if m & n and all(sum(int(x ^ y).bit_count() for x, y in zip(f[: w + 1], g[: w + 1], strict=True)) <= limits[w] for w in range(3))]
+    assert len(links) > 30
+    assert parts([(r["u"], r["v"]) for r in similar._blocks(marked(documents, rows)).collect()]) == parts(links)
+
+
+def test_fingerprints_are_majorities_of_all_words():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 14, 15, 255, 256, 700):
+        made = np.unique(rng.integers(-(2**62), 2**62, n))
+        hashes, got = similar._mixed(made.view(np.uint64)[:, None] + similar._STEPS), similar.fingerprint(made)
+        for w in range(similar.WORDS):
+            counts = [sum(int(h) >> b & 1 for h in hashes[:, w]) for b in range(64)]
+            assert [int(got[w]) >> b & 1 for b in range(64)] == [int(2 * c + (int(hashes[0, w]) >> b & 1) > n) for b, c in enumerate(counts)]
+    assert not similar.fingerprint(np.empty(0, np.int64)).any()
