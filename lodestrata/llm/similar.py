@@ -19,7 +19,10 @@ copies. Texts are linked at a similarity of SIMILAR or more.
 * Blocks: components of these links. Within a block texts are compared exactly. A block of over NODE_SHINGLES shingles
   is dealt into chunks, and each pair of chunks is searched as a node, so what a task holds is bounded (but for
   single texts); a block of hot near copies costs the square of its chunks.
-* A node returns a forest over its classes, never all pairs; components over all nodes follow by star rounds.
+* A node returns a forest over its classes, never all pairs, and a task one forest for all its nodes, in which each
+  class is linked to the smallest name of its tree. A group of near copies is in up to MASKS nodes, and as its smallest
+  names are the same in many of them, these give the same links. What a task reads of all these links becomes one
+  forest again, and components over all tasks follow by star rounds.
 
 Defined cases: rows without an id stay; equal ids don't make texts alike; repeated rows stay once; null and empty
 texts are copies of each other; an empty table gives no rows; all columns pass through, whatever their names.
@@ -334,9 +337,9 @@ def _roots(fps: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def _pairs(node: np.ndarray, fps: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (names) whose components within each node are those of all fingerprints (rows of words) within the limits."""
-    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def _node_links(node: np.ndarray, fps: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest for each node: links from names to the smallest of their component, by fingerprints (rows of words) within the limits."""
+    roots = np.arange(len(node))
     starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     sizes = np.diff(np.append(starts, len(node)))
     ends = np.repeat(starts + sizes, sizes)
@@ -347,15 +350,65 @@ def _pairs(node: np.ndarray, fps: np.ndarray, name: np.ndarray) -> tuple[np.ndar
             rows = rows[rows + lag < ends[rows]]
             if not len(rows):
                 break
-            a, b = _kept(rows, rows + lag, fps, fps, limits)
-            us.append(name[a])
-            vs.append(name[b])
+            simhash._join(roots, *_kept(rows, rows + lag, fps, fps, limits))
     for a, n in zip(starts[sizes > LAGS], sizes[sizes > LAGS], strict=True):
-        roots = _roots(fps[a : a + n], LIMITS if node[a] >= 0 else SMALL_LIMITS)
-        far = np.flatnonzero(roots != np.arange(n))
-        us.append(name[a:][far])
-        vs.append(name[a:][roots[far]])
-    return np.concatenate(us), np.concatenate(vs)
+        roots[a : a + n] = a + _roots(fps[a : a + n], LIMITS if node[a] >= 0 else SMALL_LIMITS)
+    return _stars(roots, name)
+
+
+def _stars(roots: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each name to the smallest of its tree: nodes and tasks that hold the same ones then give the same links."""
+    least = name.copy()
+    np.minimum.at(least, roots, name)
+    least = least[roots]
+    far = name != least
+    return name[far], least[far]
+
+
+class _Forest:
+    """Links that a task has found, as a forest of all of them."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.links, self.more, self.n = np.empty((2, 0), np.int64), [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.more.append(np.stack((u, v)))
+        self.n += len(u)
+
+    def rest(self) -> np.ndarray:
+        """All links, in two rows; none are held from now on."""
+        names, places = np.unique(np.concatenate([self.links, *self.more], axis=1), return_inverse=True)
+        roots = np.arange(len(names))
+        simhash._join(roots, *places.reshape(2, -1))
+        self.clear()
+        return np.stack(_stars(roots, names))
+
+    def excess(self) -> np.ndarray:
+        """None while the forest is small enough to be held, else all of it."""
+        if self.n < LINKS_HELD:
+            return self.links[:, :0]
+        links = self.rest()
+        if links.shape[1] >= LINKS_HELD // 2:
+            return links
+        self.links = links
+        return links[:, :0]
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(u, v): forests with the components of the links, one for what each task reads."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Forest()
+        for batch in batches:
+            held.add(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.excess()], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.rest()], ["u", "v"])
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
 
 
 def _searched(rows: DataFrame, limit: int) -> DataFrame:
@@ -368,7 +421,7 @@ def _searched(rows: DataFrame, limit: int) -> DataFrame:
     words = [c for c in ("fp", "fp1", "fp2") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # links, as rows of (u, v)
+        held = _Forest()
         kept = (np.empty(0, np.int64), np.empty((0, len(words)), np.uint64), np.empty(0, np.int64))  # rows of the node that the next batch may go on with, one for each fingerprint
         large = None
 
@@ -379,23 +432,14 @@ def _searched(rows: DataFrame, limit: int) -> DataFrame:
             first, *more = (pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(len(words)))
             return pa.RecordBatch.from_arrays([first, pa.array(name), pa.array(node), *more], ["u", "v", "node", *words[1:]])
 
-        def hold(u: np.ndarray, v: np.ndarray) -> None:
-            if len(u):
-                held.append(np.column_stack((np.maximum(u, v), np.minimum(u, v))))
-
-        def flush() -> pa.RecordBatch:
-            links = np.unique(np.concatenate(held), axis=0) if held else np.empty((0, 2), np.int64)
-            held.clear()
-            return out(np.ascontiguousarray(links[:, 0]), np.ascontiguousarray(links[:, 1]))
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             node, name = (np.concatenate((k, batch.column(c).to_numpy(zero_copy_only=False))) for k, c in ((kept[0], "node"), (kept[2], "name")))
             fps = np.concatenate((kept[1], np.column_stack([batch.column(w).to_numpy(zero_copy_only=False) for w in words]).view(np.uint64)))
             new = np.append(True, (node[1:] != node[:-1]) | (fps[1:] != fps[:-1]).any(axis=1))
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]  # rows come sorted by node and fingerprint
-            hold(name[~new], name[first[~new]])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]  # rows come sorted by node, fingerprint and name
+            held.add(name[~new], name[first[~new]])
             node, fps, name = node[new], fps[new], name[new]
             last = int(np.searchsorted(node, node[-1], "left"))
             if large is not None and node[0] == large:  # its other rows have gone out already
@@ -403,21 +447,20 @@ def _searched(rows: DataFrame, limit: int) -> DataFrame:
                 stop = end - 1 if end == len(node) else end  # the last one waits for its equals
                 yield whole(node[:stop], fps[:stop], name[:stop])
                 node, fps, name, last = node[stop:], fps[stop:], name[stop:], max(0, last - stop)
-            hold(*_pairs(node[:last], fps[:last], name[:last]))
+            held.add(*_node_links(node[:last], fps[:last], name[:last]))
             kept = (node[last:], fps[last:], name[last:])
             if len(kept[0]) > limit:
                 large = kept[0][0]
                 yield whole(*(x[:-1] for x in kept))
                 kept = tuple(x[-1:] for x in kept)
-            if sum(map(len, held)) >= LINKS_HELD:
-                yield flush()
+            yield out(*held.excess())
         if large is not None and len(kept[0]) and kept[0][0] == large:
             yield whole(*kept)
         else:
-            hold(*_pairs(*kept))
-        yield flush()
+            held.add(*_node_links(*kept))
+        yield out(*held.rest())
 
-    return rows.repartition("node").sortWithinPartitions("node", *words).mapInArrow(run, ", ".join(f"{c} long" for c in ("u", "v", "node", *words[1:])))
+    return rows.repartition("node").sortWithinPartitions("node", *words, "name").mapInArrow(run, ", ".join(f"{c} long" for c in ("u", "v", "node", *words[1:])))
 
 
 def _blocks(marked: DataFrame) -> DataFrame:
@@ -432,7 +475,7 @@ def _blocks(marked: DataFrame) -> DataFrame:
         pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit((1 << 63) - 1))
         dealt = dealt.select(F.when(F.col("node") < 0, -1 - pair).otherwise(pair).alias("node"), "fp", "fp1", "fp2", "name")
         near = near.unionByName(materialise(_searched(dealt, 1 << 40), "searched").select("u", "v"))
-    return smallest_reachable(near)
+    return smallest_reachable(_merged(near))
 
 
 def _links(own: DataFrame, marked: DataFrame, words: int) -> DataFrame:

@@ -116,6 +116,33 @@ def test_nodes_link_what_is_near(spark, monkeypatch):
     assert over and parts(got) == parts(links)
 
 
+def test_near_copies_give_links_in_proportion(spark, documents, monkeypatch):
+    """Near copies are in many nodes together: each node and each task returns a forest, and links of all tasks are merged before star rounds."""
+    rng = random.Random(4)
+    node = spark.createDataFrame([(n, b, n * 100 + b) for n in range(50) for b in range(40)], "node long, fp long, name long")
+    found = [(r["u"], r["v"]) for r in similar._searched(node, 8192).collect()]
+    assert sorted(found) == [(n * 100 + b, n * 100) for n in range(50) for b in range(1, 40)]
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 0.02))) for i in range(300)]
+    given = []
+    reach = similar.smallest_reachable
+    monkeypatch.setattr(similar, "smallest_reachable", lambda links: given.append(links.count()) or reach(links))
+    assert similar._blocks(marked(documents, rows)).count() == 299
+    assert given[0] <= 4 * 299  # four tasks in tests
+
+
+def test_forests_are_held_and_given_out_in_parts(monkeypatch):
+    monkeypatch.setattr(similar, "LINKS_HELD", 20)
+    rng = np.random.default_rng(2)
+    links, held, got = rng.integers(0, 300, (2, 400)), similar._Forest(), []
+    for at in range(0, 400, 8):
+        held.add(*links[:, at : at + 8])
+        got.append(held.excess())
+    got.append(held.rest())
+    assert sum(len(x[0]) > 0 for x in got) > 5 and len(held.rest()[0]) == 0
+    assert parts([(u, v) for x in got for u, v in x.T.tolist()]) == parts([(u, v) for u, v in links.T.tolist() if u != v])
+
+
 def parts(links):
     root: dict = {}
     def find(x):
