@@ -10,12 +10,16 @@ copies. Texts are linked at a similarity of SIMILAR or more.
   probability 0.118, so on none of 93 with 0.000008. Sets of under SMALL shingles differ in up to 19 % of the bits, so
   their masks have 10 bits. A node's size grows with the table, the number of nodes that a set is in doesn't.
 * Below, a node's fingerprints are sorted by Gray rank, runs of them become leaves, and leaves inner nodes, which keep
-  the bits that all below share; differences are added up word by word and compared with LIMITS after each, over the
-  first three words. Of 100,000 pairs at similarity 4/5 exactly masks and limits together lose one or two of long
+  the bits that all below share. Pairs of such nodes go down from the top; differences in bits that both share are
+  added up word by word and compared with LIMITS after each, over the first three words, and a pair that exceeds
+  them is pruned with all below. Up to LAGS fingerprints, three leaves, are compared row by row. Of 100,000 pairs at similarity 4/5 exactly masks and limits together lose one or two of long
   texts, up to seven of sets of about 13 shingles, of more similar ones fewer; of unlike pairs of a node one in a
   billion passes (of small sets one in a million), so
-  what is linked doesn't grow with the square of the table. A node of over NODE_LIMIT fingerprints is dealt into
-  chunks, of which each pair is searched as a node.
+  what is linked doesn't grow with the square of the table.
+* A node of over NODE_LIMIT fingerprints is dealt into chunks, of which each pair is searched as a node. Where that makes
+  more than FACTORED chunks the node is factored once more: each set goes to a node for each other mask, by its first FREE
+  bits, and only what is still too large is dealt into chunks. Pairs at similarity 4/5 exactly agree on none of these
+  92 masks with probability 2e-9 (of small sets, 7e-9).
 * Blocks: components of these links. Within a block texts are compared exactly. A block of over NODE_SHINGLES shingles
   is dealt into chunks, and each pair of chunks is searched as a node, so what a task holds is bounded (but for
   single texts); a block of hot near copies costs the square of its chunks.
@@ -30,7 +34,7 @@ texts are copies of each other; an empty table gives no rows; all columns pass t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -49,11 +53,13 @@ NODE_SHINGLES = 1 << 23
 WORDS, MASKS, MASK, SMALL_MASK, SMALL = 19, 93, 13, 10, 9
 DISTANCE, NODE_LIMIT = 24, 8192
 LIMITS, SMALL_LIMITS = (DISTANCE, 40, 54), (28, 46, 62)  # bits that may differ in the first word, two and three words
+FREE, SMALL_FREE, FACTORED = 10, 8, MASKS  # bits of the masks that factor a node once more, and the chunks beyond which that sends fewer rows
 LAGS, LINKS_HELD, PAIRS_AT_ONCE, DEALT_AT_ONCE = 48, 1 << 18, 1 << 19, 500
 FACTOR = 0x9E3779B97F4A7C55  # odd, no meaning otherwise
 _SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
 _STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 _FIELDS = [np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)]  # of two, four and eight bits
+FIRST = ("fp", "fp1", "fp2")  # columns of the words that LIMITS are for
 _known = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -125,12 +131,16 @@ def fingerprint(made: np.ndarray) -> np.ndarray:
 
 def upper_nodes(fps: np.ndarray, small: bool) -> np.ndarray:
     """For each row of words its nodes, one a mask; those of small sets are negative."""
-    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : MASKS * MASK].reshape(len(fps), MASKS, MASK)
-    some = bits[:, :, :SMALL_MASK] if small else bits
-    nodes = np.arange(MASKS) << MASK | some @ (1 << np.arange(some.shape[2]))
+    nodes = _masked(fps, SMALL_MASK if small else MASK)
     return -1 - nodes if small else nodes
 
 
+def _masked(fps: np.ndarray, width: int) -> np.ndarray:
+    """For each row of words and each mask its number, followed by the first ``width`` of its bits."""
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : MASKS * MASK].reshape(len(fps), MASKS, MASK)[:, :, :width]
+    return np.arange(MASKS) << MASK | bits @ (1 << np.arange(width))
+
+
 def prefix_length(n: int) -> int:
     """How many shingles of n, in the common order, must meet those of any similar set."""
     top, below = SIMILAR
@@ -265,30 +275,53 @@ def _marked(own: DataFrame, words: int) -> DataFrame:
 
 def _dealt(classes: DataFrame) -> DataFrame:
     """(node, fp, fp1, fp2, name): each set (name, size, bits) in its upper nodes; sets about as large as SMALL in both kinds."""
-    import pyarrow as pa
-
     top, below = SIMILAR
 
+    def nodes(fps: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for small, there in ((True, sizes * top <= (SMALL - 1) * below), (False, sizes >= SMALL)):
+            rows = np.flatnonzero(there)
+            yield np.repeat(rows, MASKS), upper_nodes(fps[rows], small).ravel()
+
+    return _spread(classes, "size", nodes, ["node"]).select("node", *FIRST, "name")
+
+
+def _factored(rows: DataFrame) -> DataFrame:
+    """(node, fp, fp1, fp2, name): each row (node, name, bits) of a large node in nodes of its own, one for each mask but the node's."""
+
+    def nodes(fps: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for small, there in ((True, node < 0), (False, node >= 0)):
+            rows = np.flatnonzero(there)
+            own = (-1 - node[rows] if small else node[rows]) >> MASK
+            at, mask = np.nonzero(np.arange(MASKS) != own[:, None])
+            yield rows[at], node[rows][at], _masked(fps[rows], SMALL_FREE if small else FREE)[at, mask]
+
+    named = F.xxhash64("node", "under").bitwiseAND(F.lit((1 << 63) - 1))
+    return _spread(rows, "node", nodes, ["node", "under"]).select(F.when(F.col("node") < 0, -1 - named).otherwise(named).alias("node"), *FIRST, "name")
+
+
+def _spread(rows: DataFrame, by: str, nodes: Callable, columns: list[str]) -> DataFrame:
+    """The first words and name of sets (name, bits) with what ``nodes`` says of their words and column ``by``: places of sets, and a column for each name."""
+    import pyarrow as pa
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, DEALT_AT_ONCE):
                 some = batch.slice(at, DEALT_AT_ONCE)
-                sizes, name = (some.column(c).to_numpy(zero_copy_only=False) for c in ("size", "name"))
+                said, name = (some.column(c).to_numpy(zero_copy_only=False) for c in (by, "name"))
                 fps = np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
-                for small, there in ((True, sizes * top <= (SMALL - 1) * below), (False, sizes >= SMALL)):
-                    nodes = upper_nodes(fps[there], small).ravel()
-                    first = [np.repeat(fps[there, w].view(np.int64), MASKS) for w in range(len(LIMITS))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, *first, np.repeat(name[there], MASKS))], ["node", "fp", "fp1", "fp2", "name"])
+                for places, *made in nodes(fps, said):
+                    first = [fps[places, w].view(np.int64) for w in range(len(FIRST))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*made, *first, name[places])], [*columns, *FIRST, "name"])
 
-    return classes.select("name", "size", "bits").mapInArrow(run, "node long, fp long, fp1 long, fp2 long, name long")
+    return rows.select(by, "name", "bits").mapInArrow(run, ", ".join(f"{c} long" for c in (*columns, *FIRST, "name")))
 
 
 def _kept(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, limits: tuple[int, ...], shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (row of left, row of right) those whose differences, added up word by word, stay within the limits."""
+    """Of pairs (row of left, row of right) those whose differences (in bits that are shared below both), added up word by word, stay within the limits."""
     seen = np.zeros(len(a), np.uint8)
     for w, limit in zip(range(left.shape[1]), limits, strict=False):
         x = left[a, w] ^ right[b, w]
-        seen = seen + np.bitwise_count(x if shared is None else x & shared[b, w])
+        seen = seen + np.bitwise_count(x if shared is None else x & shared[a, w] & shared[b, w])
         near = seen <= limit
         a, b, seen = a[near], b[near], seen[near]
     return a, b
@@ -307,31 +340,38 @@ class _Tree:
                 break
             size *= simhash.FAN
 
-    def near(self, queries: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """(query, place) of all rows within the limits of each query."""
-        tops = len(self.levels[-1][0])
-        asked, node = np.repeat(np.arange(len(queries)), tops), np.tile(np.arange(tops), len(queries))
+    def join(self, limits: tuple[int, ...], roots: np.ndarray) -> None:
+        """Joins the trees of all rows within the limits of each other: pairs of nodes go down together, and one that differs too much is pruned with all pairs below."""
+        a, b = np.triu_indices(len(self.levels[-1][0]))
         for level in reversed(range(len(self.levels))):
             pattern, shared = self.levels[level]
-            asked, node = _kept(asked, node, queries, pattern, limits, shared)
-            if 2 * len(asked) > len(queries) * len(pattern):  # little is ruled out: first words of all rows at once
-                asked, node = np.nonzero(np.bitwise_count(queries[:, None, 0] ^ self.fps[None, :, 0]) <= limits[0])
-                break
-            fan, end = (simhash.FAN, len(self.levels[level - 1][0])) if level else (simhash.LEAF, len(self.fps))
-            asked, node = np.repeat(asked, fan), (node[:, None] * fan + np.arange(fan)).ravel()
-            asked, node = asked[node < end], node[node < end]
-        return _kept(asked, node, queries, self.fps, limits)
+            a, b = _kept(a, b, pattern, pattern, limits, shared)
+            if level:
+                i, j = np.divmod(np.arange(simhash.FAN**2), simhash.FAN)
+                a, b = (a[:, None] * simhash.FAN + i).ravel(), (b[:, None] * simhash.FAN + j).ravel()
+                inside = (a <= b) & (b < len(self.levels[level - 1][0]))
+                a, b = a[inside], b[inside]
+        n, leaf = len(self.fps), simhash.LEAF
+        first = np.zeros(-(-n // leaf) * leaf, np.uint64)
+        first[:n] = self.fps[:, 0]
+        first = first.reshape(-1, leaf)
+        step = max(1, PAIRS_AT_ONCE // leaf**2)
+        for at in range(0, len(a), step):
+            left, right = a[at : at + step], b[at : at + step]
+            hit = np.flatnonzero(np.bitwise_count(first[left][:, :, None] ^ first[right][:, None, :]) <= limits[0])
+            pair, place = hit // leaf**2, hit % leaf**2
+            x, y = left[pair] * leaf + place // leaf, right[pair] * leaf + place % leaf
+            apart = (x < y) & (y < n)
+            x, y = x[apart], y[apart]
+            apart = roots[x] != roots[y]
+            simhash._join(roots, *_kept(x[apart], y[apart], self.fps, self.fps, limits))
 
 
 def _roots(fps: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
     """For each row of words the place of its component's root, by links within the limits."""
     order = np.argsort(simhash.gray_rank(fps[:, 0]), kind="stable")
-    fps, roots = fps[order], np.arange(len(fps))
-    tree, step = _Tree(fps), max(16, PAIRS_AT_ONCE // len(fps))
-    for at in range(0, len(fps), step):
-        a, b = tree.near(fps[at : at + step], limits)
-        later = b > a + at
-        simhash._join(roots, a[later] + at, b[later])
+    roots = np.arange(len(fps))
+    _Tree(fps[order]).join(limits, roots)
     out = np.empty(len(fps), np.int64)
     out[order] = order[roots]
     return out
@@ -418,7 +458,7 @@ def _searched(rows: DataFrame, limit: int) -> DataFrame:
     """
     import pyarrow as pa
 
-    words = [c for c in ("fp", "fp1", "fp2") if c in rows.columns]
+    words = [c for c in FIRST if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Forest()
@@ -463,18 +503,33 @@ def _searched(rows: DataFrame, limit: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", *words, "name").mapInArrow(run, ", ".join(f"{c} long" for c in ("u", "v", "node", *words[1:])))
 
 
+def _parted(searched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) and (node, fp, fp1, fp2, name): links, and rows of nodes that are too large."""
+    found = materialise(searched, "searched")
+    return found.where("node is null").select("u", "v"), found.where("node is not null").select("node", F.col("u").alias("fp"), *FIRST[1:], F.col("v").alias("name"))
+
+
+def _counted(dense: DataFrame) -> DataFrame:
+    """(large, chunks) of the nodes of ``dense``."""
+    return materialise(dense.groupBy(F.col("node").alias("large")).agg(F.ceil(F.count("*") / (NODE_LIMIT // 2)).alias("chunks")), "large")
+
+
 def _blocks(marked: DataFrame) -> DataFrame:
     """(u, v): sets that may have a similar one, with their block, the smallest name of it (itself not listed)."""
     classes = marked.where("size > 0").select("name", "size", "bits").dropDuplicates(["name"])
-    found = materialise(_searched(_dealt(classes), NODE_LIMIT), "searched")
-    near = found.where("node is null").select("u", "v")
-    dense = found.where("node is not null").select("node", F.col("u").alias("fp"), "fp1", "fp2", F.col("v").alias("name"))
-    sizes = materialise(dense.groupBy(F.col("node").alias("large")).agg(F.ceil(F.count("*") / (NODE_LIMIT // 2)).alias("chunks")), "large")
-    if not sizes.isEmpty():
-        dealt = dense.join(sizes, F.col("node") == F.col("large")).withColumn("own", F.pmod(F.xxhash64("fp", "fp1", "fp2"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    near, dense = _parted(_searched(_dealt(classes), NODE_LIMIT))
+    counted = _counted(dense)
+    if not counted.where(F.col("chunks") > FACTORED).isEmpty():
+        met = dense.join(counted, F.col("node") == F.col("large"))
+        deep = met.where(F.col("chunks") > FACTORED).select("node", F.col("name").alias("n")).join(classes, F.col("n") == F.col("name")).select("node", "name", "bits")
+        links, still = _parted(_searched(_factored(deep), NODE_LIMIT))
+        near, dense = near.unionByName(links), met.where(F.col("chunks") <= FACTORED).select(*still.columns).unionByName(still)
+        counted = _counted(dense)
+    if not counted.isEmpty():
+        dealt = dense.join(counted, F.col("node") == F.col("large")).withColumn("own", F.pmod(F.xxhash64(*FIRST), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit((1 << 63) - 1))
-        dealt = dealt.select(F.when(F.col("node") < 0, -1 - pair).otherwise(pair).alias("node"), "fp", "fp1", "fp2", "name")
-        near = near.unionByName(materialise(_searched(dealt, 1 << 40), "searched").select("u", "v"))
+        dealt = dealt.select(F.when(F.col("node") < 0, -1 - pair).otherwise(pair).alias("node"), *FIRST, "name")
+        near = near.unionByName(_parted(_searched(dealt, 1 << 40))[0])
     return smallest_reachable(_merged(near))
 
 

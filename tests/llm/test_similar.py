@@ -143,6 +143,39 @@ def test_forests_are_held_and_given_out_in_parts(monkeypatch):
     assert parts([(u, v) for x in got for u, v in x.T.tolist()]) == parts([(u, v) for u, v in links.T.tolist() if u != v])
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_large_nodes_are_factored_once_more(spark, documents, monkeypatch, small):
+    """400 unlike texts and ten pairs of near copies in one node: chunks of two would send each row 210 times, the other masks do 92 times."""
+    monkeypatch.setattr(similar, "NODE_LIMIT", 4)
+    rng = random.Random(6)
+    n = 8 if small else 120
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(n))) for i in range(400)]
+    rows += [(1000 + i, " ".join([*(f"t{i}x{j}" for j in range(n)), *(["more"] if small else [])]).replace(f"t{i}x50 ", "new ")) for i in range(0, 400, 40)]
+    rng.shuffle(rows)
+    deal, search, sent = similar._dealt, similar._searched, []
+    monkeypatch.setattr(similar, "_dealt", lambda classes: deal(classes).where("node < 0" if small else "node >= 0").withColumn("node", F.lit(-1 if small else 0).cast("long")).dropDuplicates(["name"]))
+    monkeypatch.setattr(similar, "_searched", lambda nodes, limit: sent.append(nodes.count()) or search(nodes, limit))
+    found = similar._blocks(marked(documents, rows)).collect()
+    names = {r["doc_id"]: r["name"] for r in marked(documents, rows).collect()}
+    assert parts([(r["u"], r["v"]) for r in found]) == parts([(names[i], names[1000 + i]) for i in range(0, 400, 40)])
+    assert sent[0] == 410 and sum(sent[1:]) < 100 * 410 + (60 * 410 if small else 0)
+
+
+def test_trees_join_what_all_pairs_join():
+    """Fingerprints in families that are far apart, near copies and random ones, at sizes about those of leaves and levels."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 16, 17, 49, 128, 129, 700):
+        bases = rng.integers(0, 2**63, (5, 3)).astype(np.uint64)
+        fps = bases[rng.integers(0, 5, n)]
+        for _ in range(14):
+            fps = fps ^ (np.uint64(1) << rng.integers(0, 64, (n, 3)).astype(np.uint64)) * (rng.random((n, 3)) < 0.9)
+        fps[::7] = rng.integers(0, 2**63, fps[::7].shape).astype(np.uint64)
+        near = (np.cumsum(np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(int), axis=2) <= similar.LIMITS).all(axis=2)
+        got = similar._roots(fps, similar.LIMITS)
+        want = parts([*((i, i) for i in range(n)), *zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)])
+        assert parts(list(enumerate(got.tolist()))) == want
+
+
 def parts(links):
     root: dict = {}
     def find(x):
