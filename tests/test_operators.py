@@ -494,3 +494,38 @@ def test_intermediate_tables(spark):
     storage.discard(spark)
     with pytest.raises(Exception):
         stored.sparkSession.read.parquet(storage._tables(spark)).count()
+
+
+def _near(hashes, by, distance):
+    """Pairs as ``banded_pairs`` states them, one by one."""
+    first = {}
+    for i, h in enumerate(hashes):
+        first.setdefault((by[i], h), i)
+    own = list(first.items())
+    far = {(first[by[i], h], i, 0) for i, h in enumerate(hashes) if first[by[i], h] != i}
+    return far | {(a, b, (x[1] ^ y[1]).bit_count()) for x, a in own for y, b in own if a < b and x[0] == y[0] and (x[1] ^ y[1]).bit_count() <= distance}
+
+
+def test_banded_pairs_of_large_nodes_are_not_broadcast(spark, monkeypatch):
+    random.seed(5)
+    # sparse hashes share their empty bands, so they are one node: compared in blocks, and in pairs of chunks where it is larger than a task takes
+    hashes = [sum(1 << x for x in random.sample(range(64), random.randint(0, 5))) for _ in range(300)] + [random.getrandbits(64) for _ in range(100)] + [7, 7, 7]
+    by = [random.choice([None, "a", "b"]) for _ in hashes]
+    df = spark.createDataFrame([(i, b, h >> 32, h & 0xFFFFFFFF) for i, (h, b) in enumerate(zip(hashes, by, strict=True))], "doc_id long, day string, hi long, lo long")
+    for limit in (neighbours.KEY_ROWS, 40):
+        monkeypatch.setattr(neighbours, "KEY_ROWS", limit)
+        for distance, own in ((6, "day"), (8, None)):
+            got = neighbours.banded_pairs(df, distance, "doc_id", by=own)
+            assert sorted(rows(got)) == sorted(_near(hashes, by if own else [0] * len(hashes), distance))
+            parts = neighbours.groups_of(neighbours.banded_links(df, distance, "doc_id", by=own))
+            assert sorted(rows(parts)) == sorted(rows(neighbours.groups_of(got)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "strategy=merge" in plan  # the large lots, and copies
+
+
+def test_banded_links_are_forests(spark):
+    hashes = [i for i in range(512)]  # all within nine bits of each other, most within six
+    df = spark.createDataFrame([(i, 0, h) for i, h in enumerate(hashes)], "doc_id long, hi long, lo long")
+    pairs, links = neighbours.banded_pairs(df, 6, "doc_id").count(), rows(neighbours.banded_links(df, 6, "doc_id"))
+    assert pairs > 100_000 and len(links) < 512 * 7
+    assert set(rows(neighbours.groups_of(spark.createDataFrame(links, "a long, b long")))) == {(i, 0) for i in hashes}
