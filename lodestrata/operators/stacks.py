@@ -22,7 +22,7 @@ def propose(items: DataFrame, near: int = NEAR, burst: int = BURST, seconds: int
     """
     rows = items.where("hi is not null and lo is not null").select("content_hash", "day", F.when(F.col("day").isNotNull(), F.col("at")).alias("at"), "hi", "lo", "pixels")
     rows = materialise(rows, "pictures")
-    alike = neighbours.banded_pairs(rows, near, "content_hash", by="day").select("a", "b")
+    alike = neighbours.banded_links(rows, near, "content_hash", by="day")
     bursts = details.burst_alike(rows.where("at is not null"), seconds, burst, "content_hash")
     groups = neighbours.groups_of(alike.unionByName(bursts))
     members = rows.join(groups, F.col("content_hash") == F.col("member"))
