@@ -263,16 +263,18 @@ def keywords(subjects: Column, hierarchical: Column, iptc: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(joined, lambda x: F.trim(x)), lambda x: x != "")), 1, 200)
 
 
-def suggestions(pending: DataFrame, exemplars: DataFrame, single: float = 0.70, best: float = 0.65, second: float = 0.55, margin: float = 0.08, most: int = 32) -> DataFrame:
+def suggestions(pending: DataFrame, exemplars: DataFrame, single: float = 0.70, best: float = 0.65, second: float = 0.55, margin: float = 0.08, most: int | None = 32) -> DataFrame:
     """face_id, person, score: for pending faces the person whose exemplars (person, face_id, vector; named by hand) they are like.
 
-    Of each person at most ``most`` exemplars count, evenly spaced in order of ids. Faces meet them in blocks of bounded size.
+    Of each person at most ``most`` exemplars count, evenly spaced in order of ids (None: all of them). Faces meet them in blocks of bounded size.
     """
     from lodestrata.operators.neighbours import best_groups
 
-    places = exemplars.withColumns({"__i": F.row_number().over(Window.partitionBy("person").orderBy("face_id")) - 1, "__n": F.count("*").over(Window.partitionBy("person"))})
-    spaced = places.where(F.array_contains(times.even_places(F.col("__n"), most), F.col("__i").cast("long"))).select("person", "vector")
-    two = best_groups(pending, materialise(spaced, "exemplars"), "person")
+    spaced = exemplars
+    if most is not None:
+        places = exemplars.withColumns({"__i": F.row_number().over(Window.partitionBy("person").orderBy("face_id")) - 1, "__n": F.count("*").over(Window.partitionBy("person"))})
+        spaced = places.where(F.array_contains(times.even_places(F.col("__n"), most), F.col("__i").cast("long")))
+    two = best_groups(pending, materialise(spaced.select("person", "vector"), "exemplars"), "person")
     nearest = two.withColumn("next", F.lead("first").over(Window.partitionBy("face_id").orderBy("rank"))).where("rank = 1")
     fits = F.when(F.col("second").isNull(), F.col("first") >= single).otherwise((F.col("first") >= best) & (F.col("second") >= second))
     return nearest.where(fits & (F.col("next").isNull() | (F.col("first") - F.col("next") >= margin))).select("face_id", "person", F.col("first").alias("score"))

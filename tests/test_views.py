@@ -155,3 +155,30 @@ def test_everything_known_of_an_item_multiplies_nothing(spark):
     paths = spark.createDataFrame([(1, "p"), (2, "q"), (1, "o"), (None, "x")], "id int, path string")
     got = {r["id"]: ([tuple(f) for f in r["facts"]], [p["path"] for p in r["paths"]]) for r in details.evidence_of(items, "id", facts=facts, paths=paths).collect()}
     assert got == {1: ([("a", 1), ("b", 2)], ["o", "p"]), 2: ([], ["q"]), None: ([], [])}
+
+
+def test_large_groups_are_split_and_all_exemplars_count(spark, monkeypatch):
+    import random
+
+    from lodestrata.operators import neighbours
+
+    for name, n in (("BLOCK_ROWS", 16), ("BLOCK_ASKED", 4), ("GROUP_ROWS", 5)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng = random.Random(4)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    asked, members = [(i, vector()) for i in range(9)], [(rng.choice([0, 0, 0, 1, 2, 3]), i, vector()) for i in range(120)] + [(9, 900, vector())]
+    best = lambda u, of: sorted(((-max(s), p, sorted(s, reverse=True)) for p, s in of.items()), key=lambda x: x[:2])
+    frames = spark.createDataFrame(asked, "face_id long, vector array<double>"), spark.createDataFrame(members, "person int, face_id long, vector array<double>")
+    want, told = [], []
+    for i, u in asked:
+        by = {}
+        for p, _, v in members:
+            by.setdefault(p, []).append(sum(a * b for a, b in zip(u, v, strict=True)))
+        two = best(u, by)[:2]
+        want += [(i, p, round(s[0], 9), round(s[1], 9) if len(s) > 1 else None, r) for r, (_, p, s) in enumerate(two, 1)]
+        fits = two[0][2][0] >= 0.3 and (len(two[0][2]) == 1 or two[0][2][1] >= 0.1)
+        told += [(i, two[0][1])] if fits and two[1][0] - two[0][0] >= 0.01 else []
+    got = neighbours.best_groups(*frames, "person").withColumns({c: F.round(c, 9) for c in ("first", "second")})
+    assert rows(got) == sorted(want, key=str)
+    assert rows(details.suggestions(*frames, 0.3, 0.3, 0.1, 0.01, most=None).select("face_id", "person")) == sorted(told, key=str)
+    assert rows(details.suggestions(*frames, 0.3, 0.3, 0.1, 0.01, most=3).select("face_id", "person")) != sorted(told, key=str)
