@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.details import capture_coverage, sidecar_claims
+from lodestrata.operators.details import LAST_SECOND, capture_coverage, sidecar_claims
 
 MAX_JSON = 2 << 20
 #: What a sidecar's name ends in after its medium's.
@@ -48,11 +48,12 @@ def _targets(path: Column, title: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(said, cut)))
 
 
-def export_audit(media: DataFrame, sidecars: DataFrame, catalogue: DataFrame) -> DataFrame:
+def export_audit(media: DataFrame, sidecars: DataFrame, catalogue: DataFrame, latest: int = LAST_SECOND) -> DataFrame:
     """(measure, item, n) of an export.
 
     media: (id, family, path, size, crc); sidecars: (id, family, path, raw); catalogue: (name, size). A JSON file is oversized,
     unreadable, no object, without a taking time, or a photo's sidecar, which fits one entry, several (ambiguous) or none.
+    ``latest``: the last second that counts as a time of taking.
     """
     count = lambda rows, measure, item=None: rows.groupBy((F.lit("") if item is None else item).alias("item")).agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), "item", "n")
     v = F.try_parse_json("raw")
@@ -76,7 +77,7 @@ def export_audit(media: DataFrame, sidecars: DataFrame, catalogue: DataFrame) ->
     owned = unique.groupBy("m_id").agg(F.count("*").alias("sidecars"))
     out += [count(owned, "media_with_unique_sidecar"), count(owned.where("sidecars > 1"), "media_with_multiple_sidecars")]
     for measure, rows in (("coverage", joined), ("coverage_unique", unique)):
-        out.append(capture_coverage(sidecar_claims(rows.select("path", "raw"))).select(F.lit(measure).alias("measure"), F.col("key").alias("item"), "n"))
+        out.append(capture_coverage(sidecar_claims(rows.select("path", "raw"), latest)).select(F.lit(measure).alias("measure"), F.col("key").alias("item"), "n"))
 
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     pairs = catalogue.select(F.col("name").alias("c_name"), F.col("size").alias("c_size")).distinct()

@@ -71,11 +71,16 @@ def sidecar_names(name: Column, title: Column | None = None) -> Column:
     return F.array_distinct(F.transform(F.filter(F.array(base, said), lambda c: c.isNotNull() & (c != "")), placed))
 
 
-def sidecar_claims(told: DataFrame) -> DataFrame:
+#: The last second that dates of four-digit years can have.
+LAST_SECOND = 253402300799
+
+
+def sidecar_claims(told: DataFrame, latest: int = LAST_SECOND) -> DataFrame:
     """path, attribute, value, meaning, field: what each sidecar (path, raw JSON) states, none of it inferred.
 
     The raw document without its people; dates of taking and of creation, of which a whole number of seconds is written
-    as text; two places with both coordinates as numbers in range and not both zero; a description that isn't empty.
+    as text, ``latest`` at most; two places with both coordinates as numbers in range and not both zero; a description that isn't empty.
+    Years beyond 9999 are written with a plus sign.
     """
     v = F.try_parse_json("raw")
     of = lambda path, kind: F.try_variant_get(v, path, kind)
@@ -84,8 +89,8 @@ def sidecar_claims(told: DataFrame) -> DataFrame:
 
     def date(key: str) -> Column:
         path = f"$.{key}.timestamp"
-        seconds = F.when((kind(path) == "STRING") & F.regexp_like(of(path, "string"), F.lit(r"^-?\d{1,12}$")), of(path, "string").try_cast("long"))
-        return F.when(seconds.between(-62135596800, 253402300799), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+        seconds = F.when((kind(path) == "STRING") & F.regexp_like(of(path, "string"), F.lit(r"^-?\d{1,18}$")), of(path, "string").try_cast("long"))
+        return F.when(seconds.between(-62135596800, latest), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
 
     def place(key: str) -> Column:
         number = lambda axis: F.when(F.regexp_like(kind(f"$.{key}.{axis}"), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")), of(f"$.{key}.{axis}", "double"))
@@ -190,7 +195,7 @@ def capture_coverage(claims: DataFrame) -> DataFrame:
     """(key, n): how many sidecars state what, by claims as ``sidecar_claims`` gives them; the year of taking has a key each."""
     a = F.col("attribute")
     taken = (a == "date") & (F.col("meaning") == "capture")
-    keys = F.when(taken, F.array(F.lit("capture_timestamp"), F.concat(F.lit("capture_year_"), F.regexp_extract("value", r"^0*(\d+)", 1))))
+    keys = F.when(taken, F.array(F.lit("capture_timestamp"), F.concat(F.lit("capture_year_"), F.regexp_extract("value", r"^\+?0*(\d+)", 1))))
     keys = keys.when(a == "location", F.array(F.concat(F.col("field"), F.lit("_nonzero_location")))).when(a == "description", F.array(F.lit("nonempty_description")))
     return claims.select("path", F.explode(keys).alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
 

@@ -51,3 +51,19 @@ def test_strata_without_a_sample_count_zero(spark):
     sample = spark.createDataFrame([("a", None, True, "x"), ("a", None, False, None)], "source string, shape string, probed boolean, f string")
     got = {(r["source"], r["measure"]): r["n"] for r in audit.survey_coverage(population, sample, ["f"]).collect()}
     assert got == {("a", "population"): 2, ("a", "selected"): 2, ("a", "probed"): 1, ("a", "f"): 1, ("b", "population"): 1, ("b", "selected"): 0, ("b", "probed"): 0, ("b", "f"): 0}
+
+
+def test_years_beyond_9999_count_where_they_may(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from parity import assert_same
+
+    from lodestrata.plans import upkeep
+
+    raw = ['{"photoTakenTime": {"timestamp": "%d"}}' % x for x in (253402300799, 253402300800, 2 * 10**12)]
+    told = spark.createDataFrame([(i, "f", f"a/{i}.json", x) for i, x in enumerate(raw)], SIDECARS)
+    years = lambda **more: sorted(r["item"] for r in audit.export_audit(spark.createDataFrame([], MEDIA), told, spark.createDataFrame([], "name string, size long"), **more).where("measure = 'coverage' and item like 'capture_year%'").collect())
+    assert years() == ["capture_year_9999"] and years(latest=10**13) == ["capture_year_10000", "capture_year_65347", "capture_year_9999"]
+    ids = [*range(29_320, 29_345), *range(128_000, 128_012)]  # the times of taking pass the year 9999, and a million million seconds
+    pq.write_table(pa.table({"page_id": pa.array(ids, pa.int64()), "url": [f"u{i}" for i in ids], "html": ["<p>" * (i % 7) for i in ids]}), tmp_path / "pages.parquet")
+    assert_same(upkeep.archive_audit(spark, str(tmp_path)), upkeep.SQL["archive_audit"], str(tmp_path))
