@@ -144,3 +144,25 @@ def test_merges_of_people(spark, blocks, people, seed):
         want |= {(b, p, m) for p, ms in tags.items() for m in ms}
     df = spark.createDataFrame(ops, "block long, seq long, op string, person long, member long, source long").orderBy(F.rand(1))
     assert {tuple(r) for r in overlay.merged_people(df, "block").collect()} == want
+
+
+def test_complete_links_look_only_into_groups_with_a_like_first_member():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    content = rng.integers(0, 97, 400)
+    groups = []
+    for i in range(len(x)):
+        fits = []
+        for g, members in enumerate(groups):
+            like = x[members] @ x[i]
+            if like[0] >= 0.6 and like.min() >= 0.5 and content[i] not in content[members]:
+                fits.append((-like[0], g))
+        fits.sort()
+        if fits and (len(fits) == 1 or -fits[0][0] + fits[1][0] >= 0.02):
+            groups[fits[0][1]].append(i)
+        else:
+            groups.append([i])
+    assert neighbours.complete_links(x, content, 0.6, 0.5, 0.02) == groups and 1 < len(groups) < 400
